@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from sparkquill.llm import oracles
 from sparkquill.llm.hilbert import hilbert_shards
 from sparkquill.llm.host_rules import host_rules
+from sparkquill.llm.setsketch import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op9_host_rules": op9_host_rules,
 }
