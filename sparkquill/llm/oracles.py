@@ -61,3 +61,22 @@ prior AS (SELECT m, least(1000.0::DOUBLE, greatest(1.0::DOUBLE, CASE WHEN v > 0
 verdict AS (SELECT host, (f + m * s) / (n + s) AS rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.75 AS kept, round(rate, 9) AS shrunk_rate
 FROM base JOIN verdict USING (host)"""
+
+
+_ITEM_WORDS = r"regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ITEM_WORDS} AS w FROM (SELECT doc_id, {_LOWER} AS lower_az FROM documents)),
+b AS (SELECT item_id, {_ITEM_WORDS} AS w FROM (SELECT item_id, {_LOWER} AS lower_az FROM benchmark)),
+items AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM items),
+pos AS (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k),
+hits AS (SELECT rid, p.k, i, item_id FROM (SELECT rid, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM pos) p JOIN items USING (k, win)),
+covered AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+named AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hits GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN named USING (rid)"""

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm import oracles
+from sparkquill.llm.fm_index import decontaminate, digest
 from sparkquill.llm.hilbert import hilbert_shards
 from sparkquill.llm.host_rules import host_rules
+from sparkquill.llm.quality_trees import quality_scores
 from sparkquill.llm.setsketch import near_duplicates
 
 
@@ -25,6 +27,14 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -36,10 +46,13 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
     "op6_hilbert_sharding": op6_hilbert_sharding,
+    "op7_fm_index_decontamination": op7_fm_index_decontamination,
     "op9_host_rules": op9_host_rules,
+    "op10_quality_trees": op10_quality_trees,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_hilbert_sharding": oracles.OP6,
+    "op7_fm_index_decontamination": oracles.OP7,
     "op9_host_rules": oracles.OP9,
 }
