@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm import oracles
-from sparkquill.llm.fm_index import decontaminate, digest
+from sparkquill.llm.fm_index import decontaminate
+from sparkquill.llm.fm_index import digest as hit_digest
 from sparkquill.llm.hilbert import hilbert_shards
 from sparkquill.llm.host_rules import host_rules
 from sparkquill.llm.quality_trees import quality_scores
+from sparkquill.llm.rans_tokens import token_digests
 from sparkquill.llm.setsketch import near_duplicates
+from sparkquill.llm.word_bpe import digest as id_digest
+from sparkquill.llm.word_bpe import encode_and_decode
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +27,20 @@ def op2_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"))
+
+
+def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_digest(encode_and_decode(_table(spark, sf_dir, "documents")))
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
 def op7_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+    return hit_digest(decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +57,8 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
+    "op3_rans_tokens": op3_rans_tokens,
+    "op4_word_bpe": op4_word_bpe,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
     "op9_host_rules": op9_host_rules,
