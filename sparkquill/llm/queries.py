@@ -15,6 +15,7 @@ from sparkquill.llm.host_rules import host_rules
 from sparkquill.llm.quality_trees import quality_scores
 from sparkquill.llm.rans_tokens import token_digests
 from sparkquill.llm.setsketch import near_duplicates
+from sparkquill.llm.warc import warc_round_trip
 from sparkquill.llm.word_bpe import digest as id_digest
 from sparkquill.llm.word_bpe import encode_and_decode
 
@@ -23,6 +24,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op2_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_word_bpe": op4_word_bpe,
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_boundary_chain": oracles.OP1,
     "op6_hilbert_sharding": oracles.OP6,
     "op7_fm_index_decontamination": oracles.OP7,
     "op9_host_rules": oracles.OP9,
