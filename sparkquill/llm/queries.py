@@ -15,6 +15,7 @@ from sparkquill.llm.host_rules import host_rules
 from sparkquill.llm.quality_trees import quality_scores
 from sparkquill.llm.rans_tokens import token_digests
 from sparkquill.llm.setsketch import near_duplicates
+from sparkquill.llm.surrogates import pseudonymize
 from sparkquill.llm.warc import warc_round_trip
 from sparkquill.llm.word_bpe import digest as id_digest
 from sparkquill.llm.word_bpe import encode_and_decode
@@ -52,6 +53,11 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymize(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("_n_entities").alias("n_entities"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = host_rules(_table(spark, sf_dir, "documents"))
     return out.select(
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_word_bpe": op4_word_bpe,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
+    "op8_surrogates": op8_surrogates,
     "op9_host_rules": op9_host_rules,
     "op10_quality_trees": op10_quality_trees,
 }
