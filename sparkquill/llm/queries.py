@@ -16,6 +16,7 @@ from sparkquill.llm.quality_trees import quality_scores
 from sparkquill.llm.rans_tokens import token_digests
 from sparkquill.llm.setsketch import near_duplicates
 from sparkquill.llm.surrogates import pseudonymize
+from sparkquill.llm.toxicity import toxicity_scores
 from sparkquill.llm.warc import warc_round_trip
 from sparkquill.llm.word_bpe import digest as id_digest
 from sparkquill.llm.word_bpe import encode_and_decode
@@ -41,6 +42,11 @@ def op4_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digest(encode_and_decode(_table(spark, sf_dir, "documents")))
 
 
+def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_restored")
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
     "op3_rans_tokens": op3_rans_tokens,
     "op4_word_bpe": op4_word_bpe,
+    "op5_noisy_channel_toxicity": op5_noisy_channel_toxicity,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_fm_index_decontamination": op7_fm_index_decontamination,
     "op8_surrogates": op8_surrogates,
