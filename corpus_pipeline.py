@@ -6,8 +6,8 @@
 4. pii: entities get surrogates; n_chars follows the new text.
 5. bpe: texts are encoded and decoded; the result has the digests.
 
-All stages but the last return the columns of documents. Rows that share a doc_id go or stay by that id's decision in the
-first two stages; a null doc_id can't be joined to a decision and stays.
+All stages but the last return the columns of documents. Rows that share a doc_id go or stay together in the second
+stage; a null doc_id can't be joined to a decision and stays.
 """
 
 from __future__ import annotations
@@ -23,18 +23,14 @@ from sparkquill.llm.surrogates import pseudonymize
 from sparkquill.llm.word_bpe import digest, encode_and_decode
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the rows whose doc_id is in `gone`; by the size of the written list Spark sends it to all tasks or shuffles both sides."""
-    return docs.join(staged(gone.select("doc_id").distinct(), "gone"), "doc_id", "left_anti").select(docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.filter("predicted = 0"))
+    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
+    return scored.filter("predicted = 1").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_duplicates(docs).filter("NOT kept"))
+    gone = staged(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "gone")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Operator 10: a quality classifier of histogram gradient-boosted trees over document statistics.
 
-Statistics of whole texts are computed once, in numpy over Arrow batches, and written down. The trees are fitted to the
-statistics of at most SAMPLE labelled documents (those with the smallest hash of their doc_id), on histograms of BINS
-bins, depth by depth, with the logistic loss. The fitted trees are flattened into arrays, one row for each tree, and all
-documents of a batch walk down one level of all trees at a time.
+Statistics of whole texts are computed in numpy over Arrow batches. The trees are fitted to the statistics of at most
+SAMPLE labelled documents (those with the smallest hash of their doc_id), on histograms of BINS bins, depth by depth,
+with the logistic loss. The fitted trees are flattened into arrays, one row for each tree, and all documents of a batch
+walk down one level of all trees at a time. Scoring is one pass over the texts without a shuffle.
 
 A null text counts as empty; texts without words have zeros everywhere and get a score like any other. Several labels of one
 doc_id count by their mean, rounded. Without labels of both kinds every score is the share of label 1, or 0.5. Scores
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.llm._arrays import SPACE_SPLIT, Words, chunks, list_column, windows
-from sparkquill.llm._stage import staged
 
 SAMPLE = 20_000
 BINS, TREES, DEPTH, RATE, L2, LEAST_LEAF = 64, 80, 5, 0.12, 4.0, 20
@@ -94,7 +93,7 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _statistics_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, raw, offsets in chunks(batches):
         x = statistics(raw, offsets)
-        yield pa.RecordBatch.from_arrays([batch.column(0), list_column(x.ravel(), np.full(len(x), x.shape[1]), pa.float32())], ["doc_id", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), list_column(x.ravel(), np.full(len(x), x.shape[1]), pa.float32())], ["doc_id", "y", "x"])
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -156,25 +155,32 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def _scorer(trees):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = trees.value
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            s = [score(model, x[i : i + 2048]) for i in range(0, len(x), 2048)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(s) if s else [], pa.float64())], ["doc_id", "score"])
+        for batch, raw, offsets in chunks(batches):
+            found = score(trees.value, statistics(raw, offsets))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "_score"])
 
     return rows
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, remainder: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; labels of held-out rows are never read."""
-    spark = docs.sparkSession
-    x = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_statistics_rows, "doc_id long, x array<float>"), "statistics")
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, remainder: int = 2, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """Trees fitted to the statistics of at most `sample` labelled documents; labels of held-out rows are never read."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, remainder))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg(label)).cast("double").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = x.join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").orderBy("doc_id").limit(4 * sample).toArrow()
-    xs = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
-    trees = spark.sparkContext.broadcast(fit(xs, rows.column("y").to_numpy()))
-    return x.mapInArrow(_scorer(trees), "doc_id long, score double").select(
-        "doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # its size bounds the broadcast and what comes back
+    x = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(_statistics_rows, "doc_id long, y double, x array<float>")
+    rows = x.orderBy("doc_id", "x").limit(4 * sample).toArrow()
+    flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
+    return fit(flat, rows.column("y").to_numpy())
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, remainder: int = 2, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (doc_id by default) of every document with held_out, score and predicted, in one pass over the texts."""
+    keep = keep or ["doc_id"]
+    trees = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, label, modulus, remainder, sample))
+    chosen = docs.select("text", *[c for c in dict.fromkeys(["doc_id", *keep]) if c != "text"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
+    scored = chosen.mapInArrow(_scorer(trees), f"{schema}, _score double")
+    return scored.select(
+        *keep, held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.7, 1).otherwise(0).alias("predicted")
     )
