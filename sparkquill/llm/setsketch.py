@@ -275,7 +275,7 @@ def _with_sets(docs: DataFrame, seats: DataFrame, columns: list[str]) -> DataFra
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = held.schema["seats"].dataType.simpleString()
     return (
-        texts.join(held, texts.doc_id == held.node)
+        texts.join(held.hint("merge"), texts.doc_id == held.node)
         .select("doc_id", "text", "set_key", "seats")
         .mapInArrow(_set_rows, f"node long, items binary, seats {kind}")
         .select("node", "items", F.explode("seats").alias("seat"))
