@@ -23,9 +23,18 @@ from sparkquill.llm.surrogates import pseudonymize
 from sparkquill.llm.word_bpe import digest, encode_and_decode
 
 
+def _boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and all other columns as one value, so that none of them meets a name that an operator uses."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")).alias("box"))
+
+
+def _unboxed(found: DataFrame, columns: list[str]) -> DataFrame:
+    return found.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"box.`{c}`") for c in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=docs.columns)
-    return scored.filter("predicted = 1").select(docs.columns)
+    scored = quality_scores(_boxed(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id", "text", "box"])
+    return _unboxed(scored.filter("predicted = 1"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.filter("n_hit = 0").select(docs.columns)
+    found = decontaminate(_boxed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id", "text", "box"])
+    return _unboxed(found.filter("n_hit = 0"), docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sparkquill.llm._arrays import ALNUM_SPLIT, Words, chunks, list_column
 
@@ -242,8 +243,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     """The columns `keep` (doc_id by default) of every document, with n_words, n_hit, the merged removal spans as word numbers (span_starts, span_ends excluded) and item_ids."""
     keep = keep or ["doc_id"]
     chosen = docs.select("text", *[c for c in keep if c != "text"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    found = chosen.mapInArrow(_searcher(query_blocks(benchmark)), f"{schema}, n_words long, n_hit long, span_starts array<long>, span_ends array<long>, item_ids array<string>")
+    added = StructType.fromDDL("n_words long, n_hit long, span_starts array<long>, span_ends array<long>, item_ids array<string>")
+    found = chosen.mapInArrow(_searcher(query_blocks(benchmark)), StructType(chosen.schema.fields + added.fields))
     return found.select(*keep, "n_words", "n_hit", "span_starts", "span_ends", "item_ids")
 
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkquill.llm._arrays import SPACE_SPLIT, Words, chunks, list_column, windows
 
@@ -179,8 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     keep = keep or ["doc_id"]
     trees = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, label, modulus, remainder, sample))
     chosen = docs.select("text", *[c for c in dict.fromkeys(["doc_id", *keep]) if c != "text"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema)
-    scored = chosen.mapInArrow(_scorer(trees), f"{schema}, _score double")
+    scored = chosen.mapInArrow(_scorer(trees), StructType([*chosen.schema.fields, StructField("_score", DoubleType())]))
     return scored.select(
         *keep, held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= 0.7, 1).otherwise(0).alias("predicted")
     )

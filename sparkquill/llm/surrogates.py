@@ -226,17 +226,18 @@ def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     Only rows with an entity are written down and joined; the others pass through. Entities meet their surrogates with
     hot ones salted, so an address that stands in a third of all documents doesn't end in one task.
     """
-    columns = docs.columns
-    body = F.col(f"`{text}`")
-    found = F.when(body.rlike(HINT), entities(body)).otherwise(F.array().cast("array<string>"))
-    plain = docs.filter(body.isNull() | (F.size(found) == 0)).withColumn("_n_entities", F.lit(0))
-    rows = docs.filter(F.size(found) > 0).withColumn("_found", entities(body)).withColumn("_gaps", F.split(body, PATTERN, -1))
-    rows = staged(rows.drop(text).withColumn("_row", F.monotonically_increasing_id()), "found")
-    each = rows.select("_row", F.posexplode("_found").alias("_at", "entity"))
-    counts = each.groupBy("entity").agg(F.count("*").alias("_n"))
+    # the row travels as one value, so that no column of the input meets a name used here
+    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(0).alias("_")).alias("box"), F.col(f"`{text}`").alias("body"))
+    found = F.when(F.col("body").rlike(HINT), entities(F.col("body"))).otherwise(F.array().cast("array<string>"))
+    plain = boxed.filter(F.col("body").isNull() | (F.size(found) == 0)).select("box", "body", F.lit(0).alias("n"))
+    rows = boxed.filter(F.size(found) > 0).select("box", entities(F.col("body")).alias("found"), F.split("body", PATTERN, -1).alias("gaps"))
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "found")
+    each = rows.select("row", F.posexplode("found").alias("at", "entity"))
+    counts = each.groupBy("entity").agg(F.count("*").alias("n"))
     table = surrogate_table(counts, key)
-    met = salted_lookup(each, table.join(counts, "entity"), "entity", "_row", "_n")
-    new = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "surrogate"))).alias("_new"))  # one document's entities
-    gaps = F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["surrogate"], F.lit(""))))
-    changed = rows.join(new, "_row").withColumn(text, F.array_join(gaps, "")).withColumn("_n_entities", F.size("_found"))
-    return plain.select(*[f"`{c}`" for c in columns], "_n_entities").unionByName(changed.select(*[f"`{c}`" for c in columns], "_n_entities"))
+    met = salted_lookup(each, table.join(counts, "entity"), "entity", "row", "n")
+    new = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))  # one document's entities
+    gaps = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i)["surrogate"], F.lit(""))))
+    changed = rows.join(new, "row").select("box", F.array_join(gaps, "").alias("body"), F.size("found").alias("n"))
+    both = plain.unionByName(changed)
+    return both.select(*[F.col("body").alias(text) if c == text else F.col(f"box.`{c}`") for c in docs.columns], F.col("n").alias("_n_entities"))
