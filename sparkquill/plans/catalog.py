@@ -256,7 +256,7 @@ def _per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def question_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _per_question(spark, sf_dir)
-    return p.select("retriever", "qid", "kind", F.round("recall", 6).alias("recall"), "hit", "rank", F.round("rr", 6).alias("rr"), F.round("wrong", 6).alias("wrong"))
+    return p.select("retriever", "qid", "kind", F.round("recall", 6).alias("recall"), "hit", F.col("rank").cast("double").alias("rank"), F.round("rr", 6).alias("rr"), F.round("wrong", 6).alias("wrong"))
 
 
 @query
@@ -313,8 +313,8 @@ def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    old = docs.filter("doc_id % 3 <> 0").select("doc_id", "lang", F.col("n_chars").alias("embedding"))
-    new = docs.filter("doc_id % 2 = 0").select("doc_id", F.upper("lang").alias("lang"), F.when(F.col("doc_id") % 4 == 0, F.lit(-1).cast("long")).alias("embedding"))
+    old = docs.filter("doc_id % 3 <> 0").select("doc_id", "lang", F.col("n_chars").cast("double").alias("embedding"))
+    new = docs.filter("doc_id % 2 = 0").select("doc_id", F.upper("lang").alias("lang"), F.when(F.col("doc_id") % 4 == 0, F.lit(-1.0)).alias("embedding"))
     return old, new
 
 

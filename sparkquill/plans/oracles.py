@@ -93,8 +93,8 @@ MEANS = """round(avg((refused = should_refuse)::INT) FILTER (WHERE scored), 6) A
   round(avg(wp::INT) FILTER (WHERE scored AND NOT should_refuse AND NOT refused), 6) AS wrong_paper_citation_rate, round(avg(fa::DOUBLE) FILTER (WHERE scored), 6) AS faithfulness"""
 GOLD = """gold AS (SELECT CASE WHEN doc_id % 17 = 0 THEN 'tmpl-' || doc_id ELSE doc_id::VARCHAR END AS id, CASE WHEN toxic = 1 THEN 'unanswerable' ELSE 'factual' END AS kind,
   CASE WHEN quality = 1 THEN 'verified' ELSE 'draft' END AS status, 'question ' || doc_id AS question, CASE WHEN doc_id % 2 = 0 THEN 'old note' END AS notes, doc_id AS n FROM labels)"""
-VERSIONS = """o AS (SELECT doc_id, lang, n_chars AS embedding FROM documents WHERE doc_id % 3 <> 0),
-n AS (SELECT doc_id, upper(lang) AS lang, CASE WHEN doc_id % 4 = 0 THEN -1 END AS embedding FROM documents WHERE doc_id % 2 = 0)"""
+VERSIONS = """o AS (SELECT doc_id, lang, n_chars::DOUBLE AS embedding FROM documents WHERE doc_id % 3 <> 0),
+n AS (SELECT doc_id, upper(lang) AS lang, CASE WHEN doc_id % 4 = 0 THEN -1.0::DOUBLE END AS embedding FROM documents WHERE doc_id % 2 = 0)"""
 
 
 def md5_mod(x: str, dim: int) -> str:
@@ -153,7 +153,7 @@ ORACLE_SQL: dict[str, str] = {
       SELECT qid, ev, (CASE WHEN len(p) > 0 AND NOT list_contains(p, 1) THEN p[1] ELSE 1 END)::INT AS page,
         CASE WHEN p IS NULL THEN NULL WHEN len(p) = 0 THEN qid || ': quote not found in ' || qid || ' (left page 1)' WHEN NOT list_contains(p, 1) THEN qid || ': ' || qid || ' page 1 -> ' || p[1] END AS note
       FROM quotes LEFT JOIN g USING (qid, ev)""",
-    "question_metrics": f"{OWN} SELECT retriever, qid, kind, round(recall, 6) AS recall, hit, rank, round(rr, 6) AS rr, round(wrong, 6) AS wrong FROM per",
+    "question_metrics": f"{OWN} SELECT retriever, qid, kind, round(recall, 6) AS recall, hit, rank::DOUBLE AS rank, round(rr, 6) AS rr, round(wrong, 6) AS wrong FROM per",
     "retriever_ablation": f"""{OWN} SELECT retriever, kind, count(*) AS n, round(avg(recall), 6) AS recall_at_5, round(avg(rr), 6) AS mrr_at_10, round(avg(wrong), 6) AS wrong_paper_at_5
       FROM per GROUP BY GROUPING SETS ((retriever, kind), (retriever))""",
     "latency_percentiles": "SELECT event_type, min(value) AS p0, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS p100 FROM events GROUP BY event_type",
