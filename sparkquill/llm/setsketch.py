@@ -172,7 +172,7 @@ def _decode(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """leader, part, node, big, n, registers, set_key -> leader, part, node, set_key of the classes that may have a link in their part."""
+    """leader, part, node, big, n, registers, set_key -> leader, part, big, node, set_key of the classes that may have a link in their part."""
     for table in groups(batches, 2):
         node = table.column("node").to_numpy()
         keep = np.ones(len(node), dtype=bool)
@@ -192,7 +192,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     keep[j[hit]] = True
                     keep[i] |= hit.any()
         if keep.any():
-            yield table.select(["leader", "part", "node", "set_key"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+            yield table.select(["leader", "part", "big", "node", "set_key"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
 
 
 def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -247,14 +247,19 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """leader, part, node, items -> links inside each part."""
+    """leader, part, big, node, items -> links inside each part (a, b); the sets of parts of big leaders come along (node, items)."""
+    names = ["a", "b", "node", "items"]
     for table in groups(batches, 2):
         node = table.column("node").to_numpy()
         node, once = np.unique(node, return_index=True)
+        items = table.column("items").take(pa.array(once)).combine_chunks()
         if len(node) > 1:
-            sets = _decode(table.column("items").take(pa.array(once)), np.uint64)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in items.to_pylist()]
             if edges := _forest(node, node, np.triu(_linked(sets, sets), 1)):
-                yield _edge_batch(edges)
+                none = len(edges)
+                yield pa.RecordBatch.from_arrays([*_edge_batch(edges).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
+        if table.column("big")[0].as_py():
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(node), items], names)
 
 
 def _confirm_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +275,10 @@ def _confirm_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _with_sets(docs: DataFrame, seats: DataFrame, columns: list[str]) -> DataFrame:
-    """`seats` (node, set_key and `columns`) with each node's set: a text is read and shuffled once however many seats it has."""
+    """`seats` (node, set_key and `columns`) with each node's set: a text is read and shuffled once however many seats it has.
+
+    The join is a sort-merge join at every size, so that the plan for large inputs is the one that small inputs test.
+    """
     held = seats.groupBy("node", "set_key").agg(F.collect_set(F.struct(*columns)).alias("seats"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = held.schema["seats"].dataType.simpleString()
@@ -303,12 +311,14 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     seated = seated.select("leader", F.col("part").cast("long").alias("part"), "node", "big")
     known = seated.join(classes.select("node", "n", "registers", "set_key"), "node").select("leader", "part", "node", "big", "n", "registers", "set_key")
-    likely = staged(_dealt(known, ["leader", "part"], _candidates, "leader long, part long, node long, set_key binary"), "likely")
-    inside = staged(_dealt(_with_sets(docs, likely, ["leader", "part"]), ["leader", "part"], _confirm, "a long, b long"), "links")
+    likely = staged(_dealt(known, ["leader", "part"], _candidates, "leader long, part long, big boolean, node long, set_key binary"), "likely")
+    sets = _with_sets(docs, likely, ["leader", "part", "big"])
+    confirmed = staged(_dealt(sets, ["leader", "part"], _confirm, "a long, b long, node long, items binary"), "links")
+    inside = confirmed.filter("a IS NOT NULL").select("a", "b")
     drop_staged(seats)
 
     # Leaders of several parts: what isn't in their largest component meets all of their parts.
-    big = staged(likely.join(placed.filter("big").select("leader").distinct(), "leader", "left_semi"), "big")
+    big = likely.filter("big").select("leader", "part", "node")
     if big.isEmpty():
         return inside
     names = components(inside)
@@ -320,8 +330,9 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     spread = split.join(count, "leader").join(placed.select("leader", F.col("parts").cast("long").alias("n_parts")).distinct(), "leader")
     part_side = spread.withColumn("chunk", F.explode(F.expr("sequence(0L, n_chunks - 1L)"))).withColumn("loose", F.lit(False))
     loose_side = spread.filter("loose").dropDuplicates(["leader", "node"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_chunks"))).withColumn("part", F.explode(F.expr("sequence(0L, n_parts - 1L)")))
-    blocks = staged(part_side.unionByName(loose_side).select("leader", "part", "chunk", "loose", "node", "set_key").distinct(), "blocks")
-    across = _dealt(_with_sets(docs, blocks, ["leader", "part", "chunk", "loose"]), ["leader", "part", "chunk"], _confirm_across, "a long, b long")
+    blocks = staged(part_side.unionByName(loose_side).select("leader", "part", "chunk", "loose", "node").distinct(), "blocks")
+    kept = confirmed.filter("node IS NOT NULL").select("node", "items").dropDuplicates(["node"])
+    across = _dealt(blocks.join(kept, "node").select("leader", "part", "chunk", "loose", "node", "items"), ["leader", "part", "chunk"], _confirm_across, "a long, b long")
     return inside.union(across)
 
 
