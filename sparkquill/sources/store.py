@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkquill.functions import text as T
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep_old: list[str] | None = None) -> DataFrame:
     """`old` with the rows of `new` put in by key. Columns in keep_old take the old value where the new one is null; a column that only `old` has keeps its value."""
@@ -51,7 +53,7 @@ def log_line(responses: DataFrame) -> DataFrame:
 
 def markdown_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """A Markdown table's lines, in order: numbers with three decimals, null as a dash."""
-    cells = [F.coalesce(F.format_string("%.3f", c) if kind in ("double", "float") else F.col(c).cast("string"), F.lit("–")) for c, kind in df.select(*columns).dtypes]
+    cells = [T.fmt(F.col(c)) if kind in ("double", "float") else F.coalesce(F.col(c).cast("string"), F.lit("–")) for c, kind in df.select(*columns).dtypes]
     head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "n long, line string")
     body = df.select((F.monotonically_increasing_id() + 2).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
     return head.unionByName(body).orderBy("n").select("line")
