@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
@@ -83,3 +83,43 @@ def render_sources(retrieved: DataFrame, titles: DataFrame) -> DataFrame:
 def spot_check(results: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows picked by the hash of their qid: the same picks for the same seed."""
     return results.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").limit(n)
+
+
+def answer_results(gold: DataFrame, responses: DataFrame, resolved: DataFrame, judged: DataFrame | None = None) -> DataFrame:
+    """One row for each gold question with what `metrics.summarize_answers` reads.
+
+    gold: qid, kind, evidence. responses: qid, status, citations, dropped_citations, latency_ms, input_tokens,
+    output_tokens, estimated_cost_usd, error. resolved: qid, chunk_id. judged: qid, faithfulness, judge_cost_usd, judge_error.
+    Citation scores exist only for answered, answerable questions; a question without a response counts as a failed one.
+    """
+    ids = resolved.groupBy("qid").agg(F.collect_set("chunk_id").alias("_gold"))
+    j = gold.join(responses, "qid", "left").join(ids, "qid", "left")
+    columns = {"faithfulness": "double", "judge_cost_usd": "double", "judge_error": "string"}
+    j = j.join(judged.select("qid", *columns), "qid", "left") if judged is not None else j.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()})
+    should, refused = F.col("kind") == "unanswerable", F.coalesce(F.col("status") == "refused", F.lit(False))
+    failed = F.when(F.col("status").isNull(), F.coalesce("error", F.lit("no response"))).otherwise(F.col("error"))
+    cited, known = F.coalesce("citations", F.array().cast(responses.schema["citations"].dataType)), F.coalesce("_gold", F.array().cast("array<string>"))
+    scored = failed.isNull() & ~refused & ~should
+    pages = F.transform("evidence", lambda e: F.struct(e["paper_id"].alias("paper_id"), e["page"].alias("page")))
+    papers = F.transform("evidence", lambda e: e["paper_id"])
+
+    def share(flag) -> Column:
+        return F.try_divide(F.size(F.filter(cited, flag)), F.size(cited))
+
+    return j.select(
+        "qid", "kind", should.alias("should_refuse"), refused.alias("refused"),
+        F.when(scored, F.coalesce(share(lambda c: F.array_contains(known, c["chunk_id"])), F.lit(0.0))).alias("citation_precision"),
+        F.when(scored, share(lambda c: F.array_contains(pages, F.struct(c["paper_id"].alias("paper_id"), c["page"].alias("page"))))).alias("citation_precision_page"),
+        F.when(scored, F.exists(cited, lambda c: F.array_contains(known, c["chunk_id"]))).alias("citation_hit"),
+        F.when(scored, F.exists(cited, lambda c: ~F.array_contains(papers, c["paper_id"]))).alias("wrong_paper_citation"),
+        F.when(failed.isNull() & ~refused, F.col("faithfulness")).alias("faithfulness"), F.coalesce("judge_cost_usd", F.lit(0.0)).alias("judge_cost_usd"),
+        F.coalesce("dropped_citations", F.lit(0)).alias("dropped_citations"), F.coalesce("latency_ms", F.lit(0.0)).alias("latency_ms"),
+        F.coalesce("input_tokens", F.lit(0)).alias("input_tokens"), F.coalesce("output_tokens", F.lit(0)).alias("output_tokens"), F.coalesce("estimated_cost_usd", F.lit(0.0)).alias("cost_usd"),
+        F.coalesce(failed, F.when(F.col("judge_error").isNotNull(), F.concat(F.lit("judge failed: "), "judge_error"))).alias("error"),
+    )
+
+
+def summary_table(summary: DataFrame) -> DataFrame:
+    """The summary row as (metric, value) rows of text, in the order of its columns."""
+    cells = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(c).alias("metric"), (T.fmt(F.col(c)) if kind == "double" else F.coalesce(F.col(c).cast("string"), F.lit("–"))).alias("value")) for i, (c, kind) in enumerate(summary.dtypes)])
+    return summary.select(F.explode(cells).alias("c")).select("c.n", "c.metric", "c.value")
