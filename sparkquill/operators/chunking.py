@@ -17,14 +17,14 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
 
 
-def chunk_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """`key`, n, chunk_id (key and number, padded), text for every window of whole texts. A row's windows need no shuffle."""
+def chunk_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`key`, n, chunk_id (key and number, padded), text and the columns `keep` for every window of whole texts. A row's windows need no shuffle."""
     words = F.filter(F.split(T.normalize(F.col(text)), " "), lambda w: w != "")
     return (
-        docs.select(key, words.alias("_w"))
-        .select(key, "_w", F.posexplode(window_starts(F.size("_w"), size, overlap)).alias("n", "_start"))
+        docs.select(key, *keep, words.alias("_w"))
+        .select(key, *keep, "_w", F.posexplode(window_starts(F.size("_w"), size, overlap)).alias("n", "_start"))
         .select(
-            key, "n", F.format_string("%010d:%03d", F.col(key).cast("long"), F.col("n")).alias("chunk_id"),
+            key, *keep, "n", F.format_string("%010d:%03d", F.col(key).cast("long"), F.col("n")).alias("chunk_id"),
             F.array_join(F.slice("_w", F.col("_start") + 1, size), " ").alias("text"),
         )
     )

@@ -32,11 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, paper_id (the document), section (its source), text."""
-    docs = table(spark, sf_dir, "documents")
-    cut = chunking.chunk_texts(docs)
-    return cut.join(docs.select("doc_id", F.col("source").alias("section"), "lang"), "doc_id").select(
-        "chunk_id", F.col("doc_id").cast("string").alias("paper_id"), "section", "lang", (F.col("n") + 1).alias("page"), "text"
-    )
+    cut = chunking.chunk_texts(table(spark, sf_dir, "documents"), keep=("source", "lang"))
+    return cut.select("chunk_id", F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("section"), "lang", (F.col("n") + 1).alias("page"), "text")
 
 
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
