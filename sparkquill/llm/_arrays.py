@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, SEGMENT_BYTES + 4096)
         for name, base in (("up", int(_MULT)), ("down", pow(int(_MULT), -1, 1 << 64))):
@@ -110,7 +110,7 @@ class Words:
         while i < len(self.start):
             j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + SEGMENT_BYTES, side="right")))
             lo, hi = self.start[i], self.end[j - 1]
-            up, down = _powers(int(hi - lo))
+            up, down = powers(int(hi - lo))
             total = np.zeros(hi - lo + 1, dtype=np.uint64)
             np.cumsum(_BYTE_VALUES[mapped[lo:hi]] * up[: hi - lo], out=total[1:])
             s, e = self.start[i:j] - lo, self.end[i:j] - lo

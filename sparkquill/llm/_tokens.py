@@ -8,12 +8,12 @@ import unicodedata
 
 import numpy as np
 
-from sparkquill.llm._arrays import mix
+from sparkquill.llm._arrays import mix, powers
 
 _U = np.uint64
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Words of at most this many are remembered by one task.
-CACHE_WORDS = 500_000
+#: At most this many words are remembered at a time.
+CACHE_WORDS = 800_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,6 +47,12 @@ def _classes() -> np.ndarray:
     return out
 
 
+@functools.cache
+def _values() -> np.ndarray:
+    """A random 64-bit number for each character."""
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
+
 def lowered(text: str) -> str:
     """NFC, then lower case character by character (without the rule for a final sigma)."""
     if text.isascii():
@@ -89,14 +95,8 @@ class Pieces:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         self.start, self.end = _split(points, np.unique(cuts[cuts < len(points)]), np.array(special_at, dtype=np.int64), style)
         total = np.zeros(len(points) + 1, dtype=np.uint64)
-        size = len(points)
-        up = np.full(max(size, 1), 0x9E3779B97F4A7C15, dtype=np.uint64)
-        up[0] = 1
-        np.multiply.accumulate(up, out=up)
-        np.cumsum(mix(points.astype(np.uint64) + _U(1)) * up[:size], out=total[1:])
-        down = np.full(max(size, 1), pow(0x9E3779B97F4A7C15, -1, 1 << 64), dtype=np.uint64)
-        down[0] = 1
-        np.multiply.accumulate(down, out=down)
+        up, down = powers(len(points))
+        np.cumsum(_values()[points] * up[: len(points)], out=total[1:])
         length = (self.end - self.start).astype(np.uint64)
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + length * _U(0xD6E8FEB86659FD93)) if len(self.start) else np.zeros(0, np.uint64)
         self.count = np.diff(np.searchsorted(self.start, bounds))
@@ -182,11 +182,37 @@ def _split(points: np.ndarray, cuts: np.ndarray, specials: np.ndarray, style: st
     return begin, stop
 
 
+@functools.cache
+def _word_tokenizer(path: str):
+    """The vocabulary's tokenizer for words (one a line) that are normalised already: its merges over bytes alone; and, where the
+    vocabulary marks the ends of words, which ids end a word."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    load_tokenizer(path)
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    if tokenizer.normalizer is not None:
+        tokenizer.normalizer = None
+    by_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        tokenizer.pre_tokenizer = by_bytes
+        return tokenizer, None
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), by_bytes])
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    ends[[k for piece, k in vocabulary.items() if piece.endswith(suffix) or piece in special]] = True
+    return tokenizer, ends
+
+
 class WordIds:
     """Ids of words by hash; each word goes to the tokenizer once as long as at most `limit` are held."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
-        self.tokenizer, self.limit = load_tokenizer(path), limit
+        self.tokenizer, self.ends = _word_tokenizer(path)
+        self.limit = limit
         self.clear()
 
     def clear(self) -> None:
@@ -204,19 +230,28 @@ class WordIds:
         self._learn([keys[i] for i in missing], [word(i) for i in missing])
         return np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, one after the other, and the number of each."""
+        if self.ends is not None:  # every word ends in an id of its own kind, so one call takes many words
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(words):
+                return ids, np.diff(stop, prepend=0)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([y for x in each for y in x], dtype=np.int64), np.array([len(x) for x in each], dtype=np.int64)
+
     def _learn(self, keys: list, words: list[str]) -> None:
         for lo in range(0, len(keys), 4096):
             part = keys[lo : lo + 4096]
-            ids = [e.ids for e in self.tokenizer.encode_batch(words[lo : lo + 4096], add_special_tokens=False)]
+            ids, lengths = self._encoded(words[lo : lo + 4096])
             base = len(self.slot)
-            lengths = np.array([len(x) for x in ids], dtype=np.int64)
             while base + len(part) + 1 > len(self.offset):
                 self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
             self.offset[base + 1 : base + len(part) + 1] = self.offset[base] + np.cumsum(lengths)
             while self.offset[base + len(part)] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.offset[base] : self.offset[base + len(part)]] = [y for x in ids for y in x]
-            self.slot.update((k, base + j) for j, k in enumerate(part))
+            self.flat[self.offset[base] : self.offset[base + len(part)]] = ids
+            self.slot.update(zip(part, range(base, base + len(part))))
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words given as UTF-8, one after the other, and the number of each."""
@@ -232,6 +267,12 @@ class WordIds:
         return expand(self.flat, self.offset, slots)
 
 
+@functools.cache
+def shared_word_ids(path: str) -> WordIds:
+    """One cache for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 def expand(flat: np.ndarray, offset: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """flat[offset[s]:offset[s + 1]] for every slot s, one after the other, and the lengths."""
     length = offset[slots + 1] - offset[slots]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm._arrays import chunks
 from sparkquill.llm._stage import drop_staged, new_path, staged
-from sparkquill.llm._tokens import Pieces, WordIds, sums_by, tokenizer_path
+from sparkquill.llm._tokens import Pieces, shared_word_ids, sums_by, tokenizer_path
 
 PRECISION, LANES, CHECKPOINT, FRAME_TOKENS = 20, 32, 512, 1 << 16
 END_ID = 1
@@ -136,7 +136,7 @@ def decode_frames(payloads: list[bytes], freq: np.ndarray) -> list[np.ndarray]:
 
 def _encoder(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordIds(path)
+        cache = shared_word_ids(path)
         for batch, raw, offsets in chunks(batches, limit=1 << 20):
             pieces = Pieces(raw, offsets, "lower", SPECIALS)
             hashes, index, inverse = np.unique(pieces.hash, return_index=True, return_inverse=True)
@@ -218,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     spark.createDataFrame(pa.table({"symbol": pa.array(used, pa.int32()), "frequency": pa.array(freq[used], pa.int64())})).coalesce(1).write.parquet(f"{path}/table")
     table = spark.sparkContext.broadcast(freq)
     schema = "shard int, frame long, first_token long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
-    framed = coded.repartitionByRange("doc_id", "n", "ids").sortWithinPartitions("doc_id", "n", "ids").select("doc_id", "ids").mapInArrow(_framer(table), schema)
+    framed = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "ids").select("doc_id", "ids").mapInArrow(_framer(table), schema)
     framed.write.option("compression", "uncompressed").parquet(f"{path}/frames")
     drop_staged(coded)
 
