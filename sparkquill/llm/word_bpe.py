@@ -92,6 +92,8 @@ def _word_rows(shards: int):
 
 
 def _encode_rows(path: str):
+    """The ids of each list of words: a holds the ids, b the ids of each word, n the bytes of an id."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordIds(path)
         for batch in batches:
@@ -101,9 +103,10 @@ def _encode_rows(path: str):
                 start = np.concatenate([[0], end[:-1]])
                 parts = [text[a:b] for a, b in zip(start.tolist(), end.tolist())]
                 ids, size = cache.encode_words(parts)
+                width = 2 if ids.max(initial=0) < 65536 else 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([_pack(ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4"))], pa.binary()), pa.array([_pack(size.astype("<u2"))], pa.binary())],
-                    ["block", "kind", "seq", "a", "b"],
+                    [pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([_pack(ids.astype(f"<u{width}"))], pa.binary()), pa.array([_pack(size.astype("<u4"))], pa.binary()), pa.array([width], pa.int64())],
+                    ["block", "kind", "seq", "a", "b", "n"],
                 )
 
     return rows
@@ -171,10 +174,8 @@ def _join_rows(pieces):
                 if at != block:
                     block, ids, size, offset = at, [], [], None
                 if kind == 0:
-                    got = _unpack(b, "<u2").astype(np.int64)
-                    raw = struct.unpack_from("<Q", a)[0]
-                    ids.append(_unpack(a, "<u2" if raw == 2 * got.sum() else "<u4").astype(np.int32))
-                    size.append(got)
+                    ids.append(_unpack(a, f"<u{batch.column(6)[i].as_py()}").astype(np.int32))
+                    size.append(_unpack(b, "<u4").astype(np.int64))
                     continue
                 if offset is None:
                     offset = np.concatenate([[0], np.cumsum(np.concatenate(size))]) if size else np.zeros(1, np.int64)
@@ -214,10 +215,9 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFram
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("partition"))
     words = texts.mapInArrow(_word_rows(shards), "block long, shard int, lengths binary, words binary")
-    coded = words.repartitionById(shards, F.col("shard")).mapInArrow(_encode_rows(path), "block long, kind int, seq int, a binary, b binary")
+    coded = words.repartitionById(shards, F.col("shard")).mapInArrow(_encode_rows(path), "block long, kind int, seq int, a binary, b binary, n long")
     numbers = texts.mapInArrow(_number_rows(shards), "block long, kind int, seq int, a binary, b binary, docs array<long>, n long")
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("docs", "array<long>"), ("n", "long"))]
-    both = coded.select("*", *empty).unionByName(numbers)
+    both = coded.select("block", "kind", "seq", "a", "b", F.lit(None).cast("array<long>").alias("docs"), "n").unionByName(numbers)
     pieces = spark.sparkContext.broadcast(piece_table(path))  # the vocabulary bounds its size
     return both.repartition("block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_join_rows(pieces), "doc_id long, ids array<int>, decoded string")
 

@@ -101,3 +101,16 @@ def test_word_bpe(spark, tmp_path):
         r = got[doc_id]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
     assert word_bpe.encode_and_decode(docs.limit(0)).count() == 0
+
+
+def test_word_of_more_ids_than_16_bits_count(spark, tmp_path):
+    rng = random.Random(4)
+    long = "".join(rng.choice("0123456789") for _ in range(300_000))
+    texts = ["plain words before", long, "plain words after 12 it", long[:500] + " tail", *TEXTS]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: r for r in word_bpe.encode_and_decode(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    tokenizer = load_tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(want[1]) > 65_535
+    for i, ids in enumerate(want):
+        assert got[i].ids == ids and got[i].decoded == tokenizer.decode(ids, skip_special_tokens=False)
