@@ -44,7 +44,7 @@ PATTERNS = [
 ]
 PATTERN = "|".join(p for _, p in PATTERNS)
 #: A text without any of these characters or titles has no entity.
-HINT = rf"[0-9@]|AKIA|ASIA|[a-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}|[Pp]ass|PASS|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi"
+HINT = rf"[0-9@]|AKIA|ASIA|[a-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}|[Pp]ass|PASS|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi|API_KEY"
 
 _SYLLABLES = {
     "latin": ["ba", "ber", "ca", "da", "del", "e", "fa", "gar", "ha", "in", "jo", "ka", "lan", "le", "ma", "mir", "na", "nor", "o", "pe", "ra", "ros", "sa", "sel", "ta", "tor", "u", "va", "vin", "wa", "xan", "zo"],

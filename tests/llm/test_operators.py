@@ -286,3 +286,16 @@ def test_surrogates_stay_distinct(spark):
         surrogates._surrogate = real
     assert len({r.surrogate for r in table}) == len(table) == 39 * 39
     assert not {r.entity for r in table} & {r.surrogate for r in table}
+
+
+def test_every_entity_passes_the_hint(spark):
+    """One entity for each writing the patterns know, with no digit, sign or word beside it that would let the text through."""
+    secrets = ["token", "Token", "TOKEN", "password", "Password", "PASSWORD", "passwd", "Passwd", "secret", "Secret", "SECRET", "apikey", "Apikey", "apiKey", "ApiKey", "api_key", "Api-Key", "api-key", "API_KEY"]
+    found = [("secret", f"{name}{sign}abcdefghXYZ") for name in secrets for sign in ("=", ": ", ' = "')]
+    found += [("name", f"{t}{dot} Ödön Smith") for t in surrogates.TITLES_MALE + surrogates.TITLES_FEMALE + surrogates.TITLES_ANY for dot in ("", ".")]
+    found += [("email", "a@b.de"), ("key", "AKIA" + "B" * 16), ("key", "ASIA" + "C" * 16), ("hex", "abcdef" * 6), ("hex", "0" * 32), ("ip", "12.197.240.125"), ("card", "4418 4525 2484 2581"), ("ssn", "123-45-6789"), ("phone", "784-555-8120"), ("phone", "+49 30 1234 5678")]
+    assert {k for k, _ in found} == {k for k, _ in surrogates.PATTERNS}
+    docs = spark.createDataFrame([(i, k, e, f"so {e} then") for i, (k, e) in enumerate(found)], "doc_id long, kind string, entity string, text string")
+    assert [r.entity for r in docs.filter((surrogates.kind(F.col("entity")) != F.col("kind")) | ~F.col("entity").rlike(surrogates.HINT)).collect()] == []
+    kept = surrogates.pseudonymize(docs).filter(F.col("_n_entities") != 1).unionByName(surrogates.pseudonymize(docs).filter(F.contains("text", "entity")))
+    assert [r.entity for r in kept.collect()] == []
