@@ -1,7 +1,7 @@
 """Corpus cleaning pipeline: each stage works on what the stage before it kept, written down in between.
 
 1. quality: documents that the classifier rejects go.
-2. near_dedup: of each group of linked documents the one with the smallest doc_id stays.
+2. near_dedup: of each group of documents linked by a similarity of 0.8 or more the one with the smallest doc_id stays.
 3. decontaminate: documents with an occurrence of a benchmark window go.
 4. pii: entities get surrogates; n_chars follows the new text.
 5. bpe: texts are encoded and decoded; the result has the digests.
@@ -22,6 +22,9 @@ from sparkquill.llm.setsketch import near_duplicates
 from sparkquill.llm.surrogates import pseudonymize
 from sparkquill.llm.word_bpe import digest, encode_and_decode
 
+#: The least similarity of near copies, on runs of five words.
+NEAR = 0.8
+
 
 def _boxed(docs: DataFrame) -> DataFrame:
     """doc_id, text, and all other columns as one value, so that none of them meets a name that an operator uses."""
@@ -38,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = staged(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "gone")
+    gone = staged(near_duplicates(docs, NEAR).filter("NOT kept").select("doc_id").distinct(), "gone")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -31,7 +31,7 @@ def op1_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents"), 0.85)
 
 
 def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

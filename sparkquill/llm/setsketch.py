@@ -13,14 +13,15 @@ pairs that could reach the threshold are confirmed on the full sets. In a leader
 not yet in its largest component are compared with all of its other parts as well. No list of pairs is ever made: a
 part returns a spanning forest of its links.
 
-A pair at similarity 0.85 misses all bands with a probability of 4e-7 (20 bands of 4). Null or empty texts have no set
-and link with nothing; rows with one doc_id are one node; a null doc_id can't be named and is kept, linked with nothing.
+A pair at similarity 0.85 misses all bands with a probability of 4e-7, one at 0.8 with 3e-5 (20 bands of 4). Null or
+empty texts have no set and link with nothing; rows with one doc_id are one node; a null doc_id can't be named and is kept, linked with nothing.
 Word and run hashes have 64 bits. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ BANDS, ROWS = 20, 4
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
 PART = 256
-#: The least similarity of a link.
+#: The least similarity of a link, unless the caller gives another.
 TAU = 0.85
 #: Estimates this many standard errors below the threshold are not confirmed.
 SLACK = 6.0
@@ -171,28 +172,35 @@ def _decode(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _candidates(tau: float) -> Rows:
     """leader, part, node, big, n, registers, set_key -> leader, part, big, node, set_key of the classes that may have a link in their part."""
-    for table in groups(batches, 2):
-        node = table.column("node").to_numpy()
-        keep = np.ones(len(node), dtype=bool)
-        if not table.column("big")[0].as_py():
-            _, once = np.unique(node, return_index=True)
-            table = table.take(once)
-            node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
-            regs = np.stack(_decode(table.column("registers"), np.uint16)) if len(node) else np.zeros((0, REGISTERS), np.uint16)
-            keep = np.zeros(len(node), dtype=bool)
-            threshold = TAU - SLACK * np.sqrt(TAU * (1 - TAU) / REGISTERS)
-            for i in range(len(node) - 1):
-                j = np.arange(i + 1, len(node))
-                less, more = (regs[i] < regs[j]).sum(axis=1), (regs[i] > regs[j]).sum(axis=1)
-                j, less, more = (x[REGISTERS - less - more >= 0.4 * REGISTERS] for x in (j, less, more))  # fewer equal registers can't come to the threshold
-                if len(j):
-                    hit = estimate(less, more, np.full(len(j), n[i]), n[j]) >= threshold
-                    keep[j[hit]] = True
-                    keep[i] |= hit.any()
-        if keep.any():
-            yield table.select(["leader", "part", "big", "node", "set_key"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+    least = tau - SLACK * np.sqrt(tau * (1 - tau) / REGISTERS)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 2):
+            node = table.column("node").to_numpy()
+            keep = np.ones(len(node), dtype=bool)
+            if not table.column("big")[0].as_py():
+                _, once = np.unique(node, return_index=True)
+                table = table.take(once)
+                node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
+                regs = np.stack(_decode(table.column("registers"), np.uint16)) if len(node) else np.zeros((0, REGISTERS), np.uint16)
+                keep = np.zeros(len(node), dtype=bool)
+                for i in range(len(node) - 1):
+                    j = np.arange(i + 1, len(node))
+                    less, more = (regs[i] < regs[j]).sum(axis=1), (regs[i] > regs[j]).sum(axis=1)
+                    j, less, more = (x[REGISTERS - less - more >= min(0.4, least) * REGISTERS] for x in (j, less, more))  # fewer equal registers can't come to the threshold
+                    if len(j):
+                        hit = estimate(less, more, np.full(len(j), n[i]), n[j]) >= least
+                        keep[j[hit]] = True
+                        keep[i] |= hit.any()
+            if keep.any():
+                yield table.select(["leader", "part", "big", "node", "set_key"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+
+    return rows
 
 
 def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
@@ -219,10 +227,11 @@ def _overlaps(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
     return np.rint(out).astype(np.int64)
 
 
-def _linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
+def _linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], tau: float) -> np.ndarray:
+    bound = Fraction(str(tau))  # compared in whole numbers
     inter = _overlaps(sets_a, sets_b)
     union = np.array([len(s) for s in sets_a])[:, None] + np.array([len(s) for s in sets_b])[None, :] - inter
-    return 100 * inter >= 85 * union
+    return bound.denominator * inter >= bound.numerator * union
 
 
 def _forest(node_a: np.ndarray, node_b: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
@@ -246,32 +255,40 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(tau: float) -> Rows:
     """leader, part, big, node, items -> links inside each part (a, b); the sets of parts of big leaders come along (node, items)."""
-    names = ["a", "b", "node", "items"]
-    for table in groups(batches, 2):
-        node = table.column("node").to_numpy()
-        node, once = np.unique(node, return_index=True)
-        items = table.column("items").take(pa.array(once)).combine_chunks()
-        if len(node) > 1:
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in items.to_pylist()]
-            if edges := _forest(node, node, np.triu(_linked(sets, sets), 1)):
-                none = len(edges)
-                yield pa.RecordBatch.from_arrays([*_edge_batch(edges).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
-        if table.column("big")[0].as_py():
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(node), items], names)
-
-
-def _confirm_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "node", "items"]
+        for table in groups(batches, 2):
+            node = table.column("node").to_numpy()
+            node, once = np.unique(node, return_index=True)
+            items = table.column("items").take(pa.array(once)).combine_chunks()
+            if len(node) > 1:
+                sets = [np.frombuffer(x, dtype=np.uint64) for x in items.to_pylist()]
+                if edges := _forest(node, node, np.triu(_linked(sets, sets, tau), 1)):
+                    none = len(edges)
+                    yield pa.RecordBatch.from_arrays([*_edge_batch(edges).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
+            if table.column("big")[0].as_py():
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(node), items], names)
+
+    return rows
+
+
+def _confirm_across(tau: float) -> Rows:
     """leader, part, chunk, loose, node, items -> links between the loose classes of a chunk and the classes of a part."""
-    for table in groups(batches, 3):
-        node, loose = table.column("node").to_numpy(), table.column("loose").to_numpy(zero_copy_only=False).astype(bool)
-        if loose.any() and not loose.all():
-            sets = _decode(table.column("items"), np.uint64)
-            a, b = np.flatnonzero(loose), np.flatnonzero(~loose)
-            linked = _linked([sets[i] for i in a], [sets[i] for i in b]) & (node[a][:, None] != node[b][None, :])
-            if edges := _forest(node[a], node[b], linked):
-                yield _edge_batch(edges)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, 3):
+            node, loose = table.column("node").to_numpy(), table.column("loose").to_numpy(zero_copy_only=False).astype(bool)
+            if loose.any() and not loose.all():
+                sets = _decode(table.column("items"), np.uint64)
+                a, b = np.flatnonzero(loose), np.flatnonzero(~loose)
+                linked = _linked([sets[i] for i in a], [sets[i] for i in b], tau) & (node[a][:, None] != node[b][None, :])
+                if edges := _forest(node[a], node[b], linked):
+                    yield _edge_batch(edges)
+
+    return rows
 
 
 def _with_sets(docs: DataFrame, seats: DataFrame, columns: list[str]) -> DataFrame:
@@ -295,8 +312,8 @@ def _dealt(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(function, schema)
 
 
-def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that span the components of the classes (node, n, set_key, registers)."""
+def near_links(docs: DataFrame, classes: DataFrame, tau: float = TAU) -> DataFrame:
+    """Links (a, b) of similarity `tau` or more that span the components of the classes (node, n, set_key, registers)."""
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr("registers", k * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     seats = classes.select("node", band.alias("bucket"))
     full = seats.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
@@ -311,9 +328,9 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     )
     seated = seated.select("leader", F.col("part").cast("long").alias("part"), "node", "big")
     known = seated.join(classes.select("node", "n", "registers", "set_key"), "node").select("leader", "part", "node", "big", "n", "registers", "set_key")
-    likely = staged(_dealt(known, ["leader", "part"], _candidates, "leader long, part long, big boolean, node long, set_key binary"), "likely")
+    likely = staged(_dealt(known, ["leader", "part"], _candidates(tau), "leader long, part long, big boolean, node long, set_key binary"), "likely")
     sets = _with_sets(docs, likely, ["leader", "part", "big"])
-    confirmed = staged(_dealt(sets, ["leader", "part"], _confirm, "a long, b long, node long, items binary"), "links")
+    confirmed = staged(_dealt(sets, ["leader", "part"], _confirm(tau), "a long, b long, node long, items binary"), "links")
     inside = confirmed.filter("a IS NOT NULL").select("a", "b")
     drop_staged(seats)
 
@@ -332,12 +349,12 @@ def near_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     loose_side = spread.filter("loose").dropDuplicates(["leader", "node"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_chunks"))).withColumn("part", F.explode(F.expr("sequence(0L, n_parts - 1L)")))
     blocks = staged(part_side.unionByName(loose_side).select("leader", "part", "chunk", "loose", "node").distinct(), "blocks")
     kept = confirmed.filter("node IS NOT NULL").select("node", "items").dropDuplicates(["node"])
-    across = _dealt(blocks.join(kept, "node").select("leader", "part", "chunk", "loose", "node", "items"), ["leader", "part", "chunk"], _confirm_across, "a long, b long")
+    across = _dealt(blocks.join(kept, "node").select("leader", "part", "chunk", "loose", "node", "items"), ["leader", "part", "chunk"], _confirm_across(tau), "a long, b long")
     return inside.union(across)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def near_duplicates(docs: DataFrame, tau: float = TAU) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; sets of similarity `tau` or more are linked."""
     signed = staged(sketches(docs), "sketches")
     classes = staged(
         signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
@@ -345,7 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "classes",
     )
-    names = components(near_links(docs, classes))
+    names = components(near_links(docs, classes, tau))
     named = staged(classes.select("set_key", "node", "n_rows").join(names, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "n_rows"), "named")
     found = salted_lookup(signed.select("doc_id", "n_shingles", "set_key"), named, "set_key", "doc_id", "n_rows")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
