@@ -14,9 +14,11 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; without one, as in local tests, a new temporary folder."""
+    """The folder named in spark.checkpoint.dir. Without one a local[...] session gets a new temporary folder; a cluster, whose executors have disks of their own, gets an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,36 +33,41 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Deletes the files of a staged table that no later plan reads."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    seen = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for folder in seen:
-        if uuid_part(folder) and folder.split(":", 1)[-1].lstrip("/").startswith(base.split(":", 1)[-1].lstrip("/")):
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_path(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Deletes the files of tables that `staged` returned and no later plan reads."""
+    for df in tables:
+        drop_path(df.sparkSession, df._staged_path)
 
 
-def uuid_part(folder: str) -> bool:
-    tail = folder.rsplit("-", 1)[-1]
-    return len(tail) == 32 and all(c in "0123456789abcdef" for c in tail)
+def pin_splits(spark: SparkSession) -> None:
+    """Fixes the number of cores that Spark plans file splits for at today's (unless it is fixed already), so that two scans of
+    one input have the same splits although executors come or go in between."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(int(spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) or spark.sparkContext.defaultParallelism)))
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str) -> DataFrame:
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str, nulls: bool = False) -> DataFrame:
     """Left join of `rows` with `table` (unique in `key`, with the number of rows of that key in `count`).
 
     Keys with HOT_ROWS rows or more are copied to SALTS salts, so that their rows meet them in as many tasks;
-    `spread` is a column of `rows` whose hash picks the salt. The other keys join plainly.
+    `spread` is a column of `rows` whose hash picks the salt. The other keys join plainly. With `nulls`, rows without a
+    key, which may be many, take no part in the joins.
     """
     hot = table.filter(F.col(count) >= HOT_ROWS).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_hot", F.lit(True))
     cold = table.filter(F.col(count) < HOT_ROWS)
     extra = [c for c in table.columns if c != key]
-    met = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")).join(hot, [key, "_salt"], "left")
+    known = rows.filter(F.col(key).isNotNull()) if nulls else rows
+    met = known.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int")).join(hot, [key, "_salt"], "left")
     done = met.filter(F.col("_hot")).drop("_salt", "_hot")
-    rest = met.filter(F.col("_hot").isNull()).drop("_salt", "_hot", *extra).join(cold, key, "left")
-    return done.unionByName(rest)
+    out = done.unionByName(met.filter(F.col("_hot").isNull()).drop("_salt", "_hot", *extra).join(cold, key, "left"))
+    return out.unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True) if nulls else out

@@ -7,9 +7,12 @@ Reading: files are split anywhere. Every occurrence of the magic line is a candi
 its successor, which follows from Content-Length. A magic line inside a payload is a candidate too, but nothing leads to
 it: only candidates that are reached from the file's start are records. Candidates whose successor is the very next one in
 their block form a run; pointer jumping (each round doubles the pointers) over the runs' entries finds the reachable
-ones. Payloads that hold a magic line are put together from their segments in a second pass, if there are any.
+ones. Records whose payload holds a magic line are torn into several segments. A second scan, made only if there are any,
+fetches the contents of those segments by their digest, so it may split the files otherwise than the first; an error
+is raised when a record can't be put together again, or when a payload differs from the digest that its record claims.
 
-Null payloads are empty, null urls too; line breaks in urls are percent-encoded. Rows that repeat with one page_id and payload are
+A revisit has the payload of a response with the page_id that it refers to and the digest that it claims; where the archives
+hold none, payload_bytes and payload_digest are null. Null payloads are empty, null urls too; line breaks in urls are percent-encoded. Rows that repeat with one page_id and payload are
 all responses. A null page_id counts as the smallest. A file that doesn't begin with a record has none. Empty tables give
 no records. Payload hashes are over the whole payload. Other columns of the input are not used.
 """
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkquill.llm._stage import new_path, salted_lookup, staged
+from sparkquill.llm._stage import drop_path, drop_staged, new_path, salted_lookup, staged
 
 MAGIC = "WARC/1.1\r\n"
 REVISIT_BYTES = 1000
@@ -32,7 +35,10 @@ def revisits(pages: DataFrame) -> DataFrame:
     keys = staged(pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")).filter(F.col("size") >= REVISIT_BYTES), "digests")
     shared = keys.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     met = salted_lookup(keys.select("digest", "page_id"), shared, "digest", "page_id", "n")
-    return met.filter(F.col("refers_to").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to")))).select("page_id", "digest", "refers_to").distinct()
+    again = met.filter(F.col("refers_to").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to")))).select("page_id", "digest", "refers_to").distinct()
+    out = staged(again, "revisits")
+    drop_staged(keys)
+    return out
 
 
 def _urn(page_id: Column) -> Column:
@@ -41,7 +47,8 @@ def _urn(page_id: Column) -> Column:
 
 def write_warc(pages: DataFrame, path: str) -> None:
     """Writes pages (page_id, url, html) to a folder of uncompressed WARC files."""
-    again = staged(revisits(pages).withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest"), "revisits")
+    held = revisits(pages)
+    again = held.withColumnRenamed("page_id", "_page").withColumnRenamed("digest", "_digest")
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
@@ -59,6 +66,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
         F.lit("\r\n\r\n"), http, body,
     )
     rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    drop_staged(held)
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
@@ -91,15 +99,23 @@ def _parsed(df: DataFrame, value: str = "value") -> DataFrame:
     ).withColumn("page_id", F.expr(number.format("record_id"))).withColumn("refers_to", F.expr(number.format("refers_id"))).drop("record_id", "refers_id")
 
 
+def _name(value: str) -> Column:
+    """A 128-bit name of a segment's content."""
+    return F.unhex(F.md5(F.col(value).cast("binary")))
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every magic line with its file offset, the offset of its successor, and the parsed record."""
-    found = staged(_parsed(_segments(spark, path).withColumn("size", F.octet_length("value").cast("long"))), "candidates")
+    """Every magic line with its file offset, the offset of its successor, the parsed record and the name of its segment's content."""
+    found = staged(_parsed(_segments(spark, path).withColumn("size", F.octet_length("value").cast("long")).withColumn("content", _name("value"))), "candidates")
     here = Window.partitionBy("file", "block").orderBy("at")
-    found = found.withColumn("inside", F.sum(F.col("size") + len(MAGIC)).over(here) - F.col("size") - len(MAGIC))
+    inside = found.withColumn("inside", F.sum(F.col("size") + len(MAGIC)).over(here) - F.col("size") - len(MAGIC)).drop("at")
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
     base = blocks.withColumn("base", F.coalesce(F.sum("bytes").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("bytes")
-    found = found.join(base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("inside") - len(MAGIC))
-    return found.filter("offset >= 0").withColumn("next", F.col("offset") + len(MAGIC) + F.col("head_bytes") + F.col("length") + 4).drop("base", "inside")
+    placed = inside.join(base, ["file", "block"]).withColumn("offset", F.col("base") + F.col("inside") - len(MAGIC))
+    placed = placed.filter("offset >= 0").withColumn("next", F.col("offset") + len(MAGIC) + F.col("head_bytes") + F.col("length") + 4).drop("base", "inside")
+    out = staged(placed, "offsets")
+    drop_staged(found)
+    return out
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -111,44 +127,80 @@ def reachable(found: DataFrame) -> DataFrame:
     ends = runs.filter(~F.col("_step")).select("file", "block", "_run", "next")
     entries = ends.select("file", F.col("next").alias("offset")).union(runs.select("file", F.lit(0).cast("long")).distinct()).distinct()
     # pointers from the entry of a run to the entry that its last record leads to
-    jump = staged(runs.join(entries, ["file", "offset"]).select("file", "block", "_run", "offset").join(ends, ["file", "block", "_run"]).select("file", "offset", "next"), "jumps")
-    jump = jump.join(jump.select("file", F.col("offset").alias("next")).distinct(), ["file", "next"], "left_semi").select("file", "offset", "next")
+    all_jumps = staged(runs.join(entries, ["file", "offset"]).select("file", "block", "_run", "offset").join(ends, ["file", "block", "_run"]).select("file", "offset", "next"), "jumps")
+    held = all_jumps.join(all_jumps.select("file", F.col("offset").alias("next")).distinct(), ["file", "next"], "left_semi").select("file", "offset", "next")
     reached = staged(runs.filter("offset = 0").select("file", "offset"), "reached")
-    jump = staged(jump, "jumps")
+    jump = staged(held, "jumps")
+    drop_staged(all_jumps)
     while not jump.isEmpty():
         more = reached.join(jump, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        reached = staged(reached.union(more).distinct(), "reached")
+        old, reached = reached, staged(reached.union(more).distinct(), "reached")
         left = jump.select("file", F.col("offset").alias("from"), F.col("next").alias("offset"))
-        jump = staged(left.join(jump, ["file", "offset"]).select("file", F.col("from").alias("offset"), "next"), "jumps")
+        short, jump = jump, staged(left.join(jump, ["file", "offset"]).select("file", F.col("from").alias("offset"), "next"), "jumps")
+        drop_staged(old, short)
     first = runs.join(reached, ["file", "offset"]).groupBy("file", "block", "_run").agg(F.min("offset").alias("_from"))
-    return runs.join(first, ["file", "block", "_run"]).filter("offset >= _from").drop("_step", "_run", "_from")
+    out = staged(runs.join(first, ["file", "block", "_run"]).filter("offset >= _from").drop("_step", "_run", "_from"), "records")
+    drop_staged(runs, reached, jump)
+    return out
+
+
+def _owned(found: DataFrame, torn: DataFrame) -> DataFrame:
+    """The segments of torn records: file, first (the record's offset), offset, content. Each candidate belongs to the last torn
+    record that begins at or before it, in its own block or, by a window over blocks, in an earlier one; records don't overlap."""
+    here = Window.partitionBy("file", "block").orderBy("offset")
+    marked = found.select("file", "block", "offset", "content").join(torn.select("file", "offset", F.col("next").alias("_end")), ["file", "offset"], "left")
+    marked = marked.withColumn("_own", F.last(F.when(F.col("_end").isNotNull(), F.struct("offset", "_end")), ignorenulls=True).over(here))
+    last = marked.filter("_end IS NOT NULL").groupBy("file", "block").agg(F.max(F.struct("offset", "_end")).alias("_last"))
+    blocks = marked.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    before = blocks.withColumn("_before", F.last("_last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
+    owner = marked.join(before, ["file", "block"]).withColumn("_own", F.coalesce("_own", "_before"))
+    return owner.filter("offset < _own._end").select("file", F.col("_own.offset").alias("first"), "offset", "content")
+
+
+def _assembled(spark: SparkSession, path: str, found: DataFrame, torn: DataFrame) -> DataFrame:
+    """The torn records, parsed again from all their segments, whose contents a second scan of the files fetches by name."""
+    pieces = staged(_owned(found, torn), "pieces")
+    wanted = pieces.groupBy("content").agg(F.count("*").alias("n"))
+    texts = _segments(spark, path).select(_name("value").alias("content"), "value").join(wanted.select("content"), "content", "left_semi")
+    texts = staged(texts.groupBy("content").agg(F.first("value").alias("value")).join(wanted, "content"), "contents")
+    met = salted_lookup(pieces, texts, "content", "offset", "n")
+    joined = met.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))  # one record's segments
+    out = staged(_parsed(joined.select(F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))), "assembled")
+    drop_staged(pieces, texts)
+    n, whole = torn.count(), out.filter("payload_digest IS NOT NULL").count()
+    if n != whole:
+        raise RuntimeError(f"{n - whole} of {n} records that hold a magic line couldn't be put together: did the archives change while they were read?")
+    return out
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record; a revisit has the payload of the record it refers to."""
-    found = staged(candidates(spark, path), "offsets")
-    records = staged(reachable(found), "records")
+    found = candidates(spark, path)
+    records = reachable(found)
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "claimed"]
     complete = records.filter("payload_digest IS NOT NULL").select(*columns)
-    torn = records.filter("payload_digest IS NULL AND length IS NOT NULL").select("file", F.col("offset").alias("first"), "next")
-    if not torn.isEmpty():
-        pieces = found.select("file", "offset", "at").join(torn, "file").filter("offset >= first AND offset < next").select("file", "first", "offset", "at")
-        texts = _segments(spark, path).select("at", "value").join(pieces, "at")
-        joined = texts.groupBy("file", "first").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))  # one record's segments
-        joined = joined.select(F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC).alias("value"))
-        complete = complete.unionByName(_parsed(joined).select(*columns))
-    complete = staged(complete, "payloads")
-    again = complete.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
+    torn = records.filter("payload_digest IS NULL AND length IS NOT NULL").select("file", "offset", "next")
+    parts = [] if torn.isEmpty() else [_assembled(spark, path, found, torn)]
+    for part in parts:
+        complete = complete.unionByName(part.select(*columns))
+    wrong = (F.col("record_type") != "revisit") & F.col("claimed").rlike("^[0-9a-f]{40}$") & (F.col("claimed") != F.col("payload_digest"))
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("the payload of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" differs from its digest"))).cast("string")).otherwise(F.col("payload_digest"))
+    complete = staged(complete.withColumn("claimed", F.regexp_replace("claimed", "^sha1:", "")).withColumn("payload_digest", checked), "payloads")
+    drop_staged(found, records, *parts)
+    again = complete.filter("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.struct("refers_to", "claimed").alias("held"))
     plain = complete.filter("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
-    counted = again.groupBy("refers_to").agg(F.count("*").alias("n"))
-    held = plain.groupBy(F.col("page_id").alias("refers_to")).agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("held")).join(counted, "refers_to")
-    resolved = salted_lookup(again, held.select("refers_to", "held.payload_bytes", "held.payload_digest", "n"), "refers_to", "page_id", "n").drop("n")
+    counted = again.groupBy("held").agg(F.count("*").alias("n"))
+    held = plain.select(F.struct(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("claimed")).alias("held"), "payload_bytes", "payload_digest").distinct().join(counted, "held")
+    resolved = salted_lookup(again, held, "held", "page_id", "n")
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return plain.select(*out).unionByName(resolved.select(*out))
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:
+    """Writes the pages as archives, reads them back and deletes the archives; the result rests on the table of payload digests alone."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path)
-    return read_warc(spark, path)
+    out = read_warc(spark, path)
+    drop_path(spark, path)
+    return out

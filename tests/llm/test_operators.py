@@ -153,6 +153,46 @@ def test_warc_round_trip(spark):
     assert got == sorted(map(str, want))
 
 
+def test_revisit_gets_the_payload_it_claims(spark):
+    """Two responses share a page_id; the revisit refers to the one with its own digest."""
+    x, y = "x" * 1500, "y" * 2000
+    pages = spark.createDataFrame([(5, "a", x), (5, "a", y), (3, "b", x)], "page_id long, url string, html string")
+    got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.warc_round_trip(pages).collect()}
+    sha = {t: hashlib.sha1(t.encode()).hexdigest() for t in (x, y)}
+    assert got == {(5, 1500, sha[x], "response", None), (5, 2000, sha[y], "response", None), (3, 1500, sha[x], "revisit", 5)}
+
+
+def test_torn_records_survive_other_splits_of_the_second_scan(spark, monkeypatch):
+    rows = [(i, "u", f"head {i} " + (warc.MAGIC + "WARC-Type: response\r\nContent-Length: 2\r\n\r\nab\r\n\r\n") * (1 + i % 3) + "tail" * 50) for i in range(64)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(3)
+    keep = {k: spark.conf.get(k, None) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum")}
+    real = warc.reachable
+
+    def then_other_splits(found):
+        out = real(found)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        spark.conf.set("spark.sql.files.minPartitionNum", "32")
+        return out
+
+    monkeypatch.setattr(warc, "reachable", then_other_splits)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        got = {(r.page_id, r.payload_bytes, r.payload_digest) for r in warc.warc_round_trip(pages).collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {(i, len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+
+
+def test_a_changed_payload_is_an_error(spark, tmp_path):
+    warc.write_warc(spark.createDataFrame([(1, "u", "first payload")], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    for part in (tmp_path / "w").glob("part-*"):
+        part.write_bytes(part.read_bytes().replace(b"first payload", b"other payload"))
+    (part.parent / f".{part.name}.crc").unlink()
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_warc(spark, str(tmp_path / "w")).collect()
+
+
 # ---- sharding, host rules ----
 
 
