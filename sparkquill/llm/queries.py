@@ -87,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_boundary_chain": oracles.OP1,
+    "op2_setsketch_near_dedup": oracles.OP2,
     "op6_hilbert_sharding": oracles.OP6,
     "op7_fm_index_decontamination": oracles.OP7,
     "op9_host_rules": oracles.OP9,

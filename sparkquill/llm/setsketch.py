@@ -13,8 +13,11 @@ pairs that could reach the threshold are confirmed on the full sets. In a leader
 not yet in its largest component are compared with all of its other parts as well. No list of pairs is ever made: a
 part returns a spanning forest of its links.
 
+A class is a node of the sketch graph under a number of its own; links join the smallest doc_ids of two classes, and a doc_id
+whose rows have different texts joins all of its classes. Keys that can be hot (buckets, leaders, set keys, doc_ids) are salted.
+
 A pair at similarity 0.85 misses all bands with a probability of 4e-7, one at 0.8 with 3e-5 (20 bands of 4). Null or
-empty texts have no set and link with nothing; rows with one doc_id are one node; a null doc_id can't be named and is kept, linked with nothing.
+empty texts have no set and link with nothing; a null doc_id can't be named and is kept, linked with nothing.
 Word and run hashes have 64 bits. An empty table gives no rows.
 """
 
@@ -131,7 +134,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the rows whose text has the wanted set_key; doc_id, text, set_key, seats -> node, items, seats."""
+    """The sets of the rows whose text has the wanted set_key; node, text, set_key, seats -> node, items, seats."""
     for batch, h, doc in _sets(batches):
         bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         wanted = batch.column(2).to_pylist()
@@ -176,7 +179,7 @@ Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def _candidates(tau: float) -> Rows:
-    """leader, part, node, big, n, registers, set_key -> leader, part, big, node, set_key of the classes that may have a link in their part."""
+    """leader, part, node, big, doc, n, registers, set_key -> leader, part, big, node, doc, set_key of the classes that may have a link in their part."""
     least = tau - SLACK * np.sqrt(tau * (1 - tau) / REGISTERS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +201,7 @@ def _candidates(tau: float) -> Rows:
                         keep[j[hit]] = True
                         keep[i] |= hit.any()
             if keep.any():
-                yield table.select(["leader", "part", "big", "node", "set_key"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
+                yield table.select(["leader", "part", "big", "node", "doc", "set_key"]).filter(pa.array(keep)).combine_chunks().to_batches()[0]
 
     return rows
 
@@ -234,8 +237,8 @@ def _linked(sets_a: list[np.ndarray], sets_b: list[np.ndarray], tau: float) -> n
     return bound.denominator * inter >= bound.numerator * union
 
 
-def _forest(node_a: np.ndarray, node_b: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges from each node to the smallest of its component, for the links between two lists of nodes."""
+def _forest(row_a: np.ndarray, row_b: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from each row to the first of its component, for the links between two lists of rows."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -245,30 +248,30 @@ def _forest(node_a: np.ndarray, node_b: np.ndarray, linked: np.ndarray) -> list[
         return x
 
     for i, j in zip(*np.nonzero(linked)):
-        a, b = find(int(node_a[i])), find(int(node_b[j]))
+        a, b = find(int(row_a[i])), find(int(row_b[j]))
         if a != b:
             root[max(a, b)] = min(a, b)
     return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
-def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+def _edge_columns(edges: list[tuple[int, int]], doc: np.ndarray) -> list[pa.Array]:
+    return [pa.array(doc[[e[k] for e in edges]], pa.int64()) for k in (0, 1)]
 
 
 def _confirm(tau: float) -> Rows:
-    """leader, part, big, node, items -> links inside each part (a, b); the sets of parts of big leaders come along (node, items)."""
+    """leader, part, big, doc, node, items -> links inside each part (a, b: doc_ids); the sets of parts of big leaders come along (node, items)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "node", "items"]
         for table in groups(batches, 2):
-            node = table.column("node").to_numpy()
-            node, once = np.unique(node, return_index=True)
+            node, once = np.unique(table.column("node").to_numpy(), return_index=True)
             items = table.column("items").take(pa.array(once)).combine_chunks()
             if len(node) > 1:
                 sets = [np.frombuffer(x, dtype=np.uint64) for x in items.to_pylist()]
-                if edges := _forest(node, node, np.triu(_linked(sets, sets, tau), 1)):
+                row = np.arange(len(node))
+                if edges := _forest(row, row, np.triu(_linked(sets, sets, tau), 1)):
                     none = len(edges)
-                    yield pa.RecordBatch.from_arrays([*_edge_batch(edges).columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([*_edge_columns(edges, table.column("doc").to_numpy()[once]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names)
             if table.column("big")[0].as_py():
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(node), items], names)
 
@@ -276,7 +279,7 @@ def _confirm(tau: float) -> Rows:
 
 
 def _confirm_across(tau: float) -> Rows:
-    """leader, part, chunk, loose, node, items -> links between the loose classes of a chunk and the classes of a part."""
+    """leader, part, chunk, loose, doc, node, items -> links (doc_ids) between the loose classes of a chunk and the classes of a part."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 3):
@@ -285,23 +288,23 @@ def _confirm_across(tau: float) -> Rows:
                 sets = _decode(table.column("items"), np.uint64)
                 a, b = np.flatnonzero(loose), np.flatnonzero(~loose)
                 linked = _linked([sets[i] for i in a], [sets[i] for i in b], tau) & (node[a][:, None] != node[b][None, :])
-                if edges := _forest(node[a], node[b], linked):
-                    yield _edge_batch(edges)
+                if edges := _forest(a, b, linked):
+                    yield pa.RecordBatch.from_arrays(_edge_columns(edges, table.column("doc").to_numpy()), ["a", "b"])
 
     return rows
 
 
 def _with_sets(docs: DataFrame, seats: DataFrame, columns: list[str]) -> DataFrame:
-    """`seats` (node, set_key and `columns`) with each node's set: a text is read and shuffled once however many seats it has.
+    """`seats` (node, doc, set_key and `columns`) with each node's set: a text is read and shuffled once however many seats it has.
 
     The join is a sort-merge join at every size, so that the plan for large inputs is the one that small inputs test.
     """
-    held = seats.groupBy("node", "set_key").agg(F.collect_set(F.struct(*columns)).alias("seats"))
+    held = seats.groupBy("node", "doc", "set_key").agg(F.collect_set(F.struct(*columns)).alias("seats"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = held.schema["seats"].dataType.simpleString()
     return (
-        texts.join(held.hint("merge"), texts.doc_id == held.node)
-        .select("doc_id", "text", "set_key", "seats")
+        texts.join(held.hint("merge"), texts.doc_id == held.doc)
+        .select("node", "text", "set_key", "seats")
         .mapInArrow(_set_rows, f"node long, items binary, seats {kind}")
         .select("node", "items", F.explode("seats").alias("seat"))
         .select(*[f"seat.{c}" for c in columns], "node", "items")
@@ -312,58 +315,72 @@ def _dealt(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(function, schema)
 
 
-def near_links(docs: DataFrame, classes: DataFrame, tau: float = TAU) -> DataFrame:
-    """Links (a, b) of similarity `tau` or more that span the components of the classes (node, n, set_key, registers)."""
+def near_links(docs: DataFrame, classes: DataFrame, tau: float = TAU) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b: doc_ids) of similarity `tau` or more that span the components of the classes (node, doc, n, set_key, registers), and the staged tables that they rest on."""
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr("registers", k * (2 * ROWS) + 1, F.lit(2 * ROWS)))))
     seats = classes.select("node", band.alias("bucket"))
     full = seats.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    seats = staged(seats.join(full, "bucket"), "buckets")
+    seats = staged(salted_lookup(seats, full, "bucket", "node", "size").filter("size IS NOT NULL"), "buckets")
     weight = seats.groupBy("node").agg(F.sum("size").alias("weight"))
-    leaders = seats.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("n"))).alias("top")).select("bucket", (-F.col("top.n")).alias("leader"))
-    members = staged(seats.join(leaders, "bucket").select("leader", "node").distinct(), "members")
-    parts = members.groupBy("leader").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    placed = members.join(parts, "leader").withColumn("big", F.col("parts") > 1)
-    seated = placed.filter("node <> leader").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).unionByName(
-        placed.filter("node = leader").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)")))
-    )
-    seated = seated.select("leader", F.col("part").cast("long").alias("part"), "node", "big")
-    known = seated.join(classes.select("node", "n", "registers", "set_key"), "node").select("leader", "part", "node", "big", "n", "registers", "set_key")
-    likely = staged(_dealt(known, ["leader", "part"], _candidates(tau), "leader long, part long, big boolean, node long, set_key binary"), "likely")
-    sets = _with_sets(docs, likely, ["leader", "part", "big"])
+    leaders = seats.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("n"))).alias("top"), F.max("size").alias("size"))
+    leaders = leaders.select("bucket", (-F.col("top.n")).alias("leader"), "size")
+    members = staged(salted_lookup(seats.drop("size"), leaders, "bucket", "node", "size").select("leader", "node").distinct(), "members")
+    many = members.groupBy("leader").agg(F.count("*").alias("n_members")).filter(F.col("n_members") > PART).withColumn("parts", F.ceil(F.col("n_members") / PART).cast("long"))
+    placed = salted_lookup(members, many, "leader", "node", "n_members").select("leader", "node", F.coalesce("parts", F.lit(1)).alias("parts"))
+    known = placed.join(classes.select("node", "doc", "n", "registers", "set_key"), "node")
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")))
+    seated = known.withColumn("part", F.explode(F.when(F.col("node") == F.col("leader"), F.expr("sequence(0L, parts - 1L)")).otherwise(own)))
+    seated = seated.select("leader", "part", "node", (F.col("parts") > 1).alias("big"), "doc", "n", "registers", "set_key")
+    likely = staged(_dealt(seated, ["leader", "part"], _candidates(tau), "leader long, part long, big boolean, node long, doc long, set_key binary"), "likely")
+    sets = _with_sets(docs, likely, ["leader", "part", "big", "doc"])
     confirmed = staged(_dealt(sets, ["leader", "part"], _confirm(tau), "a long, b long, node long, items binary"), "links")
     inside = confirmed.filter("a IS NOT NULL").select("a", "b")
     drop_staged(seats)
 
     # Leaders of several parts: what isn't in their largest component meets all of their parts.
-    big = likely.filter("big").select("leader", "part", "node")
+    big = likely.filter("big").select("leader", "part", "node", "doc")
     if big.isEmpty():
-        return inside
+        drop_staged(members, likely)
+        return inside, [confirmed]
     names = components(inside)
-    named = big.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = staged(big.join(names.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")), "named")
     by_size = named.groupBy("leader", "component").agg(F.countDistinct("node").alias("size"))
-    main = by_size.groupBy("leader").agg(F.max(F.struct("size", "component")).alias("top"), F.max("size").alias("largest")).select("leader", F.col("top.component").alias("main"))
-    split = named.join(main, "leader").withColumn("loose", F.col("component") != F.col("main"))
-    count = split.filter("loose").groupBy("leader").agg(F.ceil(F.countDistinct("node") / PART).cast("long").alias("n_chunks"))
-    spread = split.join(count, "leader").join(placed.select("leader", F.col("parts").cast("long").alias("n_parts")).distinct(), "leader")
+    main = by_size.groupBy("leader").agg(F.max(F.struct("size", "component")).alias("top"), (F.sum("size") - F.max("size")).alias("n_loose")).filter("n_loose > 0")
+    main = main.join(many, "leader").select("leader", F.col("top.component").alias("main"), F.ceil(F.col("n_loose") / PART).cast("long").alias("n_chunks"), F.col("parts").alias("n_parts"), "n_members")
+    spread = salted_lookup(named, main, "leader", "node", "n_members").filter("n_chunks IS NOT NULL").withColumn("loose", F.col("component") != F.col("main"))
     part_side = spread.withColumn("chunk", F.explode(F.expr("sequence(0L, n_chunks - 1L)"))).withColumn("loose", F.lit(False))
     loose_side = spread.filter("loose").dropDuplicates(["leader", "node"]).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_chunks"))).withColumn("part", F.explode(F.expr("sequence(0L, n_parts - 1L)")))
-    blocks = staged(part_side.unionByName(loose_side).select("leader", "part", "chunk", "loose", "node").distinct(), "blocks")
+    blocks = staged(part_side.unionByName(loose_side).select("leader", "part", "chunk", "loose", "doc", "node").distinct(), "blocks")
     kept = confirmed.filter("node IS NOT NULL").select("node", "items").dropDuplicates(["node"])
-    across = _dealt(blocks.join(kept, "node").select("leader", "part", "chunk", "loose", "node", "items"), ["leader", "part", "chunk"], _confirm_across(tau), "a long, b long")
-    return inside.union(across)
+    across = staged(_dealt(blocks.join(kept, "node").select("leader", "part", "chunk", "loose", "doc", "node", "items"), ["leader", "part", "chunk"], _confirm_across(tau), "a long, b long"), "across")
+    drop_staged(members, likely, names, named, blocks)
+    return inside.union(across), [confirmed, across]
+
+
+def _shared_ids(signed: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """Links between a doc_id whose rows have different sets and the doc_ids of their classes; none in the usual case."""
+    several = staged(signed.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high"), F.count("*").alias("n_ids")).filter("low <> high").select("doc_id", "n_ids"), "shared_ids")
+    if several.isEmpty():
+        return []
+    rows = salted_lookup(signed.select("doc_id", "set_key"), several, "doc_id", "set_key", "n_ids").filter("n_ids IS NOT NULL").select("doc_id", "set_key").distinct()
+    return [salted_lookup(rows, classes.select("set_key", "doc", "n_rows"), "set_key", "doc_id", "n_rows").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))]
 
 
 def near_duplicates(docs: DataFrame, tau: float = TAU) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document; sets of similarity `tau` or more are linked."""
     signed = staged(sketches(docs), "sketches")
+    some = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(
-        signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(
-            F.min("doc_id").alias("node"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")
-        ),
+        some.groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n_rows"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
-    names = components(near_links(docs, classes, tau))
-    named = staged(classes.select("set_key", "node", "n_rows").join(names, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"), "n_rows"), "named")
-    found = salted_lookup(signed.select("doc_id", "n_shingles", "set_key"), named, "set_key", "doc_id", "n_rows")
+    links, used = near_links(docs, classes, tau)
+    for more in _shared_ids(some, classes):
+        links = links.union(more)
+    names = components(links)
+    named = classes.select("set_key", "doc", "n_rows").join(names.withColumnRenamed("node", "doc"), "doc", "left")
+    named = staged(named.select("set_key", F.coalesce("component", "doc").alias("component"), "n_rows"), "named")
+    drop_staged(classes, names, *used)
+    found = salted_lookup(signed.select("doc_id", "n_shingles", "set_key"), named, "set_key", "doc_id", "n_rows", nulls=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -65,6 +65,31 @@ def test_near_duplicates_of_nothing_and_of_repeated_ids(spark):
     assert sorted((r.doc_id is None, r.kept) for r in got) == [(False, True), (False, True), (True, True), (True, True)]
 
 
+@pytest.mark.parametrize("part", [256, 4])
+def test_repeated_ids_with_other_texts_are_one_document(spark, monkeypatch, part):
+    """doc_id 1 has two texts, each with a near copy; and a chain of texts hangs on doc_id 20 alone."""
+    monkeypatch.setattr(setsketch, "PART", part)
+    rng = np.random.default_rng(14)
+    def text(n=60):
+        return " ".join(f"w{k}" for k in rng.choice(9000, n, replace=False))
+
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, text()), (4, text()), (20, c), (20, a + " y"), (21, c + " q"), (30, ""), (30, text()), (31, None)]
+    rows += [(40 + k, c + f" r{k}") for k in range(12)]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 20: 1, 21: 1, 30: 30, 31: 31} | {40 + k: 1 for k in range(12)}
+    assert got == sorted((i, want[i], want[i] == i) for i, _ in rows)
+
+
+def test_hot_keys_are_salted(spark, monkeypatch):
+    """Every join of the graph with salts from two rows on: the result stays the brute force's."""
+    from sparkquill.llm import _stage
+
+    monkeypatch.setattr(_stage, "HOT_ROWS", 2)
+    test_near_duplicates_equal_brute_force(spark, monkeypatch, 4)
+    test_repeated_ids_with_other_texts_are_one_document(spark, monkeypatch, 4)
+
+
 def test_estimate_is_close():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, 1000).astype(np.uint64)
