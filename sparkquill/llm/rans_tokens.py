@@ -8,8 +8,8 @@ closes the frame. A token dataset is a folder with `frames` (one row for each fr
 shard, doc_ids, lengths, payload) and `table` (symbol, frequency, end_id, ...), both Parquet, so any store that
 Spark reads will do.
 
-Null texts are empty and have the end id alone. A null doc_id sorts first. Rows with equal doc_id keep an order by their
-ids. An empty table gives an empty dataset. A frame whose checksum differs raises an error.
+Ids have 16 bits; a vocabulary with larger ones raises an error. Null texts are empty and have the end id alone. A null
+doc_id sorts first. Rows with equal doc_id keep an order by their ids. An empty table gives an empty dataset. A frame whose checksum differs raises an error.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm._arrays import chunks
 from sparkquill.llm._stage import drop_staged, new_path, staged
-from sparkquill.llm._tokens import Pieces, shared_word_ids, sums_by, tokenizer_path
+from sparkquill.llm._tokens import Pieces, load_tokenizer, shared_word_ids, sums_by, tokenizer_path
 
 PRECISION, LANES, CHECKPOINT, FRAME_TOKENS = 20, 32, 512, 1 << 16
 END_ID = 1
@@ -165,7 +165,7 @@ def _framer(table):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, shard = table.value, TaskContext.get().partitionId()
         ids, docs, lengths = [[]], [[]], [[]]
-        size, frame, first = 0, 0, 0
+        size, held, frame, first = 0, 0, 0, 0  # held: tokens of the frame that is being filled
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, docs, lengths, size, frame, first
@@ -189,8 +189,9 @@ def _framer(table):
                 ids[-1].append(x)
                 docs[-1].append(doc)
                 lengths[-1].append(len(x))
-                size += len(x)
-                if sum(lengths[-1]) >= FRAME_TOKENS:
+                size, held = size + len(x), held + len(x)
+                if held >= FRAME_TOKENS:
+                    held = 0
                     if size >= 16 * FRAME_TOKENS:
                         yield flush()
                     else:
@@ -209,6 +210,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     """Encodes the whole text of every document and writes the token dataset to `path`."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path("word_bpe_49k.json")
+    largest = max(load_tokenizer(tokenizer).get_vocab(with_added_tokens=True).values(), default=0)
+    if max(largest, END_ID) >= 1 << 16:
+        raise ValueError(f"token files hold ids of 16 bits; this vocabulary has {largest}")
     coded = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(tokenizer), "doc_id long, n long, ids binary"), "ids")
     counted = coded.select("ids").mapInArrow(_count_rows, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()  # a row for each symbol of the vocabulary at most
     counts = np.zeros(1 << 16, dtype=np.int64)

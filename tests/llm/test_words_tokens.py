@@ -114,3 +114,21 @@ def test_word_of_more_ids_than_16_bits_count(spark, tmp_path):
     assert len(want[1]) > 65_535
     for i, ids in enumerate(want):
         assert got[i].ids == ids and got[i].decoded == tokenizer.decode(ids, skip_special_tokens=False)
+
+
+def test_many_empty_texts_make_frames_in_linear_time(spark):
+    import time
+
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "'' AS text").coalesce(1)
+    began = time.time()
+    assert rans_tokens.token_digests(docs).filter("n_tokens = 1 AND start = doc_id").count() == 200_000
+    assert time.time() - began < 60
+
+
+def test_large_vocabularies_are_refused(spark, tmp_path):
+    import json
+
+    words = {f"t{k}": k for k in range(70_000)}
+    (tmp_path / "t.json").write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": {"type": "WordLevel", "vocab": words, "unk_token": "t0"}}))
+    with pytest.raises(ValueError, match="16 bits"):
+        rans_tokens.token_digests(spark.createDataFrame([(1, "t1")], "doc_id long, text string"), str(tmp_path / "t.json"))
