@@ -3,13 +3,15 @@
 Texts are split into the words that merges never cross, and the words of a block of about BLOCK_BYTES of text become numbers in a
 list of the block's distinct words. The lists are cut into shards by the words' hashes; the task of a shard sees every
 distinct word once and encodes it once, whichever blocks hold it. The ids go back to their blocks and are joined to the words'
-positions; decoding looks the ids up in the table of the vocabulary's pieces and puts their bytes together again.
+positions; decoding joins the ids to the vocabulary's pieces (a broadcast join in numpy: the vocabulary bounds the table) and
+puts their bytes together again.
 
 What is shuffled: each block's distinct words, their ids, and its numbered words (compressed); a frequent word costs one
-entry for each block, so no key is hot. The blocks are made twice, once for their words and once for their numbers, from
-the same partitions of `docs`; other words in a block the second time raise an error: write such an input down first.
+entry for each block, so no key is hot. The numbers of shards and of block partitions follow from the bytes of the texts. The
+blocks are made twice, once for their words and once for their numbers, from the same partitions of `docs`: file splits
+are pinned for the session, and other words in a block the second time raise an error (write such an input down first).
 
-Null texts are empty and have no ids. Rows that repeat are encoded each. The special token counts as one word. An empty
+A word may have any length: its ids are counted in 32 bits. Null texts are empty and have no ids. Rows that repeat are encoded each. The special token counts as one word. An empty
 table gives no rows.
 """
 
@@ -24,10 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm._arrays import chunks
+from sparkquill.llm._stage import pin_splits
 from sparkquill.llm._tokens import Pieces, WordIds, expand, load_tokenizer, sums_by, tokenizer_path
 
 BLOCK_BYTES = 12 << 20
 ROW_WORDS = 250_000
+#: Text for each shard of words and for each partition of blocks, and the most shards: a shard streams its words, so its memory doesn't grow with them.
+SHARD_BYTES, PART_BYTES, MOST_SHARDS = 16 << 20, 4 * BLOCK_BYTES, 4096
 SPECIALS = ("<|endoftext|>",)
 _U = np.uint64
 
@@ -212,14 +217,16 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFram
     """doc_id, ids (array<int>), decoded (string) of the whole text of every document."""
     spark: SparkSession = docs.sparkSession
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pin_splits(spark)
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, parts = min(MOST_SHARDS, 8 + size // SHARD_BYTES), 8 + size // PART_BYTES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("partition"))
     words = texts.mapInArrow(_word_rows(shards), "block long, shard int, lengths binary, words binary")
     coded = words.repartitionById(shards, F.col("shard")).mapInArrow(_encode_rows(path), "block long, kind int, seq int, a binary, b binary, n long")
     numbers = texts.mapInArrow(_number_rows(shards), "block long, kind int, seq int, a binary, b binary, docs array<long>, n long")
     both = coded.select("block", "kind", "seq", "a", "b", F.lit(None).cast("array<long>").alias("docs"), "n").unionByName(numbers)
     pieces = spark.sparkContext.broadcast(piece_table(path))  # the vocabulary bounds its size
-    return both.repartition("block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_join_rows(pieces), "doc_id long, ids array<int>, decoded string")
+    return both.repartition(parts, "block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_join_rows(pieces), "doc_id long, ids array<int>, decoded string")
 
 
 def digest(coded: DataFrame) -> DataFrame:
