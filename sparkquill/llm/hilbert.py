@@ -78,28 +78,36 @@ def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> tuple[Dat
     return ranked.withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_before"), total
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, curve_index, law, shard, slot, grown_shard; shard sizes in rows differ by one at most."""
+def _keys(docs: DataFrame, *keep: Column) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    keys = with_hilbert(
-        docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")),
+    return with_hilbert(
+        docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *keep),
         [hashed(F.col("lang")), hashed(F.col("source")), magnitude(F.col("size"))],
     ).drop("lang", "source")
-    ranked, total = global_rank(staged(keys, "curve"), ["curve_index", "text_crc32", "doc_id"])
-    shard = F.expr(f"(rank * {shards}) div _total")
+
+
+def _cut(keys: DataFrame, shards: int) -> DataFrame:
+    """`keys` with shard and slot, from equal runs of the ranks along the curve."""
+    ranked, total = global_rank(keys, ["curve_index", "text_crc32", "doc_id"])
     first = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
-    return (
-        ranked.crossJoin(F.broadcast(total))
-        .withColumn("shard", shard)
-        .select(
-            "doc_id", "size", "text_crc32", "curve_index", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
-            (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        )
-    )
+    cut = ranked.crossJoin(F.broadcast(total)).withColumn("shard", F.expr(f"(rank * {shards}) div _total"))  # total is one row
+    return cut.withColumn("slot", F.col("rank") - first).withColumn("shard", F.col("shard").cast("int")).drop("rank", "_total")
+
+
+def hilbert_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
+    """doc_id, size, text_crc32, curve_index, law, shard, slot, grown_shard; shard sizes in rows differ by one at most."""
+    cut = _cut(staged(_keys(docs), "curve"), shards)
+    return cut.select("doc_id", "size", "text_crc32", "curve_index", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes whole documents with their shard and curve index, sorted along the curve, one folder for each shard."""
-    placed = hilbert_shards(docs, shards).select("doc_id", "shard", "slot", "curve_index")
-    docs.join(placed, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes all rows of `docs` with their slot and curve index, sorted along the curve, one folder for each shard.
+
+    The whole row travels with its key, so repeated and null doc_ids keep their rows; texts are shuffled once, by the
+    ranges of the curve. A column of `docs` with the name shard, slot or curve_index gives way to the new one.
+    """
+    added = ["shard", "slot", "curve_index"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added]).alias("_row")
+    placed = _cut(_keys(docs, row), shards).select("_row.*", *added)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

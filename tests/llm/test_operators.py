@@ -240,6 +240,17 @@ def test_shards(spark):
     assert hilbert.hilbert_shards(docs.limit(0)).count() == 0
 
 
+def test_written_shards_hold_all_rows(spark, tmp_path):
+    rows = [(1, "a", "en", "s", 0), (1, "b", "en", "s", 1), (None, "c", None, "s", 2), (2, None, "de", None, 3), (2, None, "de", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot int")
+    hilbert.write_shards(docs, str(tmp_path / "out"), 3)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, ((r.doc_id, r.text, r.lang, r.source) for r in got.collect()))) == sorted(map(str, (r[:4] for r in rows)))
+    want = sorted((r.shard, r.slot, r.curve_index) for r in hilbert.hilbert_shards(docs, 3).collect())
+    assert sorted((r.shard, r.slot, r.curve_index) for r in got.collect()) == want
+    hilbert.write_shards(docs.limit(0), str(tmp_path / "none"), 3)
+
+
 def brute_rules(t):
     words, lines = re.findall(WORD, t or ""), [x for x in (t or "").split("\n") if re.search(WORD, x)]
     win = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
