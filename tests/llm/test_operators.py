@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sparkquill.llm import _arrays as A
 from sparkquill.llm import fm_index, hilbert, host_rules, quality_trees, setsketch, surrogates, toxicity, warc
 
 WORD = "[^\x20\x09-\x0d]+"
@@ -312,12 +314,72 @@ def test_toxicity_restores_words(spark):
     rows += [*hidden, (2003, None), (2004, ""), (2005, sentence()), (2006, "a " * 3000)]
     docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, y string")
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels, texts=True).collect()}
     held = [r for i, r in got.items() if r.held_out and i < 800]
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.97
     assert [got[i].predicted for i in (2000, 2001, 2002)] == [1, 1, 1] and [got[i].predicted for i in (2003, 2004, 2005, 2006)] == [0, 0, 0, 0]
     assert "idiot" in got[2000].restored and "moron" in got[2001].restored
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
+    alone = docs.filter("doc_id IN (2001, 2002, 2006)").unionByName(docs).repartition(7)  # other neighbours, other order, repeated rows
+    again = toxicity.toxicity_scores(alone, labels.limit(0)).select("doc_id", "n_restored").distinct().collect()
+    plain = {r.doc_id: r.n_restored for r in toxicity.toxicity_scores(docs, labels.limit(0)).collect()}
+    assert len(again) == len(plain) and all(plain[r.doc_id] == r.n_restored for r in again)
+
+
+def tokens_of(texts):
+    raw, off = A.text_buffers(pa.array(texts, pa.string()))
+    words = A.Words(raw, off, A.SPACE_SPLIT)
+    out = [[] for _ in texts]
+    for a, b, token in toxicity.suspects(words, raw):
+        out[int(words.doc[a])].append((int(words.start[a] - off[words.doc[a]]), int(words.end[b - 1] - off[words.doc[a]]), token))
+    return out
+
+
+def test_suspects_of_a_text_do_not_depend_on_its_neighbours():
+    rng = np.random.default_rng(15)
+    pieces = ["s", "h", "1", "é", "$", "idiot", "1d1ot", "sooo", "m0r0n!", "€asy", "x£y", "A", "###", "...", "a" * 50, "a1" * 40, "3rd", "\n"]
+    texts = [" ".join(pieces[k] for k in rng.integers(0, len(pieces), n)) for n in rng.integers(0, 30, 120)] + ["", None, "s h i t here", "end a", "a " * 150, "a b " * 33 + "a"]
+    alone = [tokens_of([t])[0] for t in texts]
+    assert tokens_of(texts) == alone and tokens_of(texts[::-1]) == alone[::-1]
+    assert [t for _, _, t in tokens_of(["end a", "s h i t here"])[1]] == ["s h i t"]
+    runs = tokens_of(["a b " * 32 + "a"])[0]
+    assert sum(len(t.split(" ")) for _, _, t in runs) == 65 and min(len(t.split(" ")) for _, _, t in runs) >= 3
+    assert [t for _, _, t in tokens_of(["soooooooo $tupid, x€y " + "a1" * 40])[0]] == ["sooo", "$tupid", "x€y"]
+
+
+def test_restore_equals_exhaustive_search():
+    """Every spelling of short lattices is scored; the counts the search asks for are among the runs named beforehand."""
+    vocabulary = pa.record_batch({"token": pa.array(["stupid", "idiot", "idle", "boot", "bot", "été", "hello"]), "n": pa.array([40, 30, 9, 20, 50, 8, 60])})
+    counts = {}
+    for out in toxicity._gram_rows(iter([vocabulary])):
+        for g, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            counts[g] = counts.get(g, 0) + n
+    assert counts[toxicity._code((toxicity.BEGIN, ord("i"), ord("d")))] == 39 and counts[toxicity._code((ord("o"), ord("t"), toxicity.END))] == 100
+
+    def spellings(token):
+        found = {("", 0.0)}
+        before = ""
+        for c in token:
+            grown = set()
+            for path, cost in found:
+                if c == before and (c.isalpha() or c in toxicity.LEET):
+                    grown.add((path, cost + toxicity.DROPPED))
+                grown |= {(path + x, cost + channel) for x, channel in toxicity._alternatives(c)}
+            found, before = grown, c
+        return found
+
+    def total(path, cost):
+        state = (toxicity.BEGIN,)
+        for x in path:
+            cost, state = cost + toxicity.surprise(counts, state, ord(x)), (*state, ord(x))[-3:]
+        return cost + toxicity.surprise(counts, state, toxicity.END)
+
+    for token in ["1d10t", "stup1d", "$tup!d", "booot", "b00t", "h3ll0", "é7é", "ééété", "x1y", "h*llo", "|dl3", "bb", "a1a1"]:
+        least = min(total(p, c) for p, c in spellings(token))
+        got = toxicity.restore(token, counts)
+        assert any(p == got and abs(total(p, c) - least) < 1e-9 for p, c in spellings(token)), token
+        assert toxicity.restore(token, {g: n for g, n in counts.items() if g in toxicity.spelled_grams(token)}) == got
+    assert toxicity.restore("1d10t", counts) == "idiot" and toxicity.restore("s t u p 1 d", counts) == "stupid"
 
 
 # ---- surrogates ----
