@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with at least this many rows is joined through salted copies.
-HOT_ROWS = 4096
+HOT_ROWS = 512
 SALTS = 64
 
 
