@@ -6,11 +6,12 @@ gives the Burrows-Wheeler transform, held as a wavelet matrix. The windows of th
 whole of a shorter item, are searched backwards through its ranks, all at once; occurrences are located by walking to
 the next sampled suffix position, and overlapping occurrences are merged into removal spans.
 
-The benchmark is the stated query set: its windows are cut into blocks of about BLOCK_WINDOWS, and every shard is
-searched for one block after the other. Nothing but the documents' own rows leaves a task.
+The benchmark is the stated query set: its distinct windows are cut into blocks of about BLOCK_WINDOWS (some 100 bytes each,
+which bounds what is broadcast), and one pass over the documents searches for one block. One block holds some hundred thousand items; only a larger benchmark
+takes further passes, each of which writes what it found before the next block is broadcast. Tasks report windows by their hash; items join them in Spark.
 
 Words: A-Z lower-cased, runs of digits, ASCII letters and all characters past U+007F, compared by a 64-bit hash. Null
-and empty texts have no words; items without words have no windows; repeated items count each under their item_id.
+and empty texts have no words; items without words have no windows; repeated items count each under their item_id, and a null item_id has no name but hits.
 Empty tables give no rows or no hits.
 """
 
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkquill.llm._arrays import ALNUM_SPLIT, Words, chunks, list_column
+from sparkquill.llm._stage import drop_staged, salted_lookup, staged
 
 WINDOW = 10
 SHARD_BYTES = 6 << 20
 SAMPLE = 32
-BLOCK_WINDOWS = 200_000
+BLOCK_WINDOWS = 1_000_000
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -175,77 +177,114 @@ def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(parts, pa.binary())], ["item_id", "words"])
 
 
-def query_blocks(benchmark: DataFrame) -> list[Broadcast]:
-    """The benchmark's windows as broadcast blocks of bounded size: (hashes, lengths, item of each pair, window of each pair, item names)."""
-    spark = benchmark.sparkSession
-    windows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(item_windows, "item_id string, words binary").distinct().persist()
-    n_blocks = -(-windows.count() // BLOCK_WINDOWS)
-    blocks = []
-    for k in range(n_blocks):
-        rows = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n_blocks)) == k).toArrow()  # about BLOCK_WINDOWS rows
-        if not rows.num_rows:
-            continue
-        words, window = np.unique(np.array(rows.column("words").to_pylist(), dtype=object), return_inverse=True)
-        lengths = np.array([len(w) // 8 for w in words], dtype=np.int64)
-        hashes = np.stack([np.frombuffer(w.rjust(8 * WINDOW, b"\0"), dtype=np.uint64) for w in words])
-        names, item = np.unique(np.array([x or "" for x in rows.column("item_id").to_pylist()], dtype=object), return_inverse=True)
-        blocks.append(spark.sparkContext.broadcast((hashes, lengths, item, window, list(names))))
-    windows.unpersist()
-    return blocks
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """item_id, words, window (a 64-bit hash of the words): the distinct windows of each item."""
+    found = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(item_windows, "item_id string, words binary").distinct()
+    return staged(found.withColumn("window", F.xxhash64("words")), "windows")
+
+
+def _block(windows: DataFrame, block: int, blocks: int) -> Broadcast | None:
+    """One block of the distinct windows: (right-aligned word hashes, lengths, names of the windows)."""
+    rows = windows.filter(F.pmod("window", F.lit(blocks)) == block).select("window", "words").distinct().toArrow()  # about BLOCK_WINDOWS rows
+    if not rows.num_rows:
+        return None
+    words = rows.column("words").to_pylist()
+    lengths = np.array([len(w) // 8 for w in words], dtype=np.int64)
+    hashes = np.frombuffer(b"".join(w.rjust(8 * WINDOW, b"\0") for w in words), dtype=np.uint64).reshape(-1, WINDOW)
+    return windows.sparkSession.sparkContext.broadcast((hashes, lengths, rows.column("window").to_numpy()))
 
 
-def _searcher(blocks: list[Broadcast]):
+def _searcher(block: Broadcast | None):
+    """text, any columns, _starts, _ends, _windows (of the blocks before) -> the same columns with n_words and what this block adds."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in chunks(batches, limit=SHARD_BYTES):
             words = Words(raw, offsets, ALNUM_SPLIT)
             n = batch.num_rows
-            index = FMIndex(words.hash, words.count)
-            edge = np.zeros(index.n + 1, dtype=np.int64)
-            items: list[set[str]] = [set() for _ in range(n)]
-            for block in blocks:
-                hashes, lengths, pair_item, pair_window, names = block.value
+            first = np.cumsum(words.count) + np.arange(n) - words.count  # of each document, with a separator after the one before
+            edge = np.zeros(len(words.hash) + n + 1, dtype=np.int64)
+            names = len(batch.schema.names) - 4
+            old = [batch.column(names + 1 + k) for k in range(3)]
+            doc = np.repeat(np.arange(n), [len(x) for x in old[0]])
+            for sign, column in ((1, old[0]), (-1, old[1])):
+                np.add.at(edge, column.flatten().to_numpy() + first[doc], sign)
+            met: list[np.ndarray] = []
+            if block is not None:
+                hashes, lengths, window_names = block.value
+                index = FMIndex(words.hash, words.count)
                 at, window = index.search(hashes, lengths)
-                if not len(at):
-                    continue
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + lengths[window], -1)
                 doc = np.searchsorted(index.starts, at, side="right") - 1
-                met = np.unique(doc * len(hashes) + window)
-                order = np.argsort(pair_window, kind="stable")
-                begin = np.searchsorted(pair_window[order], np.arange(len(hashes) + 1))
-                for d, w in zip((met // len(hashes)).tolist(), (met % len(hashes)).tolist()):
-                    items[d].update(names[pair_item[j]] for j in order[begin[w] : begin[w + 1]])
+                pairs = np.unique(np.stack([doc, window]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+                met = np.split(window_names[pairs[1]], np.searchsorted(pairs[0], np.arange(1, n)))
+            found = [[*(old[2][i].as_py() or ()), *(met[i].tolist() if met else ())] for i in range(n)]
             hit = np.cumsum(edge[:-1]) > 0
-            before = np.zeros(len(hit) + 1, dtype=np.int64)
-            np.cumsum(hit, out=before[1:])
-            n_hit = before[index.starts + words.count] - before[index.starts]
+            before = np.concatenate([[0], np.cumsum(hit)])
+            n_hit = before[first + words.count] - before[first]
             flip = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-            first, last = np.flatnonzero(flip == 1), np.flatnonzero(flip == -1)
-            doc = np.searchsorted(index.starts, first, side="right") - 1
+            begin, end = np.flatnonzero(flip == 1), np.flatnonzero(flip == -1)
+            doc = np.searchsorted(first, begin, side="right") - 1
             per_doc = np.bincount(doc, minlength=n) if len(doc) else np.zeros(n, dtype=np.int64)
-            base = index.starts[doc] if len(doc) else doc
+            base = first[doc] if len(doc) else doc
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(k) for k in range(batch.num_columns)],
-                    pa.array(words.count, pa.int64()),
-                    pa.array(n_hit, pa.int64()),
-                    list_column(first - base, per_doc, pa.int64()),
-                    list_column(last - base, per_doc, pa.int64()),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.string())),
+                    *batch.columns[:names], pa.array(words.count, pa.int64()), list_column(begin - base, per_doc, pa.int64()),
+                    list_column(end - base, per_doc, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(n_hit, pa.int64()),
                 ],
-                [*batch.schema.names, "n_words", "n_hit", "span_starts", "span_ends", "item_ids"],
+                [*batch.schema.names[:names], "_n", "_starts", "_ends", "_windows", "_hit"],
             )
 
     return search
 
 
+def _search(docs: DataFrame, windows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` with _n, _hit, _starts, _ends and the hashes of the windows met, after a pass for each block of windows."""
+    blocks = max(1, -(-windows.select("window").distinct().count() // BLOCK_WINDOWS))
+    none = F.array().cast("array<long>")
+    chosen = docs.select("text", *[c for c in keep if c != "text"])
+    width = len(chosen.columns)
+    added = StructType.fromDDL("_n long, _starts array<long>, _ends array<long>, _windows array<long>, _hit long")
+    schema = StructType(chosen.schema.fields + added.fields)
+    found, held = chosen.select("*", F.lit(0).cast("long").alias("_n"), none.alias("_starts"), none.alias("_ends"), none.alias("_windows")), None
+    for k in range(blocks):
+        block = _block(windows, k, blocks)
+        if held is not None and block is None:
+            continue
+        found = found.mapInArrow(_searcher(block), schema)
+        if k + 1 < blocks:  # the block is done with before the next one is sent
+            old, held = held, staged(found, "searched")
+            found = held.select(*held.columns[:width], "_n", "_starts", "_ends", "_windows")
+            if block is not None:
+                block.unpersist()
+            if old is not None:
+                drop_staged(old)
+    return found
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (doc_id by default) of every document, with n_words, n_hit and the merged removal spans as word numbers
+    (span_starts, span_ends excluded). One pass, without a shuffle or a join, for a benchmark of one block."""
+    keep = keep or ["doc_id"]
+    found = _search(docs, benchmark_windows(benchmark), keep)
+    return found.select(*keep, F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.col("_starts").alias("span_starts"), F.col("_ends").alias("span_ends"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id by default) of every document, with n_words, n_hit, the merged removal spans as word numbers (span_starts, span_ends excluded) and item_ids."""
+    """`hits`, and item_ids: the sorted names of the items with a window in the document. Windows are met by hash, hot ones salted."""
     keep = keep or ["doc_id"]
-    chosen = docs.select("text", *[c for c in keep if c != "text"])
-    added = StructType.fromDDL("n_words long, n_hit long, span_starts array<long>, span_ends array<long>, item_ids array<string>")
-    found = chosen.mapInArrow(_searcher(query_blocks(benchmark)), StructType(chosen.schema.fields + added.fields))
-    return found.select(*keep, "n_words", "n_hit", "span_starts", "span_ends", "item_ids")
+    windows = benchmark_windows(benchmark)
+    found = staged(_search(docs, windows, keep).withColumn("_row", F.monotonically_increasing_id()), "found")
+    each = found.filter(F.size("_windows") > 0).select("_row", F.explode("_windows").alias("window"))
+    counted = each.groupBy("window").agg(F.count("*").alias("_n"))
+    items = windows.filter("item_id IS NOT NULL").groupBy("window").agg(F.collect_set("item_id").alias("items")).join(counted, "window")
+    met = salted_lookup(each, items, "window", "_row", "_n")
+    named = met.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("item_ids"))  # one document's items
+    out = found.join(named, "_row", "left")
+    empty = F.array().cast("array<string>")
+    return out.select(
+        *keep, F.col("_n").alias("n_words"), F.col("_hit").alias("n_hit"), F.col("_starts").alias("span_starts"), F.col("_ends").alias("span_ends"), F.coalesce("item_ids", empty).alias("item_ids"),
+    )
 
 
 def digest(found: DataFrame) -> DataFrame:
