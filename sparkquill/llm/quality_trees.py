@@ -1,7 +1,7 @@
 """Operator 10: a quality classifier of histogram gradient-boosted trees over document statistics.
 
 Statistics of whole texts are computed in numpy over Arrow batches. The trees are fitted to the statistics of at most
-SAMPLE labelled documents (those with the smallest hash of their doc_id), on histograms of BINS bins, depth by depth,
+SAMPLE labelled documents (those with the smallest hash of their doc_id; of rows with one doc_id the one with the smallest statistics), on histograms of BINS bins, depth by depth,
 with the logistic loss. The fitted trees are flattened into arrays, one row for each tree, and all documents of a batch
 walk down one level of all trees at a time. Scoring is one pass over the texts without a shuffle.
 
@@ -170,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modu
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.round(F.avg(label)).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # its size bounds the broadcast and what comes back
     x = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(_statistics_rows, "doc_id long, y double, x array<float>")
-    rows = x.orderBy("doc_id", "x").limit(4 * sample).toArrow()
+    rows = x.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("doc_id", "r.*").orderBy("doc_id").toArrow()  # `sample` rows at most
     flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, len(FEATURES)), np.float32)
     return fit(flat, rows.column("y").to_numpy())
 
