@@ -2,13 +2,18 @@
 
 Entities are found by one pattern: e-mail and IPv4 addresses, payment cards, US social security numbers, phone numbers, access keys,
 named secrets, long hexadecimal tokens, and names after a form of address. Each gets a surrogate of its own type, drawn from the
-key, the type and the entity's canonical form: letters become letters, digits digits, case and punctuation stay; cards keep
-their first digit and a valid check digit; addresses keep valid octets; names come from syllables of the same script
-with the gender of the form of address. The canonical form drops what only varies in writing (case of addresses,
-punctuation of numbers), so one entity has one surrogate in every document and spelling.
+caller's key, the type and the entity's canonical form: letters become letters, digits digits, case and punctuation stay; cards keep
+their first digit and a valid check digit; addresses keep valid octets. The canonical form drops what only varies in writing
+(case of addresses, punctuation of numbers), so one entity has one surrogate in every document and spelling.
 
-Collision check: all distinct entities and their surrogates are compared; where two entities of a type share a
-surrogate, or a surrogate is itself an entity of the input, all but the first draw again, until there are none left.
+Names are replaced word by word, so that "Mr John Miller" and "Mr Miller" keep their surname in common: each distinct word gets
+syllables of its own script and, as a given name, an ending of the gender that the forms of address before it show in most
+cases (where they show none, of its last letter).
+
+Collision check: all distinct entities and words and their surrogates are compared; where two of a type share a surrogate, or a
+surrogate is itself an entity of the input, all but the first draw again. From the third draw on names, mail addresses and
+secrets grow by a letter or syllable a draw, so the space they draw from outgrows any input. Types of fixed length can't grow: if one is
+so full that MOST_DRAWS draws don't settle it, an error names it.
 
 Null texts stay null. Texts without entities stay as they are, byte for byte. Rows are changed one by one, so repeated rows
 stay equal. An empty table gives an empty table. Other columns are kept; only `text` is replaced. Only DataFrame functions are used.
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm._stage import drop_staged, salted_lookup, staged
 
-KEY = "surrogate-key-1"
+MOST_DRAWS = 60
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 TITLES_MALE = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Mister", "Господин"]
@@ -40,21 +45,43 @@ PATTERNS = [
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"),
     ("phone", r"(?<![\d+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?![\d])"),
-    ("name", rf"(?<!\p{{L}})(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}"),
+    ("name", rf"(?<!\p{{L}})(?=[MHSFDPГД])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?:[ \-]\p{{Lu}}\p{{Ll}}+){{0,2}}"),
 ]
 PATTERN = "|".join(p for _, p in PATTERNS)
-#: A text without any of these characters or titles has no entity.
-HINT = rf"[0-9@]|AKIA|ASIA|[a-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}|[Pp]ass|PASS|[Tt]oken|TOKEN|[Ss]ecret|SECRET|[Aa]pi|API_KEY"
+#: Families of types, in the order of PATTERNS, with what every text with an entity of the family must hold.
+FAMILIES = [
+    (["email"], lambda text: F.contains(text, F.lit("@"))),
+    (["secret", "key", "hex"], lambda text: text.rlike(r"(?=[TtPpSsAa])(?:(?:[Tt]oken|TOKEN|[Pp]assw(?:or)?d|PASSWORD|[Ss]ecret|SECRET|[Aa]pi[_\-]?[Kk]ey|API_KEY) ?[=:]|A[KS]IA)|[0-9a-f]{32}")),
+    (["ip", "card", "ssn", "phone"], lambda text: text.rlike(r"\+\d|\d[\d .\-()]{6}")),
+    (["name"], lambda text: text.rlike(rf"(?=[MHSFDPГД])(?:{_TITLE})\.? \p{{Lu}}")),
+]
 
 _SYLLABLES = {
     "latin": ["ba", "ber", "ca", "da", "del", "e", "fa", "gar", "ha", "in", "jo", "ka", "lan", "le", "ma", "mir", "na", "nor", "o", "pe", "ra", "ros", "sa", "sel", "ta", "tor", "u", "va", "vin", "wa", "xan", "zo"],
     "cyrillic": ["ба", "вер", "га", "да", "ел", "жи", "за", "ив", "ка", "ла", "ми", "на", "о", "пе", "ра", "си", "та", "ул", "фи", "ха", "че", "ша", "эл", "ю", "яр", "бор", "дан", "лев", "мар", "ник", "рос", "сла"],
 }
-_ENDINGS = {("latin", "male"): ["n", "s", "k", "rd"], ("latin", "female"): ["na", "la", "ria", "ssa"], ("cyrillic", "male"): ["н", "с", "м", "р"], ("cyrillic", "female"): ["на", "ля", "рия", "са"]}
+_ENDINGS = {
+    ("latin", "male"): ["n", "s", "k", "rd"], ("latin", "female"): ["na", "la", "ria", "ssa"], ("latin", "none"): ["er", "ing", "ow", "man"],
+    ("cyrillic", "male"): ["н", "с", "м", "р"], ("cyrillic", "female"): ["на", "ля", "рия", "са"], ("cyrillic", "none"): ["ин", "ов", "ев", "ын"],
+}
+
 
+def families(text: Column) -> Column:
+    """Bit i is set where the text can have entities of the i-th family."""
+    mask = F.lit(0)
+    for i, (_, hint) in enumerate(FAMILIES):
+        mask = mask + F.when(hint(text), F.lit(1 << i)).otherwise(F.lit(0))
+    return mask
 
-def entities(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+
+def entities(text: Column, mask: Column) -> Column:
+    """All entities of a text in order. Only the alternatives of the families in `mask` are tried: the others can't match."""
+    out = F.array().cast("array<string>")
+    for wanted in range(1, 1 << len(FAMILIES)):
+        names = [n for i, (kinds, _) in enumerate(FAMILIES) if wanted >> i & 1 for n in kinds]
+        pattern = "|".join(p for n, p in PATTERNS if n in names)
+        out = F.when(mask == wanted, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(out)
+    return out
 
 
 def kind(entity: Column) -> Column:
@@ -76,7 +103,6 @@ def canonical(name: Column, entity: Column) -> Column:
         .when(name == "secret", F.regexp_replace(entity, r"^[A-Za-z_\-]+ ?[=:] ?[\"']?", ""))
         .when(name == "phone", F.when(F.length(digits) > 10, F.substr(digits, F.length(digits) - 9)).otherwise(digits))
         .when(name.isin("card", "ssn"), digits)
-        .when(name == "name", F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""))
         .otherwise(entity)
     )
 
@@ -143,69 +169,70 @@ def _card(entity: Column, stream: Column) -> Column:
     return F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
 
 
-def _name(entity: Column, stream: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^((?:{_TITLE})\.? )", 1)
-    rest = F.substr(entity, F.length(title) + 1)
-    bare = F.regexp_replace(title, r"[. ]", "")
-    female = bare.isin(TITLES_FEMALE) | (bare.isin(TITLES_ANY) & rest.rlike("^\\p{L}*[aа]\\b"))
-    script = F.when(rest.rlike("\\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
+def _grown(attempt: Column, stream: Column) -> Column:
+    """A letter for each draw from the third on."""
+    more = F.greatest(attempt - 1, F.lit(0))
+    return F.when(more == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: F.char(F.lit(97) + _draw(stream, 40 + i, 26))), ""))
 
-    def word(w: Column, i: Column) -> Column:
-        def built(kind_: str) -> Column:
-            syllables = _SYLLABLES[kind_]
-            stem = F.concat(*[_pick(syllables, _draw(stream, i * 5 + j, len(syllables))) for j in range(3)])
-            last = F.size(F.split(rest, "[ \\-]")) - 1
-            ending = F.when(female, _pick(_ENDINGS[kind_, "female"], _draw(stream, i * 5 + 3, 4))).otherwise(_pick(_ENDINGS[kind_, "male"], _draw(stream, i * 5 + 3, 4)))
-            return F.initcap(F.concat(stem, F.when((i == 0) | (last == 0), ending).otherwise(F.lit(""))))
 
-        return F.when(script == "cyrillic", built("cyrillic")).otherwise(built("latin"))
+def _name_word(word: Column, gender: Column, stream: Column, attempt: Column) -> Column:
+    """Syllables of the word's script, one more for each draw from the third on, and an ending of the gender."""
+    last = F.sequence(F.lit(0), 2 + F.greatest(attempt - 1, F.lit(0)))
 
-    words = F.transform(F.split(rest, "[ \\-]"), word)
-    separators = F.concat(F.regexp_extract_all(rest, F.lit("[ \\-]"), F.lit(0)), F.array(F.lit("")))
-    return F.concat(title, F.array_join(F.transform(words, lambda w, i: F.concat(w, F.get(separators, i))), ""))
+    def built(script: str) -> Column:
+        syllables = _SYLLABLES[script]
+        stem = F.array_join(F.transform(last, lambda j: _pick(syllables, _draw(stream, j, len(syllables)))), "")
+        ending = F.lit(None).cast("string")
+        for sex in ("male", "female", "none"):
+            ending = F.when(gender == sex, _pick(_ENDINGS[script, sex], _draw(stream, F.lit(50), 4))).otherwise(ending)
+        tail = F.when((gender == "none") & word.rlike("[ая]$"), F.lit("а")).otherwise(F.lit("")) if script == "cyrillic" else F.lit("")
+        return F.initcap(F.concat(stem, ending, tail))
 
+    return F.when(word.rlike("\\p{IsCyrillic}"), built("cyrillic")).otherwise(built("latin"))
 
-def surrogate(entity: Column, attempt: Column, key: str = KEY) -> Column:
-    """The replacement of one entity; `attempt` counts the draws before it."""
+
+def surrogate(entity: Column, attempt: Column, key: str) -> Column:
+    """The replacement of one entity that isn't a name; `attempt` counts the draws before it."""
     name = kind(entity)
-    return _surrogate(entity, name, _stream(F.concat(F.lit(key + "|"), name, F.lit("|"), attempt.cast("string"), F.lit("|"), canonical(name, entity))))
+    return _surrogate(entity, name, _stream(F.concat_ws("|", F.lit(key), name, attempt.cast("string"), canonical(name, entity))), attempt, F.lit("none"))
 
 
-def _surrogate(entity: Column, name: Column, stream: Column) -> Column:
+def _surrogate(entity: Column, name: Column, stream: Column, attempt: Column, gender: Column) -> Column:
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (1 + _draw(stream, k, 254)).cast("string")), ".")
     local = F.substring_index(entity, "@", 1)
     top = F.substring_index(entity, ".", -1)
     host = F.substr(entity, F.length(local) + 1, F.length(entity) - F.length(local) - F.length(top))
+    shaped = _shaped(F.concat(local, host), stream)
     prefix = F.regexp_extract(entity, r"^([A-Za-z_\-]+ ?[=:] ?[\"']?)", 1)
     value = F.substr(entity, F.length(prefix) + 1)
     return (
-        F.when(name == "email", F.concat(_shaped(F.concat(local, host), stream), top))
-        .when(name == "secret", F.concat(prefix, F.when(value.rlike("^[0-9a-f]+$"), _shaped(value, stream, F.lit(True))).otherwise(_shaped(value, stream))))
+        F.when(name == "email", F.concat(F.substr(shaped, F.lit(1), F.length(local)), _grown(attempt, stream), F.substr(shaped, F.length(local) + 1), top))
+        .when(name == "secret", F.concat(prefix, F.when(value.rlike("^[0-9a-f]+$"), _shaped(value, stream, F.lit(True))).otherwise(_shaped(value, stream)), _grown(attempt, stream)))
         .when(name == "key", F.concat(F.substr(entity, F.lit(1), F.lit(4)), _shaped(F.substr(entity, F.lit(5)), stream)))
         .when(name == "hex", _shaped(entity, stream, F.lit(True)))
         .when(name == "ip", octets)
         .when(name == "card", _card(entity, stream))
         .when(name == "phone", _numbered(entity, stream, F.greatest(F.lit(0), F.length(_digits(entity)) - 10)))
-        .when(name == "name", _name(entity, stream))
+        .when(name == "word", _name_word(entity, gender, stream, attempt))
         .otherwise(_numbered(entity, stream, F.lit(0)))
     )
 
 
 def _drawn(found: DataFrame, key: str) -> DataFrame:
-    """Columns entity and attempt, with name, canonical and the surrogate (each step its own column, so that it's computed once)."""
+    """Columns entity, name, gender and attempt, with canonical and the surrogate (each step its own column, so that it's computed once)."""
     return (
-        found.withColumn("name", kind(F.col("entity")))
-        .withColumn("canonical", canonical(F.col("name"), F.col("entity")))
+        found.withColumn("canonical", canonical(F.col("name"), F.col("entity")))
         .withColumn("stream", _stream(F.concat_ws("|", F.lit(key), "name", F.col("attempt").cast("string"), "canonical")))
-        .withColumn("surrogate", _surrogate(F.col("entity"), F.col("name"), F.col("stream")))
+        .withColumn("surrogate", _surrogate(F.col("entity"), F.col("name"), F.col("stream"), F.col("attempt"), F.col("gender")))
         .withColumn("new_canonical", canonical(F.col("name"), F.col("surrogate")))
         .drop("stream")
     )
 
 
-def surrogate_table(found: DataFrame, key: str = KEY) -> DataFrame:
-    """entity, surrogate for distinct entities: no two canonical forms of a type share a surrogate, and no surrogate is an entity of the input."""
-    table = staged(_drawn(found.select("entity").distinct().withColumn("attempt", F.lit(0)), key), "surrogates")
+def surrogate_table(found: DataFrame, key: str) -> DataFrame:
+    """entity, name, surrogate for distinct entities and words of names (entity, name: the type, gender): no two canonical forms of a
+    type share a surrogate, and no surrogate is an entity of the input. The table is staged."""
+    table = staged(_drawn(found.select("entity", "name", "gender", F.lit(0).alias("attempt")), key), "surrogates")
     while True:
         forms = table.select("name", "canonical", "new_canonical").distinct()
         taken = forms.groupBy("name", "new_canonical").agg(F.min("canonical").alias("owner"), F.count("*").alias("n")).filter("n > 1")
@@ -214,30 +241,67 @@ def surrogate_table(found: DataFrame, key: str = KEY) -> DataFrame:
         clash = staged(clash.union(forms.join(known, ["name", "new_canonical"], "left_semi").select("name", "canonical")).distinct(), "clashes")
         if clash.isEmpty():
             drop_staged(clash)
-            return table.select("entity", "surrogate")
-        again = _drawn(table.join(clash, ["name", "canonical"], "left_semi").select("entity", (F.col("attempt") + 1).alias("attempt")), key)
+            return table
+        redrawn = table.join(clash, ["name", "canonical"], "left_semi")
+        full = redrawn.filter(F.col("attempt") >= MOST_DRAWS).select("name").first()
+        if full is not None:
+            raise RuntimeError(f"{MOST_DRAWS} draws found no free surrogates of type {full[0]}: the input fills its form")
+        again = _drawn(redrawn.select("entity", "name", "gender", (F.col("attempt") + 1).alias("attempt")), key)
         rest = table.join(clash, ["name", "canonical"], "left_anti")
-        table = staged(rest.unionByName(again.select(*rest.columns)), "surrogates")
+        old, table = table, staged(rest.unionByName(again.select(*rest.columns)), "surrogates")
+        drop_staged(old, clash)
+
+
+def _name_parts(names: DataFrame) -> DataFrame:
+    """entity (a form of address and a name) -> entity, title, at, entities' words, and what stands before each word."""
+    title = F.regexp_extract("entity", rf"^((?:{_TITLE})\.? )", 1)
+    rows = names.select("entity", title.alias("title")).withColumn("rest", F.substr("entity", F.length("title") + 1))
+    rows = rows.withColumn("words", F.split("rest", "[ \\-]")).withColumn("signs", F.regexp_extract_all("rest", F.lit("[ \\-]"), F.lit(0)))
+    return rows.select("entity", "title", "signs", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "word"))
+
+
+def _genders(parts: DataFrame) -> DataFrame:
+    """word, gender, n_parts of each distinct word: as a given name (the first of several words) it has a gender, else none."""
+    bare = F.regexp_replace("title", "[. ]", "")
+    given = (F.col("at") == 0) & (F.col("n_words") > 1)
+    seen = parts.groupBy("word").agg(F.count_if(given).alias("g"), F.count_if(given & bare.isin(TITLES_MALE)).alias("m"), F.count_if(given & bare.isin(TITLES_FEMALE)).alias("f"), F.count("*").alias("n_parts"))
+    female = (F.col("f") > F.col("m")) | ((F.col("f") == F.col("m")) & F.col("word").rlike("[aа]$"))
+    return seen.select("word", F.when(F.col("g") == 0, F.lit("none")).when(female, F.lit("female")).otherwise(F.lit("male")).alias("gender"), "n_parts")
+
+
+def surrogates_of(counts: DataFrame, key: str) -> DataFrame:
+    """entity, n, surrogate for distinct entities (entity, n: its occurrences)."""
+    known = staged(counts.withColumn("name", kind(F.col("entity"))), "entities")
+    parts = staged(_name_parts(known.filter("name = 'name'")), "name_words")
+    words = staged(_genders(parts), "words")
+    items = known.filter("name <> 'name'").select("entity", "name", F.lit("none").alias("gender")).unionByName(words.select(F.col("word").alias("entity"), F.lit("word").alias("name"), "gender"))
+    table = surrogate_table(items, key)
+    drawn = words.join(table.filter("name = 'word'").select(F.col("entity").alias("word"), F.col("surrogate").alias("new")), "word").select("word", "new", "n_parts")
+    met = salted_lookup(parts, drawn, "word", "entity", "n_parts").withColumn("sign", F.when(F.col("at") > 0, F.get("signs", F.col("at") - 1)).otherwise(F.col("title")))
+    whole = met.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("at", F.concat("sign", "new").alias("w")))).alias("w"))  # three words at most
+    named = whole.select("entity", F.array_join(F.transform("w", lambda x: x["w"]), "").alias("surrogate"))
+    out = staged(known.select("entity", "n").join(table.filter("name <> 'word'").select("entity", "surrogate").unionByName(named), "entity"), "replacements")
+    drop_staged(known, parts, words, table)
+    return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """`docs` with all entities of the column `text` replaced, and `_n_entities`.
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """`docs` with all entities of the column `text` replaced by surrogates drawn with the secret `key`, and `_n_entities`.
 
-    Only rows with an entity are written down and joined; the others pass through. Entities meet their surrogates with
-    hot ones salted, so an address that stands in a third of all documents doesn't end in one task.
+    The texts are searched once, and written down with what was found. Only rows with an entity are joined; the others pass
+    through. Entities meet their surrogates with hot ones salted, so an address that stands in a third of all documents doesn't end in one task.
     """
     # the row travels as one value, so that no column of the input meets a name used here
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(0).alias("_")).alias("box"), F.col(f"`{text}`").alias("body"))
-    found = F.when(F.col("body").rlike(HINT), entities(F.col("body"))).otherwise(F.array().cast("array<string>"))
-    plain = boxed.filter(F.col("body").isNull() | (F.size(found) == 0)).select("box", "body", F.lit(0).alias("n"))
-    rows = boxed.filter(F.size(found) > 0).select("box", entities(F.col("body")).alias("found"), F.split("body", PATTERN, -1).alias("gaps"))
-    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "found")
+    found = boxed.withColumn("mask", F.coalesce(families(F.col("body")), F.lit(0))).withColumn("found", entities(F.col("body"), F.col("mask"))).drop("mask")
+    found = staged(found.withColumn("row", F.monotonically_increasing_id()), "found")
+    plain = found.filter(F.size("found") == 0).select("box", "body", F.lit(0).alias("n"))
+    rows = found.filter(F.size("found") > 0)
     each = rows.select("row", F.posexplode("found").alias("at", "entity"))
-    counts = each.groupBy("entity").agg(F.count("*").alias("n"))
-    table = surrogate_table(counts, key)
-    met = salted_lookup(each, table.join(counts, "entity"), "entity", "row", "n")
+    table = surrogates_of(each.groupBy("entity").agg(F.count("*").alias("n")), key)
+    met = salted_lookup(each, table, "entity", "row", "n")
     new = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))  # one document's entities
     gaps = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i)["surrogate"], F.lit(""))))
-    changed = rows.join(new, "row").select("box", F.array_join(gaps, "").alias("body"), F.size("found").alias("n"))
+    changed = rows.withColumn("gaps", F.split("body", PATTERN, -1)).join(new, "row").select("box", F.array_join(gaps, "").alias("body"), F.size("found").alias("n"))
     both = plain.unionByName(changed)
     return both.select(*[F.col("body").alias(text) if c == text else F.col(f"box.`{c}`") for c in docs.columns], F.col("n").alias("_n_entities"))

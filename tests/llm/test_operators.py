@@ -384,6 +384,8 @@ def test_restore_equals_exhaustive_search():
 
 # ---- surrogates ----
 
+KEY = "a key of the tests"
+
 
 def test_surrogates(spark):
     rows = [
@@ -392,7 +394,7 @@ def test_surrogates(spark):
         (5, None), (6, ""), (7, "nothing here 12 3.4, 1999-2000 and 555 1234"), (8, "mail a@b.de"), (8, "mail a@b.de"), (9, "word " * 5000 + " x@y.org"),
     ]
     docs = spark.createDataFrame([(i, t, "r", 1) for i, t in rows], "doc_id long, text string, row string, n int")
-    out = surrogates.pseudonymize(docs)
+    out = surrogates.pseudonymize(docs, KEY)
     assert out.columns[:4] == docs.columns
     got = out.collect()
     by = {r.doc_id: r.text for r in got}
@@ -406,34 +408,96 @@ def test_surrogates(spark):
     assert re.search(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18} AKIA[A-Z0-9]{16}$', by[3])
     names = re.match(r"Mrs\. (\w+ \w+) met Mr (\w+ \w+) and Mr\. (\w+ \w+); Госпожа ([А-Яа-яё]+ [А-Яа-яё]+)\.$", by[4])
     assert names and names[2] == names[3] != "John Miller" and "Анна" not in by[4]
-    assert surrogates.pseudonymize(docs.limit(0)).count() == 0
-
-
-def test_surrogates_stay_distinct(spark):
-    """Two hundred octets' worth of entities in a tiny space would collide; the check draws again until none do."""
-    found = spark.createDataFrame([(f"{a}.{b}.7.9",) for a in range(1, 40) for b in range(1, 40)], "entity string")
-    real = surrogates._surrogate
-
-    def crowded(entity, name, stream):
+    assert {r.doc_id: r.text for r in surrogates.pseudonymize(docs.repartition(5), KEY).collect()} == by
+    assert {r.doc_id: r.text for r in surrogates.pseudonymize(docs, "another key").collect()}[8] != by[8]
+    assert surrogates.pseudonymize(docs.limit(0), KEY).count() == 0
+
+
+def plain_entities(text):
+    """The patterns in Python's dialect, tried in their order at each place."""
+    import regex
+
+    pattern = regex.compile("|".join(p for _, p in surrogates.PATTERNS), regex.ASCII)
+    return [(m.start(), m[0]) for m in pattern.finditer(text or "")]
+
+
+def test_every_entity_has_one_surrogate(spark):
+    """Against a plain table of entities: found entities, the same one everywhere, others for others, and gaps as they were."""
+    rng = np.random.default_rng(16)
+    pieces = ["a@b.de", "A@B.de", "john@x.org", "Mr Miller", "Mr John Miller", "Frau Anna Miller", "Dr. John", "Mrs Smith-Jones", "12.197.240.125", "1.1.1.1", "123-45-6789", "+12345", "+1 2345", "784-555-8120", "(784) 555-8120", "+1 784 555 8120",
+              "4418 4525 2484 2581", "token: abcdefgh", "API_KEY=abcdefghXYZ", "AKIA" + "B" * 16, "0" * 32, "word", "1999", "12 3.4", "a.b", "Ms", "x@", "pass", "\n", "é", "3-4", "555 1234", "v1.2.3"]
+    rows = [(i, " ; ".join(pieces[k] for k in rng.integers(0, len(pieces), n))) for i, n in enumerate(rng.integers(0, 25, 150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: list(r.e) for r in docs.select("doc_id", surrogates.entities(F.col("text"), surrogates.families(F.col("text"))).alias("e")).collect()}
+    assert found == {i: [e for _, e in plain_entities(t)] for i, t in rows}
+    new: dict[str, set[str]] = {}
+    for r in surrogates.pseudonymize(docs, KEY).collect():
+        text, old = r.text, dict(rows)[r.doc_id]
+        spans = plain_entities(old)
+        gaps = [old[a:b] for a, b in zip([0, *(c + len(e) for c, e in spans)], [*(c for c, _ in spans), len(old)])]
+        shape = re.fullmatch("(.*?)".join(map(re.escape, gaps)), text, re.S)
+        assert shape and r._n_entities == len(spans), (old, text)
+        if len(gaps) == len(found[r.doc_id]) + 1 and all(gaps[1:-1]):
+            for e, s in zip(found[r.doc_id], shape.groups()):
+                new.setdefault(e, set()).add(s)
+    assert all(len(s) == 1 for s in new.values()) and not set(new) & {s for x in new.values() for s in x}
+    one = {e: next(iter(s)) for e, s in new.items()}
+    assert one["a@b.de"].lower() == one["A@B.de"].lower() and len({s.lower() for s in one.values()}) == len(one) - 1
+    miller = {one[e].split(" ")[-1] for e in ("Mr Miller", "Mr John Miller", "Frau Anna Miller")}
+    assert len(miller) == 1 and one["Frau Anna Miller"].startswith("Frau ") and one["Dr. John"].split(" ")[1] == one["Mr John Miller"].split(" ")[1]
+    digits = {re.sub(r"\D", "", one[e])[-10:] for e in ("784-555-8120", "(784) 555-8120", "+1 784 555 8120")}
+    assert len(digits) == 1
+
+
+def items(entities, kind):
+    return [(e, kind, "none") for e in entities]
+
+
+ITEM = "entity string, name string, gender string"
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """Entities in a tiny space collide; the check draws again until none do."""
+    found = spark.createDataFrame(items([f"{a}.{b}.7.9" for a in range(1, 40) for b in range(1, 40)], "ip"), ITEM)
+
+    def crowded(entity, name, stream, attempt, gender):
         return F.concat(F.lit("9."), surrogates._draw(stream, F.lit(0), 60).cast("string"), F.lit("."), surrogates._draw(stream, F.lit(1), 60).cast("string"), F.lit(".1"))
 
-    surrogates._surrogate = crowded
-    try:
-        table = surrogates.surrogate_table(found).collect()
-    finally:
-        surrogates._surrogate = real
+    monkeypatch.setattr(surrogates, "_surrogate", crowded)
+    table = surrogates.surrogate_table(found, KEY).collect()
     assert len({r.surrogate for r in table}) == len(table) == 39 * 39
     assert not {r.entity for r in table} & {r.surrogate for r in table}
 
 
-def test_every_entity_passes_the_hint(spark):
+def test_full_spaces_end(spark, monkeypatch):
+    """All addresses and names of a form are taken: surrogates outgrow it. A form of fixed length that is full is an error."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    table = surrogates.surrogate_table(spark.createDataFrame(items([f"{a}@{b}.de" for a in letters for b in letters], "email"), ITEM), KEY).collect()
+    assert len({r.surrogate for r in table}) == 676 and not {r.entity for r in table} & {r.surrogate for r in table}
+    monkeypatch.setitem(surrogates._SYLLABLES, "latin", ["ba", "bo"])
+    table = surrogates.surrogate_table(spark.createDataFrame(items([f"Name{a}{b}" for a in letters for b in letters[:8]], "word"), ITEM), KEY).collect()
+    assert len({r.surrogate for r in table}) == 208
+    monkeypatch.setattr(surrogates, "MOST_DRAWS", 3)
+
+    def one_of_three(entity, name, stream, attempt, gender):
+        return F.concat(F.lit("9.9.9."), surrogates._draw(stream, F.lit(0), 3).cast("string"))
+
+    monkeypatch.setattr(surrogates, "_surrogate", one_of_three)
+    with pytest.raises(RuntimeError, match="type ip"):
+        surrogates.surrogate_table(spark.createDataFrame(items([f"1.1.1.{k}" for k in range(5)], "ip"), ITEM), KEY)
+
+
+def test_every_entity_passes_its_familys_hint(spark):
     """One entity for each writing the patterns know, with no digit, sign or word beside it that would let the text through."""
     secrets = ["token", "Token", "TOKEN", "password", "Password", "PASSWORD", "passwd", "Passwd", "secret", "Secret", "SECRET", "apikey", "Apikey", "apiKey", "ApiKey", "api_key", "Api-Key", "api-key", "API_KEY"]
     found = [("secret", f"{name}{sign}abcdefghXYZ") for name in secrets for sign in ("=", ": ", ' = "')]
     found += [("name", f"{t}{dot} Ödön Smith") for t in surrogates.TITLES_MALE + surrogates.TITLES_FEMALE + surrogates.TITLES_ANY for dot in ("", ".")]
-    found += [("email", "a@b.de"), ("key", "AKIA" + "B" * 16), ("key", "ASIA" + "C" * 16), ("hex", "abcdef" * 6), ("hex", "0" * 32), ("ip", "12.197.240.125"), ("card", "4418 4525 2484 2581"), ("ssn", "123-45-6789"), ("phone", "784-555-8120"), ("phone", "+49 30 1234 5678")]
+    found += [("email", "a@b.de"), ("key", "AKIA" + "B" * 16), ("key", "ASIA" + "C" * 16), ("hex", "abcdef" * 6), ("hex", "0" * 32), ("ip", "12.197.240.125"), ("ip", "1.1.1.1"), ("card", "4418 4525 2484 2581"), ("card", "4418452524842581"), ("ssn", "123-45-6789"), ("phone", "784-555-8120"), ("phone", "(784)555-8120"), ("phone", "+49 30 1234 5678"), ("phone", "+12345"), ("phone", "+1 2345")]
     assert {k for k, _ in found} == {k for k, _ in surrogates.PATTERNS}
     docs = spark.createDataFrame([(i, k, e, f"so {e} then") for i, (k, e) in enumerate(found)], "doc_id long, kind string, entity string, text string")
-    assert [r.entity for r in docs.filter((surrogates.kind(F.col("entity")) != F.col("kind")) | ~F.col("entity").rlike(surrogates.HINT)).collect()] == []
-    kept = surrogates.pseudonymize(docs).filter(F.col("_n_entities") != 1).unionByName(surrogates.pseudonymize(docs).filter(F.contains("text", "entity")))
-    assert [r.entity for r in kept.collect()] == []
+    family = F.lit(-1)
+    for i, (kinds, _) in enumerate(surrogates.FAMILIES):
+        family = F.when(F.col("kind").isin(kinds), F.lit(1 << i)).otherwise(family)
+    assert [r.entity for r in docs.filter((surrogates.kind(F.col("entity")) != F.col("kind")) | (surrogates.families(F.col("entity")).bitwiseAND(family) == 0)).collect()] == []
+    changed = surrogates.pseudonymize(docs, KEY)
+    assert [r.entity for r in changed.filter((F.col("_n_entities") != 1) | F.contains("text", F.col("entity"))).collect()] == []

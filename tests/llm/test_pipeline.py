@@ -8,6 +8,7 @@ import corpus_pipeline
 from sparkquill.llm import surrogates
 from sparkquill.llm._stage import staged
 from sparkquill.llm._tokens import load_tokenizer, tokenizer_path
+from sparkquill.llm.queries import surrogate_key
 from sparkquill.llm.quality_trees import quality_scores
 
 
@@ -96,7 +97,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert 2200 not in left and 2201 in left
     mail = r"[A-Za-z0-9._%+\-]+@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"
     mails = spark.createDataFrame([(m,) for m in sorted({m for t in left.values() for m in re.findall(mail, t or "")})], "entity string")
-    new = {r.entity: r.new for r in mails.select("entity", surrogates.surrogate(F.col("entity"), F.lit(0)).alias("new")).collect()}
+    new = {r.entity: r.new for r in mails.select("entity", surrogates.surrogate(F.col("entity"), F.lit(0), surrogate_key(spark)).alias("new")).collect()}
     left = {i: re.sub(mail, lambda m: new[m[0]], t or "") for i, t in left.items()}
     tokenizer, want = load_tokenizer(tokenizer_path("byte_bpe_50k.json")), {}
     for i, t in left.items():
