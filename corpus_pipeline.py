@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm._stage import staged
-from sparkquill.llm.fm_index import decontaminate
+from sparkquill.llm.fm_index import hits
 from sparkquill.llm.quality_trees import quality_scores
+from sparkquill.llm.queries import surrogate_key
 from sparkquill.llm.setsketch import near_duplicates
 from sparkquill.llm.surrogates import pseudonymize
 from sparkquill.llm.word_bpe import digest, encode_and_decode
@@ -46,12 +47,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(_boxed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id", "text", "box"])
+    found = hits(_boxed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id", "text", "box"])
     return _unboxed(found.filter("n_hit = 0"), docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    changed = pseudonymize(docs)
+    changed = pseudonymize(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.when(F.col("_n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(docs.columns)
@@ -63,7 +64,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("bpe", bpe)]
 
-#: The sketches, trees and merges have no SQL; the tests hold the stages against brute force.
+#: The trees and merges have no SQL. A test holds run() against plain Python, with the classifier's verdicts taken as they are.
 ORACLE_SQL = None
 
 
