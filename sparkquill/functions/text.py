@@ -41,8 +41,8 @@ def normalize(text: Column) -> Column:
         text = F.replace(text, F.lit(old), F.lit(new))
     text = F.translate(text, QUOTES_FROM, QUOTES_TO)
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
-    text = F.regexp_replace(text, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    text = F.when(F.contains(text, F.lit("-")) & F.contains(text, F.lit("\n")), F.regexp_replace(text, r"(?U)(\w)-\s*\n\s*(\w)", "$1$2")).otherwise(text)
+    return F.trim(F.regexp_replace(text, r"(?U) \s+|[\s&&[^ ]]\s*", " "))  # a single space is left alone
 
 
 def slug(title: Column) -> Column:

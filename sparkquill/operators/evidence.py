@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
+from sparkquill.staging import staged
+
+#: Sizes of the heads by which quotes are blocked: every quote has one of them.
+BLOCK_SIZES = (40, 20, 10, 5, 2, 1)
 
 
 def squashed(df: DataFrame, text: str = "text", compatibility: bool = True) -> DataFrame:
@@ -20,7 +24,7 @@ def resolve(evidence: DataFrame, chunks: DataFrame, compatibility: bool = True)
     squashes to nothing is contained in every chunk of its paper.
     """
     asked = evidence.select("qid", "ev", "paper_id", T.squash(F.col("quote"), compatibility).alias("q"))
-    held = chunks.select("paper_id", "chunk_id", T.squash(F.col("text"), compatibility).alias("t"))
+    held = chunks.join(asked.select("paper_id").distinct(), "paper_id", "left_semi").select("paper_id", "chunk_id", T.squash(F.col("text"), compatibility).alias("t"))
     head, tail = F.left("q", F.lit(T.MIN_PIECE)), F.right("q", F.lit(T.MIN_PIECE))
     met = asked.join(held, "paper_id").select(
         "qid", "ev", "chunk_id", F.contains("t", "q").alias("whole"), (F.contains("t", head) | F.contains("t", tail)).alias("piece")
@@ -32,16 +36,24 @@ def resolve(evidence: DataFrame, chunks: DataFrame, compatibility: bool = True)
 def resolve_anywhere(quotes: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
     """qid, ev, quote -> qid, ev, chunk_id for quotes without a known paper.
 
-    Blocked instead of nested: the hash of a quote's first MIN_PIECE squashed characters must be the hash of one of a
-    chunk's runs of that length; only then the whole quote is looked for. Shorter quotes aren't looked for.
+    Blocked instead of nested: a quote's head has BLOCK_SIZES[i] characters, for the largest size that its squashed text has; the
+    head's hash must be the hash of one of a chunk's runs of that size, and only then the whole quote is looked for. The hashes alone are joined;
+    texts come back for the chunks that met. A quote that squashes to nothing is contained in every chunk.
     """
-    asked = quotes.select("qid", "ev", T.squash(F.col("quote"), compatibility).alias("q")).filter(F.length("q") >= T.MIN_PIECE)
-    asked = asked.withColumn("block", F.xxhash64(F.left("q", F.lit(T.MIN_PIECE))))
-    held = chunks.select("chunk_id", T.squash(F.col("text"), compatibility).alias("t")).filter(F.length("t") >= T.MIN_PIECE)
-    at = held.select("chunk_id", "t", F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - T.MIN_PIECE + 1), lambda i: F.struct(i.alias("i"), F.xxhash64(F.substr("t", i, F.lit(T.MIN_PIECE))).alias("block")))).alias("p"))
-    wanted = asked.select("block").distinct()
-    near = at.select("chunk_id", "t", F.col("p.block").alias("block")).join(wanted, "block", "left_semi")
-    return near.join(asked, "block").filter(F.contains("t", "q")).select("qid", "ev", "chunk_id").distinct()
+    asked = quotes.select("qid", "ev", T.squash(F.col("quote"), compatibility).alias("q")).filter("q IS NOT NULL")
+    size = F.lit(None).cast("int")
+    for n in sorted(BLOCK_SIZES):
+        size = F.when(F.length("q") >= n, F.lit(n)).otherwise(size)
+    asked = staged(asked.withColumn("size", size).withColumn("block", F.xxhash64("size", F.expr("left(q, size)"))), "quotes")
+    wanted = asked.filter("size IS NOT NULL").select("size", "block").distinct()
+    held = staged(chunks.select("chunk_id", T.squash(F.col("text"), compatibility).alias("t")), "squashed")
+    # the sizes that occur are few: each makes one row of run hashes for a chunk
+    runs = held.crossJoin(F.broadcast(wanted.select("size").distinct())).filter("length(t) >= size")
+    runs = runs.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("size") + 1), lambda i: F.xxhash64("size", F.substr("t", i, F.col("size")))))).alias("block"))
+    near = runs.join(asked.filter("size IS NOT NULL").select("qid", "ev", "q", "block"), "block").select("qid", "ev", "q", "chunk_id").distinct()
+    met = near.join(held, "chunk_id").filter(F.contains("t", "q")).select("qid", "ev", "chunk_id")
+    every = held.select("chunk_id").crossJoin(F.broadcast(asked.filter("q = ''").select("qid", "ev")))  # the output itself
+    return met.unionByName(every.select("qid", "ev", "chunk_id")).distinct()
 
 
 def gold_chunks(resolved: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
+from sparkquill.staging import staged
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -47,40 +50,58 @@ def query_terms(questions: DataFrame, text: str = "question") -> DataFrame:
     return questions.select("qid", F.explode(T.tokenize(F.col(text))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
 
 
-def bm25(questions: DataFrame, chunks: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
+class Store:
+    """The chunks' words, cut once and staged; all lexical retrievers over these chunks read them from here.
+
+    The words of a chunk stay in one row, so document frequencies and postings need one shuffle each, of what is left
+    after counting within a task.
+    """
+
+    def __init__(self, chunks: DataFrame, text: str = "text"):
+        self.tokens = staged(tokens(chunks, text), "tokens")
+
+    @cached_property
+    def freq(self) -> DataFrame:
+        return staged(doc_freq(self.tokens), "frequencies")
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return staged(corpus_stats(self.tokens), "corpus_stats")
+
+    def postings_of(self, terms: DataFrame) -> DataFrame:
+        """chunk_id, dl, token, tf of the tokens of `terms` alone: other tokens go before anything is counted or shuffled."""
+        each = self.tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+        return each.join(terms.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
+
+
+def _store(chunks: DataFrame | Store, text: str) -> Store:
+    return chunks if isinstance(chunks, Store) else Store(chunks, text)
+
+
+def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:
     """qid, chunk_id, score (6 decimals), rank: always min(k, chunks) rows, unmatched chunks at score 0 in order of chunk_id.
 
-    Only postings of query terms are built: each chunk's tokens are joined with the distinct query terms before they are
-    counted. Where the mean idf is negative (tiny corpora), a match can rank below no match; then all chunks compete for
-    the places, else the k first do.
+    Only postings of query terms are counted. The k first chunks compete for the places with score 0. Where a query term weighs
+    less than 0, which takes a vocabulary whose words stand in more than half of all chunks on average (tiny corpora), a match can rank below
+    no match; then all chunks compete. Rows that share a chunk_id count as one chunk.
     """
-    tokenized = tokens(chunks, text)
-    terms = query_terms(questions)
-    stats = corpus_stats(tokenized)
-    weights = idf(doc_freq(tokenized), stats).join(terms.select("token").distinct(), "token", "left_semi")
-    length = F.size("tokens")
-    posted = (
-        tokenized.select("chunk_id", length.alias("dl"), F.explode("tokens").alias("token"))
-        .join(terms.select("token").distinct(), "token", "left_semi")
-        .groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-    )
+    store, terms = _store(chunks, text), query_terms(questions)
+    weights = idf(store.freq, store.stats).join(terms.select("token").distinct(), "token", "left_semi")
+    asked = terms.join(weights, "token").select("token", "qid", (F.col("qtf") * F.col("idf")).alias("w"))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = (
-        posted.join(weights, "token").crossJoin(F.broadcast(stats)).join(terms, "token")
-        .groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-    )
-    ids = chunks.select("chunk_id")
-    fill = ids.orderBy("chunk_id").limit(k) if weights.filter("idf < 0").isEmpty() else ids
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    scored = store.postings_of(terms).crossJoin(F.broadcast(store.stats)).join(asked, "token").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))  # stats is one row
+    ids = store.tokens.select("chunk_id")
+    below = weights.filter("idf < 0").agg(F.count("*").alias("n")).filter("n > 0")  # one row or none: without it nothing is paired
+    fill = ids.orderBy("chunk_id").limit(k).unionByName(ids.crossJoin(F.broadcast(below)).select("chunk_id"))
     zero = questions.select("qid").crossJoin(fill).withColumn("score", F.lit(0.0))
     both = scored.unionByName(zero).groupBy("qid", "chunk_id").agg(F.max_by("score", F.abs("score")).alias("score"))
     return rank_by(both, k, ["qid"], F.desc("score"), F.col("chunk_id"))
 
 
-def full_text_or(questions: DataFrame, chunks: DataFrame, k: int = 10, text: str = "text") -> DataFrame:
+def full_text_or(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:
     """OR of the question's words, unstemmed: occurrences of query words in a chunk, no idf; chunks without any don't appear."""
     terms = query_terms(questions).select("qid", "token")
-    posted = tokens(chunks, text).select("chunk_id", F.explode("tokens").alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
-    counted = posted.groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+    counted = _store(chunks, text).postings_of(terms)
     scored = counted.join(terms, "token").groupBy("qid", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
     return rank_by(scored, k, ["qid"], F.desc("score"), F.col("chunk_id"))

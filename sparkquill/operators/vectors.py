@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkquill.functions import text as T
 from sparkquill.operators.lexical import rank_by
@@ -17,16 +22,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """qid, chunk_id, score (cosine, 6 decimals), rank. Rows without a vector don't take part.
+#: Queries that are sent to the vectors' tasks at a time: this many vectors bound a broadcast.
+QUERY_BLOCK = 4096
+
+
+def _best(block, k: int):
+    """chunk_id, embedding -> the rows of each batch that can be among the k best of a query of the block: qid, chunk_id, cosine."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, q = block.value
+        for batch in batches:
+            lengths = np.diff(batch.column(1).offsets.to_numpy())
+            for width in np.unique(lengths).tolist():
+                if width != q.shape[1]:
+                    raise ValueError(f"a vector has {width} values, the queries have {q.shape[1]}")
+            v = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
+            norms = np.sqrt((v * v).sum(axis=1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosine = (q @ v.T) / norms[None, :]
+            rank = np.where(np.isnan(cosine), -np.inf, cosine)
+            least = np.partition(rank, -k, axis=1)[:, -k] if batch.num_rows > k else np.full(len(q), -np.inf)
+            at_q, at_v = np.nonzero(rank >= least[:, None] - 1e-6)  # equal ones, after rounding, are told apart later
+            yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(at_q)), batch.column(0).take(pa.array(at_v)), pa.array(cosine[at_q, at_v])], ["qid", "chunk_id", "cosine"])
+
+    return rows
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """qid, chunk_id, score (cosine, 6 decimals), rank. Rows without a vector don't take part; a zero vector's score is null and ranks last.
 
-    The queries are the stated set: they are sent to the vectors' tasks, so vectors aren't shuffled; each task keeps k
-    rows of a query before the exchange. Beyond Spark's limit for broadcasts the queries come in blocks.
+    The queries are the stated set: they are sent to the vectors' tasks `block` at a time, and one pass over the vectors, by
+    matrix products, keeps the k best rows of each query and batch. Vectors are never shuffled.
     """
+    spark = queries.sparkSession
     known = vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    asked = queries.filter(F.col("embedding").isNotNull()).select("qid", F.col("embedding").alias("_q"))
-    scored = known.crossJoin(asked).select("qid", "chunk_id", F.round(cosine(F.col("_q"), F.col("embedding")), 6).alias("score"))
-    return rank_by(scored, k, ["qid"], F.desc("score"), F.col("chunk_id"))
+    asked = queries.filter(F.col("embedding").isNotNull()).select("qid", "embedding")
+    schema = StructType([asked.schema["qid"], known.schema["chunk_id"], StructField("cosine", DoubleType())])
+    blocks = -(-asked.count() // block)
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()  # about `block` rows
+        if part.num_rows:
+            q = np.array(part.column("embedding").to_pylist(), dtype=np.float64)
+            norms = np.sqrt((q * q).sum(axis=1, keepdims=True))
+            q = np.divide(q, norms, out=np.full_like(q, np.nan), where=norms > 0)
+            sent = spark.sparkContext.broadcast((part.column("qid").combine_chunks(), q))
+            found = found.unionByName(known.mapInArrow(_best(sent, k), schema))
+    score = F.when(F.isnan("cosine"), F.lit(None).cast("double")).otherwise(F.round("cosine", 6))
+    return rank_by(found.select("qid", "chunk_id", score.alias("score")), k, ["qid"], F.desc_nulls_last("score"), F.col("chunk_id"))
 
 
 def hash_bucket(token: Column, dim: int) -> Column:

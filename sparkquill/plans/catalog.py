@@ -12,6 +12,7 @@ from sparkquill.operators import chunking, evidence, fusion, gate, lexical, metr
 from sparkquill.operators import documents as D
 from sparkquill.operators.answers import check_citations
 from sparkquill.sources import readers, store
+from sparkquill.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,14 +47,19 @@ def header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.left("text", F.lit(120)).alias("question"))
+    """The whole texts of the benchmark's items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def store_of(chunks_: DataFrame) -> lexical.Store:
+    return lexical.Store(chunks_)
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence: passages of documents, three for every document whose id is divisible by 50, asked of their own document."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 50 = 0")
-    cut = docs.select("doc_id", T.normalize(F.col("text")).alias("t"))
-    each = cut.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("ev"), "t")
+    """Evidence: passages of 90 characters, one for every 700 of the whole text of every document whose id is divisible by 20, asked of their own document."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 20 = 0")
+    cut = docs.select("doc_id", T.normalize(F.col("text")).alias("t")).filter("t <> ''")
+    each = cut.select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.length("t") / 700).cast("int"))).alias("ev"), "t")
     return each.select(F.col("doc_id").alias("qid"), "ev", F.col("doc_id").cast("string").alias("paper_id"), F.substr("t", (F.col("ev") - 1) * 700 + 1, F.lit(90)).alias("quote")).filter(F.length("quote") >= 20)
 
 
@@ -77,7 +83,7 @@ def slug_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.upper(F.left("p_name", F.lit(30)))
+    title = F.upper("p_name")
     return table(spark, sf_dir, "part").select("p_partkey", T.clean_title(F.concat(F.lit("3 "), title, F.lit("."))).alias("title"), T.clean_title(F.col("p_name")).alias("plain"))
 
 
@@ -165,27 +171,37 @@ def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- fusion ----
 
 
-def _two_lexical(spark: SparkSession, sf_dir: str, left: DataFrame) -> list[DataFrame]:
-    q = questions(spark, sf_dir)
-    return [lexical.bm25(q, left, fusion.POOL), lexical.full_text_or(q, plain_chunks(spark, sf_dir), fusion.POOL)]
+def _two_lexical(spark: SparkSession, sf_dir: str, header: bool = False) -> list[DataFrame]:
+    q, plain = questions(spark, sf_dir), store_of(plain_chunks(spark, sf_dir))
+    left = store_of(header_chunks(spark, sf_dir)) if header else plain
+    return [lexical.bm25(q, left, fusion.POOL), lexical.full_text_or(q, plain, fusion.POOL)]
 
 
 @query
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir, plain_chunks(spark, sf_dir)), 10)
+    return fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir), 10)
 
 
 @query
 def hybrid_header_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir, header_chunks(spark, sf_dir)), 10)
+    return fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir, header=True), 10)
 
 
 @query
 def hybrid_rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir, plain_chunks(spark, sf_dir)), fusion.RERANK_POOL)
+    base = fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir), fusion.RERANK_POOL)
     return fusion.rerank(questions(spark, sf_dir), plain_chunks(spark, sf_dir), base, 10)
 
 
+@query
+def hybrid_vector_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default retriever: BM25 over chunks with headers, fused with the nearest hashed embeddings of the same texts."""
+    q, headed = questions(spark, sf_dir), header_chunks(spark, sf_dir)
+    asked = vectors.hash_embedding(q, "qid", "question", DIM)
+    held = vectors.hash_embedding(headed, "chunk_id", "text", DIM).filter(F.exists("embedding", lambda x: x != 0))
+    return fusion.reciprocal_rank_fusion([lexical.bm25(q, headed, fusion.POOL), vectors.vector_topk(asked, held, fusion.POOL)], 10)
+
+
 # ---- evidence ----
 
 
@@ -234,11 +250,12 @@ def _own_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     asked = quotes(spark, sf_dir)
     q = asked.groupBy("qid").agg(F.min_by("quote", "ev").alias("question"), F.count("*").alias("n_evidence"))
     q = q.withColumn("kind", F.when(F.col("qid") % 100 == 0, F.lit("cross_paper")).otherwise(F.lit("factual"))).withColumn("distractors", F.array(F.col("qid").cast("string")))
-    c = chunks(spark, sf_dir)
+    q, c = staged(q, "questions"), chunks(spark, sf_dir)
     resolved = evidence.resolve(asked, c).select("qid", "ev", "chunk_id")
+    store = store_of(c)
     ranked = [
-        lexical.bm25(q.select("qid", "question"), c.select("chunk_id", "text"), 10).withColumn("retriever", F.lit("bm25")),
-        lexical.full_text_or(q.select("qid", "question"), c.select("chunk_id", "text"), 10).withColumn("retriever", F.lit("fts")),
+        lexical.bm25(q.select("qid", "question"), store, 10).withColumn("retriever", F.lit("bm25")),
+        lexical.full_text_or(q.select("qid", "question"), store, 10).withColumn("retriever", F.lit("fts")),
     ]
     rankings = ranked[0].select("retriever", "qid", "chunk_id", "rank").unionByName(ranked[1].select("retriever", "qid", "chunk_id", "rank"))
     paper = F.regexp_replace(F.substring_index("chunk_id", ":", 1), "^0+(?=.)", "")
@@ -328,7 +345,9 @@ def stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.store_stats(_versions(spark, sf_dir)[1])
+    """Over all documents; those whose id is divisible by 4 have a vector."""
+    docs = table(spark, sf_dir, "documents")
+    return store.store_stats(docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.lit(-1.0)).alias("embedding")))
 
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:

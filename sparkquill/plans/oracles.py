@@ -26,7 +26,7 @@ chunks AS (
   SELECT doc_id, source, lang, n, printf('%010d:%03d', doc_id, n) AS chunk_id, array_to_string(w[n * 250 + 1:n * 250 + 300], ' ') AS text
   FROM (SELECT *, unnest(range(0, CASE WHEN len(w) > 300 THEN (len(w) - 51) // 250 + 1 WHEN len(w) > 0 THEN 1 ELSE 0 END)) AS n FROM cut))"""
 HEADED = "headed AS (SELECT chunk_id, coalesce(lang, doc_id::VARCHAR) || '. ' || source || '. ' || text AS text FROM chunks)"
-ASKED = "questions AS (SELECT item_id AS qid, left(text, 120) AS question FROM benchmark)"
+ASKED = "questions AS (SELECT item_id AS qid, text AS question FROM benchmark)"
 
 
 def tokens(source: str, name: str = "tk") -> str:
@@ -62,8 +62,9 @@ def rrf(name: str, left: str, right: str, k: int) -> str:
     SELECT qid, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT qid, chunk_id, rank FROM {left} UNION ALL SELECT qid, chunk_id, rank FROM {right}) GROUP BY ALL)) WHERE rank <= {k})"""
 
 
-QUOTES = f"""q0 AS (SELECT doc_id, {norm('text')} AS t FROM documents WHERE doc_id % 50 = 0),
-quotes AS (SELECT doc_id AS qid, ev, doc_id::VARCHAR AS paper_id, substr(t, (ev - 1) * 700 + 1, 90) AS quote FROM q0, (SELECT unnest([1, 2, 3]) AS ev) WHERE length(substr(t, (ev - 1) * 700 + 1, 90)) >= 20)"""
+QUOTES = f"""q0 AS (SELECT doc_id, {norm('text')} AS t FROM documents WHERE doc_id % 20 = 0),
+q1 AS (SELECT doc_id, t, unnest(range(1, (length(t) + 699) // 700 + 1)) AS ev FROM q0),
+quotes AS (SELECT doc_id AS qid, ev::INT AS ev, doc_id::VARCHAR AS paper_id, substr(t, (ev - 1) * 700 + 1, 90) AS quote FROM q1 WHERE length(substr(t, (ev - 1) * 700 + 1, 90)) >= 20)"""
 SHIFTED = "asked AS (SELECT qid, ev, CASE ev WHEN 2 THEN 'none' WHEN 3 THEN (qid + 1)::VARCHAR ELSE qid::VARCHAR END AS paper_id, quote FROM quotes)"
 
 
@@ -113,7 +114,7 @@ ORACLE_SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {norm('text')} AS normalized FROM documents",
     "squash_text": f"SELECT doc_id, {squash('text')} AS squashed FROM documents",
     "slug_text": "SELECT doc_id, coalesce(nullif(left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 40), ''), 'body') AS slug FROM documents",
-    "clean_titles": "SELECT p_partkey, '3 ' || upper(left(rtrim(left(p_name, 30), '.'), 1)) || lower(substr(rtrim(left(p_name, 30), '.'), 2)) AS title, rtrim(p_name, '.') AS plain FROM part",
+    "clean_titles": "SELECT p_partkey, '3 ' || upper(left(rtrim(p_name, '.'), 1)) || lower(substr(rtrim(p_name, '.'), 2)) AS title, rtrim(p_name, '.') AS plain FROM part",
     "tokenize_count": f"SELECT doc_id, len(t)::INT AS n_tokens, array_to_string(t[1:10], ' ') AS first_tokens FROM (SELECT doc_id, {toks('text')} AS t FROM documents)",
     "chunk_words": f"WITH {CUT} SELECT chunk_id, text FROM chunks",
     "postings_tf": f"WITH {CUT}, {tokens('chunks')} SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest(t) AS token FROM tk) GROUP BY ALL",
@@ -137,13 +138,17 @@ ORACLE_SQL: dict[str, str] = {
       s AS (SELECT qid, chunk_id, r.rank AS base_rank, len(list_intersect(list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))))::DOUBLE AS score
         FROM r JOIN questions USING (qid) JOIN chunks USING (chunk_id))
       SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, base_rank) AS rank FROM s) WHERE rank <= 10""",
+    "hybrid_vector_rrf": f"""WITH {CUT}, {HEADED}, {ASKED}, {bm25('b', 'headed', 50)}, {hashed('hq', 'questions', 'qid', 'question')}, {hashed('hd', 'headed', 'chunk_id', 'text')},
+      hs AS (SELECT qid, chunk_id, sum(hq.v * hd.v) AS s FROM hq JOIN hd USING (bucket) GROUP BY ALL),
+      hf AS (SELECT qid, chunk_id, round(coalesce(s, 0.0), 6) AS score FROM (SELECT DISTINCT qid FROM hq) CROSS JOIN (SELECT DISTINCT chunk_id FROM hd) LEFT JOIN hs USING (qid, chunk_id)),
+      h AS (SELECT qid, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM hf) WHERE rank <= 50), {rrf('r', 'b', 'h', 10)} SELECT * FROM r""",
     "evidence_resolve": f"WITH {CUT}, {QUOTES}, {resolve('quotes')} SELECT * FROM resolved",
     "evidence_head_tail": f"WITH {CUT}, {QUOTES}, cut_off AS (SELECT * REPLACE (quote || ' and so forth' AS quote) FROM quotes), {resolve('cut_off')} SELECT qid, ev, chunk_id FROM resolved WHERE NOT whole",
     "evidence_unresolved": f"""WITH {CUT}, {QUOTES}, {SHIFTED}, {resolve('asked')}
       SELECT qid, ev, CASE WHEN paper_id NOT IN (SELECT doc_id::VARCHAR FROM chunks) THEN 'paper ''' || paper_id || ''' is not in the corpus' ELSE 'quote not found in ' || paper_id END AS problem
       FROM asked WHERE (qid, ev) NOT IN (SELECT (qid, ev) FROM resolved)""",
     "evidence_anywhere": f"""WITH {CUT} SELECT DISTINCT item_id AS qid, 1 AS ev, chunk_id FROM (SELECT item_id, {squash('text')} AS q FROM benchmark), (SELECT chunk_id, {squash('text')} AS t FROM chunks)
-      WHERE length(q) >= 40 AND contains(t, q)""",
+      WHERE contains(t, q)""",
     "evidence_pages": f"""WITH {CUT}, {QUOTES},
       t AS (SELECT doc_id, n + 1 AS page, {squash('text')} AS t FROM chunks),
       u AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY page) AS nxt FROM t),
@@ -169,7 +174,7 @@ ORACLE_SQL: dict[str, str] = {
     "upsert_chunks": f"""WITH {VERSIONS} SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN n.doc_id IS NOT NULL THEN n.lang ELSE o.lang END AS lang, coalesce(n.embedding, o.embedding) AS embedding
       FROM o FULL JOIN n ON o.doc_id = n.doc_id""",
     "stale_chunks": f"WITH {VERSIONS} SELECT doc_id FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)",
-    "store_stats": f"WITH {VERSIONS} SELECT count(*) AS n_chunks, count(embedding) AS n_embedded FROM n",
+    "store_stats": "SELECT count(*) AS n_chunks, count(*) FILTER (WHERE doc_id % 4 = 0) AS n_embedded FROM documents",
     "gold_composition": f"WITH {GOLD} SELECT kind, count(*) AS total, count(*) FILTER (WHERE status = 'verified') AS verified, count(*) FILTER (WHERE status = 'draft') AS drafts FROM gold GROUP BY kind",
     "duplicate_ids": "SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1",
     "scored_questions": f"WITH {GOLD} SELECT id FROM gold WHERE kind <> 'unanswerable' AND status = 'verified' AND id NOT LIKE 'tmpl-%'",
