@@ -67,10 +67,11 @@ class Pieces:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, style: str, specials: tuple[str, ...]):
         text = raw.tobytes().decode("utf-8", "replace")
+        low = text.lower() if style == "lower" else text
         ends = np.zeros(len(raw) + 1, dtype=np.int64)
         np.cumsum((raw & 0xC0) != 0x80, out=ends[1:])
         bounds = ends[offsets]
-        if len(text) != ends[-1] or (style == "lower" and not (text.isascii() or (unicodedata.is_normalized("NFC", text) and "Σ" not in text and len(text.lower()) == len(text)))) or any(s in text for s in specials):
+        if len(text) != ends[-1] or (style == "lower" and not (text.isascii() or (unicodedata.is_normalized("NFC", text) and "Σ" not in text and len(low) == len(text)))) or any(s in text for s in specials):
             # lengths change or special tokens occur: text by text
             texts = [raw[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in range(len(offsets) - 1)]
             parts, sizes, cuts, special_at = [], [], [], []
@@ -89,8 +90,7 @@ class Pieces:
             bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             cuts = np.array(cuts, dtype=np.int64)
         else:
-            text = text.lower() if style == "lower" else text
-            cuts, special_at = bounds[:-1], []
+            text, cuts, special_at = low, bounds[:-1], []
         self.text = text
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         self.start, self.end = _split(points, np.unique(cuts[cuts < len(points)]), np.array(special_at, dtype=np.int64), style)
@@ -217,18 +217,25 @@ class WordIds:
 
     def clear(self) -> None:
         self.slot: dict = {}
+        self.known, self.known_slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their slots
+        self.held = 0
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.offset = np.zeros(1 << 15, dtype=np.int64)
 
     def slots(self, hashes: np.ndarray, word) -> np.ndarray:
-        """Slots of distinct hashes; word(i) gives the i-th word's text."""
-        if len(self.slot) + len(hashes) > self.limit:
+        """Slots of distinct hashes in ascending order; word(i) gives the i-th word's text."""
+        if self.held + len(hashes) > self.limit:
             self.clear()
-        keys = hashes.tolist()
-        get = self.slot.get
-        missing = [i for i, k in enumerate(keys) if get(k) is None]
-        self._learn([keys[i] for i in missing], [word(i) for i in missing])
-        return np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))
+        at = np.searchsorted(self.known, hashes)
+        inside = at < len(self.known)
+        inside[inside] = self.known[at[inside]] == hashes[inside]
+        missing = np.flatnonzero(~inside)
+        fresh = self.held + np.arange(len(missing))
+        self._learn([word(i) for i in missing.tolist()])
+        out = np.empty(len(hashes), dtype=np.int64)
+        out[inside], out[missing] = self.known_slot[at[inside]], fresh
+        self.known, self.known_slot = np.insert(self.known, at[missing], hashes[missing]), np.insert(self.known_slot, at[missing], fresh)
+        return out
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some words, one after the other, and the number of each."""
@@ -240,26 +247,28 @@ class WordIds:
         each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([y for x in each for y in x], dtype=np.int64), np.array([len(x) for x in each], dtype=np.int64)
 
-    def _learn(self, keys: list, words: list[str]) -> None:
-        for lo in range(0, len(keys), 4096):
-            part = keys[lo : lo + 4096]
-            ids, lengths = self._encoded(words[lo : lo + 4096])
-            base = len(self.slot)
+    def _learn(self, words: list[str]) -> None:
+        """Takes up new words in the next slots."""
+        for lo in range(0, len(words), 4096):
+            part = words[lo : lo + 4096]
+            ids, lengths = self._encoded(part)
+            base = self.held
             while base + len(part) + 1 > len(self.offset):
                 self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
             self.offset[base + 1 : base + len(part) + 1] = self.offset[base] + np.cumsum(lengths)
             while self.offset[base + len(part)] > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.offset[base] : self.offset[base + len(part)]] = ids
-            self.slot.update(zip(part, range(base, base + len(part))))
+            self.held += len(part)
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words given as UTF-8, one after the other, and the number of each."""
-        if len(self.slot) + len(words) > self.limit:
+        if self.held + len(words) > self.limit:
             self.clear()
         get = self.slot.get
         missing = [w for w in words if get(w) is None]
-        self._learn(missing, [w.decode("utf-8", "surrogatepass") for w in missing])
+        self.slot.update(zip(missing, range(self.held, self.held + len(missing))))
+        self._learn([w.decode("utf-8", "surrogatepass") for w in missing])
         return self.expand(np.fromiter(map(self.slot.__getitem__, words), dtype=np.int64, count=len(words)))
 
     def expand(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,6 +29,8 @@ from sparkquill.llm._stage import drop_staged, new_path, staged
 from sparkquill.llm._tokens import Pieces, load_tokenizer, shared_word_ids, sums_by, tokenizer_path
 
 PRECISION, LANES, CHECKPOINT, FRAME_TOKENS = 20, 32, 512, 1 << 16
+#: Frames that are coded together: numpy's cost for each step is shared by them.
+SIDE_BY_SIDE = 32
 END_ID = 1
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 _LOW = np.uint64(1 << 31)
@@ -192,7 +194,7 @@ def _framer(table):
                 size, held = size + len(x), held + len(x)
                 if held >= FRAME_TOKENS:
                     held = 0
-                    if size >= 16 * FRAME_TOKENS:
+                    if size >= SIDE_BY_SIDE * FRAME_TOKENS:
                         yield flush()
                     else:
                         ids.append([])
@@ -231,8 +233,8 @@ def _reader(table):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = table.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 8):
-                part = batch.slice(lo, 8)
+            for lo in range(0, batch.num_rows, SIDE_BY_SIDE):
+                part = batch.slice(lo, SIDE_BY_SIDE)
                 decoded = decode_frames(part.column(3).to_pylist(), freq)
                 for i, ids in enumerate(decoded):
                     lengths = np.array(part.column(2)[i].as_py(), dtype=np.int64)
