@@ -349,11 +349,16 @@ def test_suspects_of_a_text_do_not_depend_on_its_neighbours():
 
 def test_restore_equals_exhaustive_search():
     """Every spelling of short lattices is scored; the counts the search asks for are among the runs named beforehand."""
-    vocabulary = pa.record_batch({"token": pa.array(["stupid", "idiot", "idle", "boot", "bot", "été", "hello"]), "n": pa.array([40, 30, 9, 20, 50, 8, 60])})
-    counts = {}
-    for out in toxicity._gram_rows(iter([vocabulary])):
-        for g, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
-            counts[g] = counts.get(g, 0) + n
+    words = {"stupid": 40, "idiot": 30, "IDLE": 9, "boot": 20, "bot": 50, "Été": 8, "hello": 60}
+    gram, n = toxicity.grams_of("".join(chr(toxicity.BEGIN) + w for w in [*words, "no·word"]).encode(), np.array([*words.values(), 7]))
+    counts, plain = dict(zip(gram.tolist(), n.tolist())), Counter()
+    for w, k in words.items():
+        symbols = (toxicity.BEGIN, *map(ord, w.lower()), toxicity.END)
+        plain.update({toxicity._code(symbols[i : i + m]): 0 for m in range(1, 5) for i in range(len(symbols) - m + 1)})
+        for m in range(1, 5):
+            for i in range(len(symbols) - m + 1):
+                plain[toxicity._code(symbols[i : i + m])] += k
+    assert counts == plain
     assert counts[toxicity._code((toxicity.BEGIN, ord("i"), ord("d")))] == 39 and counts[toxicity._code((ord("o"), ord("t"), toxicity.END))] == 100
 
     def spellings(token):
