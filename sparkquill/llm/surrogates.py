@@ -1,6 +1,6 @@
 """Operator 8: keyed surrogates for personal data.
 
-Entities are found by one pattern: e-mail and IPv4 addresses, payment cards, US social security numbers, phone numbers, access keys,
+Entities are found by one pattern: e-mail and IPv4 addresses, payment cards (by their check digit, so that other numbers of 16 digits stay), US social security numbers, phone numbers, access keys,
 named secrets, long hexadecimal tokens, and names after a form of address. Each gets a surrogate of its own type, drawn from the
 caller's key, the type and the entity's canonical form: letters become letters, digits digits, case and punctuation stay; cards keep
 their first digit and a valid check digit; addresses keep valid octets. The canonical form drops what only varies in writing
@@ -164,9 +164,15 @@ def _luhn(digits: Column) -> Column:
 
 def _card(entity: Column, stream: Column) -> Column:
     drawn = _numbered(entity, stream, F.lit(1))
-    valid = F.pmod(_luhn(_digits(entity)) + F.substr(_digits(entity), F.length(_digits(entity))).cast("int"), F.lit(10)) == 0
     check = F.pmod(10 - F.pmod(_luhn(_digits(drawn)), F.lit(10)), F.lit(10)).cast("string")
-    return F.when(valid, F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)).otherwise(drawn)
+    return F.concat(F.substr(drawn, F.lit(1), F.length(drawn) - 1), check)
+
+
+def is_entity(found: Column) -> Column:
+    """Whether what the pattern found is an entity: a number of 16 digits is a card only if its check digit is right."""
+    digits = _digits(found)
+    card = (F.length(digits) == 16) & found.rlike(r"^[3-6][\d \-]+$")
+    return ~card | (F.pmod(_luhn(digits) + F.right(digits, F.lit(1)).try_cast("int"), F.lit(10)) == 0)
 
 
 def _grown(attempt: Column, stream: Column) -> Column:
@@ -294,14 +300,14 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     # the row travels as one value, so that no column of the input meets a name used here
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.lit(0).alias("_")).alias("box"), F.col(f"`{text}`").alias("body"))
     found = boxed.withColumn("mask", F.coalesce(families(F.col("body")), F.lit(0))).withColumn("found", entities(F.col("body"), F.col("mask"))).drop("mask")
-    found = staged(found.withColumn("row", F.monotonically_increasing_id()), "found")
-    plain = found.filter(F.size("found") == 0).select("box", "body", F.lit(0).alias("n"))
-    rows = found.filter(F.size("found") > 0)
-    each = rows.select("row", F.posexplode("found").alias("at", "entity"))
+    found = staged(found.withColumn("n", F.size(F.filter("found", is_entity))).withColumn("row", F.monotonically_increasing_id()), "found")
+    plain = found.filter("n = 0").select("box", "body", "n")
+    rows = found.filter("n > 0")
+    each = rows.select("row", F.posexplode("found").alias("at", "entity")).filter(is_entity(F.col("entity")))
     table = surrogates_of(each.groupBy("entity").agg(F.count("*").alias("n")), key)
     met = salted_lookup(each, table, "entity", "row", "n")
-    new = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "surrogate"))).alias("new"))  # one document's entities
-    gaps = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get(F.col("new"), i)["surrogate"], F.lit(""))))
-    changed = rows.withColumn("gaps", F.split("body", PATTERN, -1)).join(new, "row").select("box", F.array_join(gaps, "").alias("body"), F.size("found").alias("n"))
+    new = met.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "surrogate"))).alias("new"))  # one document's entities
+    gaps = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.element_at("new", i), F.get(F.col("found"), i), F.lit(""))))
+    changed = rows.withColumn("gaps", F.split("body", PATTERN, -1)).join(new, "row").select("box", F.array_join(gaps, "").alias("body"), "n")
     both = plain.unionByName(changed)
     return both.select(*[F.col("body").alias(text) if c == text else F.col(f"box.`{c}`") for c in docs.columns], F.col("n").alias("_n_entities"))

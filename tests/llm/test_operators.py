@@ -423,17 +423,22 @@ def plain_entities(text):
     import regex
 
     pattern = regex.compile("|".join(p for _, p in surrogates.PATTERNS), regex.ASCII)
-    return [(m.start(), m[0]) for m in pattern.finditer(text or "")]
+    def card(x):
+        digits = [int(c) for c in x if c.isdigit()]
+        return sum(d if k % 2 == 0 else d * 2 - 9 * (d > 4) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+    found = [(m.start(), m[0]) for m in pattern.finditer(text or "")]
+    return [(at, x) for at, x in found if len(re.sub(r"\D", "", x)) != 16 or not re.fullmatch(r"[3-6][\d \-]+", x) or card(x)]
 
 
 def test_every_entity_has_one_surrogate(spark):
     """Against a plain table of entities: found entities, the same one everywhere, others for others, and gaps as they were."""
     rng = np.random.default_rng(16)
     pieces = ["a@b.de", "A@B.de", "john@x.org", "Mr Miller", "Mr John Miller", "Frau Anna Miller", "Dr. John", "Mrs Smith-Jones", "12.197.240.125", "1.1.1.1", "123-45-6789", "+12345", "+1 2345", "784-555-8120", "(784) 555-8120", "+1 784 555 8120",
-              "4418 4525 2484 2581", "token: abcdefgh", "API_KEY=abcdefghXYZ", "AKIA" + "B" * 16, "0" * 32, "word", "1999", "12 3.4", "a.b", "Ms", "x@", "pass", "\n", "é", "3-4", "555 1234", "v1.2.3"]
+              "4418 4525 2484 2581", "4418452524842582", "3627 0721 0103 2239", "token: abcdefgh", "API_KEY=abcdefghXYZ", "AKIA" + "B" * 16, "0" * 32, "word", "1999", "12 3.4", "a.b", "Ms", "x@", "pass", "\n", "é", "3-4", "555 1234", "v1.2.3"]
     rows = [(i, " ; ".join(pieces[k] for k in rng.integers(0, len(pieces), n))) for i, n in enumerate(rng.integers(0, 25, 150))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: list(r.e) for r in docs.select("doc_id", surrogates.entities(F.col("text"), surrogates.families(F.col("text"))).alias("e")).collect()}
+    found = {r.doc_id: list(r.e) for r in docs.select("doc_id", F.filter(surrogates.entities(F.col("text"), surrogates.families(F.col("text"))), surrogates.is_entity).alias("e")).collect()}
     assert found == {i: [e for _, e in plain_entities(t)] for i, t in rows}
     new: dict[str, set[str]] = {}
     for r in surrogates.pseudonymize(docs, KEY).collect():
