@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
 
+# ---- fixed values: the messages of a refusal ----
+
 UNVERIFIED = "The model drafted an answer but none of its citations could be verified against the retrieved passages, so it was withheld."
 CUT_OFF = "The model's reply was cut off at the token limit, so no answer was produced."
 UNSUPPORTED = "The retrieved passages do not support an answer."
@@ -81,8 +83,8 @@ def render_sources(retrieved: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def spot_check(results: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows picked by the hash of their qid: the same picks for the same seed."""
-    return results.orderBy(F.xxhash64(F.lit(seed), "qid"), "qid").limit(n)
+    """n rows picked by the md5 of seed and qid: the same picks for the same seed."""
+    return results.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("qid").cast("string")).cast("binary")), "qid").limit(n)
 
 
 def answer_results(gold: DataFrame, responses: DataFrame, resolved: DataFrame, judged: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# ---- fixed values: the notes of a review ----
+
+REVIEWER, FLAGGED = "Reviewer: ", "Reviewer flagged this for a fix."
+
+
 def regression_failures(current: DataFrame, baseline: DataFrame, margins: DataFrame) -> DataFrame:
     """metric, reason of the metrics that fell more than their margin below the baseline, or are missing now.
 
@@ -40,6 +45,11 @@ def select_questions(gold: DataFrame, include_drafts: bool = False, limit: int =
     return chosen.orderBy(position).limit(limit) if limit else chosen
 
 
+def first_seen(df: DataFrame, value: str, position: str) -> DataFrame:
+    """Distinct values with their first position, in that order."""
+    return df.groupBy(value).agg(F.min(position).alias(position)).orderBy(position, value)
+
+
 def invalid_questions(gold: DataFrame) -> DataFrame:
     """id, problem of gold rows that break an invariant."""
     evidence, unanswerable = F.coalesce(F.size("evidence"), F.lit(0)), F.col("kind") == "unanswerable"
@@ -73,7 +83,7 @@ def apply_reviews(gold: DataFrame, reviews: DataFrame) -> DataFrame:
     j = gold.join(r, "id", "left").filter(F.coalesce(F.col("_verdict") != "rejected", F.lit(True)))
     new_q = (F.col("_q") != "") & (F.col("_q") != F.col("question"))
     new_a = (F.col("_a") != "") & (F.col("_a") != F.coalesce("reference_answer", F.lit("")))
-    note = F.when(F.col("_c") != "", F.concat(F.lit("Reviewer: "), "_c")).otherwise(F.lit("Reviewer flagged this for a fix."))
+    note = F.when(F.col("_c") != "", F.concat(F.lit(REVIEWER), "_c")).otherwise(F.lit(FLAGGED))
     return j.select(
         "id",
         F.when(new_q, F.col("_q")).otherwise(F.col("question")).alias("question"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkquill.operators.ranks import nearest_ranks, numbered
+
 # ---- per row, over arrays ----
 
 
@@ -40,11 +42,6 @@ def citation_precision(cited: Column, gold: Column) -> Column:
 # ---- over tables ----
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The smallest value with at least q percent of the values at or below it."""
-    return F.expr(f"percentile_disc({q / 100}) WITHIN GROUP (ORDER BY {value})")
-
-
 def question_metrics(rankings: DataFrame, resolved: DataFrame, questions: DataFrame, k: int = 5, depth: int = 10) -> DataFrame:
     """retriever, qid, kind, recall (share of evidence quotes with a chunk in the first k), hit, rank (first gold), rr, wrong (cross-paper questions: share of distractors among the first k).
 
@@ -98,30 +95,30 @@ def summarize_answers(results: DataFrame, by_kind: bool = False) -> DataFrame:
         mean(~F.col("refused"), unanswerable).alias("false_answer_rate"), mean(F.col("citation_precision"), answered).alias("citation_precision"),
         mean(F.col("citation_hit"), answered).alias("citation_hit_rate"), mean(F.col("wrong_paper_citation"), answered).alias("wrong_paper_citation_rate"),
         mean(F.col("faithfulness"), scored).alias("faithfulness"), F.coalesce(F.sum(F.when(scored, F.col("dropped_citations"))), F.lit(0)).alias("citations_dropped_total"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE error IS NULL)").alias("latency_p50_ms"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms) FILTER (WHERE error IS NULL)").alias("latency_p95_ms"),
         mean(F.col("input_tokens"), ok).alias("mean_input_tokens"), mean(F.col("output_tokens"), ok).alias("mean_output_tokens"), mean(F.col("cost_usd"), ok).alias("mean_cost_usd"),
         F.round(F.coalesce(F.sum("judge_cost_usd"), F.lit(0.0)), 6).alias("total_judge_cost_usd"),
     ]
-    return results.groupBy(*(["kind"] if by_kind else [])).agg(*aggregates)
+    groups = ["kind"] if by_kind else []
+    latency = nearest_ranks(results.filter(ok).withColumn("latency_ms", F.col("latency_ms").cast("double")), groups, "latency_ms", {"latency_p50_ms": 50, "latency_p95_ms": 95})
+    counts = results.groupBy(*groups).agg(*aggregates)
+    if not by_kind:
+        return counts.crossJoin(latency)  # a row each
+    return counts.join(latency.withColumnRenamed("kind", "_kind"), F.col("kind").eqNullSafe(F.col("_kind")), "left").drop("_kind")
 
 
 def bootstrap_ci(deltas: DataFrame, value: str = "delta", samples: int = 5000, seed: int = 7) -> DataFrame:
-    """One row: mean, low and high end of the 95 % interval of the mean over resampled rows.
+    """One row: mean, low and high end of the 95 % interval of the mean over resampled rows; no row for an empty table.
 
-    deltas: one row for each question. A resample draws n row numbers by hash, so equal inputs give equal intervals. The
-    draws (n x samples) are generated in parallel and meet the n numbered values; the questions of an evaluation set
-    are few, so the numbering window is small.
+    deltas: one row for each question (qid). A resample draws n row numbers, in the order of qid, by md5, so equal inputs give equal
+    intervals. The draws (n x samples) are generated in parallel and summed up within their tasks.
     """
-    from pyspark.sql import Window
-
-    numbered = deltas.select((F.row_number().over(Window.orderBy("qid")) - 1).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
-    n = numbered.agg(F.count("*").alias("n"))
-    spark = deltas.sparkSession
-    draws = spark.range(samples).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).select(
-        "rep", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), j), F.col("n")))).alias("i")
-    )
-    means = draws.join(numbered, "i").groupBy("rep").agg(F.avg("v").alias("m"))
-    return means.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("p")).crossJoin(numbered.agg(F.avg("v").alias("mean"))).select(
+    rows = numbered(deltas.select("qid", F.col(value).cast("double").alias("v")), ["qid"])
+    n = rows.count()
+    digest = F.md5(F.concat_ws("|", F.lit(seed), "rep", "j").cast("binary"))
+    draws = deltas.sparkSession.range(samples * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), F.expr(f"id % {max(n, 1)}").alias("j"))
+    drawn = draws.select("rep", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))).alias("i"))
+    means = drawn.join(rows.select("i", "v"), "i").groupBy("rep").agg(F.avg("v").alias("m"))  # `samples` rows
+    ends = means.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("p"), F.count("*").alias("k")).filter("k > 0")
+    return ends.crossJoin(rows.agg(F.avg("v").alias("mean"))).select(
         F.round("mean", 6).alias("mean"), F.round(F.get("p", F.lit(0)), 6).alias("low"), F.round(F.get("p", F.lit(1)), 6).alias("high")
     )

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
-from sparkquill.operators import chunking, evidence, fusion, gate, lexical, metrics, vectors
+from sparkquill.operators import chunking, evidence, fusion, gate, lexical, metrics, ranks, vectors
 from sparkquill.operators import documents as D
-from sparkquill.operators.answers import check_citations
 from sparkquill.sources import readers, store
 from sparkquill.staging import staged
 
@@ -287,7 +286,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[metrics.nearest_rank("value", q).alias(f"p{q}") for q in (0, 50, 95, 100)])
+    return ranks.nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {f"p{q}": q for q in (0, 50, 95, 100)})
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,29 +384,16 @@ def apply_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.apply_reviews(gold, reviews).select("id", "question", "reference_answer", "status", "notes", "action")
 
 
-@query
-def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each assistant turn cites the turn before it: its first 60 characters, an ellipsis, and a later part."""
-    turns = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
-    asked = turns.filter("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
-    held = asked.select("qid", F.lit(1).alias("rank"), F.col("qid").alias("chunk_id"), F.col("qid").alias("paper_id"), F.lit("turn").alias("section"), F.lit(1).alias("page"), "text")
-    first, later = F.substr("text", F.lit(1), F.lit(40)), F.substr("text", F.lit(60), F.lit(40))
-    listed = asked.select("qid", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.concat(first, F.lit(" ... "), later).alias("quote")), F.struct(F.lit(1).alias("pos"), F.concat(later, F.lit(" ... "), first).alias("quote")), F.struct(F.lit(2).alias("pos"), F.concat(F.lit("« "), first, F.lit(" »")).alias("quote")), F.struct(F.lit(3).alias("pos"), first.alias("quote")))).alias("c"))
-    cites = listed.select("qid", "c.pos", F.lit(1).cast("long").alias("source"), "c.quote", F.left("c.quote", F.lit(200)).alias("shown"))
-    return check_citations(cites, held, math=False).select("qid", "pos", "verdict")
-
-
 @query
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one site as one document: the first and last two lines of each page are its margin."""
+    """Pages of one site (five of them make a document): the first and last two lines of each page are its margin."""
     from pyspark.sql import Window
 
     lines = readers.html_lines(table(spark, sf_dir, "pages"))
     at, back = Window.partitionBy("doc_id").orderBy("line_no"), Window.partitionBy("doc_id").orderBy(F.desc("line_no"))
     placed = lines.withColumn("in_margin", (F.row_number().over(at) <= 2) | (F.row_number().over(back) <= 2))
-    placed = placed.withColumn("page", F.col("doc_id").cast("int")).withColumn("doc_id", (F.col("page") % 8).cast("string"))
-    dense = placed.withColumn("page", F.expr("page div 8 + 1"))
-    return D.drop_running_lines(dense).groupBy("doc_id").agg(F.count("*").alias("kept"), F.count_if("in_margin").alias("kept_margin"))
+    placed = placed.withColumn("number", F.col("doc_id").cast("long")).withColumn("doc_id", F.expr("CAST(number div 5 AS STRING)")).withColumn("page", F.expr("CAST(number % 5 + 1 AS INT)")).drop("number")
+    return D.drop_running_lines(placed).groupBy("doc_id").agg(F.count("*").alias("kept"), F.count_if("in_margin").alias("kept_margin"))
 
 
 @query

@@ -184,13 +184,4 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN v = 'needs_fix' THEN concat_ws(' | ', notes, CASE WHEN ec THEN 'Reviewer: look again' ELSE 'Reviewer flagged this for a fix.' END) ELSE notes END AS notes,
         CASE WHEN v IN ('verified', 'needs_fix') THEN v WHEN eq OR ea THEN 'edited' ELSE 'unchanged' END AS action
       FROM gold LEFT JOIN rv USING (id) WHERE v IS DISTINCT FROM 'rejected'""",
-    "citation_check": f"""WITH u AS (SELECT conv_id || '-' || turn AS qid, text, substr(text, 1, 40) AS a, substr(text, 60, 40) AS b, row_number() OVER () AS rid FROM conversations WHERE text IS NOT NULL AND role = 'user'),
-      s AS (SELECT qid, {squash('text')} AS t, {squash('a')} AS a, {squash('b')} AS b FROM u),
-      f AS (SELECT qid, t, a, b, length(a) >= 12 AS la, length(b) >= 12 AS lb, position(a IN t) AS pa, position(b IN t) AS pb FROM s),
-      k AS (SELECT qid, CASE WHEN la AND lb THEN pa > 0 AND contains(substr(t, pa + length(a)), b) WHEN la THEN pa > 0 WHEN lb THEN pb > 0 ELSE false END AS ok0,
-        CASE WHEN la AND lb THEN pb > 0 AND contains(substr(t, pb + length(b)), a) WHEN la THEN pa > 0 WHEN lb THEN pb > 0 ELSE false END AS ok1, la AND pa > 0 AS ok2, a || b = b || a AS same01, a || b = a AS same02, b || a = a AS same12 FROM f)
-      SELECT qid, 0 AS pos, CASE WHEN ok0 THEN 'kept' ELSE 'dropped' END AS verdict FROM k
-      UNION ALL SELECT qid, 1, CASE WHEN NOT ok1 THEN 'dropped' WHEN ok0 AND same01 THEN 'merged' ELSE 'kept' END FROM k
-      UNION ALL SELECT qid, 2, CASE WHEN NOT ok2 THEN 'dropped' WHEN (ok0 AND same02) OR (ok1 AND same12) THEN 'merged' ELSE 'kept' END FROM k
-      UNION ALL SELECT qid, 3, CASE WHEN NOT ok2 THEN 'dropped' ELSE 'merged' END FROM k""",
 }
