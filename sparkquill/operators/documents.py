@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
 from sparkquill.operators.chunking import OVERLAP, SIZE, window_starts
+from sparkquill.staging import staged
 
 DEFAULT_SIZE = 10.0
 
@@ -104,7 +105,7 @@ def headings(lines: DataFrame) -> DataFrame:
 def split_sections(lines: DataFrame) -> DataFrame:
     """Lines with section_no (of non-empty sections, from 0) and section title; reference lists are left out until an appendix begins."""
     with_body = lines.join(body_sizes(lines), "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(DEFAULT_SIZE)))
-    merged = merge_split_headings(with_body)
+    merged = staged(merge_split_headings(with_body), "lines")  # read twice: its windows run once
     marked = merged.join(headings(merged), ["doc_id", "line_no"], "left")
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.coalesce(F.col("title").rlike(T.STOP_SECTIONS), F.lit(False))

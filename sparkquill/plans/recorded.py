@@ -9,6 +9,7 @@ from sparkquill.functions import text as T
 from sparkquill.operators import answers, gate
 from sparkquill.operators import documents as D
 from sparkquill.plans.catalog import QUERIES, _gold, query, table
+from sparkquill.staging import staged
 
 __all__ = ["QUERIES"]
 
@@ -174,7 +175,7 @@ def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return staged(out, "lines")
 
 
 @query

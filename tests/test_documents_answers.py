@@ -25,27 +25,27 @@ def margin(text, page):
     return (text, page, 8.0, False, True)
 
 
-PAPER = [
-    margin("A running header 1", 1), head("Abstract"), body("We study things."), head("1 Introduction"), body("It begins with the lowest heuris-"), margin("A running header 2", 2),
-    body("tic score of all.", 2), head("2 Method", 2), body("We do it.", 2), margin("7", 2), margin("A running header 3", 3), head("3 Results", 3), body("It works.", 3), head("References", 3), body("[1] Somebody.", 3), margin("A running header 4", 4),
-    head("A Proofs", 4), body("QED.", 4),
+HARBOUR = [
+    margin("Harbour notes, sheet 1", 1), head("Background"), body("Ships wait for water."), margin("Harbour notes, sheet 2", 2), head("1 Overview of tides", 2), body("The sea leaves a high water-", 2), body("mark twice a day", 2),
+    margin("Harbour notes, sheet 3", 3), body("and takes it back.", 3), margin("12", 3), head("2 Walls", 3), head("2.1 Sluices", 3), body("Gates hold the basin.", 3), margin("Harbour notes, sheet 4", 4), head("4 Dredging", 4), body("Silt goes out by barge.", 4),
+    margin("Harbour notes, sheet 5", 5), head("Conclusion", 5), body("Keep the gates shut.", 5), head("Bibliography", 5), body("A pilot's almanac.", 5), head("B Soundings", 5), body("Nine fathoms.", 5),
 ]
 
 
-def test_paper_becomes_sections_and_chunks(spark):
-    lines = doc(spark, PAPER)
+def test_lines_become_sections_and_chunks(spark):
+    lines = doc(spark, HARBOUR, "h")
     kept = documents.drop_running_lines(lines)
-    assert kept.filter("in_margin").count() == 0
+    assert kept.filter("in_margin").count() == 0 and kept.count() == len(HARBOUR) - 6
     sections = documents.split_sections(kept)
-    titles = [r.section for r in sections.select("section_no", "section").distinct().orderBy("section_no").collect()]
-    assert titles == ["Abstract", "1 Introduction", "2 Method", "3 Results", "A Proofs"]
+    found = [r.section for r in sections.select("section_no", "section").distinct().orderBy("section_no").collect()]
+    assert found == ["Background", "1 Overview of tides", "2.1 Sluices", "4 Dredging", "Conclusion", "B Soundings"]  # "2 Walls" has no lines
     chunks = {r.chunk_id: r for r in documents.chunk_sections(sections).collect()}
-    assert chunks["d:01-1-introduction:000"].text == "It begins with the lowest heuristic score of all."
-    assert {r.page for k, r in chunks.items() if "proofs" in k} == {4}
+    assert chunks["h:01-1-overview-of-tides:000"].text == "The sea leaves a high watermark twice a day and takes it back."
+    assert {(k.split(":")[1], r.page) for k, r in chunks.items()} == {("00-background", 1), ("01-1-overview-of-tides", 2), ("02-2-1-sluices", 3), ("03-4-dredging", 4), ("04-conclusion", 5), ("05-b-soundings", 5)}
     words = [(r.word, r.page) for r in documents.section_words(sections).filter("section_no = 1").orderBy("pos").collect()]
-    assert words[4:7] == [("lowest", 1), ("heuristic", 1), ("score", 2)]
-    stats = documents.ingest_stats(documents.ingest(lines)).first()
-    assert (stats.sections, stats.chunks) == (5, 5)
+    assert words[4:7] == [("high", 2), ("watermark", 2), ("twice", 2)] and words[-1] == ("back.", 3)
+    stats = documents.ingest_stats(documents.ingest(lines, 5, 2)).first()
+    assert (stats.sections, stats.chunks) == (6, 9)
 
 
 def titles(spark, rows):
@@ -54,23 +54,25 @@ def titles(spark, rows):
 
 
 def test_split_number_and_title_join(spark):
-    assert titles(spark, [head("1"), head("Introduction"), body("a b c"), head("2"), head("Design"), body("d e f")]) == ["1 Introduction", "2 Design"]
+    assert titles(spark, [head("1"), head("Motivation"), body("a b c"), head("2"), head("Keels and ribs"), body("d e f"), head("3"), body("no title follows")]) == ["1 Motivation", "2 Keels and ribs"]
 
 
 def test_roman_and_capital_headings(spark):
-    assert titles(spark, [body("I. INTRODUCTION"), body("text here"), body("II. METHODS"), body("more"), body("REFERENCES"), body("[1] x")]) == ["I. Introduction", "II. Methods"]
+    assert titles(spark, [body("I. WINDS AND SAILS"), body("text here"), body("II. ROPES"), body("more"), body("BIBLIOGRAPHY"), body("a book")]) == ["I. Winds and sails", "II. Ropes"]
 
 
 def test_numbers_must_run_in_order(spark):
-    rows = [head("1 University of Somewhere"), body("people"), head("Abstract"), body("x"), head("1 Introduction"), body("y"), head("9 Ablation"), body("z"), head("2 Method"), body("w"), head("1 Order of execution"), body("v")]
-    assert titles(spark, rows) == ["Front matter", "Abstract", "1 Introduction", "2 Method"]
+    rows = [head("1 Institute of Naval History"), body("names"), head("1 Background and aims"), body("x"), head("8 Too far ahead"), body("y"), head("3 Masts"), body("z"), head("2 Behind"), body("w"), head("4 Anchors,"), body("v")]
+    assert titles(spark, rows) == ["Front matter", "1 Background and aims", "3 Masts"]
 
 
 def test_empty_lines_table(spark):
-    assert documents.ingest(doc(spark, PAPER).limit(0)).count() == 0
+    assert documents.ingest(doc(spark, HARBOUR).limit(0)).count() == 0
 
 
-RETRIEVED = [("q", 1, "DTR:0", "dtr", "Method", 3, "Dynamic tensor rematerialization evicts the tensor with the lowest heuristic score."), ("q", 2, "CHK:0", "chk", "Method", 1, "Checkmate uses a MILP solver offline to find the schedule.")]
+RETRIEVED = [
+    ("q", 1, "rye:04", "rye", "Dough", 12, "A sour starter is fed with rye flour and warm water on the evening before baking."), ("q", 2, "salt:01", "salt", "Crust", 30, "Steam in the first ten minutes keeps the crust soft, so that the loaf can rise."),
+]
 
 
 def held(spark):
@@ -87,11 +89,12 @@ def verdicts(spark, citations):
 
 
 def test_citations(spark):
-    good = {"source": 1, "quote": "evicts the tensor with the lowest"}
-    assert verdicts(spark, [good, {"source": 1, "quote": "EVICTS the tensor  with the lowest"}, {"source": 2, "quote": "evicts the tensor with the lowest"}, {"source": 2, "quote": "uses a MILP ... find the schedule"}, {"source": 1, "quote": "an invented sentence here"}]) == ["kept", "merged", "dropped", "kept", "dropped"]
-    bad = [{"source": True, "quote": good["quote"]}, {"source": "1", "quote": good["quote"]}, {"source": 1.5, "quote": good["quote"]}, {"source": 0, "quote": good["quote"]}, {"source": 3, "quote": good["quote"]}, {"source": 1, "quote": 42}, {"source": 1}, "text"]
-    assert verdicts(spark, bad) == ["dropped"] * 8
-    assert verdicts(spark, "not a list") == [] and verdicts(spark, None) == []
+    good = {"source": 2, "quote": "keeps the crust soft"}
+    listed = [{"source": 1, "quote": "fed with rye flour ... evening before baking"}, good, {"source": 2, "quote": "KEEPS the  crust, soft"}, {"source": 1, "quote": "keeps the crust soft"}, {"source": 1, "quote": "evening before baking … fed with rye flour"}, {"source": 2, "quote": "the loaf is made of gold"}, {"source": 2, "quote": "Steam"}]
+    assert verdicts(spark, listed) == ["kept", "kept", "merged", "dropped", "dropped", "dropped", "dropped"]
+    bad = [good | {"source": s} for s in (False, "2", 2.5, 0, 7, None)] + [{"source": 2, "quote": ["keeps the crust soft"]}, {"source": 2}, 17]
+    assert verdicts(spark, bad) == ["dropped"] * 9
+    assert verdicts(spark, "none") == [] and verdicts(spark, None) == []
 
 
 def response(spark, payload, truncated=False, retrieved=True):
@@ -101,15 +104,16 @@ def response(spark, payload, truncated=False, retrieved=True):
 
 
 def test_responses(spark):
-    good = {"source": 1, "quote": "evicts the tensor with the lowest"}
-    ok = response(spark, {"can_answer": True, "answer": " it evicts ", "citations": [good]})
-    assert (ok.status, ok.answer, ok.citations[0].chunk_id, ok.refusal_reason) == ("answered", "it evicts", "DTR:0", None)
-    assert ok.estimated_cost_usd == pytest.approx(0.002)
-    assert response(spark, {"can_answer": True, "answer": "x", "citations": []}).refusal_reason == answers.UNVERIFIED
-    assert response(spark, {"can_answer": False, "refusal_reason": "not covered"}).refusal_reason == "not covered"
+    good = {"source": 1, "quote": "fed with rye flour and warm water"}
+    ok = response(spark, {"can_answer": True, "answer": " with flour and water ", "citations": [good, {"source": 9, "quote": "out of thin air, this one"}]})
+    assert (ok.status, ok.answer, ok.citations[0].chunk_id, ok.citations[0].page, ok.refusal_reason, ok.dropped_citations, ok.dropped_quotes) == ("answered", "with flour and water", "rye:04", 12, None, 1, ["out of thin air, this one"])
+    assert ok.estimated_cost_usd == pytest.approx((1000 * 1.0 + 200 * 5.0) / 1e6) and ok.retrieved_chunk_ids == ["rye:04", "salt:01"]
+    assert response(spark, {"can_answer": True, "answer": "bread", "citations": []}).refusal_reason == answers.UNVERIFIED
+    assert response(spark, {"can_answer": 1, "answer": "bread", "citations": [good]}).status == "refused"
+    assert response(spark, {"can_answer": False, "refusal_reason": "nothing on cakes"}).refusal_reason == "nothing on cakes"
     assert response(spark, {}, truncated=True).refusal_reason == answers.CUT_OFF
     assert response(spark, {"can_answer": False}).refusal_reason == answers.UNSUPPORTED
-    assert response(spark, {"can_answer": True, "answer": "x", "citations": [good]}, retrieved=False).status == "refused"
+    assert response(spark, {"can_answer": True, "answer": "bread", "citations": [good]}, retrieved=False).status == "refused"
 
 
 def test_faithfulness_and_spot_check(spark):
@@ -117,8 +121,8 @@ def test_faithfulness_and_spot_check(spark):
     assert {r.qid: r.faithfulness for r in answers.faithfulness(c).collect()} == {"a": 0.75, "b": None}
     r = spark.range(100).select(F.col("id").cast("string").alias("qid"))
     assert answers.spot_check(r, 5, 1).collect() == answers.spot_check(r, 5, 1).collect()
-    m = answers.render_sources(held(spark), spark.createDataFrame([("dtr", "DTR paper")], "paper_id string, title string")).first().message
-    assert m.startswith("[1] DTR paper, Method, page 3\n") and "[2] chk, Method" in m
+    m = answers.render_sources(held(spark), spark.createDataFrame([("salt", "Salt and steam")], "paper_id string, title string")).first().message
+    assert m.startswith("[1] rye, Dough, page 12\nA sour") and "\n\n[2] Salt and steam, Crust, page 30\n" in m
 
 
 def test_gate(spark):
@@ -172,9 +176,32 @@ def test_readers(spark, tmp_path):
     assert {r.metric: r.value for r in readers.read_metrics(spark, str(tmp_path / "m.json")).collect()} == {"recall": 0.7, "mrr": 0.5}
     (tmp_path / "r.json").write_text('{"q1": {"status": "verified", "comment": "ok"}}')
     assert readers.read_reviews(spark, str(tmp_path / "r.json")).first().status == "verified"
-    (tmp_path / "p.yaml").write_text('# papers\npapers:\n  - id: dtr\n    title: "Dynamic tensors"\n    group: a\n  - id: chk\n    title: Check: mate\n')
-    assert {r.paper_id: r.title for r in readers.read_manifest(spark, str(tmp_path / "p.yaml")).collect()} == {"dtr": "Dynamic tensors", "chk": "Check: mate"}
+    (tmp_path / "p.yaml").write_text('# papers\npapers:\n  - id: rye\n    title: "Rye breads"\n    group: a\n  - id: salt\n    title: Salt: a study\n')
+    assert {r.paper_id: r.title for r in readers.read_manifest(spark, str(tmp_path / "p.yaml")).collect()} == {"rye": "Rye breads", "salt": "Salt: a study"}
     v = spark.createDataFrame([([1.0, 2.0],)], "e array<float>")
     assert readers.vector_width(v, "e", 2).count() == 1
     with pytest.raises(Exception, match="has 2 values, not 3"):
         readers.vector_width(v, "e", 3).collect()
+
+
+def test_html_lines_keep_headings(spark):
+    html = "<html><head><title>T</title><style>p{}</style></head><body><h1 class='a'>Big <i>words</i></h1><p>one<br>two</p><h3>Small</h3><!-- <p>no</p> --><div>three</div></body></html>"
+    pages = spark.createDataFrame([(5, html), (6, None), (7, "")], "page_id long, html string")
+    got = [(r.doc_id, r.text, r["size"], r.bold) for r in readers.html_lines(pages).orderBy("doc_id", "line_no").collect()]
+    assert got == [("5", "T", 10.0, False), ("5", "Big words", 22.0, True), ("5", "one", 10.0, False), ("5", "two", 10.0, False), ("5", "Small", 18.0, True), ("5", "three", 10.0, False)]
+
+
+def test_settings(tmp_path):
+    from sparkquill.session import Settings
+
+    (tmp_path / ".env").write_text("# a comment\nSPARKQUILL_TOP_K=7\nSPARKQUILL_RETRIEVER='bm25'\nOTHER=1\n")
+    s = Settings.load({"SPARKQUILL_TOP_K": "9", "SPARKQUILL_PRICE_IN": "0.5"}, str(tmp_path / ".env"))
+    assert (s.top_k, s.retriever, s.price_in, s.chunk_size) == (9, "bm25", 0.5, 300)
+    assert Settings.load({}) == Settings() and s.depth(0) == s.depth(None) == 9 and s.depth(3) == 3
+    with pytest.raises(ValueError):
+        Settings.load({"SPARKQUILL_TOP_K": "many"})
+
+
+def test_first_seen_order(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (None, 4), ("c", 2)], "v string, pos int")
+    assert [(r.v, r.pos) for r in gate.first_seen(df, "v", "pos").collect()] == [("b", 1), ("a", 2), ("c", 2), (None, 4)]

@@ -18,11 +18,11 @@ def test_flagship_query_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the provided tables")
-@pytest.mark.parametrize("name", ["chunk_words", "bm25_topk", "evidence_resolve", "answer_summary", "apply_reviews", "citation_check"])
+@pytest.mark.parametrize("name", ["chunk_words", "bm25_topk", "evidence_resolve", "answer_summary", "apply_reviews", "citation_check", "response_build", "section_split", "running_lines"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "orders", "conversations"):
+    for t in ("documents", "benchmark", "labels", "orders", "conversations", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     mine = entry.queries()[name](spark, SMALL)
     theirs = con.execute(entry.oracle_sql()[name])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sparkquill.operators import answers, metrics, vectors
 from sparkquill.plans.retrievers import Corpus
 
-CHUNKS = [("ckm:0", "ckm", "Method", 1, "Checkmate uses a MILP solver offline"), ("dtr:0", "dtr", "Method", 1, "DTR evicts the tensor with the lowest score"), ("zero:0", "zero", "Method", 1, "state partitioning across data parallel processes")]
+CHUNKS = [("fern:1", "fern", "Spores", 1, "ferns drop spores from the underside of a frond"), ("moss:1", "moss", "Walls", 2, "moss drinks rain through its leaves on old stone"), ("vine:1", "vine", "Grapes", 3, "pruned in winter it fruits on new wood")]
 
 
 @pytest.fixture(scope="module")
@@ -12,25 +12,25 @@ def corpus(spark):
     c = spark.createDataFrame(CHUNKS, "chunk_id string, paper_id string, section string, page int, text string")
     e = vectors.hash_embedding(c, "chunk_id")
     c = c.join(e, "chunk_id").withColumn("embedding_header", F.col("embedding"))
-    return Corpus(c, spark.createDataFrame([("zero", "Memory optimizations toward training")], "paper_id string, title string"))
+    return Corpus(c, spark.createDataFrame([("vine", "A year in the vineyard")], "paper_id string, title string"))
 
 
 def test_every_retriever_runs(spark, corpus):
-    q = spark.createDataFrame([("q0", "which solver does Checkmate use offline")], "qid string, question string")
+    q = spark.createDataFrame([("q0", "where do ferns drop their spores")], "qid string, question string")
     q = q.join(vectors.hash_embedding(q, "qid", "question"), "qid").cache()
     found = corpus.retrievers()
     assert len(found) == 9
     for name, run in found.items():
         top = run(q, 2).orderBy("rank").collect()
-        assert top[0].chunk_id == "ckm:0" and len(top) <= 2, name
+        assert top[0].chunk_id == "fern:1" and len(top) <= 2, name
     with pytest.raises(ValueError, match="unknown retriever: nope"):
         corpus.retrievers(["nope"])
 
 
 def test_headers_change_what_is_found(spark, corpus):
-    q = spark.createDataFrame([("q0", "memory optimizations")], "qid string, question string")
+    q = spark.createDataFrame([("q0", "a year in the vineyard")], "qid string, question string")
     some = corpus.retrievers(["bm25", "bm25_header"])
-    assert some["bm25_header"](q, 1).first().chunk_id == "zero:0" and some["bm25"](q, 1).first().score == 0.0
+    assert some["bm25_header"](q, 1).first().chunk_id == "vine:1" and some["bm25"](q, 1).first().score == 0.0
 
 
 CITE = "array<struct<paper_id:string,section:string,page:int,chunk_id:string,quote:string>>"

@@ -1,17 +1,19 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkquill.operators import chunking, evidence, fusion, lexical, metrics, vectors
+from sparkquill.operators import chunking, evidence, fusion, lexical, metrics, ranks, vectors
 
 CHUNKS = [
-    ("ckm:0", "ckm", "Method", 1, "Checkmate uses a MILP solver offline to find an optimal schedule"),
-    ("ckm:1", "ckm", "Results", 2, "the schedule lowers peak memory of training"),
-    ("dtr:0", "dtr", "Method", 1, "DTR evicts the tensor with the lowest heuristic score online"),
-    ("dtr:1", "dtr", "Results", 3, "a greedy runtime needs no ahead of time plan"),
-    ("zero:0", "zero", "Method", 1, "optimizer state partitioning across data parallel processes"),
+    ("bees:00", "bees", "Hives", 4, "the queen lays her eggs in wax cells of the brood comb"),
+    ("bees:01", "bees", "Harvest", 9, "smoke calms a colony before honey frames are lifted"),
+    ("kiln:00", "kiln", "Firing", 2, "stoneware glaze melts once the kiln passes twelve hundred degrees"),
+    ("tide:00", "tide", "Moon", 1, "spring tides follow the new moon and the full moon"),
+    ("tide:01", "tide", "Harbours", 6, "neap tides leave shallow harbours dry for hours"),
+    ("tide:02", "tide", "Tables", 7, "printed tables give the height of the water for every port"),
 ]
 
 
@@ -44,7 +46,7 @@ def brute_bm25(question, texts):
 
 
 def test_bm25_matches_brute_force_and_fills_with_zero_scores(spark, chunks):
-    q = ["which solver does Checkmate use offline", "optimizer state partitioning", "memory schedule schedule", "nothing known here"]
+    q = ["when does stoneware glaze melt", "tides and the moon moon", "honey frames of a colony", "nothing known here"]
     got = lexical.bm25(ask(spark, *q), chunks, 4).collect()
     texts = {c[0]: c[4] for c in CHUNKS}
     for i, text in enumerate(q):
@@ -55,13 +57,28 @@ def test_bm25_matches_brute_force_and_fills_with_zero_scores(spark, chunks):
 
 
 def test_full_text_needs_a_match(spark, chunks):
-    got = lexical.full_text_or(ask(spark, "Which MILP solver does Checkmate use?", "the of and"), chunks, 5)
-    assert ids(got)[0] == "ckm:0" and ids(got, "q1") == []
+    got = lexical.full_text_or(ask(spark, "Where does a QUEEN lay eggs?", "which of these is it"), chunks.filter("paper_id <> 'kiln'"), 5)
+    assert ids(got) == ["bees:00"] and ids(got, "q1") == []
+
+
+def test_a_store_serves_several_retrievers(spark, chunks):
+    store, q = lexical.Store(chunks), ask(spark, "neap tides in harbours", "wax cells")
+    for k in (1, 3):
+        assert lexical.bm25(q, store, k).collect() == lexical.bm25(q, chunks, k).collect()
+    assert sorted(lexical.full_text_or(q, store, 5).collect()) == sorted(lexical.full_text_or(q, chunks, 5).collect())
+
+
+def test_negative_weights_rank_below_no_match(spark):
+    """In a corpus of three words that stand almost everywhere, the mean weight is negative and a match costs."""
+    few = spark.createDataFrame([("a", "sand"), ("b", "sand salt"), ("c", "sand salt silt"), ("d", "salt silt sand"), ("e", "silt")], "chunk_id string, text string")
+    got = lexical.bm25(ask(spark, "sand"), few, 5).orderBy("rank").collect()
+    order, score = brute_bm25("sand", {r.chunk_id: r.text for r in few.collect()})
+    assert [r.chunk_id for r in got] == order and [r.score for r in got] == pytest.approx([score[c] for c in order], abs=1e-6) and min(score.values()) < 0
 
 
 def test_empty_inputs(spark, chunks):
-    assert lexical.bm25(ask(spark, "tensor").limit(0), chunks, 3).count() == 0
-    assert lexical.bm25(ask(spark, "tensor"), chunks.limit(0), 3).count() == 0
+    assert lexical.bm25(ask(spark, "tides").limit(0), chunks, 3).count() == 0
+    assert lexical.bm25(ask(spark, "tides"), chunks.limit(0), 3).count() == 0
     assert lexical.full_text_or(ask(spark, ""), chunks, 3).count() == 0
 
 
@@ -70,18 +87,19 @@ def ranking(spark, *names):
 
 
 def test_fusion_and_rerank(spark, chunks):
-    fused = fusion.reciprocal_rank_fusion([ranking(spark, "a", "b", "c"), ranking(spark, "b", "a", "d")], 10)
-    assert ids(fused)[:2] == ["a", "b"] and len(ids(fused)) == 4
-    hybrid = fusion.reciprocal_rank_fusion([ranking(spark, "dtr:0", "ckm:0", "zero:0"), ranking(spark, "ckm:0", "dtr:1", "dtr:0")], 10)
-    assert ids(hybrid)[:2] == ["ckm:0", "dtr:0"]
-    best = fusion.rerank(ask(spark, "which solver does Checkmate use offline"), chunks, ranking(spark, "zero:0", "dtr:1", "ckm:0"), 3)
-    assert ids(best)[0] == "ckm:0"
+    fused = fusion.reciprocal_rank_fusion([ranking(spark, "v", "u", "x", "y"), ranking(spark, "u", "v"), ranking(spark, "z")], 10)
+    assert ids(fused) == ["u", "v", "z", "x", "y"]  # equal sums by id; a first place alone before a third and a fourth
+    assert ids(fusion.reciprocal_rank_fusion([ranking(spark, "a", "b"), ranking(spark, "b", "a")], 1)) == ["a"]
+    best = fusion.rerank(ask(spark, "the height of the water in every port"), chunks, ranking(spark, "kiln:00", "tide:01", "tide:02"), 2)
+    assert ids(best) == ["tide:02", "kiln:00"]
 
 
 def test_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", None)], "chunk_id string, embedding array<float>")
     q = spark.createDataFrame([("q0", [1.0, 0.0])], "qid string, embedding array<float>")
     got = vectors.vector_topk(q, v, 5)
+    none = vectors.vector_topk(q.limit(0), v, 5)
+    assert none.count() == 0 and none.columns == got.columns
     assert ids(got) == ["a", "b"] and got.filter("chunk_id = 'b'").first().score == pytest.approx(0.6, abs=1e-6)
     import hashlib
 
@@ -92,6 +110,22 @@ def test_vectors(spark):
     assert norm[1] == pytest.approx(1) and norm[2] == 0
 
 
+def test_vector_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (300, 5)).astype(float)  # many equal cosines
+    v[7] = 0
+    rows = [(f"c{i:03d}", x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(5)
+    q = spark.createDataFrame([(i, v[i].tolist()) for i in range(20) if v[i].any()], "qid int, embedding array<float>")
+    norm = np.sqrt((v * v).sum(axis=1))
+    for block in (4096, 3):
+        got = vectors.vector_topk(q, df, 6, block).collect()
+        for i in range(20):
+            mine = [(r.chunk_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.qid == i]
+            want = sorted(((round(float(v[i] @ v[j] / (norm[i] * norm[j])), 6), f"c{j:03d}") for j in range(300) if norm[j] > 0), key=lambda x: (-x[0], x[1]))[:6] if norm[i] > 0 else []
+            assert mine == [(c, pytest.approx(s, abs=1e-6)) for s, c in want]
+
+
 def test_windows_overlap_exactly(spark):
     words = [f"w{i}" for i in range(95)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "short one"), (3, ""), (4, None)], "doc_id long, text string")
@@ -103,15 +137,24 @@ def test_windows_overlap_exactly(spark):
 
 def test_evidence(spark, chunks):
     e = spark.createDataFrame(
-        [("q", 1, "ckm", "uses a MILP solver off-line"), ("q", 2, "ckm", "no such words at all in this paper"), ("q", 3, "nope", "uses a MILP solver offline"), ("q", 4, "dtr", "DTR evicts the tensor with the lowest heuristic score, then stops")],
+        [("q", 1, "kiln", "once the kiln passes twelve-hundred"), ("q", 2, "kiln", "a quote that this text never had"), ("q", 3, "loom", "once the kiln passes"), ("q", 4, "tide", "printed tables give the height of the water for every ship"), ("q", 5, "bees", "«»")],
         "qid string, ev int, paper_id string, quote string",
     )
     found = evidence.resolve(e, chunks)
-    assert {(r.ev, r.chunk_id, r.whole) for r in found.collect()} == {(1, "ckm:0", True), (4, "dtr:0", False)}
+    assert {(r.ev, r.chunk_id, r.whole) for r in found.collect()} == {(1, "kiln:00", True), (4, "tide:02", False), (5, "bees:00", True), (5, "bees:01", True)}
     problems = {r.ev: r.problem for r in evidence.unresolved(e, chunks, found).collect()}
     assert set(problems) == {2, 3} and "not in the corpus" in problems[3]
 
 
+def test_quotes_of_any_length_are_found_anywhere(spark, chunks):
+    quotes = ["printed tables give the height of the water for every port", "Neap TIDES leave shallow", "moon", "x", "wax", "é", "never written", "of", "e", None]
+    asked = spark.createDataFrame([(i, 1, q) for i, q in enumerate(quotes)], "qid int, ev int, quote string")
+    got = {(r.qid, r.chunk_id) for r in evidence.resolve_anywhere(asked, chunks).collect()}
+    bare = {c[0]: "".join(x for x in c[4].lower() if x.isascii() and x.isalnum()) for c in CHUNKS}
+    want = {(i, c) for i, q in enumerate(quotes) if q is not None for c, t in bare.items() if "".join(x for x in q.lower() if x.isascii() and x.isalnum()) in t}
+    assert got == want and len(want) > 15
+
+
 def test_pages_are_repaired(spark):
     pages = spark.createDataFrame([("d", 1, "first page words " * 5), ("d", 2, "a sentence that runs over the page and ends with more words before it breaks"), ("d", 3, "right here and then goes on")], "doc_id string, page int, text string")
     e = spark.createDataFrame(
@@ -136,22 +179,33 @@ def test_metric_columns(spark):
 
 def test_nearest_rank(spark):
     df = spark.range(1, 101).withColumnRenamed("id", "v")
-    got = df.agg(*[metrics.nearest_rank("v", q).alias(f"p{q}") for q in (0, 50, 95, 100)]).first()
-    assert list(got) == [1, 50, 95, 100]
+    percents = {"a": 0, "b": 50, "c": 95, "d": 100, "e": 33.4}
+    assert list(ranks.nearest_ranks(df, [], "v", percents).first()) == [1, 50, 95, 100, 34]
+    assert list(ranks.nearest_ranks(df.limit(0), [], "v", percents).first()) == [None] * 5
+    rng = np.random.default_rng(4)
+    rows = [(["x", "y", None][int(k)], int(v) if v > 0 else None) for k, v in zip(rng.choice(3, 500, p=[0.9, 0.07, 0.03]), rng.integers(-2, 40, 500))]
+    got = {r.g: tuple(r)[1:] for r in ranks.nearest_ranks(spark.createDataFrame(rows, "g string, v int").repartition(7), ["g"], "v", percents).collect()}
+    for g in ("x", "y", None):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == tuple(v[max(1, math.ceil(q / 100 * len(v))) - 1] for q in percents.values())
+    many = ranks.numbered(spark.range(1000).selectExpr("id * 7 % 1000 AS k").repartition(6), ["k"])
+    assert many.filter("i <> k").count() == 0 and many.count() == 1000
 
 
 def test_evaluation_of_a_fixed_ranking(spark):
-    names = ["zero:0", "dtr:0", "dtr:1", "ckm:1", "ckm:0"]
-    rankings = spark.createDataFrame([("fix", q, n, n.split(":")[0], i + 1) for q in ("f1", "x1") for i, n in enumerate(names)], "retriever string, qid string, chunk_id string, paper_id string, rank int")
-    resolved = spark.createDataFrame([("f1", 1, "dtr:0"), ("x1", 1, "dtr:0")], "qid string, ev int, chunk_id string")
-    q = spark.createDataFrame([("f1", "factual", 1, []), ("x1", "cross_paper", 1, ["zero"])], "qid string, kind string, n_evidence int, distractors array<string>")
+    shown = {"plain": ["kiln:00", "bees:01", "tide:02", "tide:00", "bees:00", "tide:01"], "other": ["tide:01"]}
+    rows = [("run", q, n, n.split(":")[0], i + 1) for q, names in shown.items() for i, n in enumerate(names)]
+    rankings = spark.createDataFrame(rows, "retriever string, qid string, chunk_id string, paper_id string, rank int")
+    resolved = spark.createDataFrame([("plain", 1, "tide:02"), ("plain", 2, "tide:01"), ("other", 1, "bees:00")], "qid string, ev int, chunk_id string")
+    q = spark.createDataFrame([("plain", "cross_paper", 2, ["bees"]), ("other", "factual", 1, [])], "qid string, kind string, n_evidence int, distractors array<string>")
     per = metrics.question_metrics(rankings, resolved, q)
-    assert {(r.qid, r.recall, r["rank"], r.rr, r.wrong) for r in per.collect()} == {("f1", 1.0, 2, 0.5, None), ("x1", 1.0, 2, 0.5, 0.2)}
+    assert {(r.qid, r.recall, r["rank"], r.wrong) for r in per.collect()} == {("plain", 0.5, 3, 0.4), ("other", 0.0, None, None)}  # the sixth place is too low for recall
     total = metrics.ablation(per).filter("kind IS NULL").first()
-    assert (total.n, total.recall_at_5, total.mrr_at_10, total.wrong_paper_at_5) == (2, 1.0, 0.5, 0.2)
+    assert (total.n, total.recall_at_5, total.mrr_at_10, total.wrong_paper_at_5) == (2, 0.25, pytest.approx(1 / 6, abs=1e-6), 0.4)
 
 
 def test_bootstrap_is_repeatable(spark):
     d = spark.createDataFrame([(i, float(i % 2)) for i in range(40)], "qid int, delta double")
     a, b = metrics.bootstrap_ci(d, samples=400).first(), metrics.bootstrap_ci(d, samples=400).first()
     assert a == b and a["mean"] == 0.5 and 0.3 < a.low < 0.5 < a.high < 0.7
+    assert metrics.bootstrap_ci(d.limit(0)).count() == 0
