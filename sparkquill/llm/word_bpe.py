@@ -29,10 +29,10 @@ from sparkquill.llm._arrays import chunks
 from sparkquill.llm._stage import pin_splits
 from sparkquill.llm._tokens import Pieces, WordIds, expand, load_tokenizer, sums_by, tokenizer_path
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 ROW_WORDS = 250_000
 #: Text for each shard of words and for each partition of blocks, and the most shards: a shard streams its words, so its memory doesn't grow with them.
-SHARD_BYTES, PART_BYTES, MOST_SHARDS = 16 << 20, 4 * BLOCK_BYTES, 4096
+SHARD_BYTES, PART_BYTES, MOST_SHARDS = 16 << 20, 2 * BLOCK_BYTES, 4096
 SPECIALS = ("<|endoftext|>",)
 _U = np.uint64
 
@@ -226,7 +226,9 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFram
     numbers = texts.mapInArrow(_number_rows(shards), "block long, kind int, seq int, a binary, b binary, docs array<long>, n long")
     both = coded.select("block", "kind", "seq", "a", "b", F.lit(None).cast("array<long>").alias("docs"), "n").unionByName(numbers)
     pieces = spark.sparkContext.broadcast(piece_table(path))  # the vocabulary bounds its size
-    return both.repartition(parts, "block").sortWithinPartitions("block", "kind", "seq").mapInArrow(_join_rows(pieces), "doc_id long, ids array<int>, decoded string")
+    # neighbouring partitions of the scan, and the blocks of one, go to different tasks in turn
+    place = F.pmod(F.shiftright("block", 24) + 7 * F.col("block").bitwiseAND(F.lit((1 << 24) - 1)), F.lit(parts)).cast("int")
+    return both.repartitionById(parts, place).sortWithinPartitions("block", "kind", "seq").mapInArrow(_join_rows(pieces), "doc_id long, ids array<int>, decoded string")
 
 
 def digest(coded: DataFrame) -> DataFrame:
