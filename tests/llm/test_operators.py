@@ -300,6 +300,81 @@ def test_quality_trees(spark):
     assert {r.score for r in quality_trees.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_trees(x, y):
+    """Boosting as it is defined, one row, node and threshold at a time: a list of (splits of a node, leaves), and the base."""
+    q = quality_trees
+    base = np.log(y.mean() / (1 - y.mean()))
+    edges = [sorted({np.float32(v) for v in np.quantile(x[:, k], np.linspace(0, 1, q.BINS + 1)[1:-1])}) for k in range(x.shape[1])]
+    raw, trees = [float(base)] * len(y), []
+    for _ in range(q.TREES):
+        p = [1 / (1 + np.exp(-r)) for r in raw]
+        g, h = [a - b for a, b in zip(y, p)], [b * (1 - b) for b in p]
+        at, splits = [1] * len(y), {}
+        for depth in range(q.DEPTH):
+            for node in range(1 << depth, 2 << depth):
+                rows = [i for i in range(len(y)) if at[i] == node]
+                best = (1e-6, None)
+                for k in range(x.shape[1]):
+                    for e in edges[k]:
+                        left = [i for i in rows if x[i, k] <= e]
+                        if min(len(left), len(rows) - len(left)) < q.LEAST_LEAF:
+                            continue
+                        right = [i for i in rows if x[i, k] > e]
+                        part = lambda r: sum(g[i] for i in r) ** 2 / (sum(h[i] for i in r) + q.L2)
+                        gain = part(left) + part(right) - part(rows)
+                        if gain > best[0] + 1e-12:
+                            best = (gain, (k, e))
+                splits[node] = best[1]
+                for i in rows:
+                    at[i] = 2 * node + (best[1] is not None and x[i, best[1][0]] > best[1][1])
+        leaves = {n: q.RATE * sum(g[i] for i in range(len(y)) if at[i] == n) / (sum(h[i] for i in range(len(y)) if at[i] == n) + q.L2) for n in set(at)}
+        raw = [r + leaves[n] for r, n in zip(raw, at)]
+        trees.append((splits, leaves))
+    return trees, base
+
+
+def test_trees_equal_plain_python(monkeypatch):
+    for name, value in (("TREES", 4), ("DEPTH", 3), ("BINS", 8), ("LEAST_LEAF", 5)):
+        monkeypatch.setattr(quality_trees, name, value)
+    rng = np.random.default_rng(17)
+    x = np.stack([rng.normal(size=150), rng.integers(0, 3, 150), rng.random(150)], axis=1).astype(np.float32)
+    y = ((x[:, 0] > 0.3) ^ (x[:, 1] == 1) ^ (rng.random(150) < 0.1)).astype(float)
+    trees, base = plain_trees(x, y)
+    fresh = np.stack([rng.normal(size=60), rng.integers(0, 3, 60), rng.random(60)], axis=1).astype(np.float32)
+    want = []
+    for row in np.concatenate([x, fresh]):
+        total = base
+        for splits, leaves in trees:
+            node = 1
+            while node < 1 << quality_trees.DEPTH:
+                node = 2 * node + (splits[node] is not None and row[splits[node][0]] > splits[node][1])
+            total += leaves.get(node, 0.0)
+        want.append(1 / (1 + np.exp(-total)))
+    got = quality_trees.score(quality_trees.fit(x, y), np.concatenate([x, fresh]))
+    assert np.abs(got - np.array(want)).max() < 1e-9 and got.std() > 0.1
+
+
+def test_statistics_equal_plain_python():
+    """A share of the statistics, counted with Python's own string functions."""
+    texts = ["", None, "Hello, hello world.\n\nhello world again!", "a b a b a b", "### $$$\nline\nline\nline", "ÄÖ é 中文 word" * 3, "x" * 50 + " tiny"]
+    raw, off = A.text_buffers(pa.array(texts, pa.string()))
+    got = quality_trees.statistics(raw, off)
+    name = {f: k for k, f in enumerate(quality_trees.FEATURES)}
+    for t, row in zip(texts, got):
+        words = re.findall(WORD, lower(t))
+        if not words:
+            assert not row.any()
+            continue
+        lines = [x for x in lower(t).split("\n") if x]
+        size, n, runs = len(t.encode()), len(words), Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        short = len(words) < 3
+        want = {
+            "words": np.log1p(n), "mean_word": sum(len(w.encode()) for w in words) / n, "distinct_words": len(set(words)) / n, "top_word": max(Counter(words).values()) / n, "lines": np.log1p(len(lines)),
+            "repeated_runs": 0 if short else sum(c for c in runs.values() if c > 1) / n, "commas": t.count(",") / size, "marks": (t.count("!") + t.count("?")) / size, "upper": sum("A" <= c <= "Z" for c in t) / size,
+        }
+        assert all(abs(row[name[f]] - v) < 1e-5 for f, v in want.items()), (t, want)
+
+
 def test_toxicity_restores_words(spark):
     rng = np.random.default_rng(11)
     def sentence(extra=()):
