@@ -45,3 +45,17 @@ def test_the_rest_imports_without_the_corpus_operators(tmp_path):
     shutil.copy(f"{HERE}/__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(k.startswith('op') for k in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)}, timeout=120)
     assert said.stdout.split()[1:] == ["False"] and int(said.stdout.split()[0]) >= 40, said.stderr
+
+
+def test_the_rest_of_the_suite_passes_without_the_corpus_operators(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline: its entry and text tests run."""
+    import shutil
+    import subprocess
+    import sys
+
+    shutil.copytree(f"{HERE}/sparkquill", tmp_path / "sparkquill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(f"{HERE}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{HERE}/__spark_entry__.py", tmp_path)
+    run = [sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_text.py", "tests/test_entry.py::test_every_oracle_has_a_query", "tests/test_documents_answers.py::test_gate"]
+    said = subprocess.run(run, cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, timeout=600)
+    assert said.returncode == 0, said.stdout[-2000:]
