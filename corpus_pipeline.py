@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm._stage import staged
+from sparkquill.llm._stage import drop_staged, staged
 from sparkquill.llm.fm_index import hits
 from sparkquill.llm.quality_trees import quality_scores
 from sparkquill.llm.queries import surrogate_key
@@ -71,5 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:  # what the stage before wrote has been read for the last time
+            drop_staged(before)
     return STAGES[-1][1](spark, docs, sf_dir)
