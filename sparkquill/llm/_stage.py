@@ -1,54 +1,19 @@
-"""Durable intermediate tables and joins that stand a hot key."""
+"""Joins that stand a hot key, and splits that stay; durable tables come from `sparkquill.staging`."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquill.staging import drop_path, drop_staged, new_path, shared_dir, staged
+
+__all__ = ["drop_path", "drop_staged", "new_path", "pin_splits", "salted_lookup", "shared_dir", "staged"]
+
 #: A key with at least this many rows is joined through salted copies.
 HOT_ROWS = 512
 SALTS = 64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Without one a local[...] session gets a new temporary folder; a cluster, whose executors have disks of their own, gets an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes `df` as Parquet into the shared folder and reads it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def drop_staged(*tables: DataFrame) -> None:
-    """Deletes the files of tables that `staged` returned and no later plan reads."""
-    for df in tables:
-        drop_path(df.sparkSession, df._staged_path)
-
-
 def pin_splits(spark: SparkSession) -> None:
     """Fixes the number of cores that Spark plans file splits for at today's (unless it is fixed already), so that two scans of
     one input have the same splits although executors come or go in between."""
