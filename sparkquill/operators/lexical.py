@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkquill.functions import text as T
 from sparkquill.staging import staged
@@ -53,8 +58,8 @@ def query_terms(questions: DataFrame, text: str = "question") -> DataFrame:
 class Store:
     """The chunks' words, cut once and staged; all lexical retrievers over these chunks read them from here.
 
-    The words of a chunk stay in one row, so document frequencies and postings need one shuffle each, of what is left
-    after counting within a task.
+    The words of a chunk stay in one row: document frequencies need one shuffle, of what is left after counting within a
+    task, and scores none.
     """
 
     def __init__(self, chunks: DataFrame, text: str = "text"):
@@ -68,40 +73,91 @@ class Store:
     def stats(self) -> DataFrame:
         return staged(corpus_stats(self.tokens), "corpus_stats")
 
-    def postings_of(self, terms: DataFrame) -> DataFrame:
-        """chunk_id, dl, token, tf of the tokens of `terms` alone: other tokens go before anything is counted or shuffled."""
-        each = self.tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-        return each.join(terms.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "dl", "token").agg(F.count("*").alias("tf"))
-
 
 def _store(chunks: DataFrame | Store, text: str) -> Store:
     return chunks if isinstance(chunks, Store) else Store(chunks, text)
 
 
+#: Questions that are sent to the chunks' tasks at a time.
+QUERY_BLOCK = 128
+#: Chunks that are scored together by one matrix product.
+ROWS = 256
+
+
+def _best(block, k: int, avgdl: float | None):
+    """chunk_id, tokens -> the k best chunks of each batch for each question of the block: qid, chunk_id, raw score.
+
+    With `avgdl` the scores are BM25's and all chunks compete, those without a match too; without it they are plain
+    occurrences, and only chunks with a match appear.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, terms, weights = block.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.take(pc.sort_indices(batch.column(0)))  # ties go to the smaller chunk_id
+            length = np.diff(batch.column(1).offsets.to_numpy())
+            term = pc.index_in(batch.column(1).flatten(), value_set=terms)
+            known = term.is_valid().to_numpy(zero_copy_only=False)
+            cell = np.repeat(np.arange(batch.num_rows), length)[known] * len(terms) + term.drop_null().to_numpy().astype(np.int64)
+            cell, tf = np.unique(cell, return_counts=True)
+            row, col = np.divmod(cell, max(len(terms), 1))
+            value = tf.astype(np.float64)
+            if avgdl is not None:
+                value = value * (K1 + 1) / (value + K1 * (1 - B + B * length[row] / (avgdl or 1.0)))
+            score = np.empty((batch.num_rows, len(qids)))
+            for lo in range(0, batch.num_rows, ROWS):
+                hi = min(lo + ROWS, batch.num_rows)
+                part = slice(*np.searchsorted(row, [lo, hi]))
+                dense = np.zeros((hi - lo, len(terms)))
+                dense[row[part] - lo, col[part]] = value[part]
+                score[lo:hi] = dense @ weights
+            first = np.argsort(-np.round(score, 6), axis=0, kind="stable")[:k]
+            at_q, at = np.tile(np.arange(len(qids)), len(first)), first.ravel()
+            raw = score[at, at_q]
+            if avgdl is None:
+                at_q, at, raw = at_q[raw > 0], at[raw > 0], raw[raw > 0]
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(at_q)), batch.column(0).take(pa.array(at)), pa.array(raw)], ["qid", "chunk_id", "raw"])
+
+    return rows
+
+
+def _topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avgdl: float | None) -> DataFrame:
+    """The k best chunks for weighted terms (qid, token, w): the questions are the stated set and go to the chunks in blocks; a pass over the
+    staged words scores a block by matrix products and leaves k rows of each question and batch, so no scores of pairs are shuffled."""
+    spark = questions.sparkSession
+    ids = questions.select("qid").distinct()
+    blocks = -(-ids.count() // QUERY_BLOCK)
+    place = F.pmod(F.xxhash64("qid"), F.lit(max(blocks, 1)))
+    if blocks > 1:
+        asked = staged(asked, "asked")
+    schema = StructType([questions.schema["qid"], store.tokens.schema["chunk_id"], StructField("raw", DoubleType())])
+    found = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        qids = ids.filter(place == b).toArrow().column("qid").combine_chunks()  # about QUERY_BLOCK rows
+        rows = asked.filter(place == b).select("qid", "token", "w").toArrow().combine_chunks()  # and their terms
+        terms = pc.unique(rows.column("token")).cast(pa.string())
+        weights = np.zeros((len(terms), len(qids)))
+        at = (pc.index_in(rows.column("token").combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False).astype(int), pc.index_in(rows.column("qid").combine_chunks(), value_set=qids).to_numpy(zero_copy_only=False).astype(int))
+        weights[at] = rows.column("w").to_numpy()
+        if len(qids):
+            found = found.unionByName(store.tokens.select("chunk_id", "tokens").mapInArrow(_best(spark.sparkContext.broadcast((qids, terms, weights)), k, avgdl), schema))
+    return rank_by(found.select("qid", "chunk_id", F.round("raw", 6).alias("score")), k, ["qid"], F.desc("score"), F.col("chunk_id"))
+
+
 def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:
     """qid, chunk_id, score (6 decimals), rank: always min(k, chunks) rows, unmatched chunks at score 0 in order of chunk_id.
 
-    Only postings of query terms are counted. The k first chunks compete for the places with score 0. Where a query term weighs
-    less than 0, which takes a vocabulary whose words stand in more than half of all chunks on average (tiny corpora), a match can rank below
-    no match; then all chunks compete. Rows that share a chunk_id count as one chunk.
+    Where a query term weighs less than 0 (tiny corpora whose words stand in most chunks), a match can rank below no match.
     """
     store, terms = _store(chunks, text), query_terms(questions)
     weights = idf(store.freq, store.stats).join(terms.select("token").distinct(), "token", "left_semi")
-    asked = terms.join(weights, "token").select("token", "qid", (F.col("qtf") * F.col("idf")).alias("w"))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = store.postings_of(terms).crossJoin(F.broadcast(store.stats)).join(asked, "token").groupBy("qid", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))  # stats is one row
-    ids = store.tokens.select("chunk_id")
-    below = weights.filter("idf < 0").agg(F.count("*").alias("n")).filter("n > 0")  # one row or none: without it nothing is paired
-    fill = ids.orderBy("chunk_id").limit(k).unionByName(ids.crossJoin(F.broadcast(below)).select("chunk_id"))
-    zero = questions.select("qid").crossJoin(fill).withColumn("score", F.lit(0.0))
-    both = scored.unionByName(zero).groupBy("qid", "chunk_id").agg(F.max_by("score", F.abs("score")).alias("score"))
-    return rank_by(both, k, ["qid"], F.desc("score"), F.col("chunk_id"))
+    asked = terms.join(weights, "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    return _topk(questions, asked, store, k, store.stats.first()["avgdl"] or 0.0)
 
 
 def full_text_or(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:
     """OR of the question's words, unstemmed: occurrences of query words in a chunk, no idf; chunks without any don't appear."""
-    terms = query_terms(questions).select("qid", "token")
-    counted = _store(chunks, text).postings_of(terms)
-    scored = counted.join(terms, "token").groupBy("qid", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
-    return rank_by(scored, k, ["qid"], F.desc("score"), F.col("chunk_id"))
+    asked = query_terms(questions).select("qid", "token", F.lit(1.0).alias("w"))
+    return _topk(questions, asked, _store(chunks, text), k, None)
