@@ -10,7 +10,7 @@ from sparkquill.staging import drop_path, drop_staged, new_path, shared_dir, sta
 __all__ = ["drop_path", "drop_staged", "new_path", "pin_splits", "salted_lookup", "shared_dir", "staged"]
 
 #: A key with at least this many rows is joined through salted copies.
-HOT_ROWS = 512
+HOT_ROWS = 128
 SALTS = 64
 
 
