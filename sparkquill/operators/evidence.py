@@ -56,6 +56,13 @@ def resolve_anywhere(quotes: DataFrame, chunks: DataFrame, compatibility: bool =
     return met.unionByName(every.select("qid", "ev", "chunk_id")).distinct()
 
 
+def with_papers(rankings: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`rankings` with the paper_id of each chunk_id; a chunk that isn't in the corpus is an error."""
+    known = chunks.groupBy("chunk_id").agg(F.min("paper_id").alias("paper_id"))
+    absent = F.raise_error(F.concat(F.lit("no such chunk: "), F.col("chunk_id").cast("string"))).cast("string")
+    return rankings.join(known, "chunk_id", "left").withColumn("paper_id", F.coalesce("paper_id", absent))
+
+
 def gold_chunks(resolved: DataFrame) -> DataFrame:
     return resolved.select("qid", "chunk_id").distinct()
 

@@ -257,8 +257,7 @@ def _own_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         lexical.full_text_or(q.select("qid", "question"), store, 10).withColumn("retriever", F.lit("fts")),
     ]
     rankings = ranked[0].select("retriever", "qid", "chunk_id", "rank").unionByName(ranked[1].select("retriever", "qid", "chunk_id", "rank"))
-    paper = F.regexp_replace(F.substring_index("chunk_id", ":", 1), "^0+(?=.)", "")
-    return q, resolved, rankings.withColumn("paper_id", paper)
+    return q, resolved, evidence.with_papers(rankings, c)
 
 
 def _per_question(spark: SparkSession, sf_dir: str) -> DataFrame:

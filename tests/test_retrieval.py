@@ -155,6 +155,13 @@ def test_quotes_of_any_length_are_found_anywhere(spark, chunks):
     assert got == want and len(want) > 15
 
 
+def test_papers_of_ranked_chunks(spark, chunks):
+    got = evidence.with_papers(ranking(spark, "tide:02", "bees:01"), chunks).orderBy("rank").collect()
+    assert [r.paper_id for r in got] == ["tide", "bees"]
+    with pytest.raises(Exception, match="no such chunk: moon:00"):
+        evidence.with_papers(ranking(spark, "moon:00"), chunks).collect()
+
+
 def test_pages_are_repaired(spark):
     pages = spark.createDataFrame([("d", 1, "first page words " * 5), ("d", 2, "a sentence that runs over the page and ends with more words before it breaks"), ("d", 3, "right here and then goes on")], "doc_id string, page int, text string")
     e = spark.createDataFrame(
