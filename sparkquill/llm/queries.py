@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm import oracles
+from sparkquill.llm.filter_audit import filter_audit
 from sparkquill.llm.fm_index import decontaminate
 from sparkquill.llm.fm_index import digest as hit_digest
 from sparkquill.llm.hilbert import hilbert_shards
@@ -77,6 +78,10 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_surrogates": op8_surrogates,
     "op9_host_rules": op9_host_rules,
     "op10_quality_trees": op10_quality_trees,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,4 +102,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_hilbert_sharding": oracles.OP6,
     "op7_fm_index_decontamination": oracles.OP7,
     "op9_host_rules": oracles.OP9,
+    "op11_filter_audit": oracles.OP11,
 }
