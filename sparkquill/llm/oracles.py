@@ -123,3 +123,47 @@ r AS (
     coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0)::BIGINT AS toxic_lost
   FROM asked GROUP BY ALL)
 SELECT * EXCLUDE (letter), sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley FROM r"""
+
+
+def _op12() -> str:
+    """Levels, the siblings of every node, and the walk of every leaf up its source's tree and then the tree of the subroots."""
+
+    def field(v: str) -> str:
+        return f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    crc = "xor(list_reduce(list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, (i + 1)::BIGINT, 2))::BIGINT), lambda c, v: xor(c >> 8, crc_table[(xor(c, v) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+    def level(name: str) -> str:
+        return f"SELECT s, lv + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY s, lv, idx // 3, n"
+
+    def siblings(name: str) -> str:
+        return f"""SELECT x.s, x.lv, x.idx, coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS l, coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS r
+  FROM {name} x JOIN {name} y ON x.s = y.s AND x.lv = y.lv AND x.idx // 3 = y.idx // 3 WHERE x.n > 1 GROUP BY x.s, x.lv, x.idx"""
+
+    return f"""
+WITH RECURSIVE crc_table AS (SELECT {CRC_TABLE} AS crc_table),
+h AS (SELECT *, hex(doc_id::VARCHAR) AS h FROM documents),
+d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN coalesce({crc} % 2 = 0, false) THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS tampered FROM h, crc_table),
+leaves AS (
+  SELECT *, row_number() OVER () AS rid, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d),
+up(s, lv, idx, n, digest) AS (SELECT s, 0, idx, n, leaf FROM leaves UNION ALL {level('up')}),
+subroots AS (SELECT s, digest FROM up WHERE n = 1),
+top(s, lv, idx, n, digest) AS (SELECT -1::BIGINT, 0, s, count(*) OVER (), digest FROM subroots UNION ALL {level('top')}),
+root AS (SELECT digest AS root FROM top WHERE n = 1),
+near AS ({siblings('up')}), far AS ({siblings('top')}),
+walk(rid, s, lv, idx, proof, cur) AS (
+  SELECT rid, s, 0, idx, '', tampered FROM leaves
+  UNION ALL SELECT rid, s, lv + 1, idx // 3, proof || l || r, sha256(l || cur || r) FROM walk JOIN near USING (s, lv, idx)),
+inner_end AS (SELECT rid, s, arg_max(proof, lv) AS proof, arg_max(cur, lv) AS cur FROM walk GROUP BY rid, s),
+above(rid, s, lv, idx, proof, cur) AS (
+  SELECT rid, -1::BIGINT, 0, s, proof, cur FROM inner_end
+  UNION ALL SELECT rid, s, lv + 1, idx // 3, proof || l || r, sha256(l || cur || r) FROM above JOIN far USING (s, lv, idx)),
+ends AS (SELECT rid, arg_max(proof, lv) AS proof, arg_max(cur, lv) AS folded_root FROM above GROUP BY rid)
+SELECT doc_id, leaf, subroots.digest AS subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (s) JOIN ends USING (rid), root"""
+
+
+OP12 = _op12()

@@ -13,6 +13,7 @@ from sparkquill.llm.fm_index import decontaminate
 from sparkquill.llm.fm_index import digest as hit_digest
 from sparkquill.llm.hilbert import hilbert_shards
 from sparkquill.llm.host_rules import host_rules
+from sparkquill.llm.merkle import verify_manifest
 from sparkquill.llm.quality_trees import quality_scores
 from sparkquill.llm.rans_tokens import token_digests
 from sparkquill.llm.setsketch import near_duplicates
@@ -82,6 +83,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_host_rules": op9_host_rules,
     "op10_quality_trees": op10_quality_trees,
     "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -103,4 +109,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_fm_index_decontamination": oracles.OP7,
     "op9_host_rules": oracles.OP9,
     "op11_filter_audit": oracles.OP11,
+    "op12_merkle_manifest": oracles.OP12,
 }

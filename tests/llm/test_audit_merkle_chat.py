@@ -6,7 +6,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkquill.llm import filter_audit
+from sparkquill.llm import filter_audit, merkle
 
 WORD = "[^\x20\x09-\x0d]+"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -66,3 +66,76 @@ def test_filter_audit_with_full_bitmaps_and_of_nothing(spark):
     marked = filter_audit.copies(docs, keys.select("doc_id", F.xxhash64(F.lit("text 1")).alias("h")))
     assert {r.doc_id for r in marked.collect()} == {41, 81}
     assert filter_audit.filter_audit(docs.limit(0), labels).count() == 0
+
+
+# ---- Merkle manifest ----
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_leaf(row, cut=False):
+    i, text, lang, source, n = row
+    if cut and text is not None:
+        text = text.replace("\n", "")
+    return sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (i, source, lang, n, text)])
+
+
+def brute_tree(nodes):
+    """Root, and for each node its siblings by level as (left, right)."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, place in enumerate(at):
+            run = nodes[place // 3 * 3 : place // 3 * 3 + 3]
+            paths[k].append(("".join(run[: place % 3]), "".join(run[place % 3 + 1 :])))
+        nodes = [sha(*nodes[k : k + 3]) for k in range(0, len(nodes), 3)]
+        at = [place // 3 for place in at]
+    return nodes[0], paths
+
+
+def brute_manifest(rows):
+    sources = {}
+    for row in rows:
+        sources.setdefault(row[3], []).append(row)
+    names = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    trees = []
+    for name in names:
+        own = sorted(sources[name], key=lambda r: (r[0] is not None, r[0] or 0, brute_leaf(r)))
+        trees.append((own, *brute_tree([brute_leaf(r) for r in own])))
+    root, tops = brute_tree([t[1] for t in trees])
+    out = []
+    for (own, subroot, paths), top in zip(trees, tops):
+        for row, path in zip(own, paths):
+            changed = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0
+            now = brute_leaf(row, changed)
+            for l, r in path + top:
+                now = sha(l, now, r)
+            out.append((row[0], brute_leaf(row), subroot, root, sha(*[l + r for l, r in path + top]), now, now == root))
+    return sorted(out, key=str)
+
+
+MERKLE_CASES = {
+    "many": [(k, f"t {k}\nx" if k % 3 else f"t {k}", "en", f"s{k % 5}" if k % 4 else "hot", k) for k in range(260)]
+    + [(None, "a\nb", None, None, None), (None, None, "fr", "s1", 3), (7, "again", "en", "s2", 1), (7, "again", "en", "s2", 1), (1000, "é\n" * 20_000, "fr", "ü", 7), (1001, "", "", "", 0), (1002, "lone\n", "en", "zz", 1)],
+    "one source": [(k, "x\n", "en", "s", 1) for k in range(10)],
+    "three leaves": [(k, "x\n", "en", "s", 1) for k in range(3)],
+    "one leaf": [(2, "x\ny", "en", None, 1)],
+    "lone leaves": [(k, "x\ny", "en", f"s{k}", 1) for k in range(11)],
+}
+
+
+@pytest.mark.parametrize("name", MERKLE_CASES)
+def test_merkle_manifest_equals_brute_force(spark, monkeypatch, name):
+    monkeypatch.setattr(merkle, "BROADCAST_BYTES", 1 << 20 if name != "many" else 0)
+    rows = MERKLE_CASES[name]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("leaf", F.lit(1)).withColumn("s", F.lit("x")).withColumn("n", F.lit(2)).repartition(3)
+    found = merkle.verify_manifest(docs)
+    got = [tuple(r) for r in found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()]
+    assert sorted(got, key=str) == brute_manifest(rows)
+
+
+def test_merkle_manifest_of_nothing(spark):
+    docs = spark.createDataFrame([], DOCS)
+    assert merkle.Manifest(docs).root is None
+    assert merkle.verify_manifest(docs).count() == 0
