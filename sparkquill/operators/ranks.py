@@ -10,7 +10,7 @@ from sparkquill.staging import staged
 _PLACE = (1 << 33) - 1
 
 
-def _in_order(df: DataFrame, order: list[str]) -> DataFrame:
+def in_order(df: DataFrame, order: list[str]) -> DataFrame:
     """`df` in ranges of the order, with _part, the number of its range, and _i, the row's number in it; staged, so that both stay."""
     placed = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "in_order")
     return placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_i", F.col("_at").bitwiseAND(F.lit(_PLACE))).drop("_at")
@@ -18,7 +18,7 @@ def _in_order(df: DataFrame, order: list[str]) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], out: str = "i") -> DataFrame:
     """`df` with row numbers from 0 in the given order, which should tell all rows apart."""
-    placed = _in_order(df, order)
+    placed = in_order(df, order)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     # one row for each range
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -33,7 +33,7 @@ def nearest_ranks(df: DataFrame, groups: list[str], value: str, percents: dict[s
     """
     key = F.struct(*[F.col(f"`{g}`") for g in groups], F.lit(0).alias("_")).alias("_g")
     counts = df.filter(F.col(value).isNotNull()).select(key, F.col(value).alias("_v")).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
-    placed = _in_order(counts, ["_g", "_v"])
+    placed = in_order(counts, ["_g", "_v"])
     parts = placed.groupBy("_g", "_part").agg(F.sum("_c").alias("_p"))  # a row for each range, and one more for each group that begins in it
     order = Window.partitionBy("_g").orderBy("_part")
     before = parts.select("_g", "_part", F.coalesce(F.sum("_p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_p").over(Window.partitionBy("_g")).alias("_n"))
