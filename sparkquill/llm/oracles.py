@@ -167,3 +167,25 @@ FROM leaves JOIN subroots USING (s) JOIN ends USING (rid), root"""
 
 
 OP12 = _op12()
+
+OP13 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+f AS (SELECT *, '<|im_start|>' || regexp_replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<(\\*)\|', '<\1\\|', 'g') || chr(10) || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10) AS fmt FROM c),
+k AS (SELECT *, (strlen(fmt) + 3) // 4 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM f),
+s AS (SELECT conv_id, cost AS system_cost, length(fmt) AS system_chars FROM k WHERE k = 1 AND role = 'system'),
+p AS (
+  SELECT k.*, s.system_chars, greatest(512, 1536 - coalesce(system_cost, 0)) AS span,
+    sum(CASE WHEN k = 1 AND role = 'system' THEN 0 ELSE cost END) OVER (PARTITION BY k.conv_id ORDER BY k) - cost AS p, k = 1 AND role = 'system' AS is_system
+  FROM k LEFT JOIN s ON k.conv_id IS NOT DISTINCT FROM s.conv_id),
+w AS (SELECT *, CASE WHEN is_system THEN 0 ELSE 2 * (p // span) + CASE WHEN p > p // span * span AND p + cost > (p // span + 1) * span THEN 1 ELSE 0 END END AS w FROM p),
+begins AS (SELECT conv_id, w, min(p) AS p0, any_value(system_chars) AS system_chars FROM w WHERE NOT is_system GROUP BY conv_id, w),
+again AS (
+  SELECT b.conv_id, sum(length(u.fmt)) AS chars FROM begins b JOIN w u ON b.conv_id IS NOT DISTINCT FROM u.conv_id AND NOT u.is_system AND b.p0 > u.p AND b.p0 <= u.p + 512 GROUP BY b.conv_id),
+systems AS (SELECT conv_id, coalesce(sum(system_chars) FILTER (w > 0), 0) AS chars FROM begins GROUP BY conv_id),
+told AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '') AS loss, sum(length(fmt)) AS chars FROM k GROUP BY conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (t.chars + coalesce(a.chars, 0) + coalesce(s.chars, 0))::BIGINT AS formatted_chars
+FROM told t LEFT JOIN again a ON t.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN systems s ON t.conv_id IS NOT DISTINCT FROM s.conv_id"""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.llm import oracles
+from sparkquill.llm.chat_format import conversation_digests, hostile
 from sparkquill.llm.filter_audit import filter_audit
 from sparkquill.llm.fm_index import decontaminate
 from sparkquill.llm.fm_index import digest as hit_digest
@@ -87,6 +88,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_digests(hostile(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_boundary_chain": op1_warc_boundary_chain,
     "op2_setsketch_near_dedup": op2_setsketch_near_dedup,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_trees": op10_quality_trees,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_chat_windows": op13_chat_windows,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -110,4 +116,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_host_rules": oracles.OP9,
     "op11_filter_audit": oracles.OP11,
     "op12_merkle_manifest": oracles.OP12,
+    "op13_chat_windows": oracles.OP13,
 }
