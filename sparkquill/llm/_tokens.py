@@ -62,6 +62,28 @@ def lowered(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+#: Longer texts are split into words part by part: the arrays of a part have some 40 bytes for each byte of text.
+PART_BYTES = 4 << 20
+_ALNUM = np.array([chr(b).isalnum() and b < 0x80 for b in range(256)])
+_GAP = np.array([b in (0x0A, 0x20) for b in range(256)])
+
+
+def parts_of(raw: np.ndarray, limit: int | None = None) -> list[np.ndarray]:
+    """A text's bytes in parts of about `limit`, cut before a space or line feed that follows an ASCII letter or digit: no word, run of white space
+    or composed character crosses such a place, whichever of the styles splits it. A text without such places stays whole."""
+    limit, cuts = limit or PART_BYTES, [0]
+    while len(raw) - cuts[-1] > limit:
+        at, found = cuts[-1] + limit, None
+        while at < len(raw) and found is None:
+            near = raw[at - 1 : at + (1 << 16)]
+            hits = np.flatnonzero(_GAP[near[1:]] & _ALNUM[near[:-1]])
+            at, found = (at, at + int(hits[0])) if len(hits) else (at + (1 << 16), None)
+        if found is None:
+            break
+        cuts.append(found)
+    return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+
+
 class Pieces:
     """The words of some texts: character ranges in `text`, hashes, and the number of words of each text."""
 

@@ -4,7 +4,8 @@ Every document's ids (its end id last) are written in ascending order of doc_id.
 over all tokens and scaled to 2**PRECISION, is shared by all frames. A frame holds whole documents with about FRAME_TOKENS
 ids and is decoded on its own: LANES interleaved states share one stream of 32-bit words; every CHECKPOINT steps the
 states and the place in the stream are noted, so that the pieces between checkpoints are decoded side by side; a CRC-32
-closes the frame. A token dataset is a folder with `frames` (one row for each frame: shard, frame, first_token within the
+closes it. A frame that a long document makes longer than twice FRAME_TOKENS is a sequence of such blocks, so what is coded at a time (SIDE_BY_SIDE blocks)
+has a size that no text changes; long texts are split into words part by part, too. A token dataset is a folder with `frames` (one row for each frame: shard, frame, first_token within the
 shard, doc_ids, lengths, payload) and `table` (symbol, frequency, end_id, ...), both Parquet, so any store that
 Spark reads will do.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm._arrays import chunks
 from sparkquill.llm._stage import drop_staged, new_path, staged
-from sparkquill.llm._tokens import Pieces, load_tokenizer, shared_word_ids, sums_by, tokenizer_path
+from sparkquill.llm._tokens import PART_BYTES, Pieces, load_tokenizer, parts_of, shared_word_ids, sums_by, tokenizer_path
 
 PRECISION, LANES, CHECKPOINT, FRAME_TOKENS = 20, 32, 512, 1 << 16
 #: Frames that are coded together: numpy's cost for each step is shared by them.
@@ -56,7 +57,20 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 def encode_frames(frames: list[np.ndarray], freq: np.ndarray) -> list[bytes]:
-    """A payload for each array of symbols; all frames go through the steps together."""
+    """A payload for each array of symbols: its blocks, one after the other. SIDE_BY_SIDE blocks go through the steps together."""
+    blocks, owner = [], []
+    for i, x in enumerate(frames):
+        cuts = range(0, len(x), FRAME_TOKENS) if len(x) > 2 * FRAME_TOKENS else [0]
+        blocks += [x[a : a + FRAME_TOKENS] if len(cuts) > 1 else x for a in cuts]
+        owner += [i] * len(cuts)
+    out: list[list[bytes]] = [[] for _ in frames]
+    for lo in range(0, len(blocks), SIDE_BY_SIDE):
+        for i, payload in zip(owner[lo:], _encode_blocks(blocks[lo : lo + SIDE_BY_SIDE], freq)):
+            out[i].append(payload)
+    return [b"".join(x) for x in out]
+
+
+def _encode_blocks(frames: list[np.ndarray], freq: np.ndarray) -> list[bytes]:
     cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
     f64 = freq.astype(np.uint64)
     n = np.array([len(x) for x in frames])
@@ -97,7 +111,27 @@ def encode_frames(frames: list[np.ndarray], freq: np.ndarray) -> list[bytes]:
 
 
 def decode_frames(payloads: list[bytes], freq: np.ndarray) -> list[np.ndarray]:
-    """The symbols of each payload; the pieces between checkpoints of all frames are decoded side by side."""
+    """The symbols of each payload."""
+    blocks, owner = [], []
+    for i, p in enumerate(payloads):
+        view, at = memoryview(p), 0
+        while at < len(p):
+            if len(p) - at < _HEAD.size + 4:
+                raise ValueError("not a token frame")
+            _, lanes, _, n_marks, n_words = _HEAD.unpack_from(p, at)
+            size = _HEAD.size + 4 * n_marks + 8 * n_marks * lanes + 4 * n_words + 4
+            blocks.append(view[at : at + size])
+            owner.append(i)
+            at += size
+    out: list[list[np.ndarray]] = [[] for _ in payloads]
+    for lo in range(0, len(blocks), SIDE_BY_SIDE):
+        for i, ids in zip(owner[lo:], _decode_blocks(blocks[lo : lo + SIDE_BY_SIDE], freq)):
+            out[i].append(ids)
+    return [x[0] if len(x) == 1 else np.concatenate([np.zeros(0, np.int32), *x]) for x in out]
+
+
+def _decode_blocks(payloads: list[memoryview], freq: np.ndarray) -> list[np.ndarray]:
+    """The symbols of each block; the pieces between checkpoints of all blocks are decoded side by side."""
     cum = np.concatenate([[0], np.cumsum(freq)]).astype(np.uint64)
     f64 = freq.astype(np.uint64)
     symbol_of = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
@@ -139,14 +173,21 @@ def decode_frames(payloads: list[bytes], freq: np.ndarray) -> list[np.ndarray]:
 def _encoder(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = shared_word_ids(path)
-        for batch, raw, offsets in chunks(batches, limit=1 << 20):
+        end = np.array([END_ID], "<u2").tobytes()
+
+        def coded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pieces = Pieces(raw, offsets, "lower", SPECIALS)
             hashes, index, inverse = np.unique(pieces.hash, return_index=True, return_inverse=True)
             ids, lengths = cache.expand(cache.slots(hashes, lambda k: pieces.word(index[k]))[inverse])
-            n = sums_by(pieces.count, lengths)
+            return ids.astype("<u2"), sums_by(pieces.count, lengths)
+
+        for batch, raw, offsets in chunks(batches, limit=1 << 20):
+            if batch.num_rows == 1 and len(raw) > PART_BYTES:
+                small = np.concatenate([coded(x, np.array([0, len(x)]))[0] for x in parts_of(raw)])
+                n = np.array([len(small)])
+            else:
+                small, n = coded(raw, offsets)
             cut = np.concatenate([[0], np.cumsum(n)])
-            small = ids.astype("<u2")
-            end = np.array([END_ID], "<u2").tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n + 1, pa.int64()), pa.array([small[cut[i] : cut[i + 1]].tobytes() + end for i in range(len(n))], pa.binary())], ["doc_id", "n", "ids"]
             )
@@ -224,7 +265,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
     spark.createDataFrame(pa.table({"symbol": pa.array(used, pa.int32()), "frequency": pa.array(freq[used], pa.int64())})).coalesce(1).write.parquet(f"{path}/table")
     table = spark.sparkContext.broadcast(freq)
     schema = "shard int, frame long, first_token long, n_tokens long, doc_ids array<long>, lengths array<long>, payload binary"
-    framed = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "ids").select("doc_id", "ids").mapInArrow(_framer(table), schema)
+    # equal doc_ids, the null one among them, are dealt by length, ids and place, so that many of them fill many ranges
+    placed = coded.withColumn("at", F.monotonically_increasing_id())
+    framed = placed.repartitionByRange("doc_id", "n", F.substring("ids", 1, 64), "at").sortWithinPartitions("doc_id", "n", "ids").select("doc_id", "ids").mapInArrow(_framer(table), schema)
     framed.write.option("compression", "uncompressed").parquet(f"{path}/frames")
     drop_staged(coded)
 
@@ -233,8 +276,12 @@ def _reader(table):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = table.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, SIDE_BY_SIDE):
-                part = batch.slice(lo, SIDE_BY_SIDE)
+            sizes = np.cumsum(batch.column(4).to_numpy())
+            lo = hi = 0
+            while hi < batch.num_rows:  # SIDE_BY_SIDE frames, fewer where they are long, one at least
+                lo, least = hi, sizes[hi - 1] if hi else 0
+                hi = min(lo + SIDE_BY_SIDE, max(lo + 1, int(np.searchsorted(sizes, least + 2 * SIDE_BY_SIDE * FRAME_TOKENS, side="right"))))
+                part = batch.slice(lo, hi - lo)
                 decoded = decode_frames(part.column(3).to_pylist(), freq)
                 for i, ids in enumerate(decoded):
                     lengths = np.array(part.column(2)[i].as_py(), dtype=np.int64)
@@ -262,7 +309,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sums = frames.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # one row for each partition that was written: their number bounds the window and the broadcast
     before = sums.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = frames.join(F.broadcast(before), "shard").select((F.col("before") + F.col("first_token")).alias("first"), "doc_ids", "lengths", "payload")
+    placed = frames.join(F.broadcast(before), "shard").select((F.col("before") + F.col("first_token")).alias("first"), "doc_ids", "lengths", "payload", "n_tokens")
     return placed.mapInArrow(_reader(spark.sparkContext.broadcast(freq)), "doc_id long, start long, ids binary")
 
 

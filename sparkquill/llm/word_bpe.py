@@ -8,8 +8,10 @@ puts their bytes together again.
 
 What is shuffled: each block's distinct words, their ids, and its numbered words (compressed); a frequent word costs one
 entry for each block, so no key is hot. The numbers of shards and of block partitions follow from the bytes of the texts. The
-blocks are made twice, once for their words and once for their numbers, from the same partitions of `docs`: file splits
-are pinned for the session, and other words in a block the second time raise an error (write such an input down first).
+blocks are made twice, once for their words and once for their numbers, from the same partitions of `docs`; file splits
+are pinned for the session. Both times a block sums up its distinct words in 128 bits (a digest of the sorted hashes of each shard): a block that holds
+other words the second time raises an error, as the rows then moved between the scans (write such an input down first). Rows
+in another order within a block do no harm: numbers and doc_ids come from one scan, and words are listed by hash.
 
 A word may have any length: its ids are counted in 32 bits. Null texts are empty and have no ids. Rows that repeat are encoded each. The special token counts as one word. An empty
 table gives no rows.
@@ -17,6 +19,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm._arrays import chunks
 from sparkquill.llm._stage import pin_splits
-from sparkquill.llm._tokens import Pieces, WordIds, expand, load_tokenizer, sums_by, tokenizer_path
+from sparkquill.llm._tokens import Pieces, WordIds, expand, load_tokenizer, parts_of, sums_by, tokenizer_path
 
 BLOCK_BYTES = 6 << 20
 ROW_WORDS = 250_000
@@ -45,6 +48,15 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(b[8:], struct.unpack_from("<Q", b)[0], codec="zstd", asbytes=True), kind)
 
 
+def _mark(hashes: np.ndarray) -> int:
+    """128 bits of a sorted list of word hashes."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), "little")
+
+
+def _marks(marks: list[int]) -> bytes:
+    return (sum(marks) % (1 << 128)).to_bytes(16, "little")
+
+
 class _Block:
     """The words of some documents: distinct words sorted by shard and hash, and the number of each word in that order."""
 
@@ -57,6 +69,8 @@ class _Block:
         back[order] = np.arange(len(order))
         self.numbers = back[inverse].astype(np.uint32)
         self.hash, self.shard, self.index = distinct[order], shard[order], index[order]
+        self.edge = np.searchsorted(self.shard, np.arange(shards + 1))
+        self.marks = [_mark(self.hash[a:b]) for a, b in zip(self.edge[:-1], self.edge[1:]) if b > a]
         self.begin = np.cumsum([0] + [len(p.hash) for _, p in parts])
         self.parts = parts
 
@@ -70,7 +84,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple[in
     base, number, parts, size = 0, 0, [], 0
     for batch, raw, offsets in chunks(batches, limit=1 << 20):
         base = batch.column(2)[0].as_py() << 24  # the partition of the scan
-        parts.append((batch, Pieces(raw, offsets, "bytes", SPECIALS)))
+        # a long text, alone in its chunk, is split part by part; its row stands with the first
+        pieces = parts_of(raw) if batch.num_rows == 1 else [raw]
+        parts += [(batch if not i else None, Pieces(x, offsets if len(pieces) == 1 else np.array([0, len(x)]), "bytes", SPECIALS)) for i, x in enumerate(pieces)]
         size += len(raw)
         if size >= BLOCK_BYTES:
             yield base + number, _Block(parts, shards)
@@ -82,15 +98,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple[in
 def _word_rows(shards: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b in _blocks(batches, shards):
-            edge = np.searchsorted(b.shard, np.arange(shards + 1))
-            for s in range(shards):
-                if edge[s + 1] > edge[s]:
-                    words = [b.word(k).encode("utf-8", "surrogatepass") for k in range(edge[s], edge[s + 1])]
+            marks = iter(b.marks)
+            for s, (lo, hi) in enumerate(zip(b.edge[:-1].tolist(), b.edge[1:].tolist())):
+                if hi > lo:
+                    words = [b.word(k).encode("utf-8", "surrogatepass") for k in range(lo, hi)]
                     lengths = np.array([len(w) for w in words], dtype="<u4")
                     text = np.frombuffer(b"".join(words), np.uint8)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block], pa.int64()), pa.array([s], pa.int32()), pa.array([_pack(lengths)], pa.binary()), pa.array([_pack(text)], pa.binary())],
-                        ["block", "shard", "lengths", "words"],
+                        [pa.array([block], pa.int64()), pa.array([s], pa.int32()), pa.array([_pack(lengths)], pa.binary()), pa.array([_pack(text)], pa.binary()), pa.array([_marks([next(marks)])], pa.binary())],
+                        ["block", "shard", "lengths", "words", "mark"],
                     )
 
     return rows
@@ -102,7 +118,7 @@ def _encode_rows(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordIds(path)
         for batch in batches:
-            for block, shard, lengths, words in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for block, shard, lengths, words, mark in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 text = _unpack(words, "u1").tobytes()
                 end = np.cumsum(_unpack(lengths, "<u4").astype(np.int64))
                 start = np.concatenate([[0], end[:-1]])
@@ -110,8 +126,8 @@ def _encode_rows(path: str):
                 ids, size = cache.encode_words(parts)
                 width = 2 if ids.max(initial=0) < 65536 else 4
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([_pack(ids.astype(f"<u{width}"))], pa.binary()), pa.array([_pack(size.astype("<u4"))], pa.binary()), pa.array([width], pa.int64())],
-                    ["block", "kind", "seq", "a", "b", "n"],
+                    [pa.array([block], pa.int64()), pa.array([0], pa.int32()), pa.array([shard], pa.int32()), pa.array([_pack(ids.astype(f"<u{width}"))], pa.binary()), pa.array([_pack(size.astype("<u4"))], pa.binary()), pa.array([width], pa.int64()), pa.array([mark], pa.binary())],
+                    ["block", "kind", "seq", "a", "b", "n", "mark"],
                 )
 
     return rows
@@ -122,8 +138,9 @@ def _number_rows(shards: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, b in _blocks(batches, shards):
-            ids = pa.concat_arrays([batch.column(0) for batch, _ in b.parts])
-            count = np.concatenate([p.count for _, p in b.parts])
+            ids = pa.concat_arrays([batch.column(0) for batch, _ in b.parts if batch is not None])
+            first = np.concatenate([np.full(len(p.count), batch is not None) for batch, p in b.parts])
+            count = np.bincount(np.cumsum(first) - 1, np.concatenate([p.count for _, p in b.parts])).astype(np.int64)  # exact up to 2**53
             end = np.cumsum(count)
             lo, seq = 0, 0
             while lo < len(count):
@@ -133,9 +150,9 @@ def _number_rows(shards: int):
                     [
                         pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([seq], pa.int32()),
                         pa.array([_pack(_planes(b.numbers[first : end[hi - 1]]))], pa.binary()), pa.array([_pack(count[lo:hi].astype("<u4"))], pa.binary()),
-                        pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([len(b.hash)], pa.int64()),
+                        pa.array([ids.slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())), pa.array([len(b.hash)], pa.int64()), pa.array([_marks(b.marks)], pa.binary()),
                     ],
-                    ["block", "kind", "seq", "a", "b", "docs", "n"],
+                    ["block", "kind", "seq", "a", "b", "docs", "n", "mark"],
                 )
                 lo, seq = hi, seq + 1
 
@@ -172,21 +189,22 @@ def piece_table(path: str) -> list[bytes]:
 def _join_rows(pieces):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Pieces(pieces.value)
-        block, ids, size, offset, flat = None, [], [], None, None
+        block, ids, size, marks, offset, flat = None, [], [], [], None, None
         for batch in batches:
             for i in range(batch.num_rows):
                 at, kind, a, b = (batch.column(k)[i].as_py() for k in (0, 1, 3, 4))
                 if at != block:
-                    block, ids, size, offset = at, [], [], None
+                    block, ids, size, marks, offset = at, [], [], [], None
                 if kind == 0:
+                    marks.append(int.from_bytes(batch.column(7)[i].as_py(), "little"))
                     ids.append(_unpack(a, f"<u{batch.column(6)[i].as_py()}").astype(np.int32))
                     size.append(_unpack(b, "<u4").astype(np.int64))
                     continue
                 if offset is None:
                     offset = np.concatenate([[0], np.cumsum(np.concatenate(size))]) if size else np.zeros(1, np.int64)
                     flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                    if len(offset) - 1 != batch.column(6)[i].as_py():
-                        raise RuntimeError("the documents came in another order the second time: write the input down before encoding it")
+                    if len(offset) - 1 != batch.column(6)[i].as_py() or _marks(marks) != batch.column(7)[i].as_py():
+                        raise RuntimeError("a block holds other words the second time: write the input down before encoding it")
                 planes = _unpack(a, "u1").reshape(4, -1)
                 numbers = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
                 words = _unpack(b, "<u4").astype(np.int64)
@@ -221,10 +239,10 @@ def encode_and_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFram
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, parts = min(MOST_SHARDS, 8 + size // SHARD_BYTES), 8 + size // PART_BYTES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().cast("long").alias("partition"))
-    words = texts.mapInArrow(_word_rows(shards), "block long, shard int, lengths binary, words binary")
-    coded = words.repartitionById(shards, F.col("shard")).mapInArrow(_encode_rows(path), "block long, kind int, seq int, a binary, b binary, n long")
-    numbers = texts.mapInArrow(_number_rows(shards), "block long, kind int, seq int, a binary, b binary, docs array<long>, n long")
-    both = coded.select("block", "kind", "seq", "a", "b", F.lit(None).cast("array<long>").alias("docs"), "n").unionByName(numbers)
+    words = texts.mapInArrow(_word_rows(shards), "block long, shard int, lengths binary, words binary, mark binary")
+    coded = words.repartitionById(shards, F.col("shard")).mapInArrow(_encode_rows(path), "block long, kind int, seq int, a binary, b binary, n long, mark binary")
+    numbers = texts.mapInArrow(_number_rows(shards), "block long, kind int, seq int, a binary, b binary, docs array<long>, n long, mark binary")
+    both = coded.select("block", "kind", "seq", "a", "b", F.lit(None).cast("array<long>").alias("docs"), "n", "mark").unionByName(numbers)
     pieces = spark.sparkContext.broadcast(piece_table(path))  # the vocabulary bounds its size
     # neighbouring partitions of the scan, and the blocks of one, go to different tasks in turn
     place = F.pmod(F.shiftright("block", 24) + 7 * F.col("block").bitwiseAND(F.lit((1 << 24) - 1)), F.lit(parts)).cast("int")

@@ -4,12 +4,13 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
 from sparkquill.llm import _arrays as A
 from sparkquill.llm import rans_tokens, word_bpe
-from sparkquill.llm._tokens import Pieces, WordIds, load_tokenizer, sums_by, tokenizer_path
+from sparkquill.llm._tokens import Pieces, WordIds, load_tokenizer, parts_of, sums_by, tokenizer_path
 
 pytest.importorskip("public_tokenizers")
 
@@ -132,3 +133,78 @@ def test_large_vocabularies_are_refused(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"version": "1.0", "added_tokens": [], "model": {"type": "WordLevel", "vocab": words, "unk_token": "t0"}}))
     with pytest.raises(ValueError, match="16 bits"):
         rans_tokens.token_digests(spark.createDataFrame([(1, "t1")], "doc_id long, text string"), str(tmp_path / "t.json"))
+
+
+def test_parts_of_a_long_text_have_its_words():
+    rng = random.Random(8)
+    alphabet = list("   \n\n\t'' streVLld.,é Σς \u0301中 9  \u00a0") + ["ab", "cd ", "don't ", " 1\u0301"]
+    for _ in range(300):
+        raw = np.frombuffer("".join(rng.choice(alphabet) for _ in range(rng.randint(0, 200))).encode(), np.uint8)
+        cut = parts_of(raw, rng.randint(1, 40))
+        assert b"".join(x.tobytes() for x in cut) == raw.tobytes()
+        for style, specials in (("bytes", word_bpe.SPECIALS), ("lower", rans_tokens.SPECIALS)):
+            whole = Pieces(raw, np.array([0, len(raw)]), style, specials)
+            parts = [Pieces(x, np.array([0, len(x)]), style, specials) for x in cut]
+            assert [p.word(i) for p in parts for i in range(len(p.start))] == [whole.word(i) for i in range(len(whole.start))]
+            assert [h for p in parts for h in p.hash.tolist()] == whole.hash.tolist()
+
+
+def test_frames_of_a_long_document_have_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    frames = [(rng.zipf(1.3, n) % 5000).astype(np.uint16) for n in (50_000, 3_000_000, 131_073, 131_072)]
+    freq = rans_tokens.scaled(np.bincount(np.concatenate(frames), minlength=5000))
+    tracemalloc.start()
+    payloads = rans_tokens.encode_frames(frames, freq)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    for got, want in zip(rans_tokens.decode_frames(payloads, freq), frames):
+        assert (got == want).all()
+    broken = bytearray(payloads[1])
+    broken[len(broken) // 2] ^= 1
+    with pytest.raises(ValueError, match="checksum|not a token frame"):
+        rans_tokens.decode_frames([bytes(broken)], freq)
+
+
+def test_long_texts_and_many_null_ids(spark, tmp_path):
+    """A text of several parts and blocks beside short ones, and half of the rows without a doc_id: both tokenizers equal the library."""
+    long = " ".join(f"Word{k % 977}, it's" for k in range(700_000))
+    rows = [(3, "short one"), (5, long), (6, "after it"), *[(None, f"null {k % 3}") for k in range(40)]]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    files, pieces = load_tokenizer(tokenizer_path("word_bpe_49k.json")), load_tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    start, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = files.encode(t, add_special_tokens=False).ids + [1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = sorted(map(tuple, rans_tokens.token_digests(docs).collect()), key=lambda r: r[1])
+    assert got[40:] == want[40:]
+    assert sorted((g[2], g[3]) for g in got[:40]) == sorted((w[2], w[3]) for w in want[:40])
+    for r in word_bpe.digest(word_bpe.encode_and_decode(docs.filter("doc_id IS NOT NULL"))).collect():
+        ids = pieces.encode(dict(rows[:3])[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_rows_that_move_between_the_scans_raise_or_stay_right(spark):
+    """Each evaluation deals the rows to other partitions: blocks then hold other words the second time."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("long")
+    def anywhere(x):
+        return pd.Series(np.random.default_rng().integers(0, 1 << 40, len(x)))
+
+    words = [f"only{k:03d}" for k in range(64)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").withColumn("r", anywhere.asNondeterministic()("doc_id")).repartition(8, "r")
+    try:
+        got = {r.doc_id: r.decoded for r in word_bpe.encode_and_decode(docs).collect()}
+    except Exception as e:
+        assert "other words the second time" in str(e)
+    else:
+        assert got == dict(enumerate(words))
+    # the same rows in the same blocks, in another order: right
+    shuffled = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string").coalesce(1).mapInPandas(lambda it: (b.sample(frac=1.0) for b in it), "doc_id long, text string")
+    assert {r.doc_id: r.decoded for r in word_bpe.encode_and_decode(shuffled).collect()} == dict(enumerate(words))
