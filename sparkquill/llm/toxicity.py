@@ -11,10 +11,13 @@ the language model and the channel costs together find likeliest. The restored w
 The score is a logistic model over word evidence: each word takes the largest log-odds of its 5-byte windows (word edges
 included), which are learned from at most SAMPLE labelled documents (those with the smallest hash of their doc_id),
 none of them held out. A document's features are the sum, the largest, the number and the share of such evidence; a restored word
-counts in place of the written one. Evidence is in whole numbers, so a score depends on the text and the model alone.
+counts in place of the written one. Evidence is in whole numbers, so a score depends on the text and the model alone. Windows count as
+evidence from a z-value on that cross-validation picks from LEAST_Z: the fitted rows are dealt to FOLDS parts, each part's
+features come from the windows of the other parts, and the value with the least log loss of logistic models fitted on the other parts is taken.
+The logistic model is fitted on these features, too, as they are like those of unseen texts. Held-out rows play no part in any of this.
 
-Words of more than LONGEST characters (a character counts three times in a row at most) are no words of a language and stay as
-they are; runs of single letters are cut at the edges of texts, and evenly into lattices of at most RUN letters. Characters are told apart by the low 15 bits
+Words and runs of single letters may have any length: a search takes time in proportion to it, and what all its paths have in common is put aside on
+the way (a character counts three times in a row at most). Runs of single letters end at the edges of texts. Characters are told apart by the low 15 bits
 of their number. Null texts count as empty; these and texts without words get the score of no evidence. Several labels of a doc_id count by
 their mean, rounded; of its rows the one with the smallest text is fitted. Without labels of both kinds all scores are near the
 share of label 1, or 0.5. An empty table gives no rows. A null doc_id is scored and never fitted.
@@ -23,6 +26,7 @@ share of label 1, or 0.5. An empty table gives no rows. A null doc_id is scored
 from __future__ import annotations
 
 import functools
+import os
 import re
 from collections.abc import Iterator
 
@@ -39,11 +43,14 @@ from sparkquill.llm.setsketch import groups
 
 SAMPLE = 30_000
 BINS_LOG = 20
-LEAST_DOCS, LEAST_Z = 4, 4.5
+LEAST_DOCS = 4
+LEAST_Z, FOLDS = (2.5, 3.0, 3.5, 4.0, 4.5, 5.0, 6.0), 5
 #: Evidence is counted in steps of 1 / SCALE.
 SCALE = 1 << 12
 ORDER, SMOOTH, UNIFORM = 4, 4.0, 1 / 64
-LONGEST, RUN, PART_TOKENS = 32, 64, 2000
+PART_TOKENS = 2000
+#: Letters after which the search puts aside what its paths have in common.
+COMMON = 64
 _U = np.uint64
 
 #: Letters that a digit or sign may stand for (fixed values).
@@ -96,7 +103,7 @@ def suspects(words: Words, raw: np.ndarray) -> list[tuple[int, int, str]]:
         written = raw[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")
         core = re.sub(r"([#$%&*!+|])\1\1+$", "", written).strip(_EDGE).rstrip("!|*#+").lower()
         core = _LONG_RUN.sub(r"\1\1\1", core)
-        if core and len(core) <= LONGEST and (_MIXED.search(core) or _REPEATED.search(core)):
+        if core and (_MIXED.search(core) or _REPEATED.search(core)):
             found.append((i, i + 1, core))
     # runs of three single letters or more within one text
     run = (words.end - words.start) == 1
@@ -107,9 +114,7 @@ def suspects(words: Words, raw: np.ndarray) -> list[tuple[int, int, str]]:
     ends = np.flatnonzero(run & (first_of_text[1:] | ~np.concatenate([run[1:], [False]]))) + 1
     for first, stop in zip(begins.tolist(), ends.tolist()):
         if stop - first >= 3:
-            cuts = np.linspace(first, stop, -(-(stop - first) // RUN) + 1).astype(int).tolist()
-            for a, b in zip(cuts, cuts[1:]):
-                found.append((a, b, " ".join(raw[words.start[k] : words.end[k]].tobytes().decode("utf-8", "replace") for k in range(a, b)).lower()))
+            found.append((first, stop, " ".join(raw[words.start[k] : words.end[k]].tobytes().decode("utf-8", "replace") for k in range(first, stop)).lower()))
     found.sort()
     return found
 
@@ -246,8 +251,8 @@ def surprise(counts: dict[int, int], state: tuple[int, ...], symbol: int) -> flo
 def restore(token: str, counts: dict[int, int]) -> str:
     """The likeliest letters behind a token: Viterbi over states of the last letters; of equal costs the first spelling in order of letters."""
     states: dict[tuple[int, ...], tuple[float, str]] = {(BEGIN,): (0.0, "")}
-    before = ""
-    for c in _letters(token):
+    before, done = "", []
+    for i, c in enumerate(_letters(token), 1):
         new: dict[tuple[int, ...], tuple[float, str]] = {}
         for state, (cost, path) in states.items():
             if c == before and (c.isalpha() or c in LEET):
@@ -259,7 +264,11 @@ def restore(token: str, counts: dict[int, int]) -> str:
                 if to not in new or best < new[to]:
                     new[to] = best
         states, before = new, c
-    return min((cost + surprise(counts, state, END), path) for state, (cost, path) in states.items())[1]
+        if i % COMMON == 0:  # comparisons of paths don't depend on what all begin with
+            common = os.path.commonprefix([path for _, path in states.values()])
+            done.append(common)
+            states = {state: (cost, path[len(common) :]) for state, (cost, path) in states.items()}
+    return "".join(done) + min((cost + surprise(counts, state, END), path) for state, (cost, path) in states.items())[1]
 
 
 def _needed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,17 +329,18 @@ def _windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """y, text -> bin, n0, n1: documents of each label with a window of the bin."""
-    total = np.zeros((2, 1 << BINS_LOG), dtype=np.int32)
+    """cell, text -> bin, cell, n: documents of each cell (label and fold, from 0 to 2 * FOLDS - 1) with a window of the bin."""
+    total = np.zeros((2 * FOLDS, 1 << BINS_LOG), dtype=np.int32)
     for batch, raw, offsets in chunks(batches, limit=1 << 20):
-        y = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         bins, word, words = _windows(raw, offsets)
-        cell = np.unique((words.doc[word] << BINS_LOG) | bins) if len(bins) else np.zeros(0, np.int64)
-        label = y[cell >> BINS_LOG]
-        for k in (0, 1):
-            total[k] += np.bincount(cell[label == k] & ((1 << BINS_LOG) - 1), minlength=1 << BINS_LOG).astype(np.int32)
-    seen = np.flatnonzero(total.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[0][seen], pa.int64()), pa.array(total[1][seen], pa.int64())], ["bin", "n0", "n1"])
+        seen = np.unique((words.doc[word] << BINS_LOG) | bins) if len(bins) else np.zeros(0, np.int64)
+        cell = cells[seen >> BINS_LOG]
+        for k in np.unique(cell).tolist():
+            total[k] += np.bincount(seen[cell == k] & ((1 << BINS_LOG) - 1), minlength=1 << BINS_LOG).astype(np.int32)
+    for k in range(2 * FOLDS):
+        seen = np.flatnonzero(total[k])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(np.full(len(seen), k), pa.int32()), pa.array(total[k][seen], pa.int64())], ["bin", "cell", "n"])
 
 
 def _word_evidence(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, Words]:
@@ -436,6 +446,11 @@ def _features():
     return [F.log1p(F.col("total") / SCALE), F.col("most") / SCALE, F.log1p(number), number / F.greatest(F.col("words"), F.lit(1)), F.log1p(F.col("words").cast("double"))]
 
 
+def _feature_rows(total: np.ndarray, most: np.ndarray, number: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The same, in numpy."""
+    return np.stack([np.log1p(total / SCALE), most / SCALE, np.log1p(number), number / np.maximum(words, 1), np.log1p(words)], axis=-1)
+
+
 N_FEATURES = 5
 
 
@@ -453,22 +468,86 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-def _evidence_rows(weights):
-    """doc_id, y, text -> doc_id, y, total, most, number, words of whole texts that hold no suspects any more."""
+def log_odds(n0: np.ndarray, n1: np.ndarray, size0: np.ndarray, size1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log-odds of label 1 that a window shows, and their z-value, from the documents of each label with it and all of them."""
+    odds = np.log((n1 + 0.5) / (size1 + 1)) - np.log((n0 + 0.5) / (size0 + 1))
+    return odds, odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+
+
+def _fold_rows(model):
+    """y, fold, text (whole texts that hold no suspects any more) -> y, fold, words, and for each of LEAST_Z the evidence that the other folds
+    give the text: totals, mosts, numbers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, steps, z = model.value  # the place of each bin among those that count; evidence and z-value by (place, fold)
         for batch, raw, offsets in chunks(batches, limit=1 << 20):
             n = batch.num_rows
-            value, words = _word_evidence(raw, offsets, weights.value)
-            most, total = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            np.maximum.at(most, words.doc, value)
-            np.add.at(total, words.doc, value)
-            number = np.bincount(words.doc[value > 0], minlength=n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(a, pa.int64()) for a in (total, most, number, words.count))], ["doc_id", "y", "total", "most", "number", "words"])
+            bins, word, words = _windows(raw, offsets)
+            at = slot[bins]
+            word, at = word[at >= 0], at[at >= 0]
+            fold = batch.column(1).to_numpy().astype(np.int64)[words.doc[word]]
+            step, sure = steps[at, fold], z[at, fold]
+            out = np.zeros((3, n, len(LEAST_Z)), dtype=np.int64)
+            for k, least in enumerate(LEAST_Z):
+                value = np.zeros(len(words.start), dtype=np.int64)
+                some = (sure > least) & (step > 0)
+                np.maximum.at(value, word[some], step[some])
+                np.add.at(out[0, :, k], words.doc, value)
+                np.maximum.at(out[1, :, k], words.doc, value)
+                out[2, :, k] = np.bincount(words.doc[value > 0], minlength=n)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(LEAST_Z), pa.int32()), pa.array(x.ravel())) for x in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words.count, pa.int64()), *lists], ["y", "fold", "words", "totals", "mosts", "numbers"])
 
     return rows
 
 
+def least_z(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> int:
+    """The place in LEAST_Z with the least log loss in cross-validation (the largest value of equal ones); x: rows by LEAST_Z by features."""
+    losses = []
+    for k in range(len(LEAST_Z)):
+        loss = 0.0
+        for f in np.unique(fold).tolist():
+            w = np.array(_logistic(x[fold != f, k], y[fold != f])) if (fold != f).any() else np.zeros(N_FEATURES + 1)
+            p = 1 / (1 + np.exp(-np.clip(w[0] + x[fold == f, k] @ w[1:], -30, 30)))
+            loss -= np.log(np.where(y[fold == f] == 1, p, 1 - p)).sum()
+        losses.append(round(float(loss), 9))
+    return max(k for k, loss in enumerate(losses) if loss == min(losses))
+
+
+def _fitted(clean: DataFrame) -> tuple[np.ndarray, list[float]]:
+    """Weights of all bins, and the logistic model, from the sample's texts (y, fold, text)."""
+    spark = clean.sparkSession
+    weights, final = np.zeros(1 << BINS_LOG, dtype=np.int64), [0.0] * (N_FEATURES + 1)
+    sizes = np.zeros((2, FOLDS))
+    for r in clean.groupBy("y", "fold").agg(F.count("*").alias("n")).toArrow().to_pylist():  # 2 * FOLDS rows
+        sizes[r["y"], r["fold"]] = r["n"]
+    if (sizes.sum(axis=1) == 0).any():
+        if sizes.any():
+            share = 0.999 if sizes[1].any() else 0.001
+            final[0] = float(np.log(share / (1 - share)))
+        return weights, final
+    cells = clean.select((F.col("y") * FOLDS + F.col("fold")).cast("int").alias("cell"), "text").mapInArrow(_counter, "bin int, cell int, n long")
+    each = [F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(F.lit(0))).alias(f"c{k}") for k in range(2 * FOLDS)]
+    bins = cells.groupBy("bin").agg(*each).filter(sum((F.col(f"c{k}") for k in range(FOLDS + 1, 2 * FOLDS)), F.col(f"c{FOLDS}")) >= LEAST_DOCS).orderBy("bin").toArrow()  # 2**BINS_LOG rows at most
+    n = np.array([bins.column(f"c{k}").to_numpy() for k in range(2 * FOLDS)], dtype=np.float64).reshape(2, FOLDS, -1)
+    rest, rest_sizes = n.sum(axis=1, keepdims=True) - n, sizes.sum(axis=1, keepdims=True) - sizes
+    odds, z = log_odds(rest[0].T, rest[1].T, rest_sizes[0], rest_sizes[1])  # by (bin, fold): from the other folds
+    slot = np.full(1 << BINS_LOG, -1, dtype=np.int32)
+    places = bins.column("bin").to_numpy()
+    slot[places] = np.arange(len(places))
+    sent = spark.sparkContext.broadcast((slot, np.where(rest[1].T >= LEAST_DOCS, np.rint(odds * SCALE), 0).astype(np.int64), z))
+    found = clean.select("y", "fold", "text").mapInArrow(_fold_rows(sent), "y int, fold int, words long, totals array<long>, mosts array<long>, numbers array<long>").toArrow()  # a few numbers for each document of the sample
+    y, fold, words = (found.column(c).to_numpy().astype(np.int64) for c in ("y", "fold", "words"))
+    total, most, number = (found.column(c).combine_chunks().flatten().to_numpy().reshape(-1, len(LEAST_Z)) for c in ("totals", "mosts", "numbers"))
+    x = _feature_rows(total, most, number, np.repeat(words[:, None], len(LEAST_Z), axis=1))
+    order = np.lexsort([*x.reshape(len(x), -1).T, fold, y])  # sums in floating point shouldn't depend on the order of rows
+    x, y, fold = x[order], y[order].astype(float), fold[order]
+    best = least_z(x, y, fold)
+    odds, z = log_odds(*n.sum(axis=1), *sizes.sum(axis=1))
+    weights[places] = np.where(z > LEAST_Z[best], np.rint(odds * SCALE), 0)
+    return weights, _logistic(x[:, best], y)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, remainder: int = 0, sample: int = SAMPLE, texts: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted, n_restored of every document; with `texts`, which writes and shuffles the texts of
     documents with suspicious words, also restored (the deobfuscated text where it differs)."""
@@ -484,25 +563,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", mo
     fitted = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     parts = staged(fitted.select("doc_id", "y", "text").mapInArrow(_part_rows(None), f"doc_id long, y int, text string, {_PARTS}"), "sample")
     clean = staged(_rewritten(parts, "doc_id", "y", restored, True), "sample_texts")
-    bins = clean.select("y", F.col("rewritten").alias("text")).mapInArrow(_counter, "bin int, n0 long, n1 long").groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(F.col("n1") >= LEAST_DOCS).toArrow()  # 2**BINS_LOG rows at most
-    sizes = {int(r["y"]): int(r["n"]) for r in clean.groupBy("y").agg(F.count("*").alias("n")).toArrow().to_pylist()}
-    weights = np.zeros(1 << BINS_LOG, dtype=np.int64)
-    final = [0.0] * (N_FEATURES + 1)
-    if len(sizes) == 2:
-        n0, n1 = (bins.column(c).to_numpy().astype(float) for c in ("n0", "n1"))
-        odds = np.log((n1 + 0.5) / (sizes[1] + 1)) - np.log((n0 + 0.5) / (sizes[0] + 1))
-        z = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
-        weights[bins.column("bin").to_numpy()] = np.where(z > LEAST_Z, np.rint(odds * SCALE), 0)
-        shown = spark.sparkContext.broadcast(weights)
-        again = clean.select("doc_id", "y", F.col("rewritten").alias("text")).mapInArrow(_evidence_rows(shown), "doc_id long, y int, total long, most long, number long, words long")
-        rows = again.orderBy("doc_id").select("y", F.array(*_features()).alias("x")).toArrow()  # a few numbers for each document of the sample
-        x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-        final = _logistic(x, rows.column("y").to_numpy().astype(float))
-    else:
-        shown = spark.sparkContext.broadcast(weights)
-        if sizes:
-            share = 0.999 if 1 in sizes else 0.001
-            final[0] = float(np.log(share / (1 - share)))
+    weights, final = _fitted(clean.select("y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"), F.col("rewritten").alias("text")))
+    shown = spark.sparkContext.broadcast(weights)
     drop_staged(parts, clean)
 
     values = staged(restored.mapInArrow(_value_rows(shown), "token string, n long, restored string, changed int, value long"), "values")
