@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkquill.functions import text as T
+from sparkquill.functions.stem import lexemes
+from sparkquill.operators.block_index import B, K1, BlockIndex
 from sparkquill.staging import staged
 
-K1, B, EPSILON = 1.5, 0.75, 0.25
+EPSILON = 0.25
 
 
 def tokens(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -50,35 +52,45 @@ def rank_by(df: DataFrame, k: int, keys: list[str], *order: Column) -> DataFrame
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def query_terms(questions: DataFrame, text: str = "question") -> DataFrame:
+def query_terms(questions: DataFrame, text: str = "question", tokenizer=T.tokenize) -> DataFrame:
     """qid, token, qtf: repeated terms count repeatedly."""
-    return questions.select("qid", F.explode(T.tokenize(F.col(text))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
+    return questions.select("qid", F.explode(tokenizer(F.col(text))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
 
 
 class Store:
-    """The chunks' words, cut once and staged; all lexical retrievers over these chunks read them from here.
+    """The chunks' words, cut once and staged, and their block index; all lexical retrievers over these chunks read them from here."""
 
-    The words of a chunk stay in one row: document frequencies need one shuffle, of what is left after counting within a
-    task, and scores none.
-    """
+    def __init__(self, chunks: DataFrame, text: str = "text", tokenizer=T.tokenize):
+        self.tokenizer = tokenizer
+        self.tokens = staged(chunks.select("chunk_id", tokenizer(F.col(text)).alias("tokens")), "tokens")
 
-    def __init__(self, chunks: DataFrame, text: str = "text"):
-        self.tokens = staged(tokens(chunks, text), "tokens")
+    @cached_property
+    def stats(self) -> DataFrame:
+        return staged(corpus_stats(self.tokens), "corpus_stats")
+
+    @cached_property
+    def index(self) -> BlockIndex:
+        return BlockIndex.of(self.tokens, self.stats.first()["avgdl"] or 0.0)
 
     @cached_property
     def freq(self) -> DataFrame:
-        return staged(doc_freq(self.tokens), "frequencies")
+        return self.index.terms.select("token", "df")
 
     @cached_property
-    def stats(self) -> DataFrame:
-        return staged(corpus_stats(self.tokens), "corpus_stats")
+    def idf(self) -> DataFrame:
+        return staged(idf(self.freq, self.stats), "idf")
+
+    @cached_property
+    def first_ids(self) -> DataFrame:
+        """The chunks in order of chunk_id, for questions that match fewer than they ask for."""
+        return self.tokens.select("chunk_id").orderBy("chunk_id")
 
 
 def _store(chunks: DataFrame | Store, text: str) -> Store:
     return chunks if isinstance(chunks, Store) else Store(chunks, text)
 
 
-#: Questions that are sent to the chunks' tasks at a time.
+#: Questions that are sent to the chunks' tasks at a time, where weights are negative.
 QUERY_BLOCK = 128
 #: Chunks that are scored together by one matrix product.
 ROWS = 256
@@ -123,9 +135,8 @@ def _best(block, k: int, avgdl: float | None):
     return rows
 
 
-def _topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avgdl: float | None) -> DataFrame:
-    """The k best chunks for weighted terms (qid, token, w): the questions are the stated set and go to the chunks in blocks; a pass over the
-    staged words scores a block by matrix products and leaves k rows of each question and batch, so no scores of pairs are shuffled."""
+def _scan_topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avgdl: float | None) -> DataFrame:
+    """The k best chunks for weighted terms (qid, token, w), some of them under 0, where no bound holds: a pass over the staged words for each block of questions."""
     spark = questions.sparkSession
     ids = questions.select("qid").distinct()
     blocks = -(-ids.count() // QUERY_BLOCK)
@@ -149,15 +160,80 @@ def _topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avgdl: f
 def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:
     """qid, chunk_id, score (6 decimals), rank: always min(k, chunks) rows, unmatched chunks at score 0 in order of chunk_id.
 
-    Where a query term weighs less than 0 (tiny corpora whose words stand in most chunks), a match can rank below no match.
+    A chunk_id that stands on several chunks is ranked once for each of them. Terms weigh less than 0 only where over half of the corpus's
+    words stand in over half of its chunks: a match can then rank below no match, and the chunks are scanned.
     """
     store, terms = _store(chunks, text), query_terms(questions)
-    weights = idf(store.freq, store.stats).join(terms.select("token").distinct(), "token", "left_semi")
-    asked = terms.join(weights, "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
-    return _topk(questions, asked, store, k, store.stats.first()["avgdl"] or 0.0)
+    asked = terms.join(store.idf, "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    if not store.idf.filter("idf < 0").isEmpty():
+        return _scan_topk(questions, asked, store, k, store.stats.first()["avgdl"] or 0.0)
+    found = staged(store.index.search(asked, k).best().filter("score > 0"), "bm25")
+    short = questions.select("qid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
+    first = store.first_ids.limit(2 * k)  # k of them at least aren't among a question's matches, which are under k
+    return rank_by(found.unionByName(_filled(short, first, found)), k, ["qid"], F.desc("score"), F.col("chunk_id"))
+
+
+def _filled(short: DataFrame, first: DataFrame, found: DataFrame) -> DataFrame:
+    """Each question of `short` with the chunks of `first` that it hasn't found, at score 0."""
+    listed = first.agg(F.collect_list("chunk_id").alias("ids"))  # one row of 2 k chunk_ids
+    each = short.crossJoin(F.broadcast(listed)).select("qid", F.explode("ids").alias("chunk_id"))
+    return each.join(found.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id", F.lit(0.0).alias("score"))
 
 
 def full_text_or(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:
     """OR of the question's words, unstemmed: occurrences of query words in a chunk, no idf; chunks without any don't appear."""
-    asked = query_terms(questions).select("qid", "token", F.lit(1.0).alias("w"))
-    return _topk(questions, asked, _store(chunks, text), k, None)
+    return full_text(questions, _store(chunks, text), k)
+
+
+def lexeme_store(chunks: DataFrame, text: str = "text") -> Store:
+    """A store of English lexemes: stems, without stop words."""
+    return Store(chunks, text, lexemes)
+
+
+def full_text(questions: DataFrame, store: Store, k: int = 10) -> DataFrame:
+    """OR of the question's words, ranked by cover density: a cover of an OR query is one occurrence of one of its words, and all covers weigh the
+    same, so the score is their number in the chunk. Words are the store's (`lexeme_store` has stems). Chunks without any, and questions without words, don't appear."""
+    asked = query_terms(questions, tokenizer=store.tokenizer).select("qid", "token", F.lit(1.0).alias("w"))
+    found = store.index.search(asked, k, impact=False).best()
+    return rank_by(found, k, ["qid"], F.desc("score"), F.col("chunk_id"))
+
+
+def covers(places: list[list[int]]) -> list[tuple[int, int, int]]:
+    """The minimal covers of an AND query, from the ordered places of each of its words: first place, last place, and the query's words between them. No cover holds another."""
+    hits = sorted((p, w) for w, ps in enumerate(places) for p in ps)
+    last, out = [-1] * len(places), []
+    for i, (_, w) in enumerate(hits):
+        last[w] = i
+        first = min(last)
+        if first >= 0 and (not out or first > out[-1][0]):
+            out.append((first, i))
+    return [(hits[a][0], hits[b][0], b - a + 1) for a, b in out]
+
+
+def density(places: list[list[int]]) -> float:
+    """Sum over the covers of 0.1 / (1 + other words inside)."""
+    return sum(0.1 / (1 + (q - p) - (n - 1)) for p, q, n in covers(places))
+
+
+def _density_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """qid, chunk_id, words of the question, words of the chunk -> qid, chunk_id, score."""
+    for batch in batches:
+        scores = []
+        for asked, held in zip(batch.column(2).to_pylist(), batch.column(3)):
+            held = held.values
+            scores.append(density([pc.indices_nonzero(pc.equal(held, w)).to_pylist() for w in asked]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["qid", "chunk_id", "score"])
+
+
+def full_text_and(questions: DataFrame, store: Store, k: int = 10) -> DataFrame:
+    """AND of the question's words: chunks that hold all of them, by cover density (9 decimals), ties by chunk_id. Places are counted in the store's words.
+
+    The blocks of the question's rarest word alone are read; chunks of it that hold every other word, too, get their words' places.
+    """
+    terms = query_terms(questions, tokenizer=store.tokenizer).join(store.freq, "token", "left")
+    asked = staged(terms.groupBy("qid").agg(F.sort_array(F.collect_list("token")).alias("words"), F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("rarest")), "asked")
+    near = asked.join(store.index.postings.select(F.col("token").alias("rarest"), "b", "offs"), "rarest").select("qid", "words", "b", F.explode("offs").alias("off"))
+    named = near.join(store.index.blocks.select("b", "chunk_ids"), "b").select("qid", "words", F.get("chunk_ids", F.col("off")).alias("chunk_id"))
+    full = named.join(store.tokens, "chunk_id").filter(F.size(F.array_except("words", "tokens")) == 0).select("qid", "chunk_id", "words", "tokens")
+    schema = StructType([questions.schema["qid"], store.tokens.schema["chunk_id"], StructField("score", DoubleType())])
+    return rank_by(full.mapInArrow(_density_rows, schema).select("qid", "chunk_id", F.round("score", 9).alias("score")), k, ["qid"], F.desc("score"), F.col("chunk_id"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sparkquill.functions import text as T
 from sparkquill.operators.lexical import rank_by
@@ -81,9 +82,25 @@ def hash_bucket(token: Column, dim: int) -> Column:
     return remainder.cast("int")
 
 
+def _embedded_rows(dim: int):
+    """key, words -> key, embedding; a word's bucket is computed once in a batch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            coded = lists.flatten().dictionary_encode()
+            bucket = np.array([int(hashlib.md5(w.encode()).hexdigest(), 16) % dim for w in coded.dictionary.to_pylist()], dtype=np.int64)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy())
+            cell = row * dim + bucket[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+            count = np.bincount(cell, minlength=batch.num_rows * dim).reshape(-1, dim).astype(np.float64)
+            norm = np.sqrt((count * count).sum(axis=1, keepdims=True))
+            value = np.divide(count, norm, out=np.zeros_like(count), where=norm > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dim, pa.int32()), pa.array(value.ravel()))], [batch.schema.names[0], "embedding"])
+
+    return rows
+
+
 def hash_embedding(texts: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
-    """key, embedding: word counts by hash, of unit length; a text without words has the zero vector."""
-    words = texts.select(key, F.explode_outer(T.words(F.col(text))).alias("w")).withColumn("bucket", F.when(F.col("w").isNotNull(), hash_bucket(F.col("w"), dim)))
-    counts = words.groupBy(key, "bucket").agg(F.count("w").cast("double").alias("n"))
-    cells = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("bucket", F.lit(-1)), "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.element_at("m", i), F.col("norm")), F.lit(0.0))).alias("embedding"))
+    """key, embedding: word counts by hash (`hash_bucket`), of unit length; a text without words has the zero vector. A row's vector needs no other row: nothing is shuffled."""
+    schema = StructType([StructField(key, texts.schema[key].dataType), StructField("embedding", ArrayType(DoubleType()))])
+    return texts.select(key, T.words(F.col(text)).alias("words")).mapInArrow(_embedded_rows(dim), schema)

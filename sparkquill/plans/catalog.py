@@ -135,6 +135,24 @@ def fts_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.full_text_or(questions(spark, sf_dir), plain_chunks(spark, sf_dir), 10)
 
 
+@query
+def fts_stemmed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full text as the default configuration has it: stems of English words, any of them, by cover density."""
+    return lexical.full_text(questions(spark, sf_dir), lexical.lexeme_store(plain_chunks(spark, sf_dir)), 10)
+
+
+def _words_at_places(text):
+    return T.words(F.coalesce(text, F.lit("")))
+
+
+@query
+def fts_cover_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two first words in order of each item's distinct words of eight letters or more: chunks with both, by cover density; places count all words."""
+    words = F.array_sort(F.array_distinct(F.filter(T.words(F.col("question")), lambda w: F.length(w) >= 8)))
+    asked = questions(spark, sf_dir).select("qid", F.array_join(F.slice(words, 1, 2), " ").alias("question"))
+    return lexical.full_text_and(asked, lexical.Store(plain_chunks(spark, sf_dir), tokenizer=_words_at_places), 10)
+
+
 # ---- vectors ----
 
 

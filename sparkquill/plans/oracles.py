@@ -123,6 +123,13 @@ ORACLE_SQL: dict[str, str] = {
     "bm25_idf": f"WITH {CUT}, {ASKED}, {bm25('b', 'chunks', 10)} SELECT token, df, round(idf, 6) AS idf FROM b_idf JOIN b_df USING (token)",
     "bm25_topk": f"WITH {CUT}, {ASKED}, {bm25('b', 'chunks', 10)} SELECT * FROM b",
     "bm25_header_topk": f"WITH {CUT}, {HEADED}, {ASKED}, {bm25('b', 'headed', 10)} SELECT * FROM b",
+    "fts_cover_topk": f"""WITH {CUT}, {ASKED},
+w AS (SELECT qid, list_sort(list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda x: length(x) >= 8)))[1:2] AS ws FROM questions),
+tk AS (SELECT chunk_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM chunks),
+hit AS (SELECT qid, chunk_id, pos, word, len(ws) AS n FROM (SELECT chunk_id, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM tk) JOIN (SELECT qid, ws, unnest(ws) AS word FROM w) USING (word)),
+near AS (SELECT *, lag(word) OVER (PARTITION BY qid, chunk_id ORDER BY pos) AS before, lag(pos) OVER (PARTITION BY qid, chunk_id ORDER BY pos) AS place FROM hit),
+s AS (SELECT qid, chunk_id, round(sum(CASE WHEN n = 1 THEN 0.1::DOUBLE WHEN before <> word THEN 0.1::DOUBLE / (pos - place) ELSE 0 END), 9) AS score FROM near GROUP BY qid, chunk_id HAVING count(DISTINCT word) = any_value(n))
+SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
     "fts_or_topk": f"WITH {CUT}, {ASKED}, {fts('f', 'chunks', 10)} SELECT * FROM f",
     "vector_topk": """SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
       SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""",

@@ -31,8 +31,22 @@ class Corpus:
         title = F.lit(None).cast("string") if self.titles is None else F.col("title")
         return named.select("chunk_id", T.with_header(title, F.col("paper_id"), F.col("section"), F.col("text")).alias("text"))
 
+    @cached_property
+    def store(self) -> lexical.Store:
+        """The plain texts' words and index, for BM25."""
+        return lexical.Store(self.chunks)
+
+    @cached_property
+    def headed_store(self) -> lexical.Store:
+        return lexical.Store(self.headed)
+
+    @cached_property
+    def lexeme_store(self) -> lexical.Store:
+        """The plain texts' stems, for full text."""
+        return lexical.lexeme_store(self.chunks)
+
     def _lexical(self, header: bool) -> Retriever:
-        return lambda q, k: lexical.bm25(q, self.headed if header else self.chunks, k)
+        return lambda q, k: lexical.bm25(q, self.headed_store if header else self.store, k)
 
     def _vector(self, header: bool) -> Retriever:
         column = "embedding_header" if header else "embedding"
@@ -51,7 +65,7 @@ class Corpus:
     def retrievers(self, names: list[str] | None = None, scorer=T.overlap_score) -> dict[str, Retriever]:
         """All nine, or those named; reranking scores the plain text even of the header variants."""
         found: dict[str, Retriever] = {
-            "fts": lambda q, k: lexical.full_text_or(q, self.chunks, k),
+            "fts": lambda q, k: lexical.full_text(q, self.lexeme_store, k),
             "bm25": self._lexical(False),
             "bm25_header": self._lexical(True),
             "vector": self._vector(False),

@@ -1,11 +1,13 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkquill.operators import chunking, evidence, fusion, lexical, metrics, ranks, vectors
+from sparkquill.functions.stem import ENGLISH_STOP, stem
+from sparkquill.operators import block_index, chunking, evidence, fusion, lexical, metrics, ranks, vectors
 
 CHUNKS = [
     ("bees:00", "bees", "Hives", 4, "the queen lays her eggs in wax cells of the brood comb"),
@@ -61,6 +63,78 @@ def test_full_text_needs_a_match(spark, chunks):
     assert ids(got) == ["bees:00"] and ids(got, "q1") == []
 
 
+def test_stems():
+    """Pairs of the published vocabulary of the rules."""
+    pairs = (
+        "consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consolation consol conspicuously conspicu "
+        "conspiracy conspiraci conspirators conspir constancy constanc constant constant knack knack knackeries knackeri knightly knight knitted knit knives knive knocker knocker generate generat generously generous "
+        "general general communities communiti arsenal arsenal skies sky dying die sky sky news news inning inning proceeding proceed tied tie cries cri ties tie gas gas kiwis kiwi gaps gap hopping hop hoped hope falling fall "
+        "luxuriated luxuri saying say enjoy enjoy happy happi relational relat conditional condit probably probabl rationalization ration hopefulness hope electrical electr adoption adopt controlled control rolling roll by by cry cri triplicate triplic"
+    ).split()
+    assert [(w, stem(w)) for w in pairs[::2]] == [(w, s) for w, s in zip(pairs[::2], pairs[1::2])]
+
+
+def brute_lexemes(text):
+    return [stem(w) for w in re.findall("[a-z0-9]+", text.lower()) if w not in ENGLISH_STOP]
+
+
+def test_stemmed_full_text_equals_brute_force(spark, chunks):
+    q = ["Which queens were laying an egg?", "the of and", "printing tide table for a harbour, tides", "melted glazes"]
+    got = lexical.full_text(ask(spark, *q), lexical.lexeme_store(chunks), 4)
+    for i, text in enumerate(q):
+        score = {c[0]: sum(w in set(brute_lexemes(text)) for w in brute_lexemes(c[4])) for c in CHUNKS}
+        want = sorted(((-v, c) for c, v in score.items() if v))[:4]
+        mine = [(-r.score, r.chunk_id) for r in got.filter(F.col("qid") == f"q{i}").orderBy("rank").collect()]
+        assert mine == want
+    assert ids(got)[0] == "bees:00" and ids(got, "q1") == [] and ids(got, "q3") == ["kiln:00"]
+
+
+def test_covers_equal_all_minimal_intervals(spark):
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n, length = int(rng.integers(1, 4)), int(rng.integers(1, 14))
+        text = rng.integers(0, n + 2, length).tolist()
+        places = [[p for p, w in enumerate(text) if w == k] for k in range(n)]
+        full = [(p, q) for p in range(length) for q in range(p, length) if set(range(n)) <= set(text[p : q + 1])]
+        minimal = [(p, q, sum(w < n for w in text[p : q + 1])) for p, q in full if not any((a, b) != (p, q) and p <= a and b <= q for a, b in full)]
+        assert lexical.covers(places) == minimal
+    texts = {f"c{k:02d}": " ".join(rng.choice(["tide", "tides", "moon", "sand", "salt", "the"], int(rng.integers(1, 40)))) for k in range(60)}
+    store = lexical.lexeme_store(spark.createDataFrame(list(texts.items()), "chunk_id string, text string").repartition(3))
+    got = lexical.full_text_and(ask(spark, "the tide and moons", "salt", "tide glacier"), store, 8).orderBy("qid", "rank").collect()
+    for qid, words in (("q0", ["moon", "tide"]), ("q1", ["salt"]), ("q2", ["tide", "glacier"])):
+        score = {}
+        for c, t in texts.items():
+            lex = brute_lexemes(t)
+            places = [[p for p, w in enumerate(lex) if w == x] for x in words]
+            if all(places):
+                score[c] = round(sum(0.1 / (1 + (q - p) - (sum(w in words for w in lex[p : q + 1]) - 1)) for p, q, _ in lexical.covers(places)), 9)
+        assert [(r.chunk_id, r.score) for r in got if r.qid == qid] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:8]
+
+
+def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path):
+    """Against brute force over all chunks, with repeated texts, ties and chunks that match nothing; most blocks stay unread."""
+    rng = np.random.default_rng(4)
+    topics = [[f"t{t}w{k}" for k in range(60)] for t in range(8)]
+    texts = {}
+    for i in range(600):
+        words = topics[i * 7 % 8]
+        texts[f"c{i:04d}"] = " ".join(rng.choice(words, 50, p=(w := 1.0 / np.arange(1, 61)) / w.sum())) if i % 9 else texts.get(f"c{i - 72:04d}", "odd one")
+    data = spark.createDataFrame([(k, v) for k, v in texts.items()], "chunk_id string, text string").repartition(4)
+    asked = [f"t{t}w{a} t{t}w{b} t{t}w{c} t{t}w0" for t, a, b, c in ((1, 50, 40, 3), (2, 9, 33, 58), (5, 20, 21, 22))] + ["odd one", "absent"]
+    store, q = lexical.Store(data), ask(spark, *asked)
+    got = lexical.bm25(q, store, 7).collect()
+    for i, text in enumerate(asked):
+        order, score = brute_bm25(text, texts)
+        assert [r.chunk_id for r in sorted((r for r in got if r.qid == f"q{i}"), key=lambda r: r["rank"])] == order[:7]
+    terms = lexical.query_terms(q).join(store.idf, "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    search = store.index.search(terms, 7)
+    assert search.pairs.groupBy("qid").count().agg(F.max("count")).first()[0] < 0.5 * store.index.blocks.count()
+    store.index.write(str(tmp_path / "index"))
+    again = block_index.BlockIndex.read(spark, str(tmp_path / "index")).search(terms, 7).best()
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, search.best().collect()))
+    assert sum(r.n_tokens for r in store.index.blocks.collect()) == sum(len(t.split()) for t in texts.values())
+
+
 def test_a_store_serves_several_retrievers(spark, chunks):
     store, q = lexical.Store(chunks), ask(spark, "neap tides in harbours", "wax cells")
     for k in (1, 3):
