@@ -1,8 +1,8 @@
 """An inverted index in blocks of chunks, and exact top-k that leaves out the blocks that can't matter.
 
-A block is a run of some BLOCK chunks of one task. A posting row holds a token's chunks of one block (places in the block,
-occurrences, BM25 impacts) and the largest occurrence and impact among them. Blocks are inverted where their chunks are read, so building shuffles
-nothing; document frequencies and the largest values of a token are sums and maxima over its rows.
+A block is a run of BLOCK chunks of one task, next to each other because they share words. A posting row says of a token and a block how many of its
+chunks hold the token, its most occurrences in one, and the fewest words of one; a block's own row holds its chunks' words. Blocks are made where
+their chunks are read, so building shuffles nothing; document frequencies and a token's bounds are sums and extremes over its rows.
 
 A search has three steps, all of them joins and aggregations of the questions' terms with posting rows:
 
@@ -22,14 +22,18 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkquill.staging import staged
 
 BLOCK = 16
 SEED_TERMS, SEED_BLOCKS = 16, 16
+#: Questions that meet a block at a time.
+GROUP = 512
 K1, B = 1.5, 0.75
 #: Words of at least this share of a task's chunks say which chunks become neighbours.
 SHARED = 0.1
@@ -37,48 +41,41 @@ SHARED = 0.1
 SLACK = 1e-6
 
 
-def _block_rows(avgdl: float, size: int):
-    """chunk_id, tokens -> posting rows of each block, and a row (token null) with the block's chunk_ids."""
+def _block_rows(size: int):
+    """chunk_id, tokens -> posting rows of each block, and a row (token null) with the block's chunk_ids and words."""
 
     def block(part: pa.RecordBatch, b: int) -> pa.RecordBatch:
-        lists = part.column(1)
+        lists, n = part.column(1), part.num_rows
         length = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
-        n = part.num_rows
         cell, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), length), return_counts=True)
         term, row = np.divmod(cell, n)
-        impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / (avgdl or 1.0)))
         first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        cuts, t = pa.array(np.append(first, len(term)), pa.int32()), len(first)
-
-        def lists_of(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-            return pa.concat_arrays([pa.ListArray.from_arrays(cuts, pa.array(values, kind)), pa.nulls(1, pa.list_(kind))])
-
-        top, most = (np.maximum.reduceat(x, first) if t else x for x in (impact, tf))
-        ids = pa.ListArray.from_arrays(pa.array([*[0] * (t + 1), n], pa.int32()), part.column(0))
+        most, least = (f.reduceat(x, first) if len(first) else x for f, x in ((np.maximum, tf), (np.minimum, length[row])))
+        t = len(first)
+        whole = pa.array([*[0] * (t + 1), n], pa.int32())
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([coded.dictionary.take(pa.array(term[first])).cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.full(t + 1, b), pa.int64()), lists_of(row, pa.int32()), lists_of(tf, pa.int32()), lists_of(impact, pa.float64()),
-                pa.array([*top, None], pa.float64()), pa.array([*most, None], pa.int32()), ids, pa.array([*[None] * t, int(length.sum())], pa.int64()),
+                pa.concat_arrays([coded.dictionary.take(pa.array(term[first])).cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(np.full(t + 1, b), pa.int64()),
+                *(pa.array(np.append(x, 0), pa.int32()) for x in (np.diff(np.append(first, len(term))), most, least)),
+                pa.ListArray.from_arrays(whole, part.column(0)), pa.ListArray.from_arrays(whole, lists), pa.array([*[0] * t, int(length.sum())], pa.int64()),
             ],
-            ["token", "b", "offs", "tfs", "impacts", "top", "top_tf", "chunk_ids", "n_tokens"],
+            ["token", "b", "n", "most_tf", "least_words", "chunk_ids", "words", "n_tokens"],
         )
 
     def neighbours(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Chunks in order of what they share: the words, among those of a tenth of the batch or more, with the smallest hashes."""
-        lists = batch.column(1)
-        length = np.diff(lists.offsets.to_numpy())
+        """Chunks in order of what they share: of the words in SHARED of the batch or more, the first few in an arbitrary order."""
+        lists, n = batch.column(1), batch.num_rows
         coded = lists.flatten().dictionary_encode()
-        row, term = np.repeat(np.arange(batch.num_rows), length), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        cell = np.unique(row * max(len(coded.dictionary), 1) + term)
-        row, term = np.divmod(cell, max(len(coded.dictionary), 1))
-        common = np.bincount(term, minlength=len(coded.dictionary)) >= max(2, SHARED * batch.num_rows)
-        place = np.random.default_rng(0).permutation(len(coded.dictionary))  # any order of words will do
+        v = max(len(coded.dictionary), 1)
+        row, term = np.divmod(np.unique(np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())) * v + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)), v)
+        common = np.bincount(term, minlength=v) >= max(2, SHARED * n)
+        place = np.random.default_rng(0).permutation(v)
         row, place = row[common[term]], place[term[common[term]]]
         order = np.lexsort((place, row))
-        row, place = row[order], place[order]
-        first = np.searchsorted(row, np.arange(batch.num_rows))
-        keys = [np.where((first + j < len(row)) & (np.append(row, -1)[np.minimum(first + j, len(row))] == np.arange(batch.num_rows)), np.append(place, 0)[np.minimum(first + j, len(row))], -1) for j in range(3)]
+        row, place = np.append(row[order], [-1] * 3), np.append(place[order], [-1] * 3)
+        first = np.searchsorted(row[:-3], np.arange(n))
+        keys = [np.where(row[first + j] == np.arange(n), place[first + j], -1) for j in range(3)]
         return batch.take(pa.array(np.lexsort(keys[::-1])))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +89,45 @@ def _block_rows(avgdl: float, size: int):
     return rows
 
 
+def _score_rows(avgdl: float | None):
+    """chunk_ids, words (of a block), qids, floors, tokens, ws (of some questions) -> qid, chunk_id, raw of the chunks that reach their question's floor with a match."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, words, qids, floors, tokens, ws = (batch.column(k)[i].values for k in range(6))
+                count = np.diff(tokens.offsets.to_numpy())
+                asked = tokens.flatten().dictionary_encode()
+                term = asked.indices.to_numpy(zero_copy_only=False)
+                length = words.value_lengths().to_numpy()
+                at = pc.index_in(words.flatten(), value_set=asked.dictionary)
+                met = at.is_valid().to_numpy(zero_copy_only=False)
+                cell, tf = np.unique(at.drop_null().to_numpy().astype(np.int64) * len(ids) + np.repeat(np.arange(len(ids)), length)[met], return_counts=True)
+                value = tf.astype(np.float64)
+                if avgdl is not None:
+                    value = value * (K1 + 1) / (value + K1 * (1 - B + B * length[cell % len(ids)] / (avgdl or 1.0)))
+                dense = np.zeros((len(asked.dictionary), len(ids)))
+                dense.ravel()[cell] = value
+                parts = dense[term] * ws.flatten().to_numpy()[:, None]
+                total = np.add.reduceat(parts, np.cumsum(count) - count, axis=0)  # every question has a term
+                q, c = np.nonzero((total > 0) & (total >= floors.to_numpy()[:, None]))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), ids.take(pa.array(c)), pa.array(total[q, c])], ["qid", "chunk_id", "raw"])
+
+    return rows
+
+
 class BlockIndex:
-    """Posting rows of tokenized chunks (chunk_id, tokens), as a staged table, or one that `write` has written."""
+    """Posting and block rows of tokenized chunks (chunk_id, tokens), as a staged table, or one that `write` has written."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
         self.spark: SparkSession = rows.sparkSession
 
     @classmethod
-    def of(cls, tokenized: DataFrame, avgdl: float, block: int = BLOCK) -> BlockIndex:
+    def of(cls, tokenized: DataFrame, block: int = BLOCK) -> BlockIndex:
         kind = tokenized.schema["chunk_id"].dataType.simpleString()
-        schema = f"token string, b long, offs array<int>, tfs array<int>, impacts array<double>, top double, top_tf int, chunk_ids array<{kind}>, n_tokens long"
-        return cls(staged(tokenized.select("chunk_id", "tokens").mapInArrow(_block_rows(avgdl, block), schema), "postings"))
+        schema = f"token string, b long, n int, most_tf int, least_words int, chunk_ids array<{kind}>, words array<array<string>>, n_tokens long"
+        return cls(staged(tokenized.select("chunk_id", "tokens").mapInArrow(_block_rows(block), schema), "postings"))
 
     def write(self, path: str, buckets: int = 64) -> None:
         """The index as a table in buckets of tokens, sorted by token, so that a reader of few tokens skips files and row groups."""
@@ -117,16 +141,36 @@ class BlockIndex:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self.rows.filter("token IS NOT NULL")
+        return self.rows.filter("token IS NOT NULL").select("token", "b", "n", "most_tf", "least_words")
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return self.rows.filter("token IS NULL").select("b", "chunk_ids", "n_tokens")
+        return self.rows.filter("token IS NULL").select("b", "chunk_ids", "words", "n_tokens")
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        """The chunks again: chunk_id, tokens."""
+        return self.blocks.select(F.explode(F.arrays_zip("chunk_ids", "words")).alias("_c")).select(F.col("_c.chunk_ids").alias("chunk_id"), F.col("_c.words").alias("tokens"))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        """One row: n_chunks, avgdl (null without chunks)."""
+        n = F.sum(F.size("chunk_ids"))
+        return staged(self.blocks.agg(F.coalesce(n, F.lit(0)).alias("n_chunks"), (F.sum("n_tokens") / n).alias("avgdl")), "corpus_stats")
+
+    @cached_property
+    def avgdl(self) -> float:
+        return self.stats.first()["avgdl"] or 0.0
+
+    def bound(self, impact: bool):
+        """The most that a token can add in a block, per unit of weight."""
+        tf = F.col("most_tf")
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("least_words") / (self.avgdl or 1.0))) if impact else tf.cast("double")
 
     @cached_property
     def terms(self) -> DataFrame:
-        """token, df, most (largest impact), most_tf."""
-        return staged(self.postings.groupBy("token").agg(F.sum(F.size("offs")).alias("df"), F.max("top").alias("most"), F.max("top_tf").alias("most_tf")), "terms")
+        """token, df, and the largest bound of both kinds."""
+        return staged(self.postings.groupBy("token").agg(F.sum("n").alias("df"), F.max(self.bound(True)).alias("most"), F.max(self.bound(False)).alias("most_tf")), "terms")
 
     def search(self, asked: DataFrame, k: int, impact: bool = True) -> Search:
         """Top-k for weighted terms (qid, token, w; no w under 0). A chunk's score is the sum over its terms of w times impact, or times occurrences."""
@@ -134,42 +178,45 @@ class BlockIndex:
 
 
 class Search:
-    """One search: `pairs` are the (qid, b) that were scored, `scores` all scores among them."""
+    """One search: `pairs` are the (qid, b) that were scored, `scores` the scores (qid, chunk_id, raw) that can matter."""
 
     def __init__(self, index: BlockIndex, asked: DataFrame, k: int, impact: bool):
-        value, top, most = ("impacts", "top", "most") if impact else ("tfs", "top_tf", "most_tf")
-        self.index, self.value, self.k = index, value, k
+        self.index, self.k, self.impact = index, k, impact
         order = Window.partitionBy("qid").orderBy(F.desc("g"), "token")  # a question's terms
-        known = asked.filter("w > 0").join(index.terms.select("token", F.col(most).alias("most")), "token").withColumn("g", F.col("w") * F.col("most"))
+        known = asked.filter("w > 0").join(index.terms.select("token", F.col("most" if impact else "most_tf").alias("most")), "token").withColumn("g", F.col("w") * F.col("most"))
         known = known.withColumn("r", F.row_number().over(order)).withColumn("rest", F.sum("g").over(order.rowsBetween(0, Window.unboundedFollowing)))
         self.known = staged(known, "terms_asked")
-        maxima = index.postings.select("token", "b", F.col(top).alias("top"))
+        self.parts = -(-self.known.filter("r = 1").count() // GROUP)
+        maxima = index.postings.select("token", "b", index.bound(impact).alias("top"))
         liked = self.known.filter(F.col("r") <= SEED_TERMS).join(maxima, "token").groupBy("qid", "b").agg(F.sum(F.col("w") * F.col("top")).alias("liking"))
         best = liked.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("liking"), "b"))).filter(F.col("n") <= SEED_BLOCKS)
         self.seeds = staged(best.select("qid", "b"), "seeds")
-        first = staged(self._scored(self.seeds), "seed_scores")
+        first = staged(self._scored(self.seeds.withColumn("floor", F.lit(0.0))), "seed_scores")
         ranked = first.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("raw")))).filter(F.col("n") <= k)
         floor = ranked.groupBy("qid").agg((F.when(F.count("*") == k, F.min("raw")).otherwise(F.lit(0.0)) - SLACK).alias("floor"))
         split = self.known.join(floor, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(-SLACK)))
-        essential = split.filter(F.col("rest") >= F.col("floor"))
-        idle = split.groupBy("qid").agg(F.sum(F.when(F.col("rest") < F.col("floor"), F.col("g")).otherwise(F.lit(0.0))).alias("idle"))
-        bound = essential.join(maxima, "token").groupBy("qid", "b", "floor").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
-        left = bound.join(idle, "qid").filter(F.col("bound") + F.col("idle") >= F.col("floor")).select("qid", "b")
+        idle = F.sum(F.when(F.col("rest") < F.col("floor"), F.col("g")).otherwise(F.lit(0.0))).over(Window.partitionBy("qid"))
+        essential = split.withColumn("idle", idle).filter(F.col("rest") >= F.col("floor"))
+        bound = essential.join(maxima, "token").groupBy("qid", "b", "floor", "idle").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+        left = bound.filter(F.col("bound") + F.col("idle") >= F.col("floor")).select("qid", "b", "floor")
         self.others = staged(left.join(self.seeds, ["qid", "b"], "left_anti"), "blocks_left")
         self.scores = first.unionByName(self._scored(self.others))
 
     @property
     def pairs(self) -> DataFrame:
-        return self.seeds.unionByName(self.others)
+        return self.seeds.unionByName(self.others.select("qid", "b"))
 
     def _scored(self, pairs: DataFrame) -> DataFrame:
-        """qid, b, off, raw of all chunks with a term in the given blocks."""
-        met = pairs.join(self.known.select("qid", "token", "w"), "qid").join(self.index.postings.select("token", "b", "offs", F.col(self.value).alias("values")), ["token", "b"])
-        each = met.select("qid", "b", "w", F.explode(F.arrays_zip("offs", "values")).alias("_p")).select("qid", "b", F.col("_p.offs").alias("off"), (F.col("w") * F.col("_p.values")).alias("v"))
-        return each.groupBy("qid", "b", "off").agg(F.sum("v").alias("raw"))
+        """qid, chunk_id, raw: each block meets its questions in groups of some GROUP."""
+        asked = self.known.groupBy("qid").agg(F.collect_list(F.struct("token", "w")).alias("t"))  # a question's terms
+        met = pairs.join(asked, "qid").select("b", F.struct("qid", "floor", F.col("t.token").alias("tokens"), F.col("t.w").alias("ws")).alias("q"), F.pmod(F.xxhash64("qid"), F.lit(max(self.parts, 1))).alias("part"))
+        groups = met.groupBy("b", "part").agg(F.collect_list("q").alias("q")).select("b", F.col("q.qid").alias("qids"), F.col("q.floor").alias("floors"), F.col("q.tokens").alias("tokens"), F.col("q.ws").alias("ws"))
+        rows = groups.join(self.index.blocks.select("b", "chunk_ids", "words"), "b").select("chunk_ids", "words", "qids", "floors", "tokens", "ws")
+        kinds = rows.schema
+        schema = StructType([StructField("qid", kinds["qids"].dataType.elementType), StructField("chunk_id", kinds["chunk_ids"].dataType.elementType), StructField("raw", DoubleType())])
+        return rows.mapInArrow(_score_rows(self.index.avgdl if self.impact else None), schema)
 
     def best(self) -> DataFrame:
         """qid, chunk_id, score (6 decimals) of the k best of each question and all that equal the last of them."""
         rounded = self.scores.withColumn("score", F.round("raw", 6))
-        kept = rounded.withColumn("_n", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).filter(F.col("_n") <= self.k)
-        return kept.join(self.index.blocks.select("b", "chunk_ids"), "b").select("qid", F.get("chunk_ids", F.col("off")).alias("chunk_id"), "score")
+        return rounded.withColumn("_n", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).filter(F.col("_n") <= self.k).select("qid", "chunk_id", "score")

@@ -58,21 +58,21 @@ def query_terms(questions: DataFrame, text: str = "question", tokenizer=T.tokeni
 
 
 class Store:
-    """The chunks' words, cut once and staged, and their block index; all lexical retrievers over these chunks read them from here."""
+    """The chunks' words, cut once, in a block index; all lexical retrievers over these chunks read them from here."""
 
     def __init__(self, chunks: DataFrame, text: str = "text", tokenizer=T.tokenize):
         self.tokenizer = tokenizer
-        self.tokens = staged(chunks.select("chunk_id", tokenizer(F.col(text)).alias("tokens")), "tokens")
+        self.index = BlockIndex.of(chunks.select("chunk_id", tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("tokens")))
 
-    @cached_property
-    def stats(self) -> DataFrame:
-        return staged(corpus_stats(self.tokens), "corpus_stats")
+    @property
+    def tokens(self) -> DataFrame:
+        return self.index.tokens
 
-    @cached_property
-    def index(self) -> BlockIndex:
-        return BlockIndex.of(self.tokens, self.stats.first()["avgdl"] or 0.0)
+    @property
+    def stats(self) -> DataFrame:
+        return self.index.stats
 
-    @cached_property
+    @property
     def freq(self) -> DataFrame:
         return self.index.terms.select("token", "df")
 
@@ -90,8 +90,9 @@ def _store(chunks: DataFrame | Store, text: str) -> Store:
     return chunks if isinstance(chunks, Store) else Store(chunks, text)
 
 
-#: Questions that are sent to the chunks' tasks at a time, where weights are negative.
-QUERY_BLOCK = 128
+#: Up to so many questions are answered by one pass over all words, which costs less than bounds for so few; more of them are searched by the block
+#: index. Where weights are negative, no bound holds, and there is a pass for each so many questions.
+QUERY_BLOCK = 512
 #: Chunks that are scored together by one matrix product.
 ROWS = 256
 
@@ -136,7 +137,7 @@ def _best(block, k: int, avgdl: float | None):
 
 
 def _scan_topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avgdl: float | None) -> DataFrame:
-    """The k best chunks for weighted terms (qid, token, w), some of them under 0, where no bound holds: a pass over the staged words for each block of questions."""
+    """The k best chunks for weighted terms (qid, token, w), which may be under 0: a pass over the words for each block of questions."""
     spark = questions.sparkSession
     ids = questions.select("qid").distinct()
     blocks = -(-ids.count() // QUERY_BLOCK)
@@ -157,6 +158,10 @@ def _scan_topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avg
     return rank_by(found.select("qid", "chunk_id", F.round("raw", 6).alias("score")), k, ["qid"], F.desc("score"), F.col("chunk_id"))
 
 
+def _few(questions: DataFrame) -> bool:
+    return len(questions.select("qid").limit(QUERY_BLOCK + 1).toArrow()) <= QUERY_BLOCK
+
+
 def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:
     """qid, chunk_id, score (6 decimals), rank: always min(k, chunks) rows, unmatched chunks at score 0 in order of chunk_id.
 
@@ -165,8 +170,8 @@ def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str
     """
     store, terms = _store(chunks, text), query_terms(questions)
     asked = terms.join(store.idf, "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
-    if not store.idf.filter("idf < 0").isEmpty():
-        return _scan_topk(questions, asked, store, k, store.stats.first()["avgdl"] or 0.0)
+    if _few(questions) or not store.idf.filter("idf < 0").isEmpty():
+        return _scan_topk(questions, asked, store, k, store.index.avgdl)
     found = staged(store.index.search(asked, k).best().filter("score > 0"), "bm25")
     short = questions.select("qid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
     first = store.first_ids.limit(2 * k)  # k of them at least aren't among a question's matches, which are under k
@@ -194,6 +199,8 @@ def full_text(questions: DataFrame, store: Store, k: int = 10) -> DataFrame:
     """OR of the question's words, ranked by cover density: a cover of an OR query is one occurrence of one of its words, and all covers weigh the
     same, so the score is their number in the chunk. Words are the store's (`lexeme_store` has stems). Chunks without any, and questions without words, don't appear."""
     asked = query_terms(questions, tokenizer=store.tokenizer).select("qid", "token", F.lit(1.0).alias("w"))
+    if _few(questions):
+        return _scan_topk(questions, asked, store, k, None)
     found = store.index.search(asked, k, impact=False).best()
     return rank_by(found, k, ["qid"], F.desc("score"), F.col("chunk_id"))
 
@@ -232,8 +239,9 @@ def full_text_and(questions: DataFrame, store: Store, k: int = 10) -> DataFrame:
     """
     terms = query_terms(questions, tokenizer=store.tokenizer).join(store.freq, "token", "left")
     asked = staged(terms.groupBy("qid").agg(F.sort_array(F.collect_list("token")).alias("words"), F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("rarest")), "asked")
-    near = asked.join(store.index.postings.select(F.col("token").alias("rarest"), "b", "offs"), "rarest").select("qid", "words", "b", F.explode("offs").alias("off"))
-    named = near.join(store.index.blocks.select("b", "chunk_ids"), "b").select("qid", "words", F.get("chunk_ids", F.col("off")).alias("chunk_id"))
-    full = named.join(store.tokens, "chunk_id").filter(F.size(F.array_except("words", "tokens")) == 0).select("qid", "chunk_id", "words", "tokens")
+    held = store.index.blocks.select("b", "chunk_ids", F.col("words").alias("texts"))
+    near = asked.join(store.index.postings.select(F.col("token").alias("rarest"), "b"), "rarest").join(held, "b").select("qid", "words", F.explode(F.arrays_zip("chunk_ids", "texts")).alias("c"))
+    near = near.select("qid", "words", F.col("c.chunk_ids").alias("chunk_id"), F.col("c.texts").alias("tokens"))
+    full = near.filter(F.size(F.array_except("words", "tokens")) == 0).select("qid", "chunk_id", "words", "tokens")
     schema = StructType([questions.schema["qid"], store.tokens.schema["chunk_id"], StructField("score", DoubleType())])
     return rank_by(full.mapInArrow(_density_rows, schema).select("qid", "chunk_id", F.round("score", 9).alias("score")), k, ["qid"], F.desc("score"), F.col("chunk_id"))

@@ -11,7 +11,7 @@ from sparkquill.functions import text as T
 from sparkquill.operators import chunking, evidence, fusion, gate, lexical, metrics, ranks, vectors
 from sparkquill.operators import documents as D
 from sparkquill.sources import readers, store
-from sparkquill.staging import staged
+from sparkquill.staging import spread, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,12 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, paper_id (the document), section (its source), text."""
-    cut = chunking.chunk_texts(table(spark, sf_dir, "documents"), keep=("source", "lang"))
+    cut = chunking.chunk_texts(spread(table(spark, sf_dir, "documents")), keep=("source", "lang"))
     return cut.select("chunk_id", F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("section"), "lang", (F.col("n") + 1).alias("page"), "text")
 
 
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_texts(table(spark, sf_dir, "documents")).select("chunk_id", "text")
+    return chunking.chunk_texts(spread(table(spark, sf_dir, "documents"))).select("chunk_id", "text")
 
 
 def header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

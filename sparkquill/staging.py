@@ -19,6 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the session has cores may be read by a few tasks alone (a row group is never split): its rows are dealt to all cores. Tables of
+    more files, and plans that read no files, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

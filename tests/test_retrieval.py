@@ -47,7 +47,7 @@ def brute_bm25(question, texts):
     return [k for k, _ in sorted(out.items(), key=lambda x: (-x[1], x[0]))], out
 
 
-def test_bm25_matches_brute_force_and_fills_with_zero_scores(spark, chunks):
+def test_bm25_matches_brute_force_and_fills_with_zero_scores(spark, chunks, way):
     q = ["when does stoneware glaze melt", "tides and the moon moon", "honey frames of a colony", "nothing known here"]
     got = lexical.bm25(ask(spark, *q), chunks, 4).collect()
     texts = {c[0]: c[4] for c in CHUNKS}
@@ -58,7 +58,7 @@ def test_bm25_matches_brute_force_and_fills_with_zero_scores(spark, chunks):
         assert [r.score for r in mine] == pytest.approx([score[r.chunk_id] for r in mine], abs=1e-6)
 
 
-def test_full_text_needs_a_match(spark, chunks):
+def test_full_text_needs_a_match(spark, chunks, way):
     got = lexical.full_text_or(ask(spark, "Where does a QUEEN lay eggs?", "which of these is it"), chunks.filter("paper_id <> 'kiln'"), 5)
     assert ids(got) == ["bees:00"] and ids(got, "q1") == []
 
@@ -78,7 +78,7 @@ def brute_lexemes(text):
     return [stem(w) for w in re.findall("[a-z0-9]+", text.lower()) if w not in ENGLISH_STOP]
 
 
-def test_stemmed_full_text_equals_brute_force(spark, chunks):
+def test_stemmed_full_text_equals_brute_force(spark, chunks, way):
     q = ["Which queens were laying an egg?", "the of and", "printing tide table for a harbour, tides", "melted glazes"]
     got = lexical.full_text(ask(spark, *q), lexical.lexeme_store(chunks), 4)
     for i, text in enumerate(q):
@@ -111,7 +111,14 @@ def test_covers_equal_all_minimal_intervals(spark):
         assert [(r.chunk_id, r.score) for r in got if r.qid == qid] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:8]
 
 
-def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path):
+@pytest.fixture(params=[512, 0], ids=["one pass", "bounds"])
+def way(request, monkeypatch):
+    """Few questions are answered by a pass over all words, more by the block index: both ways give the same rows."""
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", max(request.param, 1))
+    monkeypatch.setattr(lexical, "_few", lambda questions: request.param > 0)
+
+
+def test_blocks_that_cannot_matter_are_not_read(spark, tmp_path, way):
     """Against brute force over all chunks, with repeated texts, ties and chunks that match nothing; most blocks stay unread."""
     rng = np.random.default_rng(4)
     topics = [[f"t{t}w{k}" for k in range(60)] for t in range(8)]
@@ -142,7 +149,7 @@ def test_a_store_serves_several_retrievers(spark, chunks):
     assert sorted(lexical.full_text_or(q, store, 5).collect()) == sorted(lexical.full_text_or(q, chunks, 5).collect())
 
 
-def test_negative_weights_rank_below_no_match(spark):
+def test_negative_weights_rank_below_no_match(spark, way):
     """In a corpus of three words that stand almost everywhere, the mean weight is negative and a match costs."""
     few = spark.createDataFrame([("a", "sand"), ("b", "sand salt"), ("c", "sand salt silt"), ("d", "salt silt sand"), ("e", "silt")], "chunk_id string, text string")
     got = lexical.bm25(ask(spark, "sand"), few, 5).orderBy("rank").collect()
@@ -150,7 +157,7 @@ def test_negative_weights_rank_below_no_match(spark):
     assert [r.chunk_id for r in got] == order and [r.score for r in got] == pytest.approx([score[c] for c in order], abs=1e-6) and min(score.values()) < 0
 
 
-def test_empty_inputs(spark, chunks):
+def test_empty_inputs(spark, chunks, way):
     assert lexical.bm25(ask(spark, "tides").limit(0), chunks, 3).count() == 0
     assert lexical.bm25(ask(spark, "tides"), chunks.limit(0), 3).count() == 0
     assert lexical.full_text_or(ask(spark, ""), chunks, 3).count() == 0
