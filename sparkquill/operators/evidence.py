@@ -6,53 +6,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
+from sparkquill.operators.anchors import anchored, level_of
 from sparkquill.staging import staged
 
-#: Sizes of the heads by which quotes are blocked: every quote has one of them.
-BLOCK_SIZES = (40, 20, 10, 5, 2, 1)
-
-
 def squashed(df: DataFrame, text: str = "text", compatibility: bool = True) -> DataFrame:
     return df.withColumn("squashed", T.squash(F.col(text), compatibility))
 
 
+def _levels(asked: DataFrame) -> list[int]:
+    """The levels that occur: six at most."""
+    return sorted(r["level"] for r in asked.select("level").distinct().filter("level IS NOT NULL").toLocalIterator())
+
+
+def _near(asked: DataFrame, pieces: DataFrame, held: DataFrame, group: str, place: str) -> DataFrame:
+    """Candidates: the columns of `asked` and `place`, for the texts t of `held` that share group and anchor with a piece (level, piece) of `asked`.
+
+    Joined by (group, anchor), so that a group with many texts is as many keys as it has anchors.
+    """
+    levels = _levels(asked)
+    wanted = anchored(pieces, "piece", levels, "level").drop("level")
+    runs = anchored(held.select(group, place, "t"), "t", levels)
+    return runs.join(wanted, [group, "anchor"]).select(*[c for c in asked.columns if c != "level"], place).distinct()
+
+
+def _asked(evidence: DataFrame, group: str, compatibility: bool = True) -> DataFrame:
+    q = evidence.select("qid", "ev", F.col("paper_id").alias(group), T.squash(F.col("quote"), compatibility).alias("q")).filter("q IS NOT NULL")
+    return staged(q.distinct().withColumn("level", level_of(F.col("q"))), "quotes")
+
+
 def resolve(evidence: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
     """qid, ev, paper_id, quote of evidence -> qid, ev, chunk_id, whole.
 
     Chunks of the same paper that contain the whole squashed quote; only where there is none, those with its first or last
-    MIN_PIECE characters. An equi-join on paper_id with the containment as its condition; a quote that
-    squashes to nothing is contained in every chunk of its paper.
+    MIN_PIECE characters. Candidates share the anchor of one of these pieces (`anchors`); the texts of those alone are read for the rest. A quote that
+    squashes to nothing is contained in every chunk of its paper; a null one in none. Evidence that is repeated counts once.
     """
-    asked = evidence.select("qid", "ev", "paper_id", T.squash(F.col("quote"), compatibility).alias("q"))
-    held = chunks.join(asked.select("paper_id").distinct(), "paper_id", "left_semi").select("paper_id", "chunk_id", T.squash(F.col("text"), compatibility).alias("t"))
+    asked = _asked(evidence, "paper_id", compatibility)
+    held = staged(chunks.join(asked.select("paper_id").distinct(), "paper_id", "left_semi").select("paper_id", "chunk_id", T.squash(F.col("text"), compatibility).alias("t")), "squashed")
+    # a text with the whole quote has its head; a quote under MIN_PIECE is its own head and tail
+    ends = F.array_distinct(F.array(F.left("q", F.col("level")), F.when(F.col("level") == T.MIN_PIECE, F.right("q", F.col("level"))).otherwise(F.left("q", F.col("level")))))
+    near = _near(asked, asked.filter("level IS NOT NULL").select("qid", "ev", "paper_id", "q", "level", F.explode(ends).alias("piece")), held, "paper_id", "chunk_id")
     head, tail = F.left("q", F.lit(T.MIN_PIECE)), F.right("q", F.lit(T.MIN_PIECE))
-    met = asked.join(held, "paper_id").select(
+    met = near.join(held, ["paper_id", "chunk_id"]).select(
         "qid", "ev", "chunk_id", F.contains("t", "q").alias("whole"), (F.contains("t", head) | F.contains("t", tail)).alias("piece")
     ).filter(F.col("whole") | F.col("piece"))
-    best = met.withColumn("any_whole", F.max("whole").over(Window.partitionBy("qid", "ev")))
+    every = asked.filter("q = ''").join(held.filter("t IS NOT NULL"), "paper_id").select("qid", "ev", "chunk_id", F.lit(True).alias("whole"), F.lit(True).alias("piece"))  # the output itself
+    best = met.unionByName(every).withColumn("any_whole", F.max("whole").over(Window.partitionBy("qid", "ev")))
     return best.filter(F.col("whole") | ~F.col("any_whole")).select("qid", "ev", "chunk_id", "whole")
 
 
 def resolve_anywhere(quotes: DataFrame, chunks: DataFrame, compatibility: bool = True) -> DataFrame:
     """qid, ev, quote -> qid, ev, chunk_id for quotes without a known paper.
 
-    Blocked instead of nested: a quote's head has BLOCK_SIZES[i] characters, for the largest size that its squashed text has; the
-    head's hash must be the hash of one of a chunk's runs of that size, and only then the whole quote is looked for. The hashes alone are joined;
-    texts come back for the chunks that met. A quote that squashes to nothing is contained in every chunk.
+    A chunk with the quote has all of the quote's anchors; the rarest of them among all chunks picks the candidates, so that a quote which begins
+    with a phrase of many chunks doesn't meet them all. The anchors alone are joined; texts come back for the chunks that met. A quote that
+    squashes to nothing is contained in every chunk; a null one in none.
     """
-    asked = quotes.select("qid", "ev", T.squash(F.col("quote"), compatibility).alias("q")).filter("q IS NOT NULL")
-    size = F.lit(None).cast("int")
-    for n in sorted(BLOCK_SIZES):
-        size = F.when(F.length("q") >= n, F.lit(n)).otherwise(size)
-    asked = staged(asked.withColumn("size", size).withColumn("block", F.xxhash64("size", F.expr("left(q, size)"))), "quotes")
-    wanted = asked.filter("size IS NOT NULL").select("size", "block").distinct()
-    held = staged(chunks.select("chunk_id", T.squash(F.col("text"), compatibility).alias("t")), "squashed")
-    # the sizes that occur are few: each makes one row of run hashes for a chunk
-    runs = held.crossJoin(F.broadcast(wanted.select("size").distinct())).filter("length(t) >= size")
-    runs = runs.select("chunk_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - F.col("size") + 1), lambda i: F.xxhash64("size", F.substr("t", i, F.col("size")))))).alias("block"))
-    near = runs.join(asked.filter("size IS NOT NULL").select("qid", "ev", "q", "block"), "block").select("qid", "ev", "q", "chunk_id").distinct()
+    asked = staged(quotes.select("qid", "ev", T.squash(F.col("quote"), compatibility).alias("q")).filter("q IS NOT NULL").withColumn("level", level_of(F.col("q"))), "quotes")
+    levels = _levels(asked)
+    held = staged(chunks.select("chunk_id", T.squash(F.col("text"), compatibility).alias("t")).filter("t IS NOT NULL"), "squashed")
+    wanted = staged(anchored(asked.filter("level IS NOT NULL").withColumn("piece", F.col("q")), "piece", levels, "level").drop("level"), "wanted")
+    hits = staged(anchored(held, "t", levels).join(wanted.select("anchor").distinct(), "anchor", "left_semi"), "hits")
+    common = hits.groupBy("anchor").agg(F.count("*").alias("n"))
+    # a quote with an anchor that no chunk has is in no chunk: the left join makes it the rarest
+    rarest = wanted.join(common, "anchor", "left").groupBy("qid", "ev", "q").agg(F.min_by("anchor", F.struct(F.coalesce("n", F.lit(0)), "anchor")).alias("anchor"))
+    near = hits.join(rarest, "anchor").select("qid", "ev", "q", "chunk_id").distinct()
     met = near.join(held, "chunk_id").filter(F.contains("t", "q")).select("qid", "ev", "chunk_id")
-    every = held.select("chunk_id").crossJoin(F.broadcast(asked.filter("q = ''").select("qid", "ev")))  # the output itself
+    every = held.select("chunk_id").crossJoin(asked.filter("q = ''").select("qid", "ev"))  # the output itself
     return met.unionByName(every.select("qid", "ev", "chunk_id")).distinct()
 
 
@@ -76,15 +96,21 @@ def unresolved(evidence: DataFrame, chunks: DataFrame, resolved: DataFrame) -> D
 
 
 def quote_pages(evidence: DataFrame, pages: DataFrame) -> DataFrame:
-    """qid, ev, found_pages: pages with the whole quote, else the page where it starts if it runs over to the next."""
-    asked = evidence.select("qid", "ev", F.col("paper_id").alias("doc_id"), T.squash(F.col("quote")).alias("q"))
-    text = pages.select("doc_id", "page", T.squash(F.col("text")).alias("t"))
-    text = text.withColumn("next", F.lead("t").over(Window.partitionBy("doc_id").orderBy("page")))
-    met = asked.join(text, "doc_id").select(
+    """qid, ev, found_pages: pages with the whole quote, else the page where it starts if it runs over to the next. Papers without pages have no row.
+
+    Either page has the quote's first characters: their anchor finds the candidates, by paper and anchor.
+    """
+    asked = _asked(evidence, "doc_id")
+    text = pages.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "page", T.squash(F.col("text")).alias("t"))
+    text = staged(text.withColumn("next", F.lead("t").over(Window.partitionBy("doc_id").orderBy("page"))), "squashed")
+    near = _near(asked, asked.filter("level IS NOT NULL").select("qid", "ev", "doc_id", "q", "level", F.left("q", F.col("level")).alias("piece")), text, "doc_id", "page")
+    met = near.join(text, ["doc_id", "page"]).select(
         "qid", "ev", "page", F.contains("t", "q").alias("whole"),
         (F.contains(F.concat("t", F.coalesce("next", F.lit(""))), F.col("q")) & F.contains("t", F.left("q", F.lit(T.MIN_PIECE))) & F.col("next").isNotNull()).alias("starts"),
     )
-    grouped = met.groupBy("qid", "ev").agg(
+    every = asked.filter("q = ''").join(text.filter("t IS NOT NULL"), "doc_id").select("qid", "ev", "page", F.lit(True).alias("whole"), F.lit(False).alias("starts"))
+    none = asked.join(text.select("doc_id").distinct(), "doc_id", "left_semi").select("qid", "ev", F.lit(None).cast("int").alias("page"), F.lit(False).alias("whole"), F.lit(False).alias("starts"))
+    grouped = met.unionByName(every).unionByName(none).groupBy("qid", "ev").agg(
         F.array_sort(F.collect_list(F.when(F.col("whole"), F.col("page")))).alias("w"), F.min(F.when(F.col("starts"), F.col("page"))).alias("s")
     )
     return grouped.select("qid", "ev", F.when(F.size("w") > 0, F.col("w")).when(F.col("s").isNotNull(), F.array("s")).otherwise(F.array().cast("array<int>")).alias("found_pages"))
