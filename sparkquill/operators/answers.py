@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
+from sparkquill.operators import ranks
 
 # ---- fixed values: the messages of a refusal ----
 
@@ -87,6 +90,24 @@ def spot_check(results: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return results.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("qid").cast("string")).cast("binary")), "qid").limit(n)
 
 
+def spot_check_passages(results: DataFrame, chunks: DataFrame, n: int, seed: int = 0, order: str = "qid") -> DataFrame:
+    """n of the judged answers for a person to mark, with the passages they cite in the order cited: the picks of Python's `random.Random(seed).sample`.
+
+    results: qid, answer, cited_chunk_ids, faithfulness, claims and `order`, which tells the rows apart. Answers that are null or empty, and those without claims, aren't
+    picked. The generator draws row numbers (the driver holds these n alone); `pick` is their order. Cited chunks that aren't in `chunks` are left out.
+    """
+    judged = results.filter((F.size("claims") > 0) & (F.col("answer") != ""))
+    placed = ranks.numbered(judged, [order], "_row")
+    total = judged.count()
+    drawn = random.Random(seed).sample(range(total), min(n, total))
+    picks = results.sparkSession.createDataFrame(list(enumerate(drawn)), "pick int, _row long")
+    picked = placed.join(F.broadcast(picks), "_row").drop("_row")  # n rows, asked for by the caller
+    cited = picked.select("pick", F.posexplode("cited_chunk_ids").alias("pos", "chunk_id"))
+    found = cited.join(chunks.select("chunk_id", "text"), "chunk_id").groupBy("pick").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", "text"))).alias("_p"))
+    passages = F.transform(F.coalesce("_p", F.array().cast(found.schema["_p"].dataType)), lambda p: F.struct(p["chunk_id"].alias("chunk_id"), p["text"].alias("text")))
+    return picked.join(found, "pick", "left").withColumn("cited_passages", passages).withColumn("human_supported", F.lit(None).cast("boolean")).drop("_p")
+
+
 def answer_results(gold: DataFrame, responses: DataFrame, resolved: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """One row for each gold question with what `metrics.summarize_answers` reads.
 

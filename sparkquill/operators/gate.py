@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,12 +50,12 @@ def first_seen(df: DataFrame, value: str, position: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(position).alias(position)).orderBy(position, value)
 
 
-def invalid_questions(gold: DataFrame) -> DataFrame:
-    """id, problem of gold rows that break an invariant."""
+def question_problem() -> Column:
+    """The invariant that a gold row breaks, or null."""
     evidence, unanswerable = F.coalesce(F.size("evidence"), F.lit(0)), F.col("kind") == "unanswerable"
     papers = F.transform("evidence", lambda e: e["paper_id"])
     distractors = F.coalesce("distractor_paper_ids", F.array().cast("array<string>"))
-    problem = (
+    return (
         F.when(unanswerable & (evidence > 0), F.lit("unanswerable question with evidence"))
         .when(~unanswerable & (evidence <= 0), F.lit("answerable question without evidence"))
         .when(F.exists("evidence", lambda e: F.length(e["quote"]) < 20), F.lit("quote shorter than 20 characters"))
@@ -63,7 +63,11 @@ def invalid_questions(gold: DataFrame) -> DataFrame:
         .when((F.col("kind") == "cross_paper") & (F.size(distractors) == 0), F.lit("cross-paper question without distractors"))
         .when(F.arrays_overlap(distractors, papers), F.lit("a distractor is a gold paper"))
     )
-    return gold.select("id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+def invalid_questions(gold: DataFrame) -> DataFrame:
+    """id, problem of gold rows that break an invariant."""
+    return gold.select("id", question_problem().alias("problem")).filter("problem IS NOT NULL")
 
 
 def invalid_responses(responses: DataFrame) -> DataFrame:

@@ -54,8 +54,29 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("m")["id"].alias("paper_id"), F.col("m")["title"].alias("title"), F.col("m")["arxiv"].alias("arxiv_id"), F.col("m")["venue"].alias("venue"), F.col("m")["group"].alias("grp"))
 
 
+WIDTH = "vector_width"  # the key of a column's metadata, which Spark keeps in the schema of the files
+
+
+def with_width(df: DataFrame, column: str, width: int) -> DataFrame:
+    """`df` with the width in the column's metadata: tables written from it tell their width without a scan. Rows of another width are an error."""
+    return _each_width(df, column, width).withMetadata(column, {WIDTH: width})
+
+
+def kept_width(df: DataFrame, column: str) -> int | None:
+    return df.schema[column].metadata.get(WIDTH)
+
+
 def vector_width(df: DataFrame, column: str, width: int) -> DataFrame:
-    """`df`, with an error where a vector of the column has another width."""
+    """`df`, with an error where a vector of the column has another width: at once if the schema keeps the width, else from the rows."""
+    kept = kept_width(df, column)
+    if kept is None:
+        return _each_width(df, column, width)
+    if kept != width:
+        raise ValueError(f"{column} holds vectors of {kept} values, not {width}")
+    return df
+
+
+def _each_width(df: DataFrame, column: str, width: int) -> DataFrame:
     return df.withColumn(column, F.when(F.size(column) != width, F.raise_error(F.format_string("a vector of " + column + " has %d values, not " + str(width), F.size(column))).cast(df.schema[column].dataType)).otherwise(F.col(column)))
 
 
