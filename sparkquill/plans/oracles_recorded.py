@@ -20,16 +20,15 @@ r AS (SELECT *, c IN (0, 1, 5) AND trim(g) <> '' AND kept > 0 AS answered, liste
 
 FAITH = """f AS (SELECT qid, turn, turn % 5 AS n, (SELECT count(*) FROM range(1, 5) t(k) WHERE k <= turn % 5 AND k <> 3 AND (turn + k) % 3 <> 0) AS s FROM p)"""
 
-LINES = """us AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page FROM conversations WHERE role = 'user' AND text IS NOT NULL),
-asked AS (SELECT us.conv_id, page, us.text AS question, a.text AS reply FROM us LEFT JOIN conversations a ON a.conv_id = us.conv_id AND a.turn = us.turn + 1 AND a.role = 'assistant'),
-n AS (SELECT conv_id, max(page) AS pages FROM asked GROUP BY conv_id),
-shift AS (SELECT conv_id, (pages = 1)::INT AS front FROM n),
+LINES = """turns AS (SELECT conv_id, turn, text, count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations WHERE text IS NOT NULL),
+said AS (SELECT * FROM (SELECT conv_id, asked, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM turns) WHERE trim(line) <> ''),
+n AS (SELECT conv_id, max(greatest(asked, 1)) AS pages FROM turns GROUP BY conv_id),
+shift AS (SELECT conv_id, pages, (pages = 1 OR conv_id IN (SELECT conv_id FROM said WHERE asked = 0))::INT AS front FROM n),
 body AS (
-  SELECT conv_id, 0 AS section_no, 'Front matter' AS section, 1 AS page, 0 AS seq, 0 AS k, 'Recorded conversations, page 1' AS line FROM shift WHERE front = 1
+  SELECT conv_id, 0 AS section_no, 'Front matter' AS section, 1 AS page, -1 AS seq, 0 AS k, 'Recorded conversations, page 1' AS line FROM shift WHERE pages = 1
+  UNION ALL SELECT conv_id, 0, 'Front matter', 1, turn, k, line FROM said WHERE asked = 0
   UNION ALL SELECT conv_id, front, 'Abstract', 1, 0, 0, 'Conversation number ' || conv_id FROM shift
-  UNION ALL SELECT conv_id, front + page, page || ' Question ' || conv_id, page, seq, k, line FROM (
-    SELECT conv_id, page, 1 AS seq, unnest(string_split(question, chr(10))) AS line, unnest(range(len(string_split(question, chr(10))))) AS k FROM asked
-    UNION ALL SELECT conv_id, page, 2, unnest(string_split(reply, chr(10))), unnest(range(len(string_split(reply, chr(10))))) FROM asked) JOIN shift USING (conv_id) WHERE trim(line) <> '')"""
+  UNION ALL SELECT conv_id, front + asked, asked || ' Question ' || conv_id, asked, turn, k, line FROM said JOIN shift USING (conv_id) WHERE asked > 0)"""
 
 CHUNKED = rf"""{LINES},
 w AS (SELECT conv_id, section_no, section, min(page) AS page, list_filter(string_split({norm("string_agg(line, ' ' ORDER BY seq, k)")}, ' '), lambda x: x <> '') AS w FROM body GROUP BY ALL),

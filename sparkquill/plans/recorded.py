@@ -149,33 +149,32 @@ def invalid_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A conversation as a paper: a page for each question, a running header, an abstract, numbered headings, and a list of references at its end."""
+    """A conversation as a paper: a page for each question with all turns up to the next one, a running header, an abstract, numbered headings (those of even pages
+    over two lines, the number alone on the first), and a list of references at its end. Turns before the first question are front matter; null texts are left out."""
     turns = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
-    user = turns.filter("role = 'user'").withColumn("page", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    reply = turns.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
-    asked = user.join(reply, ["conv_id", "turn"], "left").select("conv_id", "page", F.col("text").alias("question"), "reply")
-    last = asked.groupBy("conv_id").agg(F.max("page").alias("page"))
-
-    def line(df: DataFrame, at: Column, text: Column, bold: bool = False, margin: bool = False) -> DataFrame:
-        return df.select(
-            F.col("conv_id").cast("string").alias("doc_id"), (F.col("page") * 100_000 + at).cast("int").alias("line_no"), text.alias("text"), F.col("page").cast("int").alias("page"),
-            F.lit(12.0 if bold else 10.0).alias("size"), F.lit(bold).alias("bold"), F.lit(margin).alias("in_margin"),
-        )
-
-    def body(column: str, first: int) -> DataFrame:
-        each = asked.select("conv_id", "page", F.posexplode(F.split(F.coalesce(column, F.lit("")), "\n")).alias("k", "line")).filter("trim(line) <> ''")
-        return line(each, F.lit(first) + F.col("k"), F.col("line"))
-
-    one = asked.filter("page = 1")
+    before = F.count_if(F.col("role") == "user").over(Window.partitionBy("conv_id").orderBy("turn"))
+    placed = turns.withColumn("asked", F.coalesce(before, F.lit(0))).withColumn("page", F.greatest("asked", F.lit(1)).cast("int"))
+    pages = placed.select("conv_id", "page").distinct()
+    one, even = pages.filter("page = 1"), F.col("page") % 2 == 0
+    last = pages.groupBy("conv_id").agg(F.max("page").alias("page"))
+    said = placed.select("conv_id", "page", "asked", "turn", F.posexplode(F.split("text", "\n")).alias("k", "text")).filter("trim(text) <> ''")
+
+    def line(df: DataFrame, block: Column | int, text: Column, bold: bool = False, margin: bool = False) -> DataFrame:
+        place = [F.col(c) if c in df.columns else F.lit(0).alias(c) for c in ("turn", "k")]
+        return df.select("conv_id", "page", (F.lit(block) if isinstance(block, int) else block).alias("block"), *place, text.alias("text"), F.lit(12.0 if bold else 10.0).alias("size"), F.lit(bold).alias("bold"), F.lit(margin).alias("in_margin"))
+
+    number, title = F.col("page").cast("string"), F.concat_ws(" ", F.lit("Question"), F.col("conv_id").cast("string"))
     parts = [
-        line(asked, F.lit(0), F.concat(F.lit("Recorded conversations, page "), F.col("page").cast("string")), margin=True), line(one, F.lit(1), F.lit("Abstract"), bold=True),
-        line(one, F.lit(2), F.concat(F.lit("Conversation number "), F.col("conv_id").cast("string"))), line(asked, F.lit(10), F.concat_ws(" ", F.col("page").cast("string"), F.lit("Question"), F.col("conv_id").cast("string")), bold=True),
-        body("question", 1000), body("reply", 50_000), line(last, F.lit(99_990), F.lit("REFERENCES"), bold=True), line(last, F.lit(99_991), F.lit("A list of other works that no window may hold")),
+        line(pages, 0, F.concat(F.lit("Recorded conversations, page "), number), margin=True), line(one, 2, F.lit("Abstract"), bold=True),
+        line(one, 3, F.concat(F.lit("Conversation number "), F.col("conv_id").cast("string"))), line(pages.filter(~even), 4, F.concat_ws(" ", number, title), bold=True),
+        line(pages.filter(even), 4, number, bold=True), line(pages.filter(even), 5, title, bold=True),
+        line(said, F.when(F.col("asked") == 0, 1).otherwise(6), F.col("text")), line(last, 7, F.lit("REFERENCES"), bold=True), line(last, 8, F.lit("A list of other works that no window may hold")),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return staged(out, "lines")
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy("page", "block", "turn", "k"))
+    return staged(out.select(F.col("conv_id").cast("string").alias("doc_id"), at.alias("line_no"), "text", "page", "size", "bold", "in_margin"), "lines")
 
 
 @query
