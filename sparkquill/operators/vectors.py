@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -27,6 +28,17 @@ def cosine(a: Column, b: Column) -> Column:
 QUERY_BLOCK = 4096
 
 
+def few_of_ties(ids: pa.Array, at_q: np.ndarray, at_v: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
+    """Which of the pairs (question, vector) to keep: of those with the same question and value the k smallest ids, so that copies of one vector don't all come back."""
+    place = np.empty(len(ids), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    order = np.lexsort((place[at_v], value, at_q))
+    q, v = at_q[order], value[order]
+    starts = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (v[1:] != v[:-1]))) if len(q) else np.zeros(0, np.int64)
+    in_run = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+    return order[in_run < k]
+
+
 def _best(block, k: int):
     """chunk_id, embedding -> the rows of each batch that can be among the k best of a query of the block: qid, chunk_id, cosine."""
 
@@ -44,6 +56,8 @@ def _best(block, k: int):
             rank = np.where(np.isnan(cosine), -np.inf, cosine)
             least = np.partition(rank, -k, axis=1)[:, -k] if batch.num_rows > k else np.full(len(q), -np.inf)
             at_q, at_v = np.nonzero(rank >= least[:, None] - 1e-6)  # equal ones, after rounding, are told apart later
+            kept = few_of_ties(batch.column(0), at_q, at_v, rank[at_q, at_v], k)
+            at_q, at_v = at_q[kept], at_v[kept]
             yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(at_q)), batch.column(0).take(pa.array(at_v)), pa.array(cosine[at_q, at_v])], ["qid", "chunk_id", "cosine"])
 
     return rows

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.functions import text as T
-from sparkquill.operators import chunking, evidence, fusion, gate, lexical, metrics, ranks, vectors
+from sparkquill.operators import chunking, evidence, fusion, gate, lexical, metrics, ranks, vector_index, vectors
 from sparkquill.operators import documents as D
 from sparkquill.sources import readers, store
 from sparkquill.staging import spread, staged
@@ -172,6 +172,14 @@ def vector_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("label").agg(F.count("embedding").alias("n"), F.min(F.size("embedding")).alias("width"), F.round(F.avg(vectors.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
 
 
+@query
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `vector_topk` through the index."""
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return vector_index.VectorIndex(v.select(F.col("vec_id").alias("chunk_id"), "embedding")).search(asked, 10)[0]
+
+
 @query
 def hash_embed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = vectors.hash_embedding(questions(spark, sf_dir), "qid", "question", DIM)

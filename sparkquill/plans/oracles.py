@@ -110,6 +110,9 @@ def hashed(name: str, source: str, key: str, text: str) -> str:
 {name} AS (SELECT {key}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS v FROM {name}_w)"""
 
 
+VECTOR_TOPK = """SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
+      SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10"""
+
 ORACLE_SQL: dict[str, str] = {
     "normalize_text": f"SELECT doc_id, {norm('text')} AS normalized FROM documents",
     "squash_text": f"SELECT doc_id, {squash('text')} AS squashed FROM documents",
@@ -131,8 +134,8 @@ near AS (SELECT *, lag(word) OVER (PARTITION BY qid, chunk_id ORDER BY pos) AS b
 s AS (SELECT qid, chunk_id, round(sum(CASE WHEN n = 1 THEN 0.1::DOUBLE WHEN before <> word THEN 0.1::DOUBLE / (pos - place) ELSE 0 END), 9) AS score FROM near GROUP BY qid, chunk_id HAVING count(DISTINCT word) = any_value(n))
 SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""",
     "fts_or_topk": f"WITH {CUT}, {ASKED}, {fts('f', 'chunks', 10)} SELECT * FROM f",
-    "vector_topk": """SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (
-      SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 10""",
+    "vector_topk": VECTOR_TOPK,
+    "vector_index_topk": VECTOR_TOPK,
     "vector_width": "SELECT label, count(embedding) AS n, min(len(embedding))::INT AS width, round(avg(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS norm FROM embeddings GROUP BY label",
     "hash_buckets": f"SELECT w AS word, ({md5_mod('w', 384)})::INT AS bucket FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)",
     "hash_embed_topk": f"""WITH {ASKED}, {hashed('hq', 'questions', 'qid', 'question')}, {hashed('hd', 'documents', 'doc_id', 'text')},

@@ -18,7 +18,7 @@ def test_flagship_query_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the provided tables")
-@pytest.mark.parametrize("name", ["chunk_words", "bm25_topk", "evidence_resolve", "answer_summary", "apply_reviews", "citation_check", "response_build", "section_split", "running_lines"])
+@pytest.mark.parametrize("name", ["chunk_words", "bm25_topk", "evidence_resolve", "answer_summary", "apply_reviews", "citation_check", "response_build", "section_split", "running_lines", "store_versions", "gold_file", "chunk_file"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
