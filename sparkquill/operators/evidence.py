@@ -30,7 +30,7 @@ def _near(asked: DataFrame, pieces: DataFrame, held: DataFrame, group: str, plac
 
 
 def _asked(evidence: DataFrame, group: str, compatibility: bool = True) -> DataFrame:
-    q = evidence.select("qid", "ev", F.col("paper_id").alias(group), T.squash(F.col("quote"), compatibility).alias("q")).filter("q IS NOT NULL")
+    q = evidence.filter("quote IS NOT NULL").select("qid", "ev", F.col("paper_id").alias(group), T.squash(F.col("quote"), compatibility).alias("q"))
     return staged(q.distinct().withColumn("level", level_of(F.col("q"))), "quotes")
 
 
@@ -62,9 +62,9 @@ def resolve_anywhere(quotes: DataFrame, chunks: DataFrame, compatibility: bool =
     with a phrase of many chunks doesn't meet them all. The anchors alone are joined; texts come back for the chunks that met. A quote that
     squashes to nothing is contained in every chunk; a null one in none.
     """
-    asked = staged(quotes.select("qid", "ev", T.squash(F.col("quote"), compatibility).alias("q")).filter("q IS NOT NULL").withColumn("level", level_of(F.col("q"))), "quotes")
+    asked = staged(quotes.filter("quote IS NOT NULL").select("qid", "ev", T.squash(F.col("quote"), compatibility).alias("q")).withColumn("level", level_of(F.col("q"))), "quotes")
     levels = _levels(asked)
-    held = staged(chunks.select("chunk_id", T.squash(F.col("text"), compatibility).alias("t")).filter("t IS NOT NULL"), "squashed")
+    held = staged(chunks.select("chunk_id", T.squash(F.col("text"), compatibility).alias("t")), "squashed").filter("t IS NOT NULL")  # only now: a filter before would squash twice, over rows with all words of a document
     wanted = staged(anchored(asked.filter("level IS NOT NULL").withColumn("piece", F.col("q")), "piece", levels, "level").drop("level"), "wanted")
     hits = staged(anchored(held, "t", levels).join(wanted.select("anchor").distinct(), "anchor", "left_semi"), "hits")
     common = hits.groupBy("anchor").agg(F.count("*").alias("n"))
