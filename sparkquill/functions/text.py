@@ -23,10 +23,15 @@ LATEX_STYLE = r"\\(?:text|mathrm|mathbf|mathit|mathcal|operatorname|left|right|b
 MIN_QUOTE_CHARS = 12
 MIN_PIECE = 40
 SECTION_NUMBER = r"(?:(?:[1-9]|1\d)(?:\.\d+){0,2}\.?|[A-H](?:\.\d+){0,2}\.?)"
-HEADING_NUMBERED = rf"^({SECTION_NUMBER})\s+([A-Z0-9√(].{{1,90}})$"
+#: The same with numbers of any length: for documents known to have more than 19 sections, where a number before a title isn't a year or a count.
+LONG_SECTION_NUMBER = SECTION_NUMBER.replace(r"(?:[1-9]|1\d)", r"[1-9]\d{0,8}")
+NUMBERED_TITLE = r"\s+([A-Z0-9√(].{1,90})$"
+HEADING_NUMBERED = rf"^({SECTION_NUMBER}){NUMBERED_TITLE}"
+LONG_HEADING_NUMBERED = rf"^({LONG_SECTION_NUMBER}){NUMBERED_TITLE}"
 HEADING_NAMED = r"(?i)^(abstract|introduction|related work|background|conclusions?|discussion|acknowledge?ments?|references|bibliography|appendix(?:\s+[a-z])?)$"
 HEADING_ROMAN = r"^(?:[IVX]{1,5})\.\s+[A-Z][A-Z0-9 ,:&/\-]{2,80}$"
 NUMBER_ONLY = rf"^{SECTION_NUMBER}$"
+LONG_NUMBER_ONLY = rf"^{LONG_SECTION_NUMBER}$"
 STOP_SECTIONS = r"(?i)^(references|bibliography)$"
 APPENDIX_START = r"(?i)^(appendix\b|[A-H](?:\.\d+)*\.?\s+[A-Z])"
 AFFILIATION = r"(?i)univ|institut|\binc\b|\blabs?\b|technolog|research|corporation|college|google|microsoft|nvidia|facebook|meta ai|deepmind|@"

@@ -33,10 +33,11 @@ def body_sizes(lines: DataFrame) -> DataFrame:
     return sized.groupBy("doc_id").agg(F.max_by("s", F.struct("n", -F.col("first"))).alias("body"))
 
 
-def is_heading(text: Column, size: Column, bold: Column, body: Column) -> Column:
+def is_heading(text: Column, size: Column, bold: Column, body: Column, long_numbers: bool = False) -> Column:
     text = F.trim(text)
-    numbered = text.rlike(T.HEADING_NUMBERED)
-    rest = F.regexp_extract(text, T.HEADING_NUMBERED, 2)
+    pattern = T.LONG_HEADING_NUMBERED if long_numbers else T.HEADING_NUMBERED
+    numbered = text.rlike(pattern)
+    rest = F.regexp_extract(text, pattern, 2)
     named = text.rlike(T.HEADING_NAMED)
     return (
         F.when((F.size(F.split(text, r"\s+")) > 12) | (F.length(text) < 3) | (size < body - 0.5), False)
@@ -49,7 +50,7 @@ def is_heading(text: Column, size: Column, bold: Column, body: Column) -> Column
     )
 
 
-def merge_split_headings(lines: DataFrame) -> DataFrame:
+def merge_split_headings(lines: DataFrame, long_numbers: bool = False) -> DataFrame:
     """A section number alone on its line joins the title on the next line of the page (1 to 12 words, upper-case start); the pair is bold or large if either half is.
 
     Pairs are taken greedily from the top: in a run of lines that could each start a pair, the odd ones do.
@@ -57,7 +58,7 @@ def merge_split_headings(lines: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("line_no")
     follow = F.lead(F.struct("text", "page", "size", "bold")).over(order)
     n_words = F.size(F.split(F.trim(follow["text"]), r"\s+"))
-    fits = F.trim("text").rlike(T.NUMBER_ONLY) & (F.col("size") >= F.col("body") - 0.5) & (follow["page"] == F.col("page")) & follow["text"].rlike(r"^\p{Lu}") & n_words.between(1, 12)
+    fits = F.trim("text").rlike(T.LONG_NUMBER_ONLY if long_numbers else T.NUMBER_ONLY) & (F.col("size") >= F.col("body") - 0.5) & (follow["page"] == F.col("page")) & follow["text"].rlike(r"^\p{Lu}") & n_words.between(1, 12)
     marked = lines.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_next", follow)
     marked = marked.withColumn("_breaks", F.sum(F.when(F.col("_fits"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     in_run = F.row_number().over(Window.partitionBy("doc_id", "_breaks", "_fits").orderBy("line_no"))
@@ -72,11 +73,12 @@ def merge_split_headings(lines: DataFrame) -> DataFrame:
     return joined.filter(~F.col("_taken")).select(lines.columns)
 
 
-def _accept(state: Column, title: Column) -> Column:
+def _accept(state: Column, title: Column, long_numbers: bool = False) -> Column:
     """One step over a document's heading candidates: numbers advance by at most two, never back, and not before the body begins."""
-    numbered = title.rlike(T.HEADING_NUMBERED)
-    number = F.regexp_extract(title, T.HEADING_NUMBERED, 1)
-    rest = F.regexp_extract(title, T.HEADING_NUMBERED, 2)
+    pattern = T.LONG_HEADING_NUMBERED if long_numbers else T.HEADING_NUMBERED
+    numbered = title.rlike(pattern)
+    number = F.regexp_extract(title, pattern, 1)
+    rest = F.regexp_extract(title, pattern, 2)
     top = F.substring_index(number, ".", 1)
     opening = title.rlike(T.HEADING_NAMED) | title.rlike(T.HEADING_ROMAN)
     intro = rest.rlike(T.INTRO_LIKE)
@@ -94,19 +96,25 @@ def _accept(state: Column, title: Column) -> Column:
     )
 
 
-def headings(lines: DataFrame) -> DataFrame:
+def headings(lines: DataFrame, long_numbers: bool = False) -> DataFrame:
     """doc_id, line_no, title of the lines that start a section, in the order the numbering allows."""
-    found = lines.filter(is_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body"))).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("text").alias("title")))).alias("h"))
+    found = lines.filter(is_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body"), long_numbers)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("text").alias("title")))).alias("h"))
     start = F.struct(F.lit(0).alias("num"), F.lit("").alias("letter"), F.lit(False).alias("started"), F.array().cast("array<boolean>").alias("ok"))
-    judged = found.withColumn("ok", F.aggregate("h", start, lambda s, x: _accept(s, x["title"]))["ok"])
+    judged = found.withColumn("ok", F.aggregate("h", start, lambda s, x: _accept(s, x["title"], long_numbers))["ok"])
     return judged.select("doc_id", F.explode(F.arrays_zip("h", "ok")).alias("z")).filter("z.ok").select("doc_id", "z.h.line_no", T.clean_title(F.col("z.h.title")).alias("title"))
 
 
-def split_sections(lines: DataFrame) -> DataFrame:
-    """Lines with section_no (of non-empty sections, from 0) and section title; reference lists are left out until an appendix begins."""
-    with_body = lines.join(body_sizes(lines), "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(DEFAULT_SIZE)))
-    merged = staged(merge_split_headings(with_body), "lines")  # read twice: its windows run once
-    marked = merged.join(headings(merged), ["doc_id", "line_no"], "left")
+def split_sections(lines: DataFrame, body: float | None = None, long_numbers: bool = False) -> DataFrame:
+    """Lines with section_no (of non-empty sections, from 0) and section title; reference lists are left out until an appendix begins.
+
+    Where the body's font size is known, `body` gives it; else it is that of most text. Sections are numbered up to 19, with `long_numbers` without end.
+    """
+    if body is None:
+        with_body = lines.join(body_sizes(lines), "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(DEFAULT_SIZE)))
+    else:
+        with_body = lines.withColumn("body", F.lit(body))
+    merged = staged(merge_split_headings(with_body, long_numbers), "lines")  # read twice: its windows run once
+    marked = merged.join(headings(merged, long_numbers), ["doc_id", "line_no"], "left")
     order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     stop = F.coalesce(F.col("title").rlike(T.STOP_SECTIONS), F.lit(False))
     appendix = F.coalesce(F.col("title").rlike(T.APPENDIX_START), F.lit(False)) & ~stop
@@ -143,8 +151,8 @@ def chunk_sections(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP
     return each.select(name.alias("chunk_id"), F.col("doc_id").cast("string").alias("paper_id"), "section", F.get(piece, F.lit(0))["page"].alias("page"), F.array_join(F.transform(piece, lambda x: x["word"]), " ").alias("text"))
 
 
-def ingest(lines: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    return chunk_sections(split_sections(drop_running_lines(lines)), size, overlap)
+def ingest(lines: DataFrame, size: int = SIZE, overlap: int = OVERLAP, body: float | None = None, long_numbers: bool = False) -> DataFrame:
+    return chunk_sections(split_sections(drop_running_lines(lines), body, long_numbers), size, overlap)
 
 
 def ingest_stats(chunks: DataFrame) -> DataFrame:

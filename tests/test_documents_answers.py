@@ -205,3 +205,19 @@ def test_settings(tmp_path):
 def test_first_seen_order(spark):
     df = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), (None, 4), ("c", 2)], "v string, pos int")
     assert [(r.v, r.pos) for r in gate.first_seen(df, "v", "pos").collect()] == [("b", 1), ("a", 2), ("c", 2), (None, 4)]
+
+
+def test_conversations_as_papers_equal_their_sql(spark, tmp_path):
+    """Lines that could be halves of headings ("A." before a short line, "A." last before the references), lines in capitals, and more than 19 questions."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    rows = [(1, 0, "user", "Is this so?"), (1, 1, "assistant", "It is.\nA.\nIs.\n3 WINDS AND SAILS\nREFERENCES\nMore of it.\nA.")]
+    rows += [(2, t, "assistant" if t % 2 else "user", f"Text of turn {t}.") for t in range(46)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    for name in ("section_split", "section_chunks", "ingest_counts"):
+        mine = entry.queries()[name](spark, str(tmp_path))
+        theirs = con.execute(f"SELECT {', '.join(mine.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+        assert sorted(tuple(map(str, r)) for r in mine.collect()) == sorted(tuple(map(str, r)) for r in theirs), name
