@@ -31,6 +31,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from sparkquill.staging import staged
 
 BLOCK = 16
+#: Chunks among which neighbours are looked for.
+ROWS = 2048
 SEED_TERMS, SEED_BLOCKS = 16, 16
 #: Questions that meet a block at a time.
 GROUP = 512
@@ -80,7 +82,7 @@ def _block_rows(size: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             batch = neighbours(batch)
             for lo in range(0, batch.num_rows, size):
                 yield block(batch.slice(lo, size), b)
@@ -183,7 +185,7 @@ class Search:
     def __init__(self, index: BlockIndex, asked: DataFrame, k: int, impact: bool):
         self.index, self.k, self.impact = index, k, impact
         order = Window.partitionBy("qid").orderBy(F.desc("g"), "token")  # a question's terms
-        known = asked.filter("w > 0").join(index.terms.select("token", F.col("most" if impact else "most_tf").alias("most")), "token").withColumn("g", F.col("w") * F.col("most"))
+        known = asked.filter("w > 0").join(index.terms.select("token", F.col("most" if impact else "most_tf").alias("most")).hint("merge"), "token").withColumn("g", F.col("w") * F.col("most"))
         known = known.withColumn("r", F.row_number().over(order)).withColumn("rest", F.sum("g").over(order.rowsBetween(0, Window.unboundedFollowing)))
         self.known = staged(known, "terms_asked")
         self.parts = -(-self.known.filter("r = 1").count() // GROUP)
@@ -199,7 +201,7 @@ class Search:
         essential = split.withColumn("idle", idle).filter(F.col("rest") >= F.col("floor"))
         bound = essential.join(maxima, "token").groupBy("qid", "b", "floor", "idle").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
         left = bound.filter(F.col("bound") + F.col("idle") >= F.col("floor")).select("qid", "b", "floor")
-        self.others = staged(left.join(self.seeds, ["qid", "b"], "left_anti"), "blocks_left")
+        self.others = staged(left.join(self.seeds.hint("merge"), ["qid", "b"], "left_anti"), "blocks_left")
         self.scores = first.unionByName(self._scored(self.others))
 
     @property
@@ -209,9 +211,9 @@ class Search:
     def _scored(self, pairs: DataFrame) -> DataFrame:
         """qid, chunk_id, raw: each block meets its questions in groups of some GROUP."""
         asked = self.known.groupBy("qid").agg(F.collect_list(F.struct("token", "w")).alias("t"))  # a question's terms
-        met = pairs.join(asked, "qid").select("b", F.struct("qid", "floor", F.col("t.token").alias("tokens"), F.col("t.w").alias("ws")).alias("q"), F.pmod(F.xxhash64("qid"), F.lit(max(self.parts, 1))).alias("part"))
+        met = pairs.hint("merge").join(asked.hint("merge"), "qid").select("b", F.struct("qid", "floor", F.col("t.token").alias("tokens"), F.col("t.w").alias("ws")).alias("q"), F.pmod(F.xxhash64("qid"), F.lit(max(self.parts, 1))).alias("part"))
         groups = met.groupBy("b", "part").agg(F.collect_list("q").alias("q")).select("b", F.col("q.qid").alias("qids"), F.col("q.floor").alias("floors"), F.col("q.tokens").alias("tokens"), F.col("q.ws").alias("ws"))
-        rows = groups.join(self.index.blocks.select("b", "chunk_ids", "words"), "b").select("chunk_ids", "words", "qids", "floors", "tokens", "ws")
+        rows = groups.hint("merge").join(self.index.blocks.select("b", "chunk_ids", "words").hint("merge"), "b").select("chunk_ids", "words", "qids", "floors", "tokens", "ws")
         kinds = rows.schema
         schema = StructType([StructField("qid", kinds["qids"].dataType.elementType), StructField("chunk_id", kinds["chunk_ids"].dataType.elementType), StructField("raw", DoubleType())])
         return rows.mapInArrow(_score_rows(self.index.avgdl if self.impact else None), schema)

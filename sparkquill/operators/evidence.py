@@ -26,7 +26,7 @@ def _near(asked: DataFrame, pieces: DataFrame, held: DataFrame, group: str, plac
     levels = _levels(asked)
     wanted = anchored(pieces, "piece", levels, "level").drop("level")
     runs = anchored(held.select(group, place, "t"), "t", levels)
-    return runs.join(wanted, [group, "anchor"]).select(*[c for c in asked.columns if c != "level"], place).distinct()
+    return runs.hint("merge").join(wanted.hint("merge"), [group, "anchor"]).select(*[c for c in asked.columns if c != "level"], place).distinct()
 
 
 def _asked(evidence: DataFrame, group: str, compatibility: bool = True) -> DataFrame:
@@ -47,10 +47,10 @@ def resolve(evidence: DataFrame, chunks: DataFrame, compatibility: bool = True)
     ends = F.array_distinct(F.array(F.left("q", F.col("level")), F.when(F.col("level") == T.MIN_PIECE, F.right("q", F.col("level"))).otherwise(F.left("q", F.col("level")))))
     near = _near(asked, asked.filter("level IS NOT NULL").select("qid", "ev", "paper_id", "q", "level", F.explode(ends).alias("piece")), held, "paper_id", "chunk_id")
     head, tail = F.left("q", F.lit(T.MIN_PIECE)), F.right("q", F.lit(T.MIN_PIECE))
-    met = near.join(held, ["paper_id", "chunk_id"]).select(
+    met = near.join(held.hint("merge"), ["paper_id", "chunk_id"]).select(
         "qid", "ev", "chunk_id", F.contains("t", "q").alias("whole"), (F.contains("t", head) | F.contains("t", tail)).alias("piece")
     ).filter(F.col("whole") | F.col("piece"))
-    every = asked.filter("q = ''").join(held.filter("t IS NOT NULL"), "paper_id").select("qid", "ev", "chunk_id", F.lit(True).alias("whole"), F.lit(True).alias("piece"))  # the output itself
+    every = asked.filter("q = ''").join(held.filter("t IS NOT NULL").hint("merge"), "paper_id").select("qid", "ev", "chunk_id", F.lit(True).alias("whole"), F.lit(True).alias("piece"))  # the output itself
     best = met.unionByName(every).withColumn("any_whole", F.max("whole").over(Window.partitionBy("qid", "ev")))
     return best.filter(F.col("whole") | ~F.col("any_whole")).select("qid", "ev", "chunk_id", "whole")
 
@@ -71,14 +71,14 @@ def resolve_anywhere(quotes: DataFrame, chunks: DataFrame, compatibility: bool =
     # a quote with an anchor that no chunk has is in no chunk: the left join makes it the rarest
     rarest = wanted.join(common, "anchor", "left").groupBy("qid", "ev", "q").agg(F.min_by("anchor", F.struct(F.coalesce("n", F.lit(0)), "anchor")).alias("anchor"))
     near = hits.join(rarest, "anchor").select("qid", "ev", "q", "chunk_id").distinct()
-    met = near.join(held, "chunk_id").filter(F.contains("t", "q")).select("qid", "ev", "chunk_id")
+    met = near.join(held.hint("merge"), "chunk_id").filter(F.contains("t", "q")).select("qid", "ev", "chunk_id")
     every = held.select("chunk_id").crossJoin(asked.filter("q = ''").select("qid", "ev"))  # the output itself
     return met.unionByName(every.select("qid", "ev", "chunk_id")).distinct()
 
 
 def with_papers(rankings: DataFrame, chunks: DataFrame) -> DataFrame:
     """`rankings` with the paper_id of each chunk_id; a chunk that isn't in the corpus is an error."""
-    known = chunks.groupBy("chunk_id").agg(F.min("paper_id").alias("paper_id"))
+    known = chunks.groupBy("chunk_id").agg(F.min("paper_id").alias("paper_id")).hint("merge")
     absent = F.raise_error(F.concat(F.lit("no such chunk: "), F.col("chunk_id").cast("string"))).cast("string")
     return rankings.join(known, "chunk_id", "left").withColumn("paper_id", F.coalesce("paper_id", absent))
 
@@ -104,11 +104,11 @@ def quote_pages(evidence: DataFrame, pages: DataFrame) -> DataFrame:
     text = pages.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "page", T.squash(F.col("text")).alias("t"))
     text = staged(text.withColumn("next", F.lead("t").over(Window.partitionBy("doc_id").orderBy("page"))), "squashed")
     near = _near(asked, asked.filter("level IS NOT NULL").select("qid", "ev", "doc_id", "q", "level", F.left("q", F.col("level")).alias("piece")), text, "doc_id", "page")
-    met = near.join(text, ["doc_id", "page"]).select(
+    met = near.join(text.hint("merge"), ["doc_id", "page"]).select(
         "qid", "ev", "page", F.contains("t", "q").alias("whole"),
         (F.contains(F.concat("t", F.coalesce("next", F.lit(""))), F.col("q")) & F.contains("t", F.left("q", F.lit(T.MIN_PIECE))) & F.col("next").isNotNull()).alias("starts"),
     )
-    every = asked.filter("q = ''").join(text.filter("t IS NOT NULL"), "doc_id").select("qid", "ev", "page", F.lit(True).alias("whole"), F.lit(False).alias("starts"))
+    every = asked.filter("q = ''").join(text.filter("t IS NOT NULL").hint("merge"), "doc_id").select("qid", "ev", "page", F.lit(True).alias("whole"), F.lit(False).alias("starts"))
     none = asked.join(text.select("doc_id").distinct(), "doc_id", "left_semi").select("qid", "ev", F.lit(None).cast("int").alias("page"), F.lit(False).alias("whole"), F.lit(False).alias("starts"))
     grouped = met.unionByName(every).unionByName(none).groupBy("qid", "ev").agg(
         F.array_sort(F.collect_list(F.when(F.col("whole"), F.col("page")))).alias("w"), F.min(F.when(F.col("starts"), F.col("page"))).alias("s")

@@ -92,46 +92,70 @@ def _store(chunks: DataFrame | Store, text: str) -> Store:
 
 #: Up to so many questions are answered by one pass over all words, which costs less than bounds for so few; more of them are searched by the block
 #: index. Where weights are negative, no bound holds, and there is a pass for each so many questions.
-QUERY_BLOCK = 512
-#: Chunks that are scored together by one matrix product.
-ROWS = 256
+QUERY_BLOCK = 4096
+#: Chunks that are scored together, and products of a word with a question's weight that are summed up at a time: they bound a task's memory, whatever the size of a batch.
+ROWS, PRODUCTS = 256, 1 << 20
+
+
+def _scores(lists: pa.Array, weights: tuple, n_questions: int, avgdl: float | None) -> np.ndarray:
+    """Scores of some chunks' words, a row for each chunk and a column for each question. Only the words that are asked for, with the questions that ask for them, are looked at."""
+    terms, starts, asker, weight = weights
+    n, length = len(lists), lists.value_lengths().fill_null(0).to_numpy()
+    term = pc.index_in(lists.flatten(), value_set=terms)
+    known = term.is_valid().to_numpy(zero_copy_only=False)
+    cell = np.repeat(np.arange(n), length)[known] * len(terms) + term.drop_null().to_numpy().astype(np.int64)
+    cell, tf = np.unique(cell, return_counts=True)
+    row, col = np.divmod(cell, max(len(terms), 1))
+    value = tf.astype(np.float64)
+    if avgdl is not None:
+        value = value * (K1 + 1) / (value + K1 * (1 - B + B * length[row] / (avgdl or 1.0)))
+    score = np.zeros(n * n_questions)
+    many = starts[col + 1] - starts[col]
+    ends = np.cumsum(many)
+    lo = 0
+    while lo < len(cell):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PRODUCTS, side="right")))
+        each = many[lo:hi]
+        total = int(each.sum())
+        at = np.arange(total) + np.repeat(starts[col[lo:hi]] - (np.cumsum(each) - each), each)
+        score += np.bincount(np.repeat(row[lo:hi] * n_questions, each) + asker[at], np.repeat(value[lo:hi], each) * weight[at], minlength=len(score))
+        lo = hi
+    return score.reshape(n, n_questions)
+
+
+def _first_k(k: int, q: np.ndarray, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Which of the pairs (question, place) are among the k best of their question, in order of question and rank: rounded scores, then places."""
+    order = np.lexsort((at, -np.round(raw, 6), q))
+    starts = np.flatnonzero(np.diff(q[order], prepend=-1))
+    return order[np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < k]
 
 
 def _best(block, k: int, avgdl: float | None):
     """chunk_id, tokens -> the k best chunks of each batch for each question of the block: qid, chunk_id, raw score.
 
     With `avgdl` the scores are BM25's and all chunks compete, those without a match too; without it they are plain
-    occurrences, and only chunks with a match appear.
+    occurrences, and only chunks with a match appear. A batch is scored ROWS chunks at a time.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, terms, weights = block.value
+        qids, *weights = block.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.take(pc.sort_indices(batch.column(0)))  # ties go to the smaller chunk_id
-            length = np.diff(batch.column(1).offsets.to_numpy())
-            term = pc.index_in(batch.column(1).flatten(), value_set=terms)
-            known = term.is_valid().to_numpy(zero_copy_only=False)
-            cell = np.repeat(np.arange(batch.num_rows), length)[known] * len(terms) + term.drop_null().to_numpy().astype(np.int64)
-            cell, tf = np.unique(cell, return_counts=True)
-            row, col = np.divmod(cell, max(len(terms), 1))
-            value = tf.astype(np.float64)
-            if avgdl is not None:
-                value = value * (K1 + 1) / (value + K1 * (1 - B + B * length[row] / (avgdl or 1.0)))
-            score = np.empty((batch.num_rows, len(qids)))
+            order = pc.sort_indices(batch.column(0))  # ties go to the smaller chunk_id
+            least = np.full(len(qids), 0.0 if avgdl is None else -np.inf)  # what a chunk further on has to exceed
+            q, at, raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            settled = 0
             for lo in range(0, batch.num_rows, ROWS):
-                hi = min(lo + ROWS, batch.num_rows)
-                part = slice(*np.searchsorted(row, [lo, hi]))
-                dense = np.zeros((hi - lo, len(terms)))
-                dense[row[part] - lo, col[part]] = value[part]
-                score[lo:hi] = dense @ weights
-            first = np.argsort(-np.round(score, 6), axis=0, kind="stable")[:k]
-            at_q, at = np.tile(np.arange(len(qids)), len(first)), first.ravel()
-            raw = score[at, at_q]
-            if avgdl is None:
-                at_q, at, raw = at_q[raw > 0], at[raw > 0], raw[raw > 0]
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(at_q)), batch.column(0).take(pa.array(at)), pa.array(raw)], ["qid", "chunk_id", "raw"])
+                score = _scores(batch.column(1).take(order.slice(lo, ROWS)), weights, len(qids), avgdl)
+                row, asked = np.nonzero(score > least)
+                q, at, raw = np.append(q, asked), np.append(at, row + lo), np.append(raw, score[row, asked])
+                if len(q) - settled > k * len(qids) or lo + ROWS >= batch.num_rows:
+                    kept = _first_k(k, q, at, raw)
+                    q, at, raw = q[kept], at[kept], raw[kept]
+                    full = np.bincount(q, minlength=len(qids)) == k
+                    last = np.flatnonzero(np.diff(q, append=-1))  # a question's last is its least
+                    least[q[last]] = np.where(full[q[last]], np.round(raw[last], 6), least[q[last]])
+                    settled = len(q)
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), batch.column(0).take(order.take(pa.array(at))), pa.array(raw)], ["qid", "chunk_id", "raw"])
 
     return rows
 
@@ -150,11 +174,12 @@ def _scan_topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avg
         qids = ids.filter(place == b).toArrow().column("qid").combine_chunks()  # about QUERY_BLOCK rows
         rows = asked.filter(place == b).select("qid", "token", "w").toArrow().combine_chunks()  # and their terms
         terms = pc.unique(rows.column("token")).cast(pa.string())
-        weights = np.zeros((len(terms), len(qids)))
-        at = (pc.index_in(rows.column("token").combine_chunks(), value_set=terms).to_numpy(zero_copy_only=False).astype(int), pc.index_in(rows.column("qid").combine_chunks(), value_set=qids).to_numpy(zero_copy_only=False).astype(int))
-        weights[at] = rows.column("w").to_numpy()
+        term, asker = (pc.index_in(rows.column(c).combine_chunks(), value_set=v).to_numpy(zero_copy_only=False).astype(np.int64) for c, v in (("token", terms), ("qid", qids)))
+        order = np.argsort(term, kind="stable")
+        starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
         if len(qids):
-            found = found.unionByName(store.tokens.select("chunk_id", "tokens").mapInArrow(_best(spark.sparkContext.broadcast((qids, terms, weights)), k, avgdl), schema))
+            sent = spark.sparkContext.broadcast((qids, terms, starts, asker[order], rows.column("w").to_numpy()[order]))
+            found = found.unionByName(store.tokens.select("chunk_id", "tokens").mapInArrow(_best(sent, k, avgdl), schema))
     return rank_by(found.select("qid", "chunk_id", F.round("raw", 6).alias("score")), k, ["qid"], F.desc("score"), F.col("chunk_id"))
 
 
@@ -169,7 +194,7 @@ def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str
     words stand in over half of its chunks: a match can then rank below no match, and the chunks are scanned.
     """
     store, terms = _store(chunks, text), query_terms(questions)
-    asked = terms.join(store.idf, "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
+    asked = terms.join(store.idf.hint("merge"), "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
     if _few(questions) or not store.idf.filter("idf < 0").isEmpty():
         return _scan_topk(questions, asked, store, k, store.index.avgdl)
     found = staged(store.index.search(asked, k).best().filter("score > 0"), "bm25")

@@ -276,14 +276,14 @@ def _own_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     q = asked.groupBy("qid").agg(F.min_by("quote", "ev").alias("question"), F.count("*").alias("n_evidence"))
     q = q.withColumn("kind", F.when(F.col("qid") % 100 == 0, F.lit("cross_paper")).otherwise(F.lit("factual"))).withColumn("distractors", F.array(F.col("qid").cast("string")))
     q, c = staged(q, "questions"), chunks(spark, sf_dir)
-    resolved = evidence.resolve(asked, c).select("qid", "ev", "chunk_id")
+    resolved = staged(evidence.resolve(asked, c).select("qid", "ev", "chunk_id"), "resolved")
     store = store_of(c)
     ranked = [
         lexical.bm25(q.select("qid", "question"), store, 10).withColumn("retriever", F.lit("bm25")),
         lexical.full_text_or(q.select("qid", "question"), store, 10).withColumn("retriever", F.lit("fts")),
     ]
     rankings = ranked[0].select("retriever", "qid", "chunk_id", "rank").unionByName(ranked[1].select("retriever", "qid", "chunk_id", "rank"))
-    return q, resolved, evidence.with_papers(rankings, c)
+    return q, resolved, staged(evidence.with_papers(rankings, c), "rankings")  # the metrics read both several times
 
 
 def _per_question(spark: SparkSession, sf_dir: str) -> DataFrame:

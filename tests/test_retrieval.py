@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -297,3 +298,47 @@ def test_bootstrap_is_repeatable(spark):
     a, b = metrics.bootstrap_ci(d, samples=400).first(), metrics.bootstrap_ci(d, samples=400).first()
     assert a == b and a["mean"] == 0.5 and 0.3 < a.low < 0.5 < a.high < 0.7
     assert metrics.bootstrap_ci(d.limit(0)).count() == 0
+
+
+def _peak(run):
+    """MB of arrays at the peak of a run (Arrow's own memory isn't counted)."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run())
+        return rows, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_vectors_of_a_full_batch_are_compared_in_parts():
+    rng = np.random.default_rng(0)
+    q, v = rng.standard_normal((4096, 16)), rng.standard_normal((10_000, 16))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.ListArray.from_arrays(pa.array(np.arange(10_001) * 16, pa.int32()), pa.array(v.ravel()))], ["chunk_id", "embedding"])
+    rows, peak = _peak(lambda: vectors._best(Sent((pa.array(np.arange(4096)), q)), 10)([batch, batch.slice(0, 0), batch.slice(5000)]))
+    assert rows >= 40_960 and peak < 200
+
+
+def test_words_of_a_full_batch_are_scored_in_parts():
+    n, words = 10_000, 40
+    texts = pa.array([f"w{i % 97}" for i in range(n * words)])
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:05d}" for i in range(n)]), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * words, pa.int32()), texts)], ["chunk_id", "tokens"])
+    qids, terms = pa.array([f"q{i}" for i in range(2600)]), pa.array([f"w{i}" for i in range(100)])
+    asker = np.arange(2600)
+    sent = Sent((qids, terms, np.searchsorted(np.sort(asker % 100), np.arange(101)), asker[np.argsort(asker % 100, kind="stable")], np.ones(2600)))
+    rows, peak = _peak(lambda: lexical._best(sent, 10, 40.0)([batch]))
+    assert rows == 26_000 and peak < 150
+
+
+def test_questions_are_not_met_by_a_broadcast_vocabulary(spark):
+    store = lexical.Store(spark.createDataFrame([(1, "kelp and sand"), (2, "sand")], "chunk_id long, text string"))
+    found = store.index.search(spark.createDataFrame([(7, "kelp", 1.0)], "qid long, token string, w double"), 2)
+    for df in (found.others, found.scores):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.qid, r.chunk_id) for r in found.best().collect()] == [(7, 1)]
