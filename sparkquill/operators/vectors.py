@@ -26,6 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Queries that are sent to the vectors' tasks at a time: this many vectors bound a broadcast.
 QUERY_BLOCK = 4096
+#: Pairs of a query and a vector that are compared at a time, and texts that are embedded together: they bound a task's memory, whatever the size of a batch.
+CELLS, ROWS = 1 << 21, 2048
 
 
 def few_of_ties(ids: pa.Array, at_q: np.ndarray, at_v: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
@@ -40,25 +42,39 @@ def few_of_ties(ids: pa.Array, at_q: np.ndarray, at_v: np.ndarray, value: np.nda
 
 
 def _best(block, k: int):
-    """chunk_id, embedding -> the rows of each batch that can be among the k best of a query of the block: qid, chunk_id, cosine."""
+    """chunk_id, embedding -> the rows of each batch that can be among the k best of a query of the block: qid, chunk_id, cosine.
+
+    A batch is compared CELLS pairs at a time. What a task has seen before counts: a row under its query's k-th best value so far can't matter.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = block.value
+        best = np.full((len(q), k), -np.inf)  # the k largest values of each query so far
+        step = max(1, CELLS // max(len(q), 1))
         for batch in batches:
             lengths = np.diff(batch.column(1).offsets.to_numpy())
             for width in np.unique(lengths).tolist():
                 if width != q.shape[1]:
                     raise ValueError(f"a vector has {width} values, the queries have {q.shape[1]}")
-            v = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
-            norms = np.sqrt((v * v).sum(axis=1))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = (q @ v.T) / norms[None, :]
-            rank = np.where(np.isnan(cosine), -np.inf, cosine)
-            least = np.partition(rank, -k, axis=1)[:, -k] if batch.num_rows > k else np.full(len(q), -np.inf)
-            at_q, at_v = np.nonzero(rank >= least[:, None] - 1e-6)  # equal ones, after rounding, are told apart later
-            kept = few_of_ties(batch.column(0), at_q, at_v, rank[at_q, at_v], k)
-            at_q, at_v = at_q[kept], at_v[kept]
-            yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(at_q)), batch.column(0).take(pa.array(at_v)), pa.array(cosine[at_q, at_v])], ["qid", "chunk_id", "cosine"])
+            found = []
+            for lo in range(0, batch.num_rows, step):
+                part = batch.column(1).slice(lo, step)
+                v = np.asarray(part.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(part), -1)
+                norms = np.sqrt((v * v).sum(axis=1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine = (q @ v.T) / norms[None, :]
+                rank = np.where(np.isnan(cosine), -np.inf, cosine)
+                top = np.partition(rank, -k, axis=1)[:, -k:] if len(part) > k else rank
+                best = np.partition(np.concatenate([best, top], axis=1), -k, axis=1)[:, -k:]
+                at_q, at_v = np.nonzero(rank >= best.min(axis=1)[:, None] - 1e-6)  # equal ones, after rounding, are told apart later
+                kept = few_of_ties(batch.column(0).slice(lo, step), at_q, at_v, rank[at_q, at_v], k)
+                at_q, at_v = at_q[kept], at_v[kept]
+                found.append((at_q, at_v + lo, cosine[at_q, at_v]))
+            at_q, at_v, value = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            rank = np.where(np.isnan(value), -np.inf, value)
+            kept = np.flatnonzero(rank >= best.min(axis=1)[at_q] - 1e-6)
+            kept = kept[few_of_ties(batch.column(0), at_q[kept], at_v[kept], rank[kept], k)]
+            yield pa.RecordBatch.from_arrays([pa.array(qids).take(pa.array(at_q[kept])), batch.column(0).take(pa.array(at_v[kept])), pa.array(value[kept])], ["qid", "chunk_id", "cosine"])
 
     return rows
 
@@ -100,7 +116,7 @@ def _embedded_rows(dim: int):
     """key, words -> key, embedding; a word's bucket is computed once in a batch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             lists = batch.column(1)
             coded = lists.flatten().dictionary_encode()
             bucket = np.array([int(hashlib.md5(w.encode()).hexdigest(), 16) % dim for w in coded.dictionary.to_pylist()], dtype=np.int64)
