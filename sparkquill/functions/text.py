@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -74,9 +75,18 @@ def clean_title(title: Column) -> Column:
     return F.when(~all_caps(bare), bare).when(numbered, F.concat(head, F.lit(" "), _capitalized(rest))).otherwise(_capitalized(bare))
 
 
-@F.pandas_udf(StringType())
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+#: Texts that are held as Python strings at a time, whatever the size of a batch.
+ROWS = 128
+
+
+def _mapped(text: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    parts = [pa.array([None if t is None else change(t) for t in text.slice(lo, ROWS).to_pylist()], pa.string()) for lo in range(0, len(text), ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    return _mapped(text, lambda t: unicodedata.normalize("NFKC", t))
 
 
 def nfkc(text: Column) -> Column:
@@ -100,10 +110,10 @@ def _math_names() -> dict[str, str]:
     return MATH_SYMBOLS | {c: name.split()[-1].lower() for c, name in greek.items() if name.startswith("GREEK ")}
 
 
-@F.pandas_udf(StringType())
-def _spell_math(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _spell_math(text: pa.Array) -> pa.Array:
     table = str.maketrans(_math_names())
-    return text.map(lambda t: None if t is None else t.translate(table))
+    return _mapped(text, lambda t: t.translate(table))
 
 
 def squash_math(text: Column) -> Column:

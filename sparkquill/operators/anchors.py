@@ -17,7 +17,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 #: Length of a level's windows -> characters of a run. From 5 down a window is one run: its distinct values are few, 36 to the power of its length.
 LEVELS = {40: 12, 20: 10, 10: 8, 5: 5, 2: 2, 1: 1}
-STEP = 1 << 20  # windows hashed at a time, whatever the length of a text
+STEP = 1 << 18  # windows hashed at a time, whatever the length of a text
+ROWS = 1024  # texts held at a time, whatever the size of a batch
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +53,7 @@ def _batch_anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
     """Rows and their anchors, each once for a step at most."""
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
-    chars = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    chars = np.frombuffer(b"".join(texts), np.uint8)
     rows, found = [], []
     for at in range(0, len(chars), STEP):
         minima = window_minima(chars[at : at + STEP + size - 1], size)
@@ -77,7 +78,7 @@ def anchored(df: DataFrame, text: str, levels: list[int], level: str | None = No
     schema = StructType([df.schema[c] for c in kept] + [StructField("anchor", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             texts = batch.column(text).to_pylist()
             own = np.array(batch.column(level).to_pylist(), object) if level else None
             for size in levels:

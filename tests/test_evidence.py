@@ -117,3 +117,24 @@ def test_empty_tables(spark):
     assert evidence.resolve(none, chunks).count() == evidence.resolve_anywhere(none, chunks).count() == 0
     assert evidence.resolve(one, chunks.limit(0)).count() == evidence.resolve_anywhere(one, chunks.limit(0)).count() == 0
     assert evidence.quote_pages(none, spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_anchors_of_a_full_batch_are_taken_in_parts():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    class Held:
+        columns, schema = ["id", "t"], StructType([StructField("id", LongType()), StructField("t", StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = anchors.anchored(Held(), "t", [40])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([f"{i} " + "sand and kelp " * 100 for i in range(10_000)])], ["id", "t"])
+    tracemalloc.start()
+    rows = [r for b in run([batch]) for r in b.column("id").unique().to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert sorted(set(rows)) == list(range(10_000)) and peak < 100
