@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from sparkquill.functions import text as T
 from sparkquill.functions.stem import lexemes
@@ -24,8 +24,22 @@ def tokens(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select("chunk_id", T.tokenize(F.col(text)).alias("tokens"))
 
 
-def postings(tokenized: DataFrame) -> DataFrame:
-    """chunk_id, token, tf. Term counts are partial sums before the shuffle."""
+def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """chunk_id, tokens -> chunk_id, token, tf of each row."""
+    for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
+        lists = batch.column(1)
+        coded = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        cell, tf = np.unique(row * max(len(coded.dictionary), 1) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, term = np.divmod(cell, max(len(coded.dictionary), 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), coded.dictionary.take(pa.array(term)), pa.array(tf, pa.int64())], ["chunk_id", "token", "tf"])
+
+
+def postings(tokenized: DataFrame, keyed: bool = False) -> DataFrame:
+    """chunk_id, token, tf. Where each chunk_id is known to stand on one row (`keyed`), a row's own counts are the result and nothing is shuffled."""
+    if keyed:
+        schema = StructType([tokenized.schema["chunk_id"], StructField("token", StringType()), StructField("tf", LongType())])
+        return tokenized.select("chunk_id", "tokens").mapInArrow(_count_rows, schema)
     return tokenized.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
 
 

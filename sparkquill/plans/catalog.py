@@ -101,7 +101,13 @@ def chunk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(lexical.tokens(plain_chunks(spark, sf_dir)))
+    """Chunks of a document that is alone with its doc_id have ids of their own; only the others' words are shuffled."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    again = staged(table(spark, sf_dir, "documents").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")), "again")
+    if again.isEmpty():
+        return lexical.postings(lexical.tokens(chunking.chunk_texts(docs)), keyed=True)
+    once, often = (lexical.tokens(chunking.chunk_texts(docs.join(again, docs["doc_id"].eqNullSafe(again["again"]), how))) for how in ("left_anti", "left_semi"))
+    return lexical.postings(once, keyed=True).unionByName(lexical.postings(often))
 
 
 @query

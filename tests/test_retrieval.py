@@ -342,3 +342,20 @@ def test_questions_are_not_met_by_a_broadcast_vocabulary(spark):
     for df in (found.others, found.scores):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert [(r.qid, r.chunk_id) for r in found.best().collect()] == [(7, 1)]
+
+
+def test_postings_of_keyed_chunks_are_counted_where_they_are_read(spark):
+    data = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["a"])], "chunk_id long, tokens array<string>")
+    found = lexical.postings(data, keyed=True)
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 1), (1, "b", 2), (3, "a", 1)]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_tf_adds_up_documents_that_share_an_id(spark, tmp_path):
+    from sparkquill.plans import catalog
+
+    docs = [(1, "sand kelp sand"), (1, "kelp"), (2, "sand"), (None, "wax"), (None, "wax"), (3, None), (4, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(map(tuple, catalog.postings_tf(spark, str(tmp_path)).collect()))
+    assert [(int(c.split(":")[0]) if c.split(":")[0].isdigit() else None, t, n) for c, t, n in found if "null" not in c] == [(1, "kelp", 2), (1, "sand", 2), (2, "sand", 1)]
+    assert [(t, n) for c, t, n in found if "null" in c] == [("wax", 2)]

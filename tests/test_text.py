@@ -73,3 +73,33 @@ def test_headers_and_prefix(spark):
     assert one(spark, T.with_header(F.col("t"), F.col("p"), F.col("s"), F.col("x")), t=None, p="p1", s="1 Intro", x="body") == "p1. 1 Intro. body"
     assert one(spark, T.query_text(F.col("x"), "bge-small"), x="q").endswith("passages: q")
     assert one(spark, T.query_text(F.col("x"), "other"), x="q") == "q"
+
+
+def test_windows_and_words_of_odd_texts_equal_plain_python(spark):
+    import random
+    import re
+
+    from sparkquill.operators import chunking
+
+    rng = random.Random(5)
+    marks = list("abZ09  \n\n--") + ["\t", "\r", "\x0b", "\x1f", "\x00", "\x7f", "\x85", "\xa0", " ", "’", "—", "ﬁ", "é", "ß", "İ", "K", "漢", "the ", " of "]
+    texts = [None, "", " ", "\n", "a-\nb", "a-\x00\n\x1fb"] + ["".join(rng.choice(marks) for _ in range(rng.choice([3, 30, 300]))) for _ in range(300)]
+
+    def normal(t):
+        for a, b in T.LIGATURES.items():
+            t = t.replace(a, b)
+        t = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ", t.translate(str.maketrans(T.QUOTES_FROM, T.QUOTES_TO)))
+        t = re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", t)
+        return re.sub(r"\s+", " ", t).strip(" ")
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {}
+    for i, t in enumerate(texts):
+        w = normal(t or "").split(" ") if normal(t or "") else []
+        for n in range((len(w) - 3) // 5 + 1 if len(w) > 7 else min(len(w), 1)):
+            want[i, n] = " ".join(w[n * 5 : n * 5 + 7])
+    got = {(r.doc_id, r.n): r.text for r in chunking.chunk_texts(docs, size=7, overlap=2).collect()}
+    assert got == want
+    words = docs.select("doc_id", T.tokenize(F.col("text")).alias("w"), F.filter(T.words(F.col("text")), lambda x: ~x.isin(T.STOPWORDS)).alias("v")).collect()
+    assert all(r.w == r.v for r in words) and [r.w for r in words if r.doc_id == 0] == [None]
+    assert docs.select(T.tokenize(F.col("text")).alias("w"))._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
