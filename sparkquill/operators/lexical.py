@@ -43,9 +43,20 @@ def postings(tokenized: DataFrame, keyed: bool = False) -> DataFrame:
     return tokenized.select("chunk_id", F.explode("tokens").alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
 
 
+def _freq_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """tokens -> token, df among some FREQ_ROWS rows."""
+    for batch in (whole.slice(lo, FREQ_ROWS) for whole in batches for lo in range(0, whole.num_rows, FREQ_ROWS)):
+        lists = batch.column(0)
+        coded = lists.flatten().dictionary_encode()
+        term = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        cell = np.sort(np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()) + term * len(lists))
+        held = np.bincount(cell[np.diff(cell, prepend=-1) > 0] // max(len(lists), 1), minlength=len(coded.dictionary))
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(held, pa.int64())], ["token", "df"])
+
+
 def doc_freq(tokenized: DataFrame) -> DataFrame:
-    """token, df, from each chunk's distinct tokens: one shuffle of one row for each token and task."""
-    return tokenized.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    """token, df: counted in each task for some rows at a time, summed in one shuffle."""
+    return tokenized.select("tokens").mapInArrow(_freq_rows, "token string, df long").groupBy("token").agg(F.sum("df").alias("df"))
 
 
 def corpus_stats(tokenized: DataFrame) -> DataFrame:
@@ -72,23 +83,28 @@ def query_terms(questions: DataFrame, text: str = "question", tokenizer=T.tokeni
 
 
 class Store:
-    """The chunks' words, cut once, in a block index; all lexical retrievers over these chunks read them from here."""
+    """The chunks' words, cut once; all lexical retrievers over these chunks read them from here. A block index is made of them where a search asks for one: few
+    questions are answered without."""
 
     def __init__(self, chunks: DataFrame, text: str = "text", tokenizer=T.tokenize):
         self.tokenizer = tokenizer
-        self.index = BlockIndex.of(chunks.select("chunk_id", tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("tokens")))
+        self.tokens = staged(chunks.select("chunk_id", tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), "tokens")
 
-    @property
-    def tokens(self) -> DataFrame:
-        return self.index.tokens
+    @cached_property
+    def index(self) -> BlockIndex:
+        return BlockIndex.of(self.tokens)
 
-    @property
+    @cached_property
     def stats(self) -> DataFrame:
-        return self.index.stats
+        return staged(corpus_stats(self.tokens), "corpus_stats")
+
+    @cached_property
+    def avgdl(self) -> float:
+        return self.stats.first()["avgdl"] or 0.0
 
-    @property
+    @cached_property
     def freq(self) -> DataFrame:
-        return self.index.terms.select("token", "df")
+        return staged(doc_freq(self.tokens), "terms")
 
     @cached_property
     def idf(self) -> DataFrame:
@@ -109,6 +125,7 @@ def _store(chunks: DataFrame | Store, text: str) -> Store:
 QUERY_BLOCK = 4096
 #: Chunks that are scored together, and products of a word with a question's weight that are summed up at a time: they bound a task's memory, whatever the size of a batch.
 ROWS, PRODUCTS = 256, 1 << 20
+FREQ_ROWS = 2048
 
 
 def _scores(lists: pa.Array, weights: tuple, n_questions: int, avgdl: float | None) -> np.ndarray:
@@ -210,7 +227,7 @@ def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str
     store, terms = _store(chunks, text), query_terms(questions)
     asked = terms.join(store.idf.hint("merge"), "token").select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w"))
     if _few(questions) or not store.idf.filter("idf < 0").isEmpty():
-        return _scan_topk(questions, asked, store, k, store.index.avgdl)
+        return _scan_topk(questions, asked, store, k, store.avgdl)
     found = staged(store.index.search(asked, k).best().filter("score > 0"), "bm25")
     short = questions.select("qid").distinct().join(found.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").filter(F.coalesce("n", F.lit(0)) < k).select("qid")
     first = store.first_ids.limit(2 * k)  # k of them at least aren't among a question's matches, which are under k

@@ -40,8 +40,7 @@ def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_texts(spread(table(spark, sf_dir, "documents"))).select("chunk_id", "text")
 
 
-def header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
+def _headed(c: DataFrame) -> DataFrame:
     return c.select("chunk_id", T.with_header(F.col("lang"), F.col("paper_id"), F.col("section"), F.col("text")).alias("text"))
 
 
@@ -61,6 +60,10 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = cut.select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.length("t") / 700).cast("int"))).alias("ev"), "t")
     return each.select(F.col("doc_id").alias("qid"), "ev", F.col("doc_id").cast("string").alias("paper_id"), F.substr("t", (F.col("ev") - 1) * 700 + 1, F.lit(90)).alias("quote")).filter(F.length("quote") >= 20)
 
+def header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headed(chunks(spark, sf_dir))
+
+
 
 # ---- text ----
 
@@ -202,26 +205,26 @@ def hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- fusion ----
 
 
-def _two_lexical(spark: SparkSession, sf_dir: str, header: bool = False) -> list[DataFrame]:
-    q, plain = questions(spark, sf_dir), store_of(plain_chunks(spark, sf_dir))
-    left = store_of(header_chunks(spark, sf_dir)) if header else plain
-    return [lexical.bm25(q, left, fusion.POOL), lexical.full_text_or(q, plain, fusion.POOL)]
+def _two_lexical(q: DataFrame, plain: DataFrame, headed: DataFrame | None = None) -> list[DataFrame]:
+    store = store_of(plain)
+    return [lexical.bm25(q, store if headed is None else store_of(headed), fusion.POOL), lexical.full_text_or(q, store, fusion.POOL)]
 
 
 @query
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir), 10)
+    return fusion.reciprocal_rank_fusion(_two_lexical(questions(spark, sf_dir), plain_chunks(spark, sf_dir)), 10)
 
 
 @query
 def hybrid_header_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir, header=True), 10)
+    c = staged(chunks(spark, sf_dir), "chunks")  # both stores read them
+    return fusion.reciprocal_rank_fusion(_two_lexical(questions(spark, sf_dir), c, _headed(c)), 10)
 
 
 @query
 def hybrid_rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = fusion.reciprocal_rank_fusion(_two_lexical(spark, sf_dir), fusion.RERANK_POOL)
-    return fusion.rerank(questions(spark, sf_dir), plain_chunks(spark, sf_dir), base, 10)
+    q, c = questions(spark, sf_dir), staged(plain_chunks(spark, sf_dir), "chunks")  # the reranking reads the texts again
+    return fusion.rerank(q, c, fusion.reciprocal_rank_fusion(_two_lexical(q, c), fusion.RERANK_POOL), 10)
 
 
 @query

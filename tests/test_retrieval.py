@@ -344,6 +344,15 @@ def test_questions_are_not_met_by_a_broadcast_vocabulary(spark):
     assert [(r.qid, r.chunk_id) for r in found.best().collect()] == [(7, 1)]
 
 
+def test_few_questions_are_answered_without_a_block_index(spark):
+    store = lexical.Store(spark.createDataFrame([(1, "kelp and sand"), (2, "sand sand")], "chunk_id long, text string"))
+    asked = spark.createDataFrame([(7, "kelp")], "qid long, question string")
+    assert [(r.chunk_id, r.rank) for r in lexical.bm25(asked, store, 2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    assert [r.chunk_id for r in lexical.full_text_or(asked, store, 2).collect()] == [1]
+    assert "index" not in vars(store)
+    assert {r.token: r.df for r in store.freq.collect()} == {"kelp": 1, "sand": 2}
+
+
 def test_postings_of_keyed_chunks_are_counted_where_they_are_read(spark):
     data = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["a"])], "chunk_id long, tokens array<string>")
     found = lexical.postings(data, keyed=True)
