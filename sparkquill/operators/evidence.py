@@ -89,7 +89,7 @@ def gold_chunks(resolved: DataFrame) -> DataFrame:
 
 def unresolved(evidence: DataFrame, chunks: DataFrame, resolved: DataFrame) -> DataFrame:
     """qid, ev, problem: papers that aren't in the corpus, and quotes that aren't in their paper."""
-    papers = chunks.select("paper_id").distinct()
+    papers = staged(chunks.select("paper_id").join(evidence.select("paper_id").distinct(), "paper_id", "left_semi").distinct(), "papers")
     missing = evidence.join(papers, "paper_id", "left_anti").select("qid", "ev", F.concat(F.lit("paper '"), "paper_id", F.lit("' is not in the corpus")).alias("problem"))
     known = evidence.join(papers, "paper_id", "left_semi").join(resolved.select("qid", "ev").distinct(), ["qid", "ev"], "left_anti")
     return missing.unionByName(known.select("qid", "ev", F.concat(F.lit("quote not found in "), "paper_id").alias("problem")))

@@ -30,10 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- shared inputs ----
 
 
+#: Keys up to so many are sent to all tasks.
+SENT = 250_000
+
+
+def _cut(docs: DataFrame) -> DataFrame:
+    cut = chunking.chunk_texts(docs, keep=("source", "lang"))
+    return cut.select("chunk_id", F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("section"), "lang", (F.col("n") + 1).alias("page"), "text")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, paper_id (the document), section (its source), text."""
-    cut = chunking.chunk_texts(spread(table(spark, sf_dir, "documents")), keep=("source", "lang"))
-    return cut.select("chunk_id", F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("section"), "lang", (F.col("n") + 1).alias("page"), "text")
+    return _cut(spread(table(spark, sf_dir, "documents")))
+
+
+def asked_chunks(spark: SparkSession, sf_dir: str, evidence_: DataFrame) -> DataFrame:
+    """The chunks of the papers that are asked for; documents are looked up by their ids before they are cut. Staged: the evidence operators read them more than once."""
+    papers = staged(evidence_.select(F.col("paper_id").alias("_asked")).distinct(), "papers")
+    papers = papers.hint("broadcast" if papers.count() <= SENT else "merge")
+    docs = spread(table(spark, sf_dir, "documents"))
+    return staged(_cut(docs.join(papers, docs["doc_id"].cast("string") == papers["_asked"], "left_semi")), "chunks")
 
 
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +60,10 @@ def _headed(c: DataFrame) -> DataFrame:
     return c.select("chunk_id", T.with_header(F.col("lang"), F.col("paper_id"), F.col("section"), F.col("text")).alias("text"))
 
 
+def header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headed(chunks(spark, sf_dir))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole texts of the benchmark's items."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
@@ -60,10 +80,6 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = cut.select("doc_id", F.explode(F.sequence(F.lit(1), F.ceil(F.length("t") / 700).cast("int"))).alias("ev"), "t")
     return each.select(F.col("doc_id").alias("qid"), "ev", F.col("doc_id").cast("string").alias("paper_id"), F.substr("t", (F.col("ev") - 1) * 700 + 1, F.lit(90)).alias("quote")).filter(F.length("quote") >= 20)
 
-def header_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headed(chunks(spark, sf_dir))
-
-
 
 # ---- text ----
 
@@ -241,14 +257,15 @@ def hybrid_vector_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evidence_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.resolve(quotes(spark, sf_dir), chunks(spark, sf_dir))
+    asked = staged(quotes(spark, sf_dir), "quotes")
+    return evidence.resolve(asked, asked_chunks(spark, sf_dir, asked))
 
 
 @query
 def evidence_head_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes with a wrong end: only their first characters are found."""
-    asked = quotes(spark, sf_dir).withColumn("quote", F.concat("quote", F.lit(" and so forth")))
-    return evidence.resolve(asked, chunks(spark, sf_dir)).filter(~F.col("whole")).select("qid", "ev", "chunk_id")
+    asked = staged(quotes(spark, sf_dir).withColumn("quote", F.concat("quote", F.lit(" and so forth"))), "quotes")
+    return evidence.resolve(asked, asked_chunks(spark, sf_dir, asked)).filter(~F.col("whole")).select("qid", "ev", "chunk_id")
 
 
 def _shifted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +276,8 @@ def _shifted_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evidence_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, held = _shifted_quotes(spark, sf_dir), chunks(spark, sf_dir)
+    asked = staged(_shifted_quotes(spark, sf_dir), "quotes")
+    held = asked_chunks(spark, sf_dir, asked)
     return evidence.unresolved(asked, held, evidence.resolve(asked, held))
 
 
@@ -271,8 +289,8 @@ def evidence_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = chunks(spark, sf_dir).select(F.col("paper_id").alias("doc_id"), F.col("page").cast("int").alias("page"), "text")
-    asked = quotes(spark, sf_dir).withColumn("page", F.lit(1))
+    asked = staged(quotes(spark, sf_dir).withColumn("page", F.lit(1)), "quotes")
+    pages = asked_chunks(spark, sf_dir, asked).select(F.col("paper_id").alias("doc_id"), F.col("page").cast("int").alias("page"), "text")
     return evidence.fix_pages(asked, pages).select("qid", "ev", "page", "note")
 
 

@@ -138,3 +138,14 @@ def test_anchors_of_a_full_batch_are_taken_in_parts():
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert sorted(set(rows)) == list(range(10_000)) and peak < 100
+
+
+def test_only_papers_that_are_asked_for_are_cut(spark, tmp_path):
+    from sparkquill.plans import catalog
+
+    docs = [(n, f"about the wax of comb number {n} and its many cells", "notes", "en") for n in range(1, 41)] + [(40, "a second text of forty", "notes", "en"), (None, "x", "notes", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    asked = catalog.quotes(spark, str(tmp_path))
+    assert sorted(r.paper_id for r in catalog.asked_chunks(spark, str(tmp_path), asked).collect()) == ["20", "40", "40"]
+    assert catalog.evidence_unresolved(spark, str(tmp_path)).collect() == []
+    assert sorted((r.qid, r.chunk_id, r.whole) for r in catalog.evidence_resolve(spark, str(tmp_path)).select("qid", "chunk_id", "whole").collect())[0] == (20, "0000000020:000", True)
