@@ -9,6 +9,10 @@ from sparkquill.functions import text as T
 from sparkquill.operators.anchors import anchored, level_of
 from sparkquill.staging import staged
 
+#: Keys up to so many are sent to all tasks.
+SENT = 250_000
+
+
 def squashed(df: DataFrame, text: str = "text", compatibility: bool = True) -> DataFrame:
     return df.withColumn("squashed", T.squash(F.col(text), compatibility))
 
@@ -21,11 +25,14 @@ def _levels(asked: DataFrame) -> list[int]:
 def _near(asked: DataFrame, pieces: DataFrame, held: DataFrame, group: str, place: str) -> DataFrame:
     """Candidates: the columns of `asked` and `place`, for the texts t of `held` that share group and anchor with a piece (level, piece) of `asked`.
 
-    Joined by (group, anchor), so that a group with many texts is as many keys as it has anchors.
+    Joined by (group, anchor), so that a group with many texts is as many keys as it has anchors. A text has anchors at the levels alone that its own group asks for:
+    short pieces, whose levels have an anchor for almost every character, cost what their groups hold.
     """
     levels = _levels(asked)
     wanted = anchored(pieces, "piece", levels, "level").drop("level")
-    runs = anchored(held.select(group, place, "t"), "t", levels)
+    by_group = staged(asked.filter("level IS NOT NULL").select(group, "level").distinct(), "levels")
+    by_group = by_group.hint("broadcast" if by_group.count() <= SENT else "merge")
+    runs = anchored(held.select(group, place, "t").join(by_group, group), "t", levels, "level").drop("level")
     return runs.hint("merge").join(wanted.hint("merge"), [group, "anchor"]).select(*[c for c in asked.columns if c != "level"], place).distinct()
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from sparkquill.functions import text as T
 from sparkquill.functions.stem import lexemes
@@ -83,12 +83,12 @@ def query_terms(questions: DataFrame, text: str = "question", tokenizer=T.tokeni
 
 
 class Store:
-    """The chunks' words, cut once; all lexical retrievers over these chunks read them from here. A block index is made of them where a search asks for one: few
-    questions are answered without."""
+    """The chunks' words, cut once; all lexical retrievers over these chunks read them from here, and `keep` has columns that stay beside them. A block index is made
+    of them where a search asks for one."""
 
-    def __init__(self, chunks: DataFrame, text: str = "text", tokenizer=T.tokenize):
+    def __init__(self, chunks: DataFrame, text: str = "text", tokenizer=T.tokenize, keep: tuple[str, ...] = ()):
         self.tokenizer = tokenizer
-        self.tokens = staged(chunks.select("chunk_id", tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), "tokens")
+        self.tokens = staged(chunks.select("chunk_id", *keep, tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), "tokens")
 
     @cached_property
     def index(self) -> BlockIndex:
@@ -120,17 +120,25 @@ def _store(chunks: DataFrame | Store, text: str) -> Store:
     return chunks if isinstance(chunks, Store) else Store(chunks, text)
 
 
-#: Up to so many questions are answered by one pass over all words, which costs less than bounds for so few; more of them are searched by the block
-#: index. Where weights are negative, no bound holds, and there is a pass for each so many questions.
+#: Questions that a tile of scores is made for, and chunks of it: they bound a tile's memory.
 QUERY_BLOCK = 4096
-#: Chunks that are scored together, and products of a word with a question's weight that are summed up at a time: they bound a task's memory, whatever the size of a batch.
-ROWS, PRODUCTS = 256, 1 << 20
+ROWS = 256
+#: Pairs of a question and one of its best chunks that a task holds: they say how many blocks of questions a pass over all words answers.
+KEPT = 1 << 19
+#: Up to so many questions are answered by passes over all words: what a pass writes follows from its questions and tasks, while the block index writes the terms of
+#: each question for each block that remains, which grows with questions times chunks. Where weights are negative no bound holds, and any number is answered by passes.
+SCANNED = 1 << 24
+#: Chunks whose words are looked up at a time, and products of a word with a question's weight that are summed up at a time.
+CUT, PRODUCTS = 1024, 1 << 20
+#: Terms of a block whose products are summed up as a matrix, those that most of its questions ask for, and the least share of its questions.
+DENSE, DENSE_SHARE = 32, 1 / 256
+#: A score this close to the least that counts may be rounded to it.
+SLACK = 1e-6
 FREQ_ROWS = 2048
 
 
-def _scores(lists: pa.Array, weights: tuple, n_questions: int, avgdl: float | None) -> np.ndarray:
-    """Scores of some chunks' words, a row for each chunk and a column for each question. Only the words that are asked for, with the questions that ask for them, are looked at."""
-    terms, starts, asker, weight = weights
+def _cells(lists: pa.Array, terms: pa.Array, avgdl: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunk, term and value (occurrences, or BM25's impact) of each distinct word of some chunks that is among the terms, in order of chunks."""
     n, length = len(lists), lists.value_lengths().fill_null(0).to_numpy()
     term = pc.index_in(lists.flatten(), value_set=terms)
     known = term.is_valid().to_numpy(zero_copy_only=False)
@@ -140,18 +148,83 @@ def _scores(lists: pa.Array, weights: tuple, n_questions: int, avgdl: float | No
     value = tf.astype(np.float64)
     if avgdl is not None:
         value = value * (K1 + 1) / (value + K1 * (1 - B + B * length[row] / (avgdl or 1.0)))
-    score = np.zeros(n * n_questions)
-    many = starts[col + 1] - starts[col]
-    ends = np.cumsum(many)
-    lo = 0
-    while lo < len(cell):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PRODUCTS, side="right")))
-        each = many[lo:hi]
-        total = int(each.sum())
-        at = np.arange(total) + np.repeat(starts[col[lo:hi]] - (np.cumsum(each) - each), each)
-        score += np.bincount(np.repeat(row[lo:hi] * n_questions, each) + asker[at], np.repeat(value[lo:hi], each) * weight[at], minlength=len(score))
-        lo = hi
-    return score.reshape(n, n_questions)
+    return row, col, value
+
+
+class _Block:
+    """Some questions with their weights, and the best chunks that they have met so far.
+
+    `starts` has for each term where the questions that ask for it, and their weights, begin. Within a batch chunks are places in order of chunk_id; `met` puts them to those of the batches before.
+    """
+
+    def __init__(self, lo: int, n: int, term: np.ndarray, n_terms: int, asker: np.ndarray, weight: np.ndarray, k: int, least: float, kind: pa.DataType):
+        self.lo, self.n, self.k = lo, n, k
+        self.starts, self.asker, self.weight = np.searchsorted(term, np.arange(n_terms + 1)), asker, weight
+        many = np.diff(self.starts)
+        often = np.argsort(-many, kind="stable")[:DENSE]
+        often = often[many[often] > max(1, n * DENSE_SHARE)]
+        self.slot = np.full(n_terms, -1)
+        self.slot[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n))
+        within = self.slot[term] >= 0
+        self.dense[self.slot[term[within]], asker[within]] = weight[within]
+        self.base = self.floor = self.least = np.full(n, least)  # what a score has to exceed: any, in this batch for what the batches before have, and by now
+        self.q, self.raw, self.ids = np.zeros(0, np.int64), np.zeros(0), pa.array([], kind)
+        self._start()
+
+    def _start(self) -> None:
+        self.new_q, self.new_at, self.new_raw, self.settled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+
+    def _kth(self, q: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """The rounded k-th best score of each question, -inf where there are fewer; pairs in order of question and rank."""
+        last = np.flatnonzero(np.diff(q, append=-1))
+        out = np.full(self.n, -np.inf)
+        full = last[np.bincount(q, minlength=self.n)[q[last]] == self.k]
+        out[q[full]] = np.round(raw[full], 6)
+        return out
+
+    def scores(self, row: np.ndarray, col: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """Scores of the chunks that the cells are of, a row for each chunk and a column for each question. Only the words that are asked for, with the questions that ask for them, are looked at."""
+        slot = self.slot[col]
+        common = slot >= 0
+        held = np.zeros((rows, len(self.dense)))
+        held[row[common], slot[common]] = value[common]
+        score = (held @ self.dense).ravel()
+        many = np.where(common, 0, self.starts[col + 1] - self.starts[col])
+        asked = np.flatnonzero(many)
+        row, col, value, many = row[asked], col[asked], value[asked], many[asked]
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(row):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PRODUCTS, side="right")))
+            each = many[lo:hi]
+            at = np.arange(int(each.sum())) + np.repeat(self.starts[col[lo:hi]] - (np.cumsum(each) - each), each)
+            score += np.bincount(np.repeat(row[lo:hi] * self.n, each) + self.asker[at], np.repeat(value[lo:hi], each) * self.weight[at], minlength=len(score))
+            lo = hi
+        return score.reshape(rows, self.n)
+
+    def meet(self, score: np.ndarray, lo: int) -> None:
+        """Scores of a batch's chunks from the place `lo` on: a chunk further on has a larger id, so that a tie is none of the best."""
+        row, asked = np.nonzero(score > self.least)
+        self.new_q, self.new_at, self.new_raw = np.append(self.new_q, asked), np.append(self.new_at, row + lo), np.append(self.new_raw, score[row, asked])
+        if len(self.new_q) - self.settled > self.k * self.n:
+            kept = _first_k(self.k, self.new_q, self.new_at, self.new_raw)
+            self.new_q, self.new_at, self.new_raw = self.new_q[kept], self.new_at[kept], self.new_raw[kept]
+            self.settled = len(self.new_q)
+            self.least = np.maximum(self.floor, self._kth(self.new_q, self.new_raw))
+
+    def met(self, ids: pa.Array) -> None:
+        """The end of a batch with these chunk_ids in order: its best and those of the batches before."""
+        if len(self.new_q):
+            q, raw = np.append(self.q, self.new_q), np.append(self.raw, self.new_raw)
+            found = pa.concat_arrays([self.ids, ids.take(pa.array(self.new_at))])
+            place = np.empty(len(q), np.int64)
+            place[pc.sort_indices(found).to_numpy()] = np.arange(len(q))
+            kept = _first_k(self.k, q, place, raw)
+            self.q, self.raw, self.ids = q[kept], raw[kept], found.take(pa.array(kept))
+            self.floor = np.maximum(self.base, self._kth(self.q, self.raw) - SLACK)  # a tie in the next batch may have a smaller id
+        self.least = self.floor
+        self._start()
 
 
 def _first_k(k: int, q: np.ndarray, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
@@ -161,61 +234,73 @@ def _first_k(k: int, q: np.ndarray, at: np.ndarray, raw: np.ndarray) -> np.ndarr
     return order[np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q)))) < k]
 
 
-def _best(block, k: int, avgdl: float | None):
-    """chunk_id, tokens -> the k best chunks of each batch for each question of the block: qid, chunk_id, raw score.
+def _best(asked, k: int, avgdl: float | None):
+    """chunk_id, tokens -> the k best chunks among all of a task for each question: qid, chunk_id, raw score.
 
-    With `avgdl` the scores are BM25's and all chunks compete, those without a match too; without it they are plain
-    occurrences, and only chunks with a match appear. A batch is scored ROWS chunks at a time.
+    asked: qids, terms, where the questions of each term begin, which questions these are, and their weights. With `avgdl` the scores are BM25's and all
+    chunks compete, those without a match too; without it they are plain occurrences, and only chunks with a match appear. A tile of ROWS chunks and
+    QUERY_BLOCK questions is scored at a time.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, *weights = block.value
+        qids, terms, starts, asker, weight = asked.value
+        blocks: list[_Block] = []
         for batch in batches:
+            if not blocks:
+                term = np.repeat(np.arange(len(terms)), np.diff(starts))
+                for lo in range(0, len(qids), QUERY_BLOCK):
+                    own = (asker >= lo) & (asker < lo + QUERY_BLOCK)
+                    blocks.append(_Block(lo, min(QUERY_BLOCK, len(qids) - lo), term[own], len(terms), asker[own] - lo, weight[own], k, 0.0 if avgdl is None else -np.inf, batch.column(0).type))
             order = pc.sort_indices(batch.column(0))  # ties go to the smaller chunk_id
-            least = np.full(len(qids), 0.0 if avgdl is None else -np.inf)  # what a chunk further on has to exceed
-            q, at, raw = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            settled = 0
-            for lo in range(0, batch.num_rows, ROWS):
-                score = _scores(batch.column(1).take(order.slice(lo, ROWS)), weights, len(qids), avgdl)
-                row, asked = np.nonzero(score > least)
-                q, at, raw = np.append(q, asked), np.append(at, row + lo), np.append(raw, score[row, asked])
-                if len(q) - settled > k * len(qids) or lo + ROWS >= batch.num_rows:
-                    kept = _first_k(k, q, at, raw)
-                    q, at, raw = q[kept], at[kept], raw[kept]
-                    full = np.bincount(q, minlength=len(qids)) == k
-                    last = np.flatnonzero(np.diff(q, append=-1))  # a question's last is its least
-                    least[q[last]] = np.where(full[q[last]], np.round(raw[last], 6), least[q[last]])
-                    settled = len(q)
-            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), batch.column(0).take(order.take(pa.array(at))), pa.array(raw)], ["qid", "chunk_id", "raw"])
+            for lo in range(0, batch.num_rows, CUT):
+                lists = batch.column(1).take(order.slice(lo, CUT))
+                row, col, value = _cells(lists, terms, avgdl)
+                for first in range(0, len(lists), ROWS):
+                    rows = min(ROWS, len(lists) - first)
+                    a, b = np.searchsorted(row, [first, first + rows])
+                    for block in blocks:
+                        block.meet(block.scores(row[a:b] - first, col[a:b], value[a:b], rows), lo + first)
+            for block in blocks:
+                block.met(batch.column(0).take(order))
+        for block in blocks:
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(block.q + block.lo)), block.ids, pa.array(block.raw)], ["qid", "chunk_id", "raw"])
 
     return rows
 
 
 def _scan_topk(questions: DataFrame, asked: DataFrame, store: Store, k: int, avgdl: float | None) -> DataFrame:
-    """The k best chunks for weighted terms (qid, token, w), which may be under 0: a pass over the words for each block of questions."""
+    """The k best chunks for weighted terms (qid, token, w), which may be under 0. A pass over the words answers KEPT / k questions or a block of them; each of its tasks returns k rows
+    for a question, so words are dealt to a few tasks for each core at most."""
     spark = questions.sparkSession
     ids = questions.select("qid").distinct()
-    blocks = -(-ids.count() // QUERY_BLOCK)
-    place = F.pmod(F.xxhash64("qid"), F.lit(max(blocks, 1)))
-    if blocks > 1:
+    passes = -(-ids.count() // (max(1, KEPT // (k * QUERY_BLOCK)) * QUERY_BLOCK))
+    place = F.pmod(F.xxhash64("qid"), F.lit(max(passes, 1)))
+    if passes > 1:
         asked = staged(asked, "asked")
     schema = StructType([questions.schema["qid"], store.tokens.schema["chunk_id"], StructField("raw", DoubleType())])
-    found = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        qids = ids.filter(place == b).toArrow().column("qid").combine_chunks()  # about QUERY_BLOCK rows
-        rows = asked.filter(place == b).select("qid", "token", "w").toArrow().combine_chunks()  # and their terms
+    out = spark.createDataFrame([], StructType([*schema.fields[:2], StructField("score", DoubleType()), StructField("rank", IntegerType())]))
+    for p in range(passes):
+        qids = ids.filter(place == p).toArrow().column("qid").combine_chunks()  # the questions of a pass
+        rows = asked.filter(place == p).select("qid", "token", "w").toArrow().combine_chunks()  # and their terms
+        if not len(qids):
+            continue
         terms = pc.unique(rows.column("token")).cast(pa.string())
         term, asker = (pc.index_in(rows.column(c).combine_chunks(), value_set=v).to_numpy(zero_copy_only=False).astype(np.int64) for c, v in (("token", terms), ("qid", qids)))
         order = np.argsort(term, kind="stable")
         starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        if len(qids):
-            sent = spark.sparkContext.broadcast((qids, terms, starts, asker[order], rows.column("w").to_numpy()[order]))
-            found = found.unionByName(store.tokens.select("chunk_id", "tokens").mapInArrow(_best(sent, k, avgdl), schema))
-    return rank_by(found.select("qid", "chunk_id", F.round("raw", 6).alias("score")), k, ["qid"], F.desc("score"), F.col("chunk_id"))
+        sent = spark.sparkContext.broadcast((qids, terms, starts, asker[order], rows.column("w").to_numpy()[order]))
+        words = store.tokens.select("chunk_id", "tokens").coalesce(2 * spark.sparkContext.defaultParallelism)
+        found = words.mapInArrow(_best(sent, k, avgdl), schema).select("qid", "chunk_id", F.round("raw", 6).alias("score"))
+        ranked = rank_by(found, k, ["qid"], F.desc("score"), F.col("chunk_id"))
+        if passes == 1:
+            return ranked
+        out = out.unionByName(staged(ranked, "ranked"))  # a pass's questions are sent no longer than it takes
+        sent.destroy()
+    return out
 
 
 def _few(questions: DataFrame) -> bool:
-    return len(questions.select("qid").limit(QUERY_BLOCK + 1).toArrow()) <= QUERY_BLOCK
+    return questions.select("qid").limit(SCANNED + 1).count() <= SCANNED
 
 
 def bm25(questions: DataFrame, chunks: DataFrame | Store, k: int = 10, text: str = "text") -> DataFrame:

@@ -30,10 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---- shared inputs ----
 
 
-#: Keys up to so many are sent to all tasks.
-SENT = 250_000
-
-
 def _cut(docs: DataFrame) -> DataFrame:
     cut = chunking.chunk_texts(docs, keep=("source", "lang"))
     return cut.select("chunk_id", F.col("doc_id").cast("string").alias("paper_id"), F.col("source").alias("section"), "lang", (F.col("n") + 1).alias("page"), "text")
@@ -47,7 +43,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asked_chunks(spark: SparkSession, sf_dir: str, evidence_: DataFrame) -> DataFrame:
     """The chunks of the papers that are asked for; documents are looked up by their ids before they are cut. Staged: the evidence operators read them more than once."""
     papers = staged(evidence_.select(F.col("paper_id").alias("_asked")).distinct(), "papers")
-    papers = papers.hint("broadcast" if papers.count() <= SENT else "merge")
+    papers = papers.hint("broadcast" if papers.count() <= evidence.SENT else "merge")
     docs = spread(table(spark, sf_dir, "documents"))
     return staged(_cut(docs.join(papers, docs["doc_id"].cast("string") == papers["_asked"], "left_semi")), "chunks")
 
@@ -299,18 +295,18 @@ def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _own_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Questions made of the quotes, what they resolve to, and two rankings."""
-    asked = quotes(spark, sf_dir)
+    asked = staged(quotes(spark, sf_dir), "quotes")
     q = asked.groupBy("qid").agg(F.min_by("quote", "ev").alias("question"), F.count("*").alias("n_evidence"))
     q = q.withColumn("kind", F.when(F.col("qid") % 100 == 0, F.lit("cross_paper")).otherwise(F.lit("factual"))).withColumn("distractors", F.array(F.col("qid").cast("string")))
-    q, c = staged(q, "questions"), chunks(spark, sf_dir)
-    resolved = staged(evidence.resolve(asked, c).select("qid", "ev", "chunk_id"), "resolved")
-    store = store_of(c)
+    q = staged(q, "questions")
+    resolved = staged(evidence.resolve(asked, asked_chunks(spark, sf_dir, asked)).select("qid", "ev", "chunk_id"), "resolved")
+    store = lexical.Store(chunks(spark, sf_dir), keep=("paper_id",))  # the documents are cut once for all that follows
     ranked = [
         lexical.bm25(q.select("qid", "question"), store, 10).withColumn("retriever", F.lit("bm25")),
         lexical.full_text_or(q.select("qid", "question"), store, 10).withColumn("retriever", F.lit("fts")),
     ]
     rankings = ranked[0].select("retriever", "qid", "chunk_id", "rank").unionByName(ranked[1].select("retriever", "qid", "chunk_id", "rank"))
-    return q, resolved, staged(evidence.with_papers(rankings, c), "rankings")  # the metrics read both several times
+    return q, resolved, staged(evidence.with_papers(rankings, store.tokens), "rankings")  # the metrics read both several times
 
 
 def _per_question(spark: SparkSession, sf_dir: str) -> DataFrame:

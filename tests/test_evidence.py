@@ -149,3 +149,18 @@ def test_only_papers_that_are_asked_for_are_cut(spark, tmp_path):
     assert sorted(r.paper_id for r in catalog.asked_chunks(spark, str(tmp_path), asked).collect()) == ["20", "40", "40"]
     assert catalog.evidence_unresolved(spark, str(tmp_path)).collect() == []
     assert sorted((r.qid, r.chunk_id, r.whole) for r in catalog.evidence_resolve(spark, str(tmp_path)).select("qid", "chunk_id", "whole").collect())[0] == (20, "0000000020:000", True)
+
+
+def test_texts_have_anchors_at_the_levels_that_their_paper_asks_for(spark, monkeypatch):
+    """One paper with a short quote doesn't make the other papers' texts rows of an anchor for each character."""
+    import hashlib
+
+    from sparkquill.operators import evidence
+
+    made, plain = [], evidence.anchored
+    monkeypatch.setattr(evidence, "anchored", lambda *a: made.append(plain(*a)) or made[-1])
+    long = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(60))
+    chunks = spark.createDataFrame([("a", "a:0", "a kiln and its glaze"), ("b", "b:0", long)], "paper_id string, chunk_id string, text string")
+    asked = spark.createDataFrame([("q", 1, "a", "glaze"), ("q", 2, "b", long[300:400])], "qid string, ev int, paper_id string, quote string")
+    assert {(r.ev, r.chunk_id) for r in evidence.resolve(asked, chunks).collect()} == {(1, "a:0"), (2, "b:0")}
+    assert made[1].filter("paper_id = 'b'").count() < len(long) / 4 and made[1].filter("paper_id = 'a'").count() > 5

@@ -368,3 +368,45 @@ def test_postings_tf_adds_up_documents_that_share_an_id(spark, tmp_path):
     found = sorted(map(tuple, catalog.postings_tf(spark, str(tmp_path)).collect()))
     assert [(int(c.split(":")[0]) if c.split(":")[0].isdigit() else None, t, n) for c, t, n in found if "null" not in c] == [(1, "kelp", 2), (1, "sand", 2), (2, "sand", 1)]
     assert [(t, n) for c, t, n in found if "null" in c] == [("wax", 2)]
+
+
+@pytest.mark.parametrize("held", [1 << 19, 1], ids=["one pass", "a pass for each block"])
+def test_many_questions_are_answered_without_a_block_index(spark, monkeypatch, held):
+    """Blocks of three questions; words that many ask for are summed up as a matrix, the others one by one, and batches end inside a task."""
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(lexical, "KEPT", held, raising=False)
+    monkeypatch.setattr(lexical, "DENSE", 2, raising=False)
+    monkeypatch.setitem(vars(lexical), "ROWS", 4)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    texts = {f"c{i:03d}": " ".join(rng.choice(words, int(rng.integers(1, 30)), p=(w := 1.0 / np.arange(1, 41)) / w.sum())) for i in range(90)}
+    texts |= {f"d{i:03d}": texts[f"c{i:03d}"] for i in range(30)}  # ties, in other batches
+    asked = [" ".join(rng.choice(words, 4)) for _ in range(8)] + ["absent", "w0 w0 w1"]
+    store, q = lexical.Store(spark.createDataFrame([(k, "odd", v) for k, v in texts.items()], "chunk_id string, paper_id string, text string").repartition(3)), ask(spark, *asked)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got, plain = lexical.bm25(q, store, 5).collect(), lexical.full_text_or(q, store, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for i, text in enumerate(asked):
+        order, _ = brute_bm25(text, texts)
+        assert [r.chunk_id for r in sorted((r for r in got if r.qid == f"q{i}"), key=lambda r: r["rank"])] == order[:5]
+        score = {c: float(sum(w in text.split() for w in t.split())) for c, t in texts.items()}
+        want = sorted(((-v, c) for c, v in score.items() if v))[:5]
+        assert [(-r.score, r.chunk_id) for r in sorted((r for r in plain if r.qid == f"q{i}"), key=lambda r: r["rank"])] == want
+    assert "index" not in vars(store)
+
+
+def test_a_task_returns_its_best_chunks_once():
+    """Not those of each batch: what a pass writes doesn't grow with the chunks of a task."""
+    texts = pa.ListArray.from_arrays(pa.array(np.arange(901), pa.int32()), pa.array(["kelp"] * 900))
+    whole = pa.RecordBatch.from_arrays([pa.array([f"{i:03d}" for i in range(900)][::-1]), texts], ["chunk_id", "tokens"])
+    sent = Sent((pa.array(["q0", "q1"]), pa.array(["kelp"]), np.array([0, 2]), np.array([0, 1]), np.ones(2)))
+    found = [r for b in lexical._best(sent, 4, None)([whole.slice(lo, 90) for lo in range(0, 900, 90)]) for r in b.to_pylist()]
+    assert sorted((r["qid"], r["chunk_id"]) for r in found) == [(q, f"{i:03d}") for q in ("q0", "q1") for i in range(4)]
+
+
+def test_a_store_keeps_the_papers_of_its_chunks(spark, chunks):
+    store = lexical.Store(chunks, keep=("paper_id",))
+    assert [r.paper_id for r in evidence.with_papers(ranking(spark, "tide:02", "bees:01"), store.tokens).orderBy("rank").collect()] == ["tide", "bees"]
