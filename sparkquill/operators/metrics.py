@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.operators.ranks import nearest_ranks, numbered
 
+#: Values that are sent to all tasks at a time.
+SENT = 500_000
+
 # ---- per row, over arrays ----
 
 
@@ -110,14 +115,16 @@ def bootstrap_ci(deltas: DataFrame, value: str = "delta", samples: int = 5000, s
     """One row: mean, low and high end of the 95 % interval of the mean over resampled rows; no row for an empty table.
 
     deltas: one row for each question (qid). A resample draws n row numbers, in the order of qid, by md5, so equal inputs give equal
-    intervals. The draws (n x samples) are generated in parallel and summed up within their tasks.
+    intervals. The draws (n x samples) are generated in parallel and summed up within their tasks: the values are sent to them, SENT rows at a time, and no draw is shuffled.
     """
     rows = numbered(deltas.select("qid", F.col(value).cast("double").alias("v")), ["qid"])
     n = rows.count()
     digest = F.md5(F.concat_ws("|", F.lit(seed), "rep", "j").cast("binary"))
     draws = deltas.sparkSession.range(samples * n).select(F.expr(f"id div {max(n, 1)}").alias("rep"), F.expr(f"id % {max(n, 1)}").alias("j"))
     drawn = draws.select("rep", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(max(n, 1))).alias("i"))
-    means = drawn.join(rows.select("i", "v"), "i").groupBy("rep").agg(F.avg("v").alias("m"))  # `samples` rows
+    values = [rows] if n <= SENT else [rows.filter((F.col("i") >= lo) & (F.col("i") < lo + SENT)) for lo in range(0, n, SENT)]
+    parts = [drawn.join(F.broadcast(x.select("i", "v")), "i").select("rep", "v") for x in values]
+    means = reduce(DataFrame.unionByName, parts).groupBy("rep").agg(F.avg("v").alias("m"))  # `samples` rows
     ends = means.agg(F.expr("percentile(m, array(0.025, 0.975))").alias("p"), F.count("*").alias("k")).filter("k > 0")
     return ends.crossJoin(rows.agg(F.avg("v").alias("mean"))).select(
         F.round("mean", 6).alias("mean"), F.round(F.get("p", F.lit(0)), 6).alias("low"), F.round(F.get("p", F.lit(1)), 6).alias("high")

@@ -410,3 +410,18 @@ def test_a_task_returns_its_best_chunks_once():
 def test_a_store_keeps_the_papers_of_its_chunks(spark, chunks):
     store = lexical.Store(chunks, keep=("paper_id",))
     assert [r.paper_id for r in evidence.with_papers(ranking(spark, "tide:02", "bees:01"), store.tokens).orderBy("rank").collect()] == ["tide", "bees"]
+
+
+def test_draws_of_the_bootstrap_are_not_shuffled(spark, monkeypatch):
+    """Whatever the size of a table that is broadcast unasked; values beyond SENT come in parts."""
+    d = spark.createDataFrame([(i, float(i * 7 % 5)) for i in range(40)], "qid int, delta double")
+    want = metrics.bootstrap_ci(d, samples=300).first()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = metrics.bootstrap_ci(d, samples=300)
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString() and found.first() == want
+        monkeypatch.setattr(metrics, "SENT", 17)
+        assert metrics.bootstrap_ci(d, samples=300).first() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
