@@ -167,8 +167,14 @@ def token_lists(lowered: pa.Array) -> pa.ListArray:
 CUT_ROWS = 256
 
 
+def give_back() -> None:
+    """Arrow keeps the memory that it has freed; workers that wait for their next task would hold it beside those that work."""
+    pa.default_memory_pool().release_unused()
+
+
 @F.arrow_udf(ArrayType(StringType()))
 def _tokens(lowered: pa.Array) -> pa.Array:
+    give_back()  # what the batch before took
     parts = [token_lists(lowered.slice(lo, CUT_ROWS)) for lo in range(0, len(lowered), CUT_ROWS)]
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
 

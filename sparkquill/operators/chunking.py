@@ -46,6 +46,7 @@ def _windows(size: int, overlap: int):
             cut = pa.array([whole[b:e] for b, e in zip(begin.tolist(), end.tolist())], pa.binary()).cast(pa.string())
             took = pa.array(row)
             yield pa.RecordBatch.from_arrays([*[c.take(took) for c in kept], pa.array(number, pa.int32()), cut], names=[*batch.schema.names[:-1], "n", "text"])
+        T.give_back()
 
     return rows
 

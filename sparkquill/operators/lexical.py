@@ -52,6 +52,7 @@ def _freq_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = np.sort(np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy()) + term * len(lists))
         held = np.bincount(cell[np.diff(cell, prepend=-1) > 0] // max(len(lists), 1), minlength=len(coded.dictionary))
         yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(held, pa.int64())], ["token", "df"])
+    T.give_back()
 
 
 def doc_freq(tokenized: DataFrame) -> DataFrame:
@@ -264,6 +265,7 @@ def _best(asked, k: int, avgdl: float | None):
                 block.met(batch.column(0).take(order))
         for block in blocks:
             yield pa.RecordBatch.from_arrays([qids.take(pa.array(block.q + block.lo)), block.ids, pa.array(block.raw)], ["qid", "chunk_id", "raw"])
+        T.give_back()
 
     return rows
 

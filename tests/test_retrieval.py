@@ -425,3 +425,14 @@ def test_draws_of_the_bootstrap_are_not_shuffled(spark, monkeypatch):
         assert metrics.bootstrap_ci(d, samples=300).first() == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tasks_give_back_what_arrow_has_freed(monkeypatch):
+    given = []
+    monkeypatch.setattr(lexical.T, "give_back", lambda: given.append(1), raising=False)
+    texts = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["kelp and sand"])], ["doc_id", "_t"])
+    words = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([["kelp", "sand"]])], ["chunk_id", "tokens"])
+    sent = Sent((pa.array(["q0"]), pa.array(["kelp"]), np.array([0, 1]), np.array([0]), np.ones(1)))
+    for rows in (chunking._windows(300, 50)([texts]), lexical._freq_rows([words.select(["tokens"])]), lexical._best(sent, 4, None)([words])):
+        assert [b.num_rows for b in rows]
+    assert len(given) == 3
